@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, warc
+from . import bpe, minhash, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
     return records.select(
@@ -25,6 +29,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op9_warc": op9_warc}
+QUERIES = {"op3_bpe": op3_bpe, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}

@@ -98,10 +98,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
         part.sort()
     for d in np.flatnonzero(~full & (counts > 0)).tolist():
         own = w[first[d] : first[d + 1]]
-        total = np.uint64(0x5851F42D4C957F2D) * np.uint64(len(own))
+        total = np.full(1, 0x5851F42D4C957F2D, np.uint64) * np.uint64(len(own))
         for k in range(len(own)):
-            total = total + own[k] * _STEP[k % 5]
-        out[at[d]] = mix(np.array([total], np.uint64))[0]
+            total += own[k : k + 1] * _STEP[k % 5]
+        out[at[d]] = mix(total)[0]
     if not len(out):
         return out, made
     fresh = np.ones(len(out), bool)
