@@ -30,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Bytes of a split, and of one read.
 SPLIT, BLOCK = 8 << 20, 1 << 20
+#: Tasks of a read at most; each then takes several splits, one after the other.
+MOST_TASKS = 20_000
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -183,7 +185,9 @@ def read(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFr
     are computed from the payload read; a revisit's come from its headers.
     """
     parts = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("begin"))
-    parts = parts.repartition("file", "begin")
+    # a split a task, and no merging of tasks: their rows are small but their ranges are not
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    parts = parts.repartition(min(int(n), MOST_TASKS), "file", "begin")
 
     def run(batches):
         for b in batches:
