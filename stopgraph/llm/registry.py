@@ -6,14 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, warc
+from . import bpe, minhash, pq, topk, warc
 from .common import read_table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75)
 
@@ -29,6 +37,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
+QUERIES = {"op1_topk": op1_topk, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}
