@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, pq, topk, warc
+from . import bpe, minhash, mixing, pq, topk, warc
 from .common import read_table
 
 
@@ -14,6 +14,17 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+#: Share of the tokens that the mix is to have, epochs of a source at most, and the seed.
+MIX = {"percent": 60, "max_epochs": 3, "seed": 17}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.documents_mixed(spark, docs, **MIX)
+    path = {k: F.coalesce(c, F.lit("")) for k, c in mixing.document_path().items()}
+    return mixed.select("doc_id", *[c.alias(k) for k, c in path.items()], "mix_epoch", "mix_tokens")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,6 +48,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
