@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pq, topk, warc
-from .common import read_table
+from . import bpe, minhash, mixing, pq, topk, toxicity, warc
+from .common import held_out, read_table
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75)
 
 
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(spark, docs, read_table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, model), 0.5)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
     return records.select(
@@ -48,6 +58,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op9_warc": op9_warc}
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
