@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pq, topk, toxicity, warc
+from . import bpe, minhash, mixing, pq, quality, topk, toxicity, warc
 from .common import held_out, read_table
 
 
@@ -47,6 +47,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model), 0.5)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(spark, docs, read_table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), 0.3)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
     return records.select(
@@ -58,6 +64,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op9_warc": op9_warc}
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
