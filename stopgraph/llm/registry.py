@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pq, quality, topk, toxicity, warc
+from . import bpe, licenses, minhash, mixing, pq, quality, topk, toxicity, warc
 from .common import held_out, read_table
 
 
@@ -14,6 +14,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs)
+
+
 #: Share of the tokens that the mix is to have, epochs of a source at most, and the seed.
 MIX = {"percent": 60, "max_epochs": 3, "seed": 17}
 
@@ -64,6 +69,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc}
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
