@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, mixing, pq, quality, topk, toxicity, warc
+from . import bpe, licenses, minhash, mixing, pq, quality, substrings, topk, toxicity, warc
 from .common import held_out, read_table
 
 
@@ -42,6 +42,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(spark, read_table(spark, sf_dir, "documents"), length=200)
+
+
 def _scored(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -69,6 +73,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
