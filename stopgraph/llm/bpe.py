@@ -264,11 +264,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     The result equals the tokenizers library's for the same file with
     ``add_special_tokens=False``.  Null and empty texts give an empty array, texts of any
-    length are encoded whole, repeated rows alike; other columns pass through, so a column
-    already named ``ids`` is refused.  No shuffle: each partition is encoded where it is.
+    length are encoded whole, repeated rows alike; other columns pass through, but one that
+    is already named ``ids`` is replaced.  No shuffle: each partition is encoded where it is.
     """
     if ids in docs.columns and ids != text:
-        raise ValueError(f"column {ids} is already there")
+        docs = docs.drop(ids)
     schema = ", ".join(f"`{ids}` array<int>" if f.name == text else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(lambda b: encode_batches(b, path, text, ids), schema)
 
@@ -278,6 +278,8 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
     Byte sequences that are not UTF-8 become U+FFFD, as in the tokenizers library.
     """
+    if text in coded.columns and ids != text:
+        coded = coded.drop(text)
     schema = ", ".join(f"`{text}` string" if f.name == ids else f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
 
     def run(batches):

@@ -72,15 +72,18 @@ def mix(spark: SparkSession, docs: DataFrame, path: dict[str, Column], weights:
     partial epoch rows are ordered by md5 of seed, epoch and id, ties by id and tokens, and
     drawn up to the last that fits whole.  Rows without tokens (null or empty texts) are
     never drawn; a row of null id is ordered by an empty id; repeated rows are drawn each on
-    its own; a weight that is null or 0 shuts its subtree out; other columns pass through
-    (names beginning with ``mix_`` are refused); an empty table gives an empty result.
+    its own; a weight that is null or 0 shuts its subtree out; other columns pass through, but
+    any that is named as the two added ones is replaced; an empty table gives an empty result.
     """
-    if any(c.startswith("mix_") for c in docs.columns):
-        raise ValueError("column names beginning with mix_ are taken")
     scratch = Scratch(spark)
     names = [f"mix_{n}" for n in path]
-    here = docs.withColumns({f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in path.items()})
-    here = here.withColumn("mix_tokens", estimated_tokens() if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))).where("mix_tokens > 0")
+    # a row travels as a struct, so none of its columns' names can clash with those made here
+    here = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_epoch", "mix_tokens")]).alias("mix_row"),
+        F.col(id_col).alias("mix_id"),
+        *[F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{n}") for n, c in path.items()],
+        (estimated_tokens() if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))).alias("mix_tokens"),
+    ).where("mix_tokens > 0")
     leaves = here.groupBy(*names).agg(F.count("*").alias("n"), F.sum("mix_tokens").alias("tokens"))
     leaves = scratch.table(leaves.withColumnsRenamed(dict(zip(names, path, strict=True))), "leaves")
     dealt = budgets(leaves, [*path], weights, budget, max_epochs).join(leaves, [*path]).where("budget > 0")
@@ -94,7 +97,7 @@ def mix(spark: SparkSession, docs: DataFrame, path: dict[str, Column], weights:
     few = dealt.count() <= MOST_BROADCAST
 
     def ordered(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")))
+        rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("mix_id").cast("string"), F.lit(""))).cast("binary")))
         return rows.withColumn("mix_bucket", F.expr("cast(conv(substring(mix_key, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
 
     placed = ordered(here.join(near(dealt), names))
@@ -108,9 +111,9 @@ def mix(spark: SparkSession, docs: DataFrame, path: dict[str, Column], weights:
     placed = ordered(here.join(near(dealt), names))
     # rest < tokens, so a leaf with a rest has an edge
     sure = F.when((F.col("rest") > 0) & (F.col("mix_bucket") < F.col("edge")), F.col("full")).otherwise(F.col("full") - 1)
-    columns = [*docs.columns, "mix_epoch", "mix_tokens"]
+    columns = ["mix_row.*", "mix_epoch", "mix_tokens"]
     whole = placed.where(sure >= 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), sure))).withColumn("mix_epoch", F.col("mix_epoch").cast("int")).select(*columns)
-    in_edge = Window.partitionBy(*names).orderBy("mix_key", id_col, "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    in_edge = Window.partitionBy(*names).orderBy("mix_key", "mix_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part = placed.where("rest > 0 and mix_bucket = edge").withColumn("mix_end", F.sum("mix_tokens").over(in_edge)).where("mix_end <= fits")
     return whole.unionByName(part.withColumn("mix_epoch", F.col("full").cast("int")).select(*columns))
 
