@@ -5,6 +5,320 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import minutes as M
+from ..operators import arrivals as A
+from ..operators import edits as E
+from ..operators import graphs as G
+from ..operators import relational as R
+from ..operators import reports as P
+from ..operators.closure import shortest_paths, walk_closure
+from ..sources import timetable as T
+from ..sources.store import written
+from ..streaming import edit_stream as S
+from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, run: Callable[[SparkSession, str, T.Timetable], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, T.adapter(spark, sf_dir))
+    if sql:
+        ORACLES[name] = sql
+
+
+def _of_conn(name: str, run: Callable[[DataFrame], DataFrame], select: str, *more: str) -> None:
+    _query(name, lambda spark, sf_dir, t: run(t.connections), Q.ask(select, *more))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("u"))
+    d = F.explode(F.array(*[F.lit(x) for x in (-2, -1, 1, 2)])).alias("d")
+    return stops.select("u", d).withColumn("v", F.col("u") + F.col("d")).join(stops.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", (4 + 3 * F.abs("d")).alias("w"))
+
+
+# ---- relational --------------------------------------------------------------------------
+
+START = 1735887600
+_RAW = f"""raw0 as (select *, unnest(case when trip % 4 = 0 then [0, 1] else [0] end) as copy from st),
+raw as (select trip, seq * 2 + copy as stop_sequence, stop, route_int, mode,
+  case when trip % 97 = 5 and seq = 1 then null else {START} + (arr + copy) * 60 + trip % 60 - case when trip % 89 = 3 then 40000 else 0 end end as arr_s,
+  case when trip % 97 = 5 and seq = 1 then null else {START} + (dep + copy) * 60 + trip % 60 - case when trip % 89 = 3 then 40000 else 0 end end as dep_s from raw0)"""
+
+_query(
+    "collapse_same_stop",
+    lambda spark, sf, t: R.collapse_same_stop(T.adapter_raw(spark, sf)).select("trip", "stop_sequence", "stop", F.unix_timestamp("arrival_time").alias("arr_s"), F.unix_timestamp("departure_time").alias("dep_s"), "route_int"),
+    Q.ask("""select trip, cast(min(stop_sequence) as integer) as stop_sequence, min(stop) as stop, cast(min(arr_s) as bigint) as arr_s, cast(max(dep_s) as bigint) as dep_s, min(route_int) as route_int from
+      (select *, sum(new) over (partition by trip order by stop_sequence) as run from
+        (select *, case when lag(stop) over (partition by trip order by stop_sequence) = stop then 0 else 1 end as new from raw)) group by trip, run""", _RAW),
+)
+_query(
+    "minutes_since_start",
+    lambda spark, sf, t: T.adapter_raw(spark, sf).where("departure_time is not null").groupBy(M.minutes_since(F.col("departure_time"), START).alias("minute")).agg(F.count("*").alias("n")),
+    Q.ask(f"select cast(floor((dep_s - {START}) / 60.0) as integer) as minute, count(*) as n from raw where dep_s is not null group by all", _RAW),
+)
+_query(
+    "service_date_mode",
+    lambda spark, sf, t: R.service_date(T.adapter_raw(spark, sf)),
+    Q.ask("select cast(to_timestamp(dep_s) at time zone 'UTC' as date) as service_date from raw where dep_s is not null group by all order by count(*) desc, 1 limit 1", _RAW),
+)
+_of_conn("connections", lambda c: c, "select * from conn")
+_of_conn("service_window", lambda c: c.where("dep >= 120 and dep < 240 and arr >= 120 and arr <= 240").groupBy("route_int").agg(F.count("*").alias("n")), "select route_int, count(*) as n from conn where dep >= 120 and dep < 240 and arr >= 120 and arr <= 240 group by all")
+_query("stop_subset", lambda spark, sf, t: T.stop_subset(t.connections, _table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("int").alias("stop"))), Q.ask("select * from conn where from_stop % 3 = 0 and to_stop % 3 = 0"))
+_of_conn("mode_encode", lambda c: c.groupBy("mode").agg(F.count("*").alias("n")), "select mode, count(*) as n from conn group by all")
+_of_conn("trip_dense_id", R.dense_trips, "select trip, cast(dense_rank() over (order by trip) - 1 as integer) as trip_no from (select distinct trip from conn)")
+_query("walk_minutes", lambda spark, sf, t: _legs(spark, sf).select("u", "v", M.walk_minutes(F.col("w") * 60 - F.col("u") % 61 - 5).alias("w")), Q.ask("select u, v, cast(case when w * 60 - u % 61 - 5 > 0 then greatest(1, ceil((w * 60 - u % 61 - 5) / 60.0)) else 0 end as integer) as w from legs"))
+_of_conn("stay_edges", R.stay_edges, "select trip, seq, nseq, ndep - arr as w from (select *, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nseq is not null")
+_of_conn("gap_stay_edges", R.gap_stay_edges, "select trip, seq, to_stop as u, nfrom as v, ndep - arr as w from (select *, lead(from_stop) over (w) as nfrom, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nfrom <> to_stop")
+_of_conn("continue_edges", R.continue_edges, "select trip, seq, nseq, narr - arr as w from (select *, lead(seq) over (w) as nseq, lead(arr) over (w) as narr from conn window w as (partition by trip order by seq)) where narr >= arr")
+_of_conn("wait_edges", R.wait_edges, "select trip, seq, ntrip, nseq, ndep - dep as w from (select *, lead(trip) over (w) as ntrip, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by from_stop order by dep, trip, seq)) where ntrip is not null")
+_of_conn("stop_event_index", R.stop_event_index, "select from_stop as stop, cast(row_number() over (partition by from_stop order by dep, trip, seq) - 1 as integer) as pos, trip, seq, dep from conn")
+_of_conn("trip_event_index", R.trip_event_index, "select trip, seq, kind, t, cast(row_number() over (partition by trip order by seq, kind) - 1 as integer) as pos from (select trip, seq, 0 as kind, dep as t from conn union all select trip, seq, 1, arr from conn)")
+_query("stop_route_position", lambda spark, sf, t: R.stop_route_position(T.adapter_stop_times(spark, sf)), Q.ask("select stop, route_int, min(seq) as pos from st group by all"))
+_query("route_trips", lambda spark, sf, t: R.route_trips(T.adapter_stop_times(spark, sf)), Q.ask("select route_int, cast(count(*) as integer) as n_trips, min(s) as first, max(s) as last from (select route_int, trip, min(dep) as s from st group by all) group by all"))
+_FIFO = "fifo as (select route_int, seq, earlier, trip, case when before - arr > 720 then 'wraparound' else 'overtaking' end as kind from (select st.route_int, seq, st.trip, arr, lag(arr) over (w) as before, lag(st.trip) over (w) as earlier from st join (select trip, min(dep) as start from st group by trip) f on f.trip = st.trip window w as (partition by st.route_int, seq order by start, st.trip)) where before > arr)"
+_query("fifo_v1", lambda spark, sf, t: R.fifo_adjacent(T.adapter_stop_times(spark, sf)), Q.ask("select * from fifo", _FIFO))
+_query("fifo_report", lambda spark, sf, t: R.fifo_decision(R.fifo_adjacent(T.adapter_stop_times(spark, sf))), Q.ask("select count(*) filter (kind = 'nat') as n_nat, count(*) filter (kind = 'wraparound') as n_wraparound, count(*) filter (kind = 'overtaking') as n_overtaking, count(*) filter (kind = 'data_error') as n_data_error, case when count(*) filter (kind = 'data_error') > 0 then 'block' when count(*) filter (kind = 'overtaking') > 0 then 'proceed_with_note' else 'proceed' end as decision from fifo", _FIFO))
+_query("fifo_v2", lambda spark, sf, t: R.fifo_pairs(T.adapter_stop_times(spark, sf)), Q.ask("select route_int, count(*) as n_inversions from (select a.route_int, b.arr, lag(b.arr) over (partition by a.route_int, a.seq, b.seq order by a.dep, a.trip) as before from st a join st b on a.trip = b.trip and a.seq < b.seq) where before > arr group by all"))
+_of_conn("busiest_stops", lambda c: R.busiest_stops(c, 10), "select from_stop as stop, count(*) as departures from conn group by all order by departures desc, stop limit 10")
+
+# ---- joins ---------------------------------------------------------------------------------
+
+_NEXT = "(select min(d.dep) from conn d where d.from_stop = e.stop and d.dep >= e.t)"
+_ARR = "ev as (select trip, seq, to_stop as stop, arr as t from conn)"
+_ASOF = "select e.trip, e.seq, e.stop, e.t, d.dep as bdep, d.trip as btrip, d.seq as bseq from {ev} e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t"
+_DEP1 = "dep1 as (select from_stop, dep, min(trip) as trip, min_by(seq, (trip, seq)) as seq from conn group by from_stop, dep)"
+_WALKED = "wev as (select trip, seq, v as stop, arr + w as t from conn join walks on to_stop = u)"
+_query("board_asof", lambda spark, sf, t: R.board_asof(R.arrival_events(t.connections), t.connections, ["trip", "seq"]), Q.ask(_ASOF.format(ev="ev"), _ARR, _DEP1))
+_query("walk_board_asof", lambda spark, sf, t: R.board_asof(R.walked_events(t.connections, t.walks), t.connections, ["trip", "seq"]), Q.ask(_ASOF.format(ev="wev"), _WALKED, _DEP1))
+_query("board_in_asof", lambda spark, sf, t: R.board_in_asof(t.connections, t.connections), Q.ask("select e.trip, e.seq, e.from_stop as stop, e.dep as t, a.arr as barr from conn e asof join (select distinct to_stop, arr from conn) a on a.to_stop = e.from_stop and a.arr <= e.dep"))
+_SRC = "src_at as (select q_id, trip, seq, dep from od join conn on src = from_stop and dep >= t_dep union select q_id, d.trip, d.seq, d.dep from (select q_id, v as stop, t_dep + w as t from od join walks on src = u) e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t)"
+_TGT = "tgt_at as (select q_id, trip, seq, arr, cast(min(tail) as integer) as tail from (select q_id, trip, seq, arr, 0 as tail from od join conn on dst = to_stop union all select q_id, trip, seq, arr, w from od join walks on dst = v join conn on u = to_stop) group by all)"
+_query("source_attach", lambda spark, sf, t: R.source_attachment(t.od, t.connections, t.walks), Q.ask("select * from src_at", _DEP1, _SRC))
+_query("target_attach", lambda spark, sf, t: R.target_attachment(t.od, t.connections, t.walks), Q.ask("select * from tgt_at", _TGT))
+_query("pure_walk", lambda spark, sf, t: A.pure_walk(t.od, t.walks), Q.ask("select q_id, cast(case when src = dst then t_dep else t_dep + w end as integer) as ea from od left join walks on src = u and dst = v"))
+_query("grid_walk_edges", lambda spark, sf, t: R.grid_walk_edges(t.connections, t.walks, T.T_HI), Q.ask("select u, t, v, t + w as t2 from (select distinct to_stop, arr as t from conn) join walks on to_stop = u where t + w <= 780"))
+_of_conn("grid_ride_edges", R.grid_ride_edges, "select distinct from_stop, dep, plane, to_stop, arr from conn, (values (0), (1)) p(plane)")
+_query("grid_node_ids", lambda spark, sf, t: t.connections.select(M.node_id(F.col("from_stop"), F.col("dep"), F.lit(1), 100000, 0, 780).alias("node")).distinct().select("node", *[c.alias(n) for n, c in zip(("stop", "minute", "plane"), M.node_parts(F.col("node"), 100000, 0, 780), strict=True)]), Q.ask("select distinct 78100000 + from_stop * 781 + dep as node, from_stop as stop, dep as minute, 1 as plane from conn"))
+_HUBS = "lab as (select u as a, v as hub, w as d from legs)"
+_query("label_intersection", lambda spark, sf, t: R.label_intersection(_legs(spark, sf).select(F.col("u").alias("a"), F.col("v").alias("hub"), F.col("w").alias("d")), _legs(spark, sf).select(F.col("u").alias("b"), F.col("v").alias("hub"), F.col("w").alias("d"))), Q.ask("select x.a, y.a as b, min(x.d + y.d) as d from lab x join lab y on x.hub = y.hub group by all", _HUBS))
+_query("footpath_slices", lambda spark, sf, t: _slices(spark, sf), Q.ask("select u, v, w * 60 as walk_seconds from legs where u % 2 = 0"))
+
+
+def _slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The legs as offsets and targets, then as rows again."""
+    from pyspark.sql.window import Window
+
+    legs = _legs(spark, sf).where("u % 2 = 0").withColumn("pos", F.col("u") * 8 + F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1)
+    offsets = legs.groupBy("u").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
+    return T.expand_slices(offsets, legs.select("pos", "v", (F.col("w") * 60).alias("walk_seconds")))
+
+
+# ---- graphs --------------------------------------------------------------------------------
+
+_query("walk_closure", lambda spark, sf, t: t.walks, Q.ask("select * from walks"))
+
+
+def _sweep(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for cap in (5, 10, 15, 30):
+        one = walk_closure(_legs(spark, sf), cap).select(F.lit(cap).alias("cap"), "u", "v", F.col("w").cast("int").alias("w"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_query("walk_closure_sweep", lambda spark, sf, t: _sweep(spark, sf), "with " + ",\n".join([Q.LEGS, *(Q.closure(c, f"w{c}") for c in (5, 10, 15, 30))]) + " " + " union all ".join(f"select {c} as cap, * from w{c}" for c in (5, 10, 15, 30)))
+_of_conn("event_graph_nodes", G.event_nodes, "select trip, seq, 0 as kind, from_stop as stop, dep as t from conn union all select trip, seq, 1, to_stop, arr from conn")
+_EDGES = """edges as materialized (select src, dst, min(w) as w, min_by(etype, (w, etype)) as etype from (
+  select trip::bigint * 4096 + seq * 2 as src, trip::bigint * 4096 + seq * 2 + 1 as dst, arr - dep as w, 'RIDE' as etype from conn
+  union all select trip::bigint * 4096 + seq * 2 + 1, trip::bigint * 4096 + nseq * 2, ndep - arr, 'STAY' from (select *, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nseq is not null
+  union all select trip::bigint * 4096 + seq * 2, ntrip::bigint * 4096 + nseq * 2, ndep - dep, 'WAIT' from (select *, lead(trip) over (w) as ntrip, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by from_stop order by dep, trip, seq)) where ntrip is not null
+  union all select e.trip::bigint * 4096 + e.seq * 2 + 1, d.trip::bigint * 4096 + d.seq * 2, d.dep - e.t, 'BOARD' from ev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t
+  union all select e.trip::bigint * 4096 + e.seq * 2 + 1, d.trip::bigint * 4096 + d.seq * 2, d.dep - c.arr, 'WALK_AND_BOARD' from wev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t join conn c on c.trip = e.trip and c.seq = e.seq
+) group by src, dst)"""
+_EG = (_ARR, _DEP1, _WALKED, _EDGES)
+_query("event_graph_edges", lambda spark, sf, t: G.event_edges(t.connections, t.walks), Q.ask("select * from edges", *_EG))
+_query("event_graph_edges_by_type", lambda spark, sf, t: G.event_edges(t.connections, t.walks).groupBy("etype").agg(F.count("*").alias("n"), F.sum("w").alias("total_w")), Q.ask("select etype, count(*) as n, cast(sum(w) as bigint) as total_w from edges group by all", *_EG))
+_query("shadow_unique", lambda spark, sf, t: P.shadow_unique(G.event_edges(t.connections, t.walks)), Q.ask("select max(n) as most, count(*) filter (n > 1) as n_shared from (select dst, count(distinct src) as n from edges where etype = 'RIDE' group by all)", *_EG))
+_STATIC = "static as (select u, v, min(w) as w from (select from_stop as u, to_stop as v, arr - dep as w from conn union all select * from walks) group by all)"
+_GAPS = "gaps as (select to_stop as u, nfrom as v, ndep - arr as w from (select *, lead(from_stop) over (w) as nfrom, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nfrom <> to_stop)"
+_LB = "lbg as materialized (select u, v, min(w) as w from (select * from static union all select * from gaps) where u <> v group by all)"
+_query("static_graph", lambda spark, sf, t: G.static_graph(t.connections, t.walks), Q.ask("select * from static", _STATIC))
+_query("lb_graph", lambda spark, sf, t: G.lower_bound_graph(t.connections, t.walks), Q.ask("select * from lbg", _STATIC, _GAPS, _LB))
+_query("stop_graph", lambda spark, sf, t: G.stop_graph(t.connections, _legs(spark, sf)), Q.ask("select u, v, min(w) as w from (select from_stop as u, to_stop as v, arr - dep as w from conn where arr > dep union all select u, v, greatest(1, w) from legs) group by all"))
+
+
+def _paths(graph: str, roots: str, tag: str, forward: bool = True, hops: int = 12) -> str:
+    """Shortest paths unrolled; the dense stop graph needs few hops."""
+    a, b = ("u", "v") if forward else ("v", "u")
+    out = [f"{tag}_0 as (select root, root as v, 0 as d from {roots})"]
+    for k in range(1, hops + 1):
+        out.append(f"{tag}_{k} as materialized (select root, v, min(d) as d from (select * from {tag}_{k - 1} union all select root, g.{b}, d + w from {tag}_{k - 1} x join {graph} g on x.v = g.{a}) group by all)")
+    return ",\n".join([*out, f"{tag} as (select * from {tag}_{hops})"])
+
+
+_ROOTS = "roots as (select cast(s_suppkey as integer) as root from supplier where s_suppkey in (0, 3, 7))"
+_roots = lambda spark, sf: _table(spark, sf, "supplier").where("s_suppkey in (0, 3, 7)").select(F.col("s_suppkey").cast("int").alias("root"))
+_query("apsp", lambda spark, sf, t: shortest_paths(G.static_graph(t.connections, t.walks), _roots(spark, sf)), Q.ask("select * from p", _STATIC, _ROOTS, _paths("static", "roots", "p")))
+_LM = (_STATIC, _GAPS, _LB, _ROOTS, _paths("lbg", "roots", "f"), _paths("lbg", "roots", "b", False), "lm as materialized (select coalesce(f.root, b.root) as lm, coalesce(f.v, b.v) as stop, f.d as d_from, b.d as d_to from f full outer join b on f.root = b.root and f.v = b.v)")
+_SCORE = "score as materialized (select q_id, src, dst, s.lm, greatest(coalesce(s.d_to - t.d_to, 0), coalesce(t.d_from - s.d_from, 0), 0) as score from od join lm s on s.stop = src join lm t on t.stop = dst and t.lm = s.lm)"
+_labels = lambda spark, sf, t: G.landmark_labels(written(G.lower_bound_graph(t.connections, t.walks), "lb"), _roots(spark, sf))
+_query("landmark_labels", _labels, Q.ask("select * from lm", *_LM))
+_query("alt_lower_bound", lambda spark, sf, t: G.lower_bounds(_labels(spark, sf, t), t.od), Q.ask("select q_id, src, dst, max(score) as lb from score group by all", *_LM, _SCORE))
+_query("active_landmarks", lambda spark, sf, t: G.active_landmarks(_labels(spark, sf, t), t.od, 2), Q.ask("select q_id, lm, cast(rank as integer) as rank, score from (select *, row_number() over (partition by q_id order by score desc, lm) as rank from score) where rank <= 2", *_LM, _SCORE))
+_of_conn("topo_levels", lambda c: G.topological_levels(G.event_nodes(c)), "select node, t, row_number() over (order by t, node) - 1 as level from (select trip::bigint * 4096 + seq * 2 as node, dep as t from conn union all select trip::bigint * 4096 + seq * 2 + 1, arr from conn)")
+_query("landmark_selection", lambda spark, sf, t: spark.createDataFrame([(k, s) for k, s in enumerate(G.landmarks(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 4))], "pos int, stop int"))
+_query("hub_labels", lambda spark, sf, t: G.hub_labels(written(G.static_graph(t.connections, t.walks), "static"), 8, 10))
+
+# ---- arrivals ------------------------------------------------------------------------------
+
+_query("ea_exact", lambda spark, sf, t: A.earliest(written(t.connections, "conn"), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
+for _k in (1, 2, 3):
+    _query(f"ea_k{_k}", lambda spark, sf, t, k=_k: A.earliest(written(t.connections, "conn"), t.walks, t.od, max_boardings=k), Q.ask(Q.arrivals(), Q.rounds(_k)))
+_query("ea_one_to_all", lambda spark, sf, t: A.labels(written(t.connections, "conn"), t.walks, t.od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t")), Q.ask("select q_id, stop, cast(t as integer) as t from l", Q.rounds(8)))
+
+
+def _on_events(spark: SparkSession, sf: str, t: T.Timetable, both_ways: bool) -> DataFrame:
+    conn = written(t.connections, "conn")
+    return G.earliest_on_events(conn, t.walks, t.od, written(G.event_edges(conn, t.walks), "edges"), both_ways)
+
+
+_query("ea_event_graph", lambda spark, sf, t: _on_events(spark, sf, t, False), Q.ask(Q.arrivals(), Q.rounds(8)))
+_query("ea_bidirectional", lambda spark, sf, t: _on_events(spark, sf, t, True), Q.ask(Q.arrivals(), Q.rounds(8)))
+
+
+def _alt(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    conn = written(t.connections, "conn")
+    lm = _labels(spark, sf, T.Timetable(conn, t.walks, t.od))
+    pairs = lm.select("stop").distinct().join(F.broadcast(t.od.select("dst").distinct()), F.lit(True)).select(F.lit(0).alias("q_id"), F.col("stop").alias("src"), "dst")
+    bounds = written(G.lower_bounds(lm, pairs).select(F.col("src").alias("stop"), "dst", "lb"), "bounds")
+    return A.earliest(conn, t.walks, t.od, bounds=bounds)
+
+
+_query("ea_alt_pruned", _alt, Q.ask(Q.arrivals(), Q.rounds(8)))
+
+
+def _gated(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Only queries whose destination the stop graph reaches from their source are searched."""
+    conn = written(t.connections, "conn")
+    near = shortest_paths(written(G.lower_bound_graph(conn, t.walks), "lb"), t.od.select(F.col("src").alias("root")).distinct())
+    open_ = t.od.join(near, (F.col("src") == F.col("root")) & (F.col("dst") == F.col("v")), "left_semi")
+    found = A.earliest(conn, t.walks, open_).select("q_id", "ea")
+    return t.od.join(found, "q_id", "left").select("q_id", "src", "dst", "t_dep", "ea")
+
+
+_query("ea_hub_gate", _gated, Q.ask(Q.arrivals(), Q.rounds(8)))
+_LD = """back as materialized (select trip, -seq as seq, to_stop as from_stop, from_stop as to_stop, -arr as dep, -dep as arr from conn),
+turned as (select q_id, dst as src, src as dst, -(t_dep + 120) as t_dep from od)"""
+_query("latest_departure", lambda spark, sf, t: A.latest(written(t.connections, "conn"), t.walks, t.od.select("q_id", "src", "dst", (F.col("t_dep") + 120).alias("deadline"))), Q.ask("select o.q_id, src, dst, t_dep + 120 as deadline, cast(-t as integer) as ld from od o left join l x on x.q_id = o.q_id and x.stop = src", _LD, Q.rounds(8, "back", "walks", "turned")))
+_query("ea_static_wrong", lambda spark, sf, t: t.od.join(shortest_paths(written(G.static_graph(t.connections, t.walks), "static"), t.od.select(F.col("src").alias("root")).distinct()), (F.col("src") == F.col("root")) & (F.col("dst") == F.col("v")), "left").select("q_id", (F.col("t_dep") + F.col("d")).cast("int").alias("ea")), Q.ask("select q_id, cast(t_dep + d as integer) as ea from od left join p on root = src and v = dst", _STATIC, "srcs as (select distinct src as root from od)", _paths("static", "srcs", "p")))
+
+
+def _capped(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    conn, out = written(t.connections, "conn"), None
+    for cap in (5, 10, 15):
+        one = A.earliest(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od, max_boardings=2).select(F.lit(cap).alias("cap"), "q_id", "ea")
+        out = one if out is None else out.union(one)
+    return out
+
+
+_query("ea_walkcap_sweep", _capped, Q.ask(" union all ".join(f"select {c} as cap, o.q_id, cast(t as integer) as ea from od o left join l{c} x on x.q_id = o.q_id and x.stop = dst" for c in (5, 10, 15)), *(Q.closure(c, f"w{c}") for c in (5, 10, 15)), *(Q.rounds(2, walks=f"w{c}", tag=f"l{c}") for c in (5, 10, 15))))
+
+# ---- edits ---------------------------------------------------------------------------------
+
+
+def edit_set(conn: DataFrame) -> DataFrame:
+    """A fixed set of edits: delays, some of them twice, cancellations, restorations, additions."""
+    trips = conn.select("trip").distinct()
+    null = F.lit(None).cast("int")
+    rows = [(7, 50, 0, "DELAY", 1 + F.col("trip") % 5, null), (7, 100, 1, "DELAY", F.lit(3), null), (11, 50, 0, "CANCELLATION", null, null), (11, 100, 1, "RESTORE", null, null), (13, 200, 0, "ADDITION", null, 30 + F.col("trip") % 500)]
+    out = None
+    for rest, mod, k, kind, delta, start in rows:
+        add = kind == "ADDITION"
+        one = trips.where(F.col("trip") % mod == rest).select(F.lit(0).alias("edit_set"), (F.col("trip") * 4 + k).alias("pos"), F.lit(kind).alias("edit_type"), (null if add else F.col("trip")).alias("trip_id"), delta.cast("int").alias("delta_min"), (F.col("trip") if add else null).alias("template_trip_id"), start.cast("int").alias("start_minute"), F.lit(True).alias("active"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_EDITED = """edited as materialized (select trip, seq, from_stop, to_stop, cast(dep + d as integer) as dep, cast(arr + d as integer) as arr, route_int, mode from
+    (select *, case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as d from conn where not (trip % 50 = 11 and trip % 100 <> 11))
+  union all select cast(top + rn as integer), seq, from_stop, to_stop, cast(dep - begin + 30 + c.trip % 500 as integer), cast(arr - begin + 30 + c.trip % 500 as integer), route_int, mode from conn c
+    join (select trip, min(dep) as begin, row_number() over (order by trip) as rn, (select max(trip) from conn) as top from conn where trip % 200 = 13 group by trip) t on t.trip = c.trip)"""
+_query("apply_edits", lambda spark, sf, t: E.apply_edits(t.connections, edit_set(t.connections)), Q.ask("select * from edited", _EDITED))
+_query("lazy_phase_edits", lambda spark, sf, t: E.apply_phases(t.connections, edit_set(t.connections).where("edit_type <> 'RESTORE'")), Q.ask("select * from edited where not (trip % 100 = 11 and trip <= (select max(trip) from conn))", _EDITED))
+_query("restore_trip", lambda spark, sf, t: E.fold(edit_set(t.connections)), Q.ask("select distinct trip, trip % 50 = 11 and trip % 100 <> 11 as cancelled, cast(case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as integer) as delta from conn where trip % 50 in (7, 11)"))
+
+
+def _compacted(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    from ..sources.store import shared_dir
+
+    import uuid
+
+    return E.compact(t.connections, edit_set(t.connections), f"{shared_dir(spark)}/base-{uuid.uuid4().hex}")
+
+
+_query("compact", _compacted, Q.ask("select * from edited", _EDITED))
+_after = lambda spark, sf, t: A.earliest(written(E.apply_edits(t.connections, edit_set(t.connections)), "edited"), t.walks, t.od)
+_query("ea_after_edits", _after, Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
+_CMP = f"""cmp as (select q_id, a.ea as a, b.ea as b,
+  case when a.ea is null and b.ea is null then 'both_unreachable' when a.ea = b.ea then 'match' when a.ea is null or b.ea < a.ea then 'b_better' else 'a_better' end as verdict,
+  cast(case when a.ea is null and b.ea is null then 0 when a.ea is null then -9999 when b.ea is null then 9999 else b.ea - a.ea end as integer) as delta
+  from ({Q.arrivals('l')}) a join ({Q.arrivals('m')}) b using (q_id))"""
+_BOTH = (_EDITED, Q.rounds(1), Q.rounds(1, "edited", tag="m"), _CMP)
+
+
+def _compared(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    conn = written(t.connections, "conn")
+    one = A.earliest(conn, t.walks, t.od, max_boardings=1)
+    other = A.earliest(written(E.apply_edits(conn, edit_set(conn)), "edited"), t.walks, t.od, max_boardings=1)
+    return P.compare(one, other)
+
+
+_query("rebuild_compare", _compared, Q.ask("select * from cmp", *_BOTH))
+_query("parity_counts", lambda spark, sf, t: P.parity_counts(_compared(spark, sf, t)), Q.ask("select " + ", ".join(f"count(*) filter (verdict = '{v}') as n_{v}" for v in ("match", "both_unreachable", "a_better", "b_better")) + " from cmp", *_BOTH))
+_query("quality_delta", lambda spark, sf, t: P.quality_delta(_compared(spark, sf, t)), Q.ask("""select count(*) filter (a is distinct from b) as n_changed, count(*) filter (b < a) as n_better, count(*) filter (b > a) as n_worse,
+  count(*) filter (a is null and b is not null) as n_became_reachable, count(*) filter (a is not null and b is null) as n_became_unreachable,
+  quantile_cont(case when a <> b then abs(b - a) end, 0.5) as median_abs_delta, max(case when a <> b then abs(b - a) end) as max_abs_delta from cmp""", *_BOTH))
+_query("residual_modes", lambda spark, sf, t: _compared(spark, sf, t).where("a is not null and b is not null").groupBy(M.residual_class(F.col("delta")).alias("residual")).agg(F.count("*").alias("n")), Q.ask("select case when abs(delta) <= 2 then '<=2' when abs(delta) <= 5 then '<=5' when abs(delta) <= 15 then '<=15' else '>15' end as residual, count(*) as n from cmp where a is not null and b is not null group by all", *_BOTH))
+_query("attribution", lambda spark, sf, t: _compared(spark, sf, t).groupBy(M.attribution(F.col("verdict") == "match", F.col("b").isNull(), F.col("delta")).alias("cause")).agg(F.count("*").alias("n")), Q.ask("select case when verdict = 'match' then 'AGREE' when abs(delta) <= 2 then 'NEAR' when b is null then 'S3' when abs(delta) > 60 then 'S1' when delta > 0 then 'S5a' else 'S5b' end as cause, count(*) as n from cmp group by all", *_BOTH))
+_query("canonical_results", lambda spark, sf, t: T.result_lines(A.earliest(written(t.connections, "conn"), t.walks, t.od, max_boardings=1)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(1)))
+
+_TRIPS = f"tr as (select trip, min(mode) as mode, {Q.draw(5, 'trip')} as draw from conn group by trip)"
+_PICK = "pick as (select tr.trip, tr.mode, tr.draw from (select *, row_number() over (partition by mode order by draw, trip) as k from tr) tr join (select mode, floor(40 * count(*) / (select count(*) from tr)) as quota from tr group by mode) m on m.mode = tr.mode order by k > quota, draw, trip limit 40)"
+_of_conn("sample_trips", lambda c: E.sample_trips(c, 40, 5), "select * from pick", _TRIPS, _PICK)
+_of_conn("edits_delay", lambda c: E.delays(c, 40, 5), "select trip as trip_id, 'DELAY' as edit_type, cast(1 + floor(" + Q.draw(5, "trip", "'delta'") + " * 5) as integer) as delta_min from pick", _TRIPS, _PICK)
+_of_conn("edits_cancel", lambda c: E.cancellations(c, 40, 5), "select trip as trip_id, 'CANCELLATION' as edit_type from pick", _TRIPS, _PICK)
+_query("edits_add", lambda spark, sf, t: E.additions(t.connections, 20, 5))
+
+# ---- statistics ----------------------------------------------------------------------------
+
+_of_conn("validate_bundle", P.validation, "select count(*) as n_rows, count(distinct trip) as n_trips, min(dep) as min_dep, max(arr) as max_arr, count(*) filter (arr < dep) as n_inversions, count(*) filter (from_stop = to_stop) as n_loops, count(*) filter (dep is null or arr is null) as n_null from conn")
+_of_conn("ride_percentiles", lambda c: P.latency(c.withColumn("ride", F.col("arr") - F.col("dep")), "mode", "ride"), "select mode, quantile_cont(arr - dep, 0.5) as median, quantile_cont(arr - dep, 0.95) as p95, quantile_cont(arr - dep, 0.99) as p99, avg(arr - dep) as mean, count(*) as n from conn group by all")
+_query("disruption_rate", lambda spark, sf, t: P.disruption(_table(spark, sf, "events").select(F.col("event_type").alias("line"), (F.col("user_id") % 12).alias("severity"))), "select event_type as line, count(*) as n, count(*) filter (user_id % 12 < 10) / count(*) as disrupted from events group by all order by n desc, line limit 30")
+_query("delay_stats", lambda spark, sf, t: P.latency(_table(spark, sf, "events").select("event_type", (F.col("user_id") % 31).alias("delay")), "event_type", "delay"), "select event_type, quantile_cont(user_id % 31, 0.5) as median, quantile_cont(user_id % 31, 0.95) as p95, quantile_cont(user_id % 31, 0.99) as p99, avg(user_id % 31) as mean, count(*) as n from events group by all")
+
+
+def _status(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    body = F.format_string('[{"id":"%s","name":"x","lineStatuses":[{"statusSeverity":%d,"statusSeverityDescription":"s%d"}]}]', F.col("event_type"), F.col("user_id") % 12, F.col("user_id") % 12)
+    return P.line_status(_table(spark, sf, "events").select(body.alias("body"))).groupBy("id", "severity", "description").agg(F.count("*").alias("n"))
+
+
+_query("line_status", _status, "select event_type as id, cast(user_id % 12 as integer) as severity, 's' || (user_id % 12) as description, count(*) as n from events group by all")
+
+
+def _siri(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    body = F.concat(F.repeat(F.lit("<VehicleActivity></VehicleActivity>"), (F.col("user_id") % 4).cast("int")), F.format_string("<Delay>PT%dM</Delay>", F.col("user_id") % 31))
+    got = P.siri_delays(_table(spark, sf, "events").select(body.alias("body")))
+    return got.groupBy("vehicles", F.get("delays", F.lit(0)).alias("delay")).agg(F.count("*").alias("n"))
+
+
+_query("siri_delays", _siri, "select cast(user_id % 4 as integer) as vehicles, cast(user_id % 31 as integer) as delay, count(*) as n from events group by all")
+_of_conn("canonical_hash", lambda c: c.groupBy("route_int").agg(F.sha2(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("dep", "trip", "seq", "from_stop", "to_stop", "arr"))), lambda s: F.concat_ws(",", s.dep, s.trip, s.seq, s.from_stop, s.to_stop, s.arr))), 256).alias("sha")), "select route_int, sha256(string_agg(concat_ws(',', dep, trip, seq, from_stop, to_stop, arr), ';' order by dep, trip, seq, from_stop, to_stop, arr)) as sha from conn group by all")
+_query("bootstrap_ci", lambda spark, sf, t: P.bootstrap(_table(spark, sf, "events").select(F.col("event_id").alias("id"), "value").where("value is not null"), "value", 200, 9))
+_query("edit_stream_replay", lambda spark, sf, t: S.replay(spark, R.dense_trips(t.connections), 2000, 3))
