@@ -116,8 +116,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     weight = np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 0.1
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where(~held_out()).where("quality in (0, 1)")
-    rows = docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select("text", "quality")
-    sample = scratch.table(rows.orderBy(F.xxhash64("text"), "quality").limit(FIT_ROWS).repartition(max(2, spark.sparkContext.defaultParallelism)), "labelled")
+    # at most FIT_ROWS ids, so they are broadcast and texts stay where they are
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+    sample = scratch.table(rows.repartition(max(2, spark.sparkContext.defaultParallelism)), "labelled")
 
     def counted(batches):
         for b in batches:
@@ -153,7 +155,7 @@ def votes(z: np.ndarray, model: Model) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns and ``score``, the share of votes for good, of every whole text.
 
     A null or empty text is compared by its only term, the lack of words.  Ties between
@@ -161,14 +163,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     other columns are ignored; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    rest = [f for f in docs.schema if f.name in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["score double"])
+    rest = [f for f in docs.schema if f.name in keep and f.name != name]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{name}` double"])
 
     def run(batches):
         for b in batches:
             data, off = utf8(b.column(0))
             for i, j in byte_slices(off, CHUNK):
                 z = _latent(term_counts(data[off[i] : off[j]], off[i : j + 1] - off[i]), model.weight, model.directions)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), pa.array(votes(z, model))], [f.name for f in rest] + ["score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), pa.array(votes(z, model))], [f.name for f in rest] + [name])
 
     return docs.select(F.col("text").alias("__text"), *[F.col(f.name) for f in rest]).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ LEXICONS = {
     "french": "idiote imbécile connard ordure crétin abruti",
     "spanish": "idiota imbécil estúpido basura escoria asqueroso",
 }
-#: Labelled rows that the models are fitted to at most, chosen by a hash of their text.
+#: Labelled rows that the models are fitted to at most, chosen by a hash of their id.
 FIT_ROWS = 20_000
 #: Candidates and chosen ones of the mined terms at most, voters that they are dealt to, and
 #: labelled documents that a term needs.
@@ -235,9 +235,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     twice the larger label counts.  Without labels the model knows its word lists only.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out()).where("toxic in (0, 1)")
-    rows = docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select("text", "toxic")
+    # at most FIT_ROWS ids, so they are broadcast and texts stay where they are
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
     scratch = Scratch(spark)
-    sample = scratch.table(rows.orderBy(F.xxhash64("text"), "toxic").limit(FIT_ROWS).repartition(max(2, spark.sparkContext.defaultParallelism)), "labelled")
+    sample = scratch.table(rows.repartition(max(2, spark.sparkContext.defaultParallelism)), "labelled")
     candidates = _mine(sample)
     listed = _listed()
 
@@ -267,15 +269,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     return Model(words, w, u, bias, accuracy, corr)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns and ``score``, the probability of toxic, of every whole text.
 
     A null or empty text gets the score of a text without words; ties, repeated rows and
     extra columns need nothing special; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    rest = [f for f in docs.schema if f.name in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["score double"])
+    rest = [f for f in docs.schema if f.name in keep and f.name != name]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{name}` double"])
 
     def run(batches):
         a, b = _matcher(_listed()), _matcher(model.words)
@@ -287,10 +289,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 v = votes(int(bool(_ATTACK.search(text))), len(text), present(text, a), mined)
                 z = model.bias + float(v @ model.vote_weight) + float(sum(model.word_weight[k] for k in sorted(mined)))
                 out.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(out, pa.float64())], [f.name for f in rest] + ["score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(out, pa.float64())], [f.name for f in rest] + [name])
 
     return docs.select(F.col("text").alias("__text"), *[F.col(f.name) for f in rest]).mapInArrow(run, schema)
 
 
-def toxic(threshold: float = 0.5) -> Column:
-    return F.col("score") >= threshold
+def toxic(threshold: float = 0.5, name: str = "score") -> Column:
+    return F.col(name) >= threshold
