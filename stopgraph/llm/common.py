@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,10 +52,13 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(self.spark, name)
+        path, schema = shared_path(self.spark, name), df.schema
         df.write.parquet(path)
         self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()  # lets Spark drop the shuffle files of finished steps
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -141,6 +145,13 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordB
     return dealt.mapInArrow(run, schema)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, for steps that make many rows of one."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def vectors(column: pa.Array | pa.ChunkedArray, dim: int, dtype=np.float64) -> np.ndarray:
     """Rows of a binary column as an array of ``dim`` numbers each."""
     data, _ = utf8(column)

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_join
-from .common import Scratch, binary, vectors
+from .common import Scratch, binary, small, vectors
 from .components import connected_components
 
 #: Vectors that the codebooks are fitted to, rounds of fitting, and rows of a block.
 SAMPLE, ROUNDS, BLOCK = 8192, 8, 1024
 SUBSPACES, CODES = 8, 64
-#: Coarse lists by the number of vectors: about the square root of it over 2, within these.
-LISTS = (8, 4096)
+#: Vectors of a coarse list, about, and the number of lists at least and at most.
+OF_LIST, LISTS = 100, (8, 4096)
 SLACK = 1e-9
 
 
@@ -109,7 +109,7 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
     sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()])
     sample /= np.abs(sample).max(1)[:, None]
     unit = sample / np.sqrt((sample**2).sum(1))[:, None]
-    coarse = _kmeans(unit, int(np.clip(np.sqrt(total) / 2, *LISTS)))
+    coarse = _kmeans(unit, int(np.clip(total / OF_LIST, *LISTS)))
     own = _squared(unit, coarse).argmin(1)
     residual = unit - coarse[own]
     cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
@@ -136,7 +136,7 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
     index = scratch.table(classes.select("id", "v", "copies").mapInArrow(code, kind), f"index-{dim}")
 
     def probe(batches):
-        for b in batches:
+        for b in small(batches):
             u, cell = vectors(b.column(2), dim), b.column(0).to_numpy()
             d = _squared(u, coarse)
             # distance to the plane between the own list's centroid and each other one
@@ -150,10 +150,10 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
         u, q = vectors(data.column("u"), dim), vectors(queries.column("u"), dim)
         codes = vectors(data.column("codes"), len(books), np.uint8)
         rest = q - coarse[data.column("cell")[0].as_py()]
-        d = np.zeros((len(q), len(u)))
+        d = np.zeros((len(q), len(u)), np.float32)
         for k, book in enumerate(books):
-            d += _squared(rest[:, cuts[k] : cuts[k + 1]], book)[:, codes[:, k]]
-        near = np.sqrt(d) <= radius + data.column("off").to_numpy()[None] + 1e-7
+            d += np.take(_squared(rest[:, cuts[k] : cuts[k + 1]], book).astype(np.float32), codes[:, k], axis=1)
+        near = d <= (((radius + data.column("off").to_numpy() + 1e-4) ** 2)[None]).astype(np.float32)  # above the rounding of the sums
         near &= ids[None] != qid[:, None]
         i, j = np.nonzero(near)
         keep = np.concatenate([(q[i[a : a + 65536]] * u[j[a : a + 65536]]).sum(1) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])

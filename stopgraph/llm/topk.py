@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blocks import block_join
-from .common import Scratch, binary, vectors
+from .common import Scratch, binary, small, vectors
 
 #: Pivots, and annuli of each: the index's directory has their product of rows at most.
 PIVOTS, BANDS = 16, 8
@@ -180,7 +180,7 @@ def top_k(spark: SparkSession, rows: DataFrame, is_query, k: int = 20, id_col: s
 
     def expand(batches):
         """The annuli that can hold a vector reaching the query's bound."""
-        for b in batches:
+        for b in small(batches):
             v = vectors(b.column(2), dim)
             d = _distances(np.concatenate([v, np.zeros((len(v), 1))], 1), pivots)[:, cells // BANDS]
             bound = _floats(b.column(4))
