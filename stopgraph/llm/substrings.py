@@ -127,6 +127,7 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
 
     regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, region binary")
     regions = scratch.table(regions, "regions")
+    scratch.drop("anchors")
     distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("region").alias("region"))
     # an anchor whose regions are all equal has nothing to sort
     found_again = _sorted_shards(distinct, length)
@@ -142,7 +143,9 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
                 out.append([{"begin": int(x), "end": int(y) + length} for x, y in zip(at[np.r_[0, edge + 1]], at[np.r_[edge, len(at) - 1]], strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["sha", "runs"])
 
-    return texts, scratch.table(runs.mapInArrow(union, "sha binary, runs array<struct<begin: long, end: long>>"), "runs")
+    out = scratch.table(runs.mapInArrow(union, "sha binary, runs array<struct<begin: long, end: long>>"), "runs")
+    scratch.drop("regions")
+    return texts, out
 
 
 def _sorted_shards(distinct: DataFrame, length: int) -> DataFrame:
