@@ -6,9 +6,10 @@ bits.  Registers that stay empty are dealt to again in further seeded rounds who
 rank above all earlier ones, so short documents fill theirs without bias (each register
 still agrees between two documents with the probability of their Jaccard similarity).
 
-Bands of registers give candidate buckets.  Within a bucket all members are first compared
-with the bucket's smallest id only; members of buckets that this leaves in more than one
-component are then compared with each other, in blocks of registers.  A candidate's
+Bands of registers give candidate buckets.  Each document is first compared with the
+smallest id of its buckets only, then with a drawn member or two; members of buckets that
+this leaves in more than one component are compared with each other, in blocks of registers:
+first with the likeliest of each other component, then with all of them.  A candidate's
 similarity is estimated from its agreeing registers, corrected for chance collisions, and
 confirmed on the full shingle sets.
 """
@@ -24,15 +25,18 @@ from .common import Scratch, binary, by_group, byte_slices, mix, utf8
 from .components import connected_components
 from .words import shingle_sets
 
-REGISTERS, ROWS = 160, 5
-BANDS = REGISTERS // ROWS
+#: Registers, those of a band, and bands; the bands take the first half of the registers, all
+#: of them serve the estimate.
+REGISTERS, ROWS, BANDS = 320, 5, 32
 MANTISSA = 10
 #: Bytes of text sketched at once, and members of a block in the second comparison.
 CHUNK, BLOCK = 2 << 20, 512
 #: Chance that two unrelated registers agree: equal leading zeros (about 1/3) and mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 #: Standard deviations below the threshold down to which an estimate still is a candidate.
-SLACK = 4.5
+SLACK = 3.6
+#: Rounds in which each document is compared with one drawn member of its buckets.
+ROUNDS = 2
 
 
 def registers(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -147,12 +151,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
+def _block_pairs(members: DataFrame, threshold: float, likeliest: bool) -> DataFrame:
     """Candidates between members of a bucket in different components.
 
     ``members(bucket, size, id, component, n, sketch)``.  A bucket is cut into blocks of
     about ``BLOCK`` members; each pair of blocks is compared in one call that returns only
-    the pairs near the threshold.
+    the pairs near the threshold, or of those with one component only the ``likeliest``.
     """
     least = _least_agreeing(threshold)
     cut = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -172,7 +176,11 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
             rest = two[ids[two] > ids[k]] if within else two
             rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))]
             if len(rest):
-                hit = rest[(regs[rest] == regs[k]).sum(1) >= least]
+                same = (regs[rest] == regs[k]).sum(1)
+                hit, same = rest[same >= least], same[same >= least]
+                if likeliest and len(hit):
+                    order = np.lexsort((-same, comp[hit]))
+                    hit = hit[order][np.r_[True, np.diff(comp[hit][order]) != 0]]
                 a.append(np.full(len(hit), ids[k]))
                 b.append(ids[hit])
         if not a:
@@ -207,31 +215,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     bands = sketches.select("doc_id", F.posexplode(F.array(*[F.substring("sketch", k * width + 1, width) for k in range(BANDS)])).alias("band", "part"))
     bands = bands.select("doc_id", F.xxhash64("band", "part").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(bands.join(buckets, "bucket").where("doc_id <> hub").select("bucket", F.col("doc_id").alias("id"), "hub", "size"), "members")
-
-    pairs = members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    near = scratch.table(_estimated(pairs, sketches, threshold), "near-1")
-    in_pairs = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    members = scratch.table(bands.join(buckets, "bucket").select("bucket", F.col("doc_id").alias("id"), "hub", "size"), "members")
+    in_buckets = members.select(F.col("id").alias("doc_id")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.table(text.join(in_pairs, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts-1")
-    links = scratch.table(_verified(near, texts, percent), "links-1")
-    first = scratch.table(connected_components(links, scratch, "first"), "components-1")
-
-    # buckets whose members, the hub aside, still are in several components
-    placed = members.where("size > 2").join(first, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = scratch.table(placed.join(open_, "bucket", "left_semi"), "rest")
-    if rest.limit(1).count():
-        own = sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-        second = scratch.table(_block_pairs(rest.join(own, "id"), threshold).distinct(), "near-2")
-        in_pairs = second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = scratch.table(text.join(in_pairs, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts-2")
-        more = _verified(second, texts, percent)
-        # components of the first round stand for the links found in it
-        links = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-        first = scratch.table(connected_components(links, scratch, "second"), "components-2")
-
-    by_class = classes.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    # the one shuffle of texts; the merge hint keeps it the same at every size
+    texts = scratch.table(text.join(in_buckets.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    # each document with the smallest hub of its buckets: one pair a document
+    pairs = members.groupBy("id").agg(F.min("hub").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
+    links = _verified(_estimated(pairs, sketches, threshold), texts, percent)
+    placed = scratch.table(connected_components(links, scratch, "first"), "components-0")
+    for k in range(1, ROUNDS + 3):
+        # buckets whose members still are in several components
+        here = members.join(placed, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
+        open_ = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("other")).where("low <> high").select("bucket", "other")
+        rest = scratch.table(here.join(open_, "bucket"), f"rest-{k}")
+        if rest.isEmpty():
+            break
+        if k <= ROUNDS:  # with one member of its buckets, drawn anew each round
+            other = placed.select(F.col("id").alias("other"), F.col("component").alias("theirs"))
+            pairs = rest.join(other, "other", "left").where(F.coalesce("theirs", "other") != F.col("component"))
+            pairs = pairs.groupBy("id").agg(F.min_by("other", F.xxhash64("bucket", F.lit(k))).alias("b")).select(F.col("id").alias("a"), "b")
+            near = _estimated(pairs, sketches, threshold)
+        else:  # in blocks: first the likeliest member of each other component, then all
+            own = sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+            near = _block_pairs(rest.drop("other").join(own, "id"), threshold, likeliest=k == ROUNDS + 1).distinct()
+        # components so far stand for the links found so far
+        links = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_verified(near, texts, percent))
+        placed = scratch.table(connected_components(links, scratch, f"round-{k}"), f"components-{k}")
+
+    by_class = classes.join(placed.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     # classes of one document need no shuffle of their rows by class: they are looked up by it
     out = all_.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
