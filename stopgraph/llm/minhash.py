@@ -30,7 +30,7 @@ from .words import shingle_sets
 REGISTERS, ROWS, BANDS = 320, 5, 32
 MANTISSA = 10
 #: Bytes of text sketched at once, and members of a block in the second comparison.
-CHUNK, BLOCK = 2 << 20, 512
+CHUNK, BLOCK = 1 << 19, 512
 #: Chance that two unrelated registers agree: equal leading zeros (about 1/3) and mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 #: Standard deviations below the threshold down to which an estimate still is a candidate.
@@ -215,6 +215,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     bands = sketches.select("doc_id", F.posexplode(F.array(*[F.substring("sketch", k * width + 1, width) for k in range(BANDS)])).alias("band", "part"))
     bands = bands.select("doc_id", F.xxhash64("band", "part").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    # written first: the join then has plain sides, and its memory is not that of the count
+    buckets = scratch.table(buckets, "buckets")
     members = scratch.table(bands.join(buckets, "bucket").select("bucket", F.col("doc_id").alias("id"), "hub", "size"), "members")
     in_buckets = members.select(F.col("id").alias("doc_id")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
