@@ -8,10 +8,9 @@ still agrees between two documents with the probability of their Jaccard similar
 
 Bands of registers give candidate buckets.  Each document is first compared with the
 smallest id of its buckets only, then with a drawn member or two; members of buckets that
-this leaves in more than one component are compared with each other, in blocks of registers:
-first with the likeliest of each other component, then with all of them.  A candidate's
-similarity is estimated from its agreeing registers, corrected for chance collisions, and
-confirmed on the full shingle sets.
+this leaves in more than one component are compared with each other in blocks, each of which
+returns no more than a forest of links.  A candidate's similarity is estimated from its
+agreeing registers, corrected for chance collisions, and confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from .words import shingle_sets
 REGISTERS, ROWS, BANDS = 320, 5, 32
 MANTISSA = 10
 #: Bytes of text sketched at once, and members of a block in the second comparison.
-CHUNK, BLOCK = 1 << 19, 512
+CHUNK, BLOCK, SHINGLES, TRIED = 1 << 19, 512, 1 << 19, 32
 #: Chance that two unrelated registers agree: equal leading zeros (about 1/3) and mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 #: Standard deviations below the threshold down to which an estimate still is a candidate.
@@ -151,42 +150,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, threshold: float, likeliest: bool) -> DataFrame:
-    """Candidates between members of a bucket in different components.
+def _sets(texts: DataFrame) -> DataFrame:
+    """``(id, set)``: each text's sorted shingle hashes."""
 
-    ``members(bucket, size, id, component, n, sketch)``.  A bucket is cut into blocks of
-    about ``BLOCK`` members; each pair of blocks is compared in one call that returns only
-    the pairs near the threshold, or of those with one component only the ``likeliest``.
+    def run(batches):
+        for b in batches:
+            data, off = utf8(b.column(1))
+            for i, j in byte_slices(off, CHUNK):
+                s, sizes = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                ends = np.zeros(len(sizes) + 1, np.int32)
+                np.cumsum(8 * sizes, out=ends[1:])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(s.tobytes())])], ["id", "set"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, set binary")
+
+
+def _shared(sets: np.ndarray, at: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+    """How many shingles set ``k`` shares with each of ``others``; none of them is empty."""
+    own = sets[at[k] : at[k + 1]]
+    size = at[others + 1] - at[others]
+    begin = np.cumsum(size) - size
+    items = sets[np.repeat(at[others] - begin, size) + np.arange(size.sum())]
+    place = np.minimum(np.searchsorted(own, items), len(own) - 1)
+    return np.add.reduceat((own[place] == items).astype(np.int64), begin)
+
+
+def _block_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """A forest of the links between members of a bucket that are in different components.
+
+    ``members(bucket, id, component)``.  Buckets of equal members count once.  A bucket is
+    cut into blocks of about ``BLOCK`` members or ``SHINGLES`` shingles; each pair of blocks
+    is compared in one call: pairs that the registers allow are confirmed on the full sets,
+    unless links found before join the two already.  A call returns fewer links than it has
+    members, whatever the number of similar pairs.
     """
+    threshold = percent / 100
     least = _least_agreeing(threshold)
-    cut = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    members = members.select("bucket", "id", "component").join(own, "id")
+    alike = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in range(2)]
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total"), *alike)
+    sizes = sizes.groupBy("size", "total", "mark_0", "mark_1").agg(F.min("bucket").alias("bucket"))
+    sizes = sizes.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / SHINGLES)).cast("int").alias("blocks"))
+    sets = _sets(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    cut = members.join(sizes, "bucket").join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("is_first"), (F.col("own") >= F.col("other")).alias("is_second"), "id", "component", "n", "sketch")
+    cut = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("is_first"), (F.col("own") >= F.col("other")).alias("is_second"), "id", "component", "n", "sketch", "set")
 
     def run(table: pa.Table):
         ids, comp, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        one = np.flatnonzero(table.column("is_first").to_numpy(zero_copy_only=False))
-        two = np.flatnonzero(table.column("is_second").to_numpy(zero_copy_only=False))
         if comp.min() == comp.max():
             return None
+        one = np.flatnonzero(table.column("is_first").to_numpy(zero_copy_only=False))
+        two = np.flatnonzero(table.column("is_second").to_numpy(zero_copy_only=False))
+        label = np.unique(comp, return_inverse=True)[1]
         regs = utf8(table.column("sketch"))[0].view(np.uint16).reshape(-1, REGISTERS)
+        data, off = utf8(table.column("set"))
+        sets, at = data.view(np.uint64), off // 8
         within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         a, b = [], []
         for k in one.tolist():
             rest = two[ids[two] > ids[k]] if within else two
-            rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))]
-            if len(rest):
-                same = (regs[rest] == regs[k]).sum(1)
-                hit, same = rest[same >= least], same[same >= least]
-                if likeliest and len(hit):
-                    order = np.lexsort((-same, comp[hit]))
-                    hit = hit[order][np.r_[True, np.diff(comp[hit][order]) != 0]]
-                a.append(np.full(len(hit), ids[k]))
-                b.append(ids[hit])
+            rest = rest[(label[rest] != label[k]) & (np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))]
+            same = (regs[rest] == regs[k]).sum(1)
+            rest = rest[same >= least][np.argsort(-same[same >= least], kind="stable")]
+            while len(rest):  # the likeliest first, as a link makes others needless
+                some, rest = rest[:TRIED], rest[TRIED:]
+                shared = _shared(sets, at, k, some)
+                for m in some[100 * shared >= percent * (n[k] + n[some] - shared)].tolist():
+                    if label[m] != label[k]:
+                        label[label == label[m]] = label[k]
+                        a.append(max(ids[k], ids[m]))
+                        b.append(min(ids[k], ids[m]))
+                rest = rest[label[rest] != label[k]]
         if not a:
             return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return by_group(cut, ["bucket", "i", "j"], run, "a long, b long")
 
@@ -217,7 +256,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     # written first: the join then has plain sides, and its memory is not that of the count
     buckets = scratch.table(buckets, "buckets")
-    members = scratch.table(bands.join(buckets, "bucket").select("bucket", F.col("doc_id").alias("id"), "hub", "size"), "members")
+    members = scratch.table(bands.join(buckets, "bucket").select("bucket", F.col("doc_id").alias("id"), "hub"), "members")
     in_buckets = members.select(F.col("id").alias("doc_id")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the one shuffle of texts; the merge hint keeps it the same at every size
@@ -227,9 +266,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     pairs = members.groupBy("id").agg(F.min("hub").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     links = _verified(_estimated(pairs, sketches, threshold), texts, percent)
     placed = scratch.table(connected_components(links, scratch, "first"), "components-0")
-    for k in range(1, ROUNDS + 3):
+    for k in range(1, ROUNDS + 2):
         # buckets whose members still are in several components
-        here = members.join(placed, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
+        here = members.join(placed, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         open_ = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("other")).where("low <> high").select("bucket", "other")
         rest = scratch.table(here.join(open_, "bucket"), f"rest-{k}")
         if rest.isEmpty():
@@ -238,12 +277,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
             other = placed.select(F.col("id").alias("other"), F.col("component").alias("theirs"))
             pairs = rest.join(other, "other", "left").where(F.coalesce("theirs", "other") != F.col("component"))
             pairs = pairs.groupBy("id").agg(F.min_by("other", F.xxhash64("bucket", F.lit(k))).alias("b")).select(F.col("id").alias("a"), "b")
-            near = _estimated(pairs, sketches, threshold)
-        else:  # in blocks: first the likeliest member of each other component, then all
-            own = sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-            near = _block_pairs(rest.drop("other").join(own, "id"), threshold, likeliest=k == ROUNDS + 1).distinct()
+            found = _verified(_estimated(pairs, sketches, threshold), texts, percent)
+        else:  # with all members of other components, in blocks
+            found = _block_links(rest, sketches, texts, percent)
         # components so far stand for the links found so far
-        links = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_verified(near, texts, percent))
+        links = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
         placed = scratch.table(connected_components(links, scratch, f"round-{k}"), f"components-{k}")
 
     by_class = classes.join(placed.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
