@@ -1,12 +1,13 @@
 """Embedding near-duplicates over inverted lists with product-quantised residuals.
 
 Unit vectors lie in the list of their nearest coarse centroid and are coded by the nearest
-codeword of each residual subspace.  A vector probes every list that can hold a neighbour:
-a neighbour within distance r that is nearer to another centroid lies beyond the bisecting
-plane of the two centroids, so lists whose plane is further than r are left out and no
-other.  In a list, table lookups give the distance to each coded vector; the code's own
-error, which is stored, bounds how far that can be off, so no neighbour is lost; what is
-left is ranked by exact cosine in double precision.
+codeword of each residual subspace.  A neighbour that is nearer to another centroid lies
+beyond the bisecting plane of the two centroids.  Of a difference of length r, the part along
+one direction is about r / sqrt(dimension), so a vector probes the lists whose plane is within
+``REACH`` times that, and never looks further than r.  That is sufficient, not certain: only
+up to ``REACH`` squared dimensions are no links lost by it.  In a list, table lookups give the
+distance to each coded vector; the code's own error, which is stored, bounds how far that can
+be off, so the codes lose no neighbour; what is left is ranked by exact cosine in doubles.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SUBSPACES, CODES = 8, 64
 #: Vectors of a coarse list, about, and the number of lists at least and at most.
 OF_LIST, LISTS = 100, (8, 4096)
 SLACK = 1e-9
+#: Standard deviations of a neighbour's way along the line to another centroid that are probed.
+REACH = 3
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -69,7 +72,8 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
 
     Null vectors, empty or zero ones, and vectors with null or non-finite components link
     with nothing and stand alone; so do rows of null id, whose component is null; vectors
-    of different lengths never link; rows that repeat an id each count as a row; other
+    of different lengths never link (lists probed make recall of links in many dimensions very
+    likely, not certain: see the module); rows that repeat an id each count as a row; other
     columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(spark)
@@ -106,6 +110,7 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
     """
     total = classes.count()
     radius = float(np.sqrt(max(2 - 2 * cosine, 0))) + SLACK
+    reach = radius * min(1.0, REACH / dim**0.5)
     sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()])
     sample /= np.abs(sample).max(1)[:, None]
     unit = sample / np.sqrt((sample**2).sum(1))[:, None]
@@ -141,7 +146,7 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
             d = _squared(u, coarse)
             # distance to the plane between the own list's centroid and each other one
             plane = (d - d[np.arange(len(d)), cell][:, None]) / np.maximum(2 * gaps[cell], 1e-12)
-            row, other = np.nonzero(plane <= radius)
+            row, other = np.nonzero(plane <= reach)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(other.astype(np.int32)), *(b.column(k).take(take) for k in range(1, 6))], b.schema.names)
 
