@@ -3,7 +3,9 @@
 Words that occur once in a text and once in a template are anchors; the longest increasing
 subsequence of them is kept, equal words next to anchors extend them, and the gaps between
 anchors are aligned the same way.  A template's coverage is the share of its words aligned
-within a stretch of text not much longer than the template.
+within a stretch of text not much longer than the template.  Where a notice stands more than
+once, or not whole, anchors may be missing or lie across copies; such stretches are searched
+window by window for the longest common subsequence, which is exact.
 """
 
 from __future__ import annotations
@@ -115,6 +117,57 @@ def _densest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return pairs[best[0] : best[1]]
 
 
+def _common(words: list[str], masks: dict[str, int]) -> list[int]:
+    """The longest common subsequence with the template, in length, after each word."""
+    row = full = (1 << (masks[""])) - 1
+    out, n = [], 0
+    for w in words:
+        u = row & masks.get(w, 0)
+        if u:
+            new = ((row + u) | (row - u)) & full
+            n += new.bit_count() < row.bit_count()
+            row = new
+        out.append(n)
+    return out
+
+
+def _masks(template: list[str]) -> dict[str, int]:
+    """The places of each word as bits; the number of words under the empty word."""
+    out = {"": len(template)}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def best_window(text: list[str], template: list[str], least: int) -> tuple[int, int, int] | None:
+    """``(n, begin, end)``: the first shortest stretch with the most words in common, ``least`` at least."""
+    n, reach = len(template), math.ceil(STRETCH * len(template)) + SPARE
+    masks, back, most = _masks(template), _masks(template[::-1]), Counter(template)
+    first: dict[str, int] = {}
+    for j, w in enumerate(template):
+        first.setdefault(w, j)
+    have: Counter[str] = Counter()
+    bound, end, best = 0, 0, None
+    for i, w in enumerate(text):
+        while end < min(len(text), i + reach + 1):
+            x = text[end]
+            have[x] += 1
+            bound += have[x] <= most[x]
+            end += 1
+        # the window has words enough, and so has the template from its first word on
+        if bound >= least and n - first.get(w, n) >= least:
+            got = _common(text[i:end], masks)
+            if got[-1] >= least:
+                stop = i + bisect_left(got, got[-1]) + 1
+                size = bisect_left(_common(text[i:stop][::-1], back), got[-1]) + 1
+                best, least = (got[-1], stop - size, stop), got[-1] + 1
+                if got[-1] == n:
+                    break
+        bound -= have[w] <= most[w]
+        have[w] -= 1
+    return best
+
+
 class Templates:
     """Templates with the rare words that any sufficient match must hold one of."""
 
@@ -146,13 +199,21 @@ class Templates:
         plain = [w for w, _, _ in found]
         out = []
         for k in sorted(maybe):
-            template, best = self.words[k], []
+            template = self.words[k]
+            least, times, best = max(1, math.ceil(self.coverage * len(template))), Counter(template), None
             for begin, end in places(plain, template, self.rare[k]):
+                have = Counter(w for w in plain[begin:end] if w in times)
+                if (have & times).total() < least:
+                    continue
                 pairs = _densest(align(plain[begin:end], template), len(template))
-                if len(pairs) > len(best):
-                    best = [(begin + i, j) for i, j in pairs]
-            if best and len(best) >= self.coverage * len(template):
-                out.append((k, len(best) / len(template), len(best), found[best[0][0]][1], found[best[-1][0]][2]))
+                if len(pairs) == len(template) and any(have[w] == n for w, n in times.items()):
+                    hit = (len(pairs), pairs[0][0], pairs[-1][0] + 1)  # whole, and no other copy
+                else:
+                    hit = best_window(plain[begin:end], template, least)
+                if hit and hit[0] >= least:
+                    best, least = (hit[0], begin + hit[1], begin + hit[2]), hit[0] + 1
+            if best:
+                out.append((k, best[0] / len(template), best[0], found[best[1]][1], found[best[2] - 1][2]))
         return out
 
 
