@@ -2,12 +2,13 @@
 
 Unit vectors lie in the list of their nearest coarse centroid and are coded by the nearest
 codeword of each residual subspace.  A neighbour that is nearer to another centroid lies
-beyond the bisecting plane of the two centroids.  Of a difference of length r, the part along
-one direction is about r / sqrt(dimension), so a vector probes the lists whose plane is within
-``REACH`` times that, and never looks further than r.  That is sufficient, not certain: only
-up to ``REACH`` squared dimensions are no links lost by it.  In a list, table lookups give the
-distance to each coded vector; the code's own error, which is stored, bounds how far that can
-be off, so the codes lose no neighbour; what is left is ranked by exact cosine in doubles.
+beyond the bisecting plane of the two centroids, so a vector probes every list whose plane is
+within the radius: no link is lost, whatever the vectors' spread.  Lists near each other form
+a cell, and a vector is copied to a cell once, however many of its lists it probes.  A pair is
+looked at from one side only, the one of the smaller cell or id, and counts for both ends.
+There the distance to each coded vector comes from the product of query and decoded vector;
+the code's own error, which is stored, bounds how far that can be off, so the codes lose no
+neighbour; what is left is ranked by exact cosine in doubles.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from .common import Scratch, binary, small, vectors
 from .components import connected_components
 
 #: Vectors that the codebooks are fitted to, rounds of fitting, and rows of a block.
-SAMPLE, ROUNDS, BLOCK = 8192, 8, 1024
+SAMPLE, ROUNDS, BLOCK = 8192, 8, 4096
 SUBSPACES, CODES = 8, 64
 #: Vectors of a coarse list, about, and the number of lists at least and at most.
 OF_LIST, LISTS = 100, (8, 4096)
+#: Vectors of a cell of lists, about.
+OF_CELL = 4096
 SLACK = 1e-9
-#: Standard deviations of a neighbour's way along the line to another centroid that are probed.
-REACH = 3
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -49,6 +50,11 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
 
 
+def _close(q: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where ``q @ y`` is within the bound; ``y`` is taken times minus two."""
+    return np.nonzero(q @ y.T <= bound[None])
+
+
 def _local_links(q: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each node reaches by the links (q, d)."""
     label = np.arange(n)
@@ -72,8 +78,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
 
     Null vectors, empty or zero ones, and vectors with null or non-finite components link
     with nothing and stand alone; so do rows of null id, whose component is null; vectors
-    of different lengths never link (lists probed make recall of links in many dimensions very
-    likely, not certain: see the module); rows that repeat an id each count as a row; other
+    of different lengths never link; rows that repeat an id each count as a row; other
     columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(spark)
@@ -106,11 +111,10 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
     """``(id, n, low)``: links counted block by block, and a forest of them.
 
     ``n`` is the number of rows linked in one block, ``low`` the smallest id that the
-    block's links reach from ``id``; data rows get ``n = 0``, as they count as queries too.
+    block's links reach from ``id``; each pair is found in one block and counts for both ends.
     """
     total = classes.count()
     radius = float(np.sqrt(max(2 - 2 * cosine, 0))) + SLACK
-    reach = radius * min(1.0, REACH / dim**0.5)
     sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()])
     sample /= np.abs(sample).max(1)[:, None]
     unit = sample / np.sqrt((sample**2).sum(1))[:, None]
@@ -120,6 +124,9 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
     cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
     books = [_kmeans(residual[:, a:z], CODES) for a, z in zip(cuts, cuts[1:], strict=False)]
     gaps = np.sqrt(_squared(coarse, coarse))
+    # lists near each other form a cell
+    middle = _kmeans(coarse, -(-total // OF_CELL))
+    cell_of = _squared(coarse, middle).argmin(1).astype(np.int32)
 
     def code(batches):
         for b in batches:
@@ -128,49 +135,57 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
             scaled = x / np.abs(x).max(1)[:, None]  # neither overflow nor underflow of the norm
             u = scaled / np.sqrt((scaled**2).sum(1))[:, None]
             d = _squared(u, coarse)
-            cell = d.argmin(1)
-            rest = u - coarse[cell]
+            own = d.argmin(1)
+            rest = u - coarse[own]
             codes, off = np.empty((len(u), len(books)), np.uint8), np.zeros(len(u))
             for k, book in enumerate(books):
                 e = _squared(rest[:, cuts[k] : cuts[k + 1]], book)
                 codes[:, k] = e.argmin(1)
                 off += e.min(1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), binary(u), binary(codes), pa.array(np.sqrt(off)), b.column(2)], ["cell", "id", "u", "codes", "off", "copies"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of[own]), pa.array(own.astype(np.int32)), b.column(0), binary(u), binary(codes), pa.array(np.sqrt(off)), b.column(2)], ["cell", "list", "id", "u", "codes", "off", "copies"])
 
-    kind = "cell int, id long, u binary, codes binary, off double, copies long"
+    kind = "cell int, list int, id long, u binary, codes binary, off double, copies long"
     index = scratch.table(classes.select("id", "v", "copies").mapInArrow(code, kind), f"index-{dim}")
 
     def probe(batches):
         for b in small(batches):
-            u, cell = vectors(b.column(2), dim), b.column(0).to_numpy()
+            u, own = vectors(b.column(3), dim), b.column(1).to_numpy()
             d = _squared(u, coarse)
             # distance to the plane between the own list's centroid and each other one
-            plane = (d - d[np.arange(len(d)), cell][:, None]) / np.maximum(2 * gaps[cell], 1e-12)
-            row, other = np.nonzero(plane <= reach)
+            plane = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * gaps[own], 1e-12)
+            row, other = np.nonzero((plane <= radius + SLACK) & (cell_of[None] >= cell_of[own][:, None]))
+            row, cell = np.unique(np.stack([row, cell_of[other]]), axis=1)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(other.astype(np.int32)), *(b.column(k).take(take) for k in range(1, 6))], b.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(b.column(k).take(take) for k in range(1, 7))], b.schema.names)
 
     def compare(data: pa.Table, queries: pa.Table):
         ids, qid = data.column("id").to_numpy(), queries.column("id").to_numpy()
         u, q = vectors(data.column("u"), dim), vectors(queries.column("u"), dim)
         codes = vectors(data.column("codes"), len(books), np.uint8)
-        rest = q - coarse[data.column("cell")[0].as_py()]
-        d = np.zeros((len(q), len(u)), np.float32)
+        known = coarse[data.column("list").to_numpy()]
         for k, book in enumerate(books):
-            d += np.take(_squared(rest[:, cuts[k] : cuts[k + 1]], book).astype(np.float32), codes[:, k], axis=1)
-        near = d <= (((radius + data.column("off").to_numpy() + 1e-4) ** 2)[None]).astype(np.float32)  # above the rounding of the sums
-        near &= ids[None] != qid[:, None]
-        i, j = np.nonzero(near)
+            known[:, cuts[k] : cuts[k + 1]] += book[codes[:, k]]
+        home = cell_of[queries.column("list").to_numpy()] == data.column("cell")[0].as_py()
+        # above the rounding of single-precision products
+        bound = ((radius + data.column("off").to_numpy() + 1e-4) ** 2 + 1e-5 - (known**2).sum(1) - 1).astype(np.float32)
+        known, single = (-2 * known).astype(np.float32), q.astype(np.float32)
+        found = [_close(single[a : a + 256], known, bound) for a in range(0, len(q), 256)]
+        i = np.concatenate([256 * k + f[0] for k, f in enumerate(found)])
+        j = np.concatenate([f[1] for f in found])
+        # pairs of the query's own cell come in both orders, others in one
+        once = (ids[j] != qid[i]) & (~home[i] | (qid[i] < ids[j]))
+        i, j = i[once], j[once]
         keep = np.concatenate([(q[i[a : a + 65536]] * u[j[a : a + 65536]]).sum(1) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         i, j = i[keep], j[keep]
         if not len(i):
             return None
         n = np.bincount(i, weights=data.column("copies").to_numpy()[j], minlength=len(qid)).astype(np.int64)
+        back = np.bincount(j, weights=queries.column("copies").to_numpy()[i], minlength=len(ids)).astype(np.int64)
         # nodes: each distinct id of the two blocks, in order of id
         nodes = np.unique(np.concatenate([ids, qid]))
         label = nodes[_local_links(np.searchsorted(nodes, qid[i]), np.searchsorted(nodes, ids[j]), len(nodes))]
         out_id = np.concatenate([qid[np.unique(i)], ids[np.unique(j)]])
-        out_n = np.concatenate([n[np.unique(i)], np.zeros(len(np.unique(j)), np.int64)])
+        out_n = np.concatenate([n[np.unique(i)], back[np.unique(j)]])
         return pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_n), pa.array(label[np.searchsorted(nodes, out_id)])], ["id", "n", "low"])
 
     return block_join(index, index.mapInArrow(probe, kind), compare, "id long, n long, low long", BLOCK)
