@@ -223,7 +223,7 @@ _query("ea_static_wrong", lambda spark, sf, t: t.od.join(shortest_paths(written(
 def _capped(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn, out = written(t.connections, "conn"), None
     for cap in (5, 10, 15):
-        one = A.earliest(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od, max_boardings=2).select(F.lit(cap).alias("cap"), "q_id", "ea")
+        one = A.earliest(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od).select(F.lit(cap).alias("cap"), "q_id", "ea")
         out = one if out is None else out.union(one)
     return out
 
@@ -275,8 +275,8 @@ _BOTH = (_EDITED, Q.rounds(1), Q.rounds(1, "edited", tag="m"), _CMP)
 
 def _compared(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn = written(t.connections, "conn")
-    one = A.earliest(conn, t.walks, t.od, max_boardings=1)
-    other = A.earliest(written(E.apply_edits(conn, edit_set(conn)), "edited"), t.walks, t.od, max_boardings=1)
+    one = A.earliest(conn, t.walks, t.od)
+    other = A.earliest(written(E.apply_edits(conn, edit_set(conn)), "edited"), t.walks, t.od)
     return P.compare(one, other)
 
 
@@ -287,7 +287,7 @@ _query("quality_delta", lambda spark, sf, t: P.quality_delta(_compared(spark, sf
   quantile_cont(case when a <> b then abs(b - a) end, 0.5) as median_abs_delta, max(case when a <> b then abs(b - a) end) as max_abs_delta from cmp""", *_BOTH))
 _query("residual_modes", lambda spark, sf, t: _compared(spark, sf, t).where("a is not null and b is not null").groupBy(M.residual_class(F.col("delta")).alias("residual")).agg(F.count("*").alias("n")), Q.ask("select case when abs(delta) <= 2 then '<=2' when abs(delta) <= 5 then '<=5' when abs(delta) <= 15 then '<=15' else '>15' end as residual, count(*) as n from cmp where a is not null and b is not null group by all", *_BOTH))
 _query("attribution", lambda spark, sf, t: _compared(spark, sf, t).groupBy(M.attribution(F.col("verdict") == "match", F.col("b").isNull(), F.col("delta")).alias("cause")).agg(F.count("*").alias("n")), Q.ask("select case when verdict = 'match' then 'AGREE' when abs(delta) <= 2 then 'NEAR' when b is null then 'S3' when abs(delta) > 60 then 'S1' when delta > 0 then 'S5a' else 'S5b' end as cause, count(*) as n from cmp group by all", *_BOTH))
-_query("canonical_results", lambda spark, sf, t: T.result_lines(A.earliest(written(t.connections, "conn"), t.walks, t.od, max_boardings=1)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(1)))
+_query("canonical_results", lambda spark, sf, t: T.result_lines(A.earliest(written(t.connections, "conn"), t.walks, t.od)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(1)))
 
 _TRIPS = f"tr as (select trip, min(mode) as mode, {Q.draw(5, 'trip')} as draw from conn group by trip)"
 _PICK = "pick as (select tr.trip, tr.mode, tr.draw from (select *, row_number() over (partition by mode order by draw, trip) as k from tr) tr join (select mode, floor(40 * count(*) / (select count(*) from tr)) as quota from tr group by mode) m on m.mode = tr.mode order by k > quota, draw, trip limit 40)"
