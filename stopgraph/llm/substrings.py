@@ -176,10 +176,17 @@ def _windows(rows: list[tuple], length: int):
     out = [(a, m, np.arange(n, dtype=np.int32)) for a, m, times, n, _ in rows if times > 1]
     sort = [r for r in rows if alone[r[0]] > 1]
     if sort:
-        # 1 ends each region; bytes 0 and 1, which text hardly holds, are kept apart from it
-        body = b"\x01".join(r[4].replace(b"\x02", b"\x02\x03").replace(b"\x00", b"\x02\x04").replace(b"\x01", b"\x02\x05") for r in sort) + b"\x01"
-        escaped = any(c in r[4] for r in sort for c in (b"\x00", b"\x01", b"\x02"))
-        text = np.frombuffer(body, np.uint8)
+        # 1 ends each region; bytes 0 and 1 become two that no region holds, so lengths stay
+        body = np.frombuffer(b"\x00".join(r[4] for r in sort) + b"\x00", np.uint8)
+        ends = np.cumsum([len(r[4]) + 1 for r in sort]) - 1
+        times_of = np.bincount(body, minlength=256)
+        text = body.copy()
+        if times_of[0] > len(ends) or times_of[1]:
+            free = np.flatnonzero(times_of[2:] == 0)[-2:] + 2
+            if len(free) < 2:
+                raise ValueError("texts that are not UTF-8")
+            text[body == 0], text[body == 1] = free
+        text[ends] = 1
         order, shared = suffix_order(text, length)
         near = shared >= length
         flag = np.zeros(len(text), bool)
@@ -187,17 +194,11 @@ def _windows(rows: list[tuple], length: int):
         flag[order[np.flatnonzero(near) - 1]] = True
         at = 0
         for anchor, mark, times, n, region in sort:
-            if escaped:
-                plain = np.frombuffer(region, np.uint8)
-                place = at + np.r_[0, np.cumsum(1 + (plain <= 2))][:n]
-                size = len(region) + int((plain <= 2).sum())
-            else:
-                place, size = at + np.arange(n), len(region)
             if times == 1:
-                hit = np.flatnonzero(flag[place]).astype(np.int32)
+                hit = np.flatnonzero(flag[at : at + n]).astype(np.int32)
                 if len(hit):
                     out.append((anchor, mark, hit))
-            at += size + 1
+            at += len(region) + 1
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2].tobytes() for o in out], pa.binary())], ["anchor", "mark", "windows"])
 
