@@ -5,8 +5,8 @@ others follow by two scans.  The scans do not work on one array in memory but on
 that is ordered by first character: a scan takes the smallest (or largest) bucket, and the
 suffixes that it induces are appended to later buckets as tuples of a position and the
 length that it shares with the one before it in its bucket.  Buckets are kept as runs of
-arrays, and runs beyond a budget go to a file, so what is in memory is one bucket and the
-text.
+arrays, and queued runs beyond a budget go to a file.  The text, finished buckets and the
+ranks of LMS suffixes are in memory, so callers keep texts small (:mod:`.substrings`: shards).
 
 The order of LMS suffixes comes from one level of recursion: their substrings are sorted by
 an induction of their own and named, and the string of names, on which suffixes need only

@@ -12,7 +12,10 @@ before the shuffle and sorted once.  A shard sorts the suffixes of its regions b
 from __future__ import annotations
 
 import hashlib
+import struct
+import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .induced import suffix_order
 
 #: Bytes of a gram, of text worked on at once, and of regions sorted together.
 GRAM, CHUNK, SHARD = 32, 1 << 20, 2 << 20
+#: Files on each side that an anchor of more than a shard is dealt to.
+FILES = 16
 _BYTE = mix((np.arange(256).astype(np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = 0xA0761D6478BD642F
 _PLACE = (1 << 24) - 1
@@ -152,20 +157,143 @@ def _sorted_shards(distinct: DataFrame, length: int) -> DataFrame:
     """``(anchor, mark, windows)``: the windows of each region that start elsewhere too."""
     dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "mark")
 
-    def run(batches):
-        held, size, last = [], 0, None
-        for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if row[0] != last and size >= SHARD:
+    limit = SHARD
+    return dealt.mapInArrow(lambda batches: _shards(batches, length, limit), "anchor long, mark binary, windows binary")
+
+
+def _shards(batches, length: int, limit: int):
+    """Sort runs of whole anchors; an anchor of more than ``limit`` bytes is dealt to files."""
+    held, size, own, last, hot = [], 0, 0, None, None
+    for b in batches:
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            if row[0] != last:
+                if hot is not None:
+                    yield from _found((last, *hit) for hit in _hot(hot, 0, 0, length, limit, 0))
+                    hot = None
+                if size >= limit:
                     yield from _windows(held, length)
                     held, size = [], 0
-                last = row[0]
+                last, own = row[0], 0
+            own += len(row[4])
+            if hot is None:
                 held.append(row)
                 size += len(row[4])
-        if held:
-            yield from _windows(held, length)
+                if own > limit:
+                    yield from _windows([r for r in held if r[0] != last], length)
+                    hot = _Spool()
+                    for r in held:
+                        if r[0] == last:
+                            hot.add(r[1], r[2], 0, _gram_place(r[4], r[3], length), r[3], r[4])
+                    held, size = [], 0
+            else:
+                hot.add(row[1], row[2], 0, _gram_place(row[4], row[3], length), row[3], row[4])
+    if hot is not None:
+        yield from _found((last, *hit) for hit in _hot(hot, 0, 0, length, limit, 0))
+    if held:
+        yield from _windows(held, length)
+
+
+def _gram_place(region: bytes, n: int, length: int) -> int:
+    """Where the anchor of a region of ``n`` windows lies: the least gram that all of them hold."""
+    h = _gram_hashes(np.frombuffer(region, np.uint8))
+    return n - 1 + int((h[n - 1 : length - GRAM + 1] & ~np.uint64(_PLACE)).argmin())
+
+
+class _Spool:
+    """Pieces of regions in a file: mark, times, first window, place of the gram, windows, bytes."""
 
-    return dealt.mapInArrow(run, "anchor long, mark binary, windows binary")
+    HEAD = struct.Struct("<16sqiiii")
+
+    def __init__(self):
+        self.file, self.bytes, self.rows = tempfile.TemporaryFile(), 0, 0
+
+    def add(self, mark: bytes, times: int, first: int, place: int, n: int, body: bytes) -> None:
+        self.file.write(self.HEAD.pack(mark, times, first, place, n, len(body)) + body)
+        self.bytes += len(body)
+        self.rows += 1
+
+    def __iter__(self):
+        self.file.seek(0)
+        while head := self.file.read(self.HEAD.size):
+            *rest, size = self.HEAD.unpack(head)
+            yield (*rest, self.file.read(size))
+
+
+def _hot(pieces: _Spool, left: int, right: int, length: int, limit: int, depth: int):
+    """``(mark, windows)`` of an anchor's regions, in files until each can be sorted.
+
+    All windows hold ``left`` bytes before the gram and ``right`` bytes after it.  Each holds
+    half of the other bytes before or after those, too, and is dealt by them; equal windows
+    are dealt alike.  Where nothing is left to deal by, a window is compared as a whole.
+    """
+    if depth == 0:
+        for mark, times, _, _, n, _ in pieces:
+            if times > 1:
+                yield mark, np.arange(n, dtype=np.int32)
+    span = length - GRAM - left - right
+    half = (span + 1) // 2
+    more = length - GRAM - left - half + (span > 0)
+    sides = [[None] * FILES, [None] * FILES]
+    whole, same = None, 0
+
+    def deal(side, key, *piece):
+        k = int.from_bytes(hashlib.blake2b(key, digest_size=8, salt=depth.to_bytes(4, "little")).digest(), "little") % FILES
+        if sides[side][k] is None:
+            sides[side][k] = _Spool()
+        sides[side][k].add(*piece)
+
+    for mark, times, first, place, n, body in pieces:
+        if not span:
+            whole = body if whole is None else whole
+            if body == whole:
+                same += 1
+                continue
+        cut = min(max(place - left - half + 1, 0), n)
+        if cut:
+            deal(0, body[place - left - half : place + GRAM + right], mark, times, first, place, cut, body[: cut + length - 1])
+        if cut < n:
+            deal(1, body[place - left : place + GRAM + more], mark, times, first + cut, place - cut, n - cut, body[cut:])
+    if same > 1:
+        for mark, times, first, _, _, body in pieces:
+            if times == 1 and body == whole:
+                yield mark, np.array([first], np.int32)
+    pieces.file.close()
+    for side, (a, z) in zip(sides, ((left + half, right), (left, more)), strict=True):
+        for part in side:
+            if part is None:
+                continue
+            if part.rows > 1 and part.bytes > limit:
+                yield from _hot(part, a, z, length, limit, depth + 1)
+            elif part.rows > 1:
+                rows = list(part)
+                flag, at = _repeats([r[5] for r in rows], length), 0
+                for mark, times, first, _, n, body in rows:
+                    hit = np.flatnonzero(flag[at : at + n])
+                    if times == 1 and len(hit):
+                        yield mark, (hit + first).astype(np.int32)
+                    at += len(body) + 1
+            part.file.close()
+
+
+def _repeats(regions: list[bytes], length: int) -> np.ndarray:
+    """True where ``length`` bytes start that start elsewhere too; each region has one place more."""
+    # 1 ends each region; bytes 0 and 1 become two that no region holds, so lengths stay
+    body = np.frombuffer(b"\x00".join(regions) + b"\x00", np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in regions]) - 1
+    times_of = np.bincount(body, minlength=256)
+    text = body.copy()
+    if times_of[0] > len(ends) or times_of[1]:
+        free = np.flatnonzero(times_of[2:] == 0)[-2:] + 2
+        if len(free) < 2:
+            raise ValueError("texts that are not UTF-8")
+        text[body == 0], text[body == 1] = free
+    text[ends] = 1
+    order, shared = suffix_order(text, length)
+    near = shared >= length
+    flag = np.zeros(len(text), bool)
+    flag[order[near]] = True
+    flag[order[np.flatnonzero(near) - 1]] = True
+    return flag
 
 
 def _windows(rows: list[tuple], length: int):
@@ -176,30 +304,20 @@ def _windows(rows: list[tuple], length: int):
     out = [(a, m, np.arange(n, dtype=np.int32)) for a, m, times, n, _ in rows if times > 1]
     sort = [r for r in rows if alone[r[0]] > 1]
     if sort:
-        # 1 ends each region; bytes 0 and 1 become two that no region holds, so lengths stay
-        body = np.frombuffer(b"\x00".join(r[4] for r in sort) + b"\x00", np.uint8)
-        ends = np.cumsum([len(r[4]) + 1 for r in sort]) - 1
-        times_of = np.bincount(body, minlength=256)
-        text = body.copy()
-        if times_of[0] > len(ends) or times_of[1]:
-            free = np.flatnonzero(times_of[2:] == 0)[-2:] + 2
-            if len(free) < 2:
-                raise ValueError("texts that are not UTF-8")
-            text[body == 0], text[body == 1] = free
-        text[ends] = 1
-        order, shared = suffix_order(text, length)
-        near = shared >= length
-        flag = np.zeros(len(text), bool)
-        flag[order[near]] = True
-        flag[order[np.flatnonzero(near) - 1]] = True
-        at = 0
+        flag, at = _repeats([r[4] for r in sort], length), 0
         for anchor, mark, times, n, region in sort:
             if times == 1:
                 hit = np.flatnonzero(flag[at : at + n]).astype(np.int32)
                 if len(hit):
                     out.append((anchor, mark, hit))
             at += len(region) + 1
-    if out:
+    yield from _found(out)
+
+
+def _found(hits):
+    """Batches of ``(anchor, mark, windows)``."""
+    hits = iter(hits)
+    while out := list(islice(hits, 8192)):
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2].tobytes() for o in out], pa.binary())], ["anchor", "mark", "windows"])
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from stopgraph.llm import substrings
 
@@ -38,3 +39,34 @@ def test_control_bytes_count_once(spark):
             passage += word(shared - len(passage))
             texts += ["A" + word(300) + "<" + passage + ">" + word(300), "B" + word(300) + "[" + passage + "]" + word(300)]
     assert _check(spark, texts) >= 6 * 430
+
+
+def test_an_anchor_of_more_than_a_shard(monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    line, near, whole = word(150), word(60), word(260)
+    texts = [word(250) + (near if k % 7 == 0 else b"") + line + (near if k % 11 == 0 else b"") + word(250) for k in range(400)]
+    texts += [word(220) + whole + word(220) for _ in range(150)]
+    rows = {}
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t, np.uint8)
+        for _, h, begin, n in zip(*substrings.anchors(data, np.array([0, len(t)]), 200), strict=True):
+            region = t[begin : begin + n + 199]
+            mark = hashlib.blake2b(region, digest_size=16).digest()
+            rows.setdefault((int(h), mark), [int(n), region, []])[2].append((k, int(begin)))
+    keys = sorted(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([len(rows[k][2]) for k in keys]), pa.array([rows[k][0] for k in keys], pa.int32()), pa.array([rows[k][1] for k in keys])], ["anchor", "mark", "times", "n", "region"])
+    sizes, sort = [], substrings.suffix_order
+    monkeypatch.setattr(substrings, "suffix_order", lambda text, cap: sizes.append(len(text)) or sort(text, cap))
+    seen = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 199):
+            seen.setdefault(t[i : i + 200], []).append((k, i))
+    want = {p for at in seen.values() if len(at) > 1 for p in at}
+    for limit in (20_000, 4_000):
+        got = set()
+        for b in substrings._shards(iter([batch]), 200, limit):
+            for a, m, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got |= {(k, begin + x) for k, begin in rows[a, m][2] for x in np.frombuffer(w, np.int32).tolist()}
+        assert got == want and max(sizes) < 2.1 * limit
+        sizes.clear()
