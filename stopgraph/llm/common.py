@@ -166,6 +166,24 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(rows.tobytes())])
 
 
+#: Keys that a join spreads at most, and copies that each of them gets.
+SPREAD, COPIES = 1000, 32
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame, total: int, by: str) -> DataFrame:
+    """The inner join on ``keys``, with keys of more than a thousandth of ``many``'s rows spread.
+
+    ``counts`` has ``times``, the rows of each key in ``many``, and ``total`` is their number,
+    so there are fewer than ``SPREAD`` such keys, and only they are broadcast.  Their rows of
+    ``few`` (one a key) are copied, and ``many``'s rows pick a copy by a hash of ``by``.
+    """
+    hot = F.broadcast(counts.where(F.col("times") * SPREAD > total).select(*keys, F.lit(COPIES).alias("__copies")))
+    salt = F.when(F.col("__copies").isNotNull(), F.pmod(F.xxhash64(by), F.col("__copies"))).otherwise(0).cast("int")
+    left = many.join(hot, keys, "left").withColumn("__salt", salt).drop("__copies")
+    right = few.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    return left.join(right.hint("merge"), [*keys, "__salt"]).drop("__salt")
+
+
 def held_out(column="doc_id"):
     """The fold that labels are never learnt from: crc32(id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -1,274 +1,373 @@
-"""Suffix sorting by induction, with common-prefix values carried along.
-
-Suffixes are typed S or L as in induced sorting; LMS suffixes are sorted first, and all
-others follow by two scans.  The scans do not work on one array in memory but on a queue
-that is ordered by first character: a scan takes the smallest (or largest) bucket, and the
-suffixes that it induces are appended to later buckets as tuples of a position and the
-length that it shares with the one before it in its bucket.  Buckets are kept as runs of
-arrays, and queued runs beyond a budget go to a file.  The text, finished buckets and the
-ranks of LMS suffixes are in memory, so callers keep texts small (:mod:`.substrings`: shards).
-
-The order of LMS suffixes comes from one level of recursion: their substrings are sorted by
-an induction of their own and named, and the string of names, on which suffixes need only
-be told apart as far as ``cap`` characters reach, is ranked by doubling.
+"""Suffix sorting by recursive external induction, with common-prefix values carried along.
+
+Suffixes are typed S or L as in induced sorting.  The substrings between LMS positions are
+sorted by an induction and named; where names repeat, the string of names is sorted by the
+same procedure, a level further down, and the order of the LMS suffixes found there seeds
+the induction of all others.  Values of what neighbours share go the same way: those of the
+names are turned into characters, and each induced suffix shares one character more with
+the one before it in its bucket than the least of what lies between their inducers.
+
+A scan does not work on an array of suffixes but on a priority queue of tuples (key,
+position, shared), ordered by key and then by insertion.  A queue is a list of sorted runs;
+runs beyond its budget go to files of the shared folder and are read back block by block.
+Tuples are taken in batches, as far as none of a batch induces one that comes before a later
+one of it, so a scan is a few array operations for each batch.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections import defaultdict
+import uuid
 
 import numpy as np
+import pyarrow.fs
+
+#: Tuples that a run in a file is read by, and that a batch has at least and at most.
+BLOCK, BATCH = 1 << 14, (64, 1 << 15)
+_TUPLE = np.dtype([("key", "<i4"), ("position", "<i4"), ("shared", "u1")])
+
+
+class Files:
+    """Files of one task in a folder that executors share, gone once they are read."""
+
+    def __init__(self, folder: str):
+        self.store, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
+        self.written = 0
+
+    def open(self) -> tuple[str, pyarrow.NativeFile]:
+        self.store.create_dir(self.folder, recursive=True)
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        return path, self.store.open_output_stream(path, buffer_size=1 << 16)
+
+    def write(self, body: bytes) -> str:
+        path, stream = self.open()
+        with stream:
+            stream.write(body)
+        self.written += len(body)
+        return path
+
+    def read(self, path: str) -> pyarrow.NativeFile:
+        return self.store.open_input_stream(path, buffer_size=1 << 16)
+
+    def remove(self, path: str) -> None:
+        self.store.delete_file(path)
+
 
+class _Run:
+    """Sorted tuples: those in memory from ``at`` on, then ``left`` ones of a file."""
 
-class BucketQueue:
-    """A priority queue by bucket: append runs to any bucket, take a whole bucket.
+    __slots__ = ("at", "key", "left", "path", "position", "shared", "stream")
 
-    Runs are pairs of equally long arrays (position, shared length).  When those in memory
-    exceed ``budget`` bytes, the longest buckets go to a file.
+    def __init__(self, key: np.ndarray, position: np.ndarray, shared: np.ndarray):
+        self.key, self.position, self.shared, self.at = key, position, shared, 0
+        self.left, self.path, self.stream = 0, None, None
+
+    def __len__(self) -> int:
+        return len(self.key) - self.at + self.left
+
+    def held(self) -> int:
+        return (len(self.key) - self.at) * _TUPLE.itemsize
+
+
+class TupleQueue:
+    """A priority queue of tuples, in memory up to ``budget`` bytes and in files beyond.
+
+    Without ``files`` all tuples stay in memory.
     """
 
-    def __init__(self, budget: int):
-        self.budget, self.held, self.file = budget, 0, None
-        self.runs: dict[int, list] = defaultdict(list)
+    def __init__(self, budget: int, files: Files | None = None):
+        self.budget, self.files = budget, files
+        self.runs: list[_Run] = []
 
-    def push(self, bucket: int, position: np.ndarray, shared: np.ndarray) -> None:
-        self.runs[bucket].append((position, shared))
-        self.held += position.nbytes + shared.nbytes
-        if self.held > self.budget:
+    def push(self, key: np.ndarray, position: np.ndarray, shared: np.ndarray) -> None:
+        """Add tuples; of equal keys those added first come first."""
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        self.runs.append(_Run(key[order], position[order], shared[order]))
+        # runs in memory grow from the last to the first, so they are few
+        while len(self.runs) > 1 and self.runs[-2].path is None and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            b, a = self.runs.pop(), self.runs.pop()
+            key = np.concatenate([a.key[a.at :], b.key[b.at :]])
+            order = np.argsort(key, kind="stable")
+            self.runs.append(_Run(key[order], np.concatenate([a.position[a.at :], b.position[b.at :]])[order], np.concatenate([a.shared[a.at :], b.shared[b.at :]])[order]))
+        if self.files is not None and sum(r.held() for r in self.runs) > self.budget:
             self._spill()
 
     def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        for bucket in sorted(self.runs, key=lambda b: -sum(r[0].nbytes for r in self.runs[b] if not isinstance(r[0], int))):
-            kept = []
-            for run in self.runs[bucket]:
-                if isinstance(run[0], int):
-                    kept.append(run)
-                    continue
-                at = self.file.seek(0, os.SEEK_END)
-                self.file.write(run[0].tobytes() + run[1].tobytes())
-                kept.append((at, (len(run[0]), run[0].dtype, run[1].dtype)))
-                self.held -= run[0].nbytes + run[1].nbytes
-            self.runs[bucket] = kept
-            if self.held <= self.budget // 2:
+        """Write the longest runs in memory to files until half of the budget is free."""
+        for run in sorted((r for r in self.runs if r.path is None), key=lambda r: -r.held()):
+            if run.held() <= BLOCK * _TUPLE.itemsize:
+                break
+            out = np.empty(len(run.key) - run.at, _TUPLE)
+            out["key"], out["position"], out["shared"] = run.key[run.at :], run.position[run.at :], run.shared[run.at :]
+            run.path, run.left, run.at = self.files.write(out.tobytes()), len(out), 0
+            run.key, run.position, run.shared = run.key[:0], run.position[:0], run.shared[:0]
+            if sum(r.held() for r in self.runs) <= self.budget // 2:
                 break
 
-    def take(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for run in self.runs.pop(bucket, ()):
-            if isinstance(run[0], int):
-                at, (n, kind, shared_kind) = run
-                self.file.seek(at)
-                parts.append((np.frombuffer(self.file.read(n * kind.itemsize), kind), np.frombuffer(self.file.read(n * shared_kind.itemsize), shared_kind)))
-            else:
-                self.held -= run[0].nbytes + run[1].nbytes
-                parts.append(run)
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        return (parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+    def _fill(self, run: _Run, n: int) -> None:
+        if not run.left or len(run.key) - run.at >= n:
+            return
+        if run.stream is None:
+            run.stream = self.files.read(run.path)
+        take = min(run.left, max(n, BLOCK))
+        new = np.frombuffer(run.stream.read(take * _TUPLE.itemsize), _TUPLE)
+        run.key = np.concatenate([run.key[run.at :], new["key"]])
+        run.position = np.concatenate([run.position[run.at :], new["position"]])
+        run.shared = np.concatenate([run.shared[run.at :], new["shared"]])
+        run.at, run.left = 0, run.left - take
+
+    def peek(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first tuples, some ``n`` of them, and the run that each is in."""
+        keys, bound, block = [], None, max(BATCH[0], n // max(1, len(self.runs)))
+        for k, run in enumerate(self.runs):
+            self._fill(run, block)
+            head = run.key[run.at : run.at + block]
+            if len(run) > block and (bound is None or head[-1] < bound[0]):
+                bound = (int(head[-1]), k)
+            keys.append(head)
+        if not keys:
+            none = np.zeros(0, np.int32)
+            return none, none, np.zeros(0, np.uint8), none
+        which = np.repeat(np.arange(len(keys)), [len(h) for h in keys])
+        key = np.concatenate(keys)
+        position = np.concatenate([r.position[r.at : r.at + block] for r in self.runs])
+        shared = np.concatenate([r.shared[r.at : r.at + block] for r in self.runs])
+        if bound is not None:  # beyond that key some run may have more than was looked at
+            known = (key < bound[0]) | ((key == bound[0]) & (which <= bound[1]))
+            key, position, shared, which = key[known], position[known], shared[known], which[known]
+        order = np.argsort(key, kind="stable")
+        return key[order], position[order], shared[order], which[order]
+
+    def drop(self, which: np.ndarray) -> None:
+        """Take out the first tuples; ``which`` tells their runs."""
+        for k, n in enumerate(np.bincount(which, minlength=len(self.runs)).tolist()):
+            self.runs[k].at += n
+        for run in self.runs:
+            if run.path is not None and not len(run):
+                run.stream.close()
+                self.files.remove(run.path)
+        self.runs = [r for r in self.runs if len(r)]
+
+
+class Minima:
+    """Least values of ranges of a sequence that grows at its end."""
+
+    def __init__(self, n: int):
+        self.level = [np.full(n + n % 2, 255, np.uint8)]
+        while len(self.level[-1]) > 2:
+            half = len(self.level[-1]) // 2
+            self.level.append(np.full(half + half % 2, 255, np.uint8))
+
+    def put(self, at: int, values: np.ndarray) -> None:
+        a, z = at, at + len(values)
+        self.level[0][a:z] = values
+        for below, here in zip(self.level, self.level[1:], strict=False):
+            a, z = a // 2, (z + 1) // 2
+            here[a:z] = np.minimum(below[2 * a : 2 * z : 2], below[2 * a + 1 : 2 * z : 2])
+
+    def least(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The least of each range from ``begin`` to before ``end``; none of them is empty."""
+        out, a, z = np.full(len(begin), 255, np.uint8), begin, end
+        open_ = np.arange(len(begin))
+        for level in self.level:
+            odd = (a & 1) == 1
+            out[open_[odd]] = np.minimum(out[open_[odd]], level[a[odd]])
+            odd = (z & 1) == 1
+            out[open_[odd]] = np.minimum(out[open_[odd]], level[z[odd] - 1])
+            a, z = (a + 1) >> 1, z >> 1
+            more = a < z
+            if not more.all():
+                open_, a, z = open_[more], a[more], z[more]
+            if not len(open_):
+                break
+        return out
 
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last counts as smaller."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    step = np.ones(n, np.int8)
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return step[nearest] > 0
 
 
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """How many characters the suffixes at ``a`` and ``b`` share, up to ``cap``."""
+def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, known: np.ndarray | None = None) -> np.ndarray:
+    """How many characters the suffixes at ``a`` and ``b`` share, up to ``cap``.
+
+    The last character of ``text`` occurs once; ``known`` characters need not be compared.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(cap + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (n + cap + 1, 8), (1, 1))
-    out = np.zeros(len(a), np.int64)
-    open_ = np.arange(len(a))
-    done = 0
-    while len(open_) and done < cap:
-        x = words[np.minimum(a[open_] + done, n)].copy().view(">u8")[:, 0]
-        y = words[np.minimum(b[open_] + done, n)].copy().view(">u8")[:, 0]
-        same = x == y
-        if not same.all():
+    done = np.zeros(len(a), np.int64) if known is None else np.minimum(known, cap).astype(np.int64)
+    open_ = np.flatnonzero(done < cap)
+    width = 8 if text.dtype == np.uint8 else 1
+    if width == 8:
+        padded = np.concatenate([text, np.zeros(cap + 16, np.uint8)])
+        words = np.lib.stride_tricks.as_strided(padded, (n + cap + 8, 8), (1, 1))
+    while len(open_):
+        x, y = np.minimum(a[open_] + done[open_], n - 1), np.minimum(b[open_] + done[open_], n - 1)
+        if width == 8:
+            x, y = words[x].copy().view(">u8")[:, 0], words[y].copy().view(">u8")[:, 0]
+            same = x == y
             differ = (x ^ y)[~same].astype(np.uint64)
-            lead = 63 - np.floor(np.log2(np.maximum(differ >> np.uint64(11), np.uint64(1)).astype(np.float64))).astype(np.int64) - 11
-            small = differ < np.uint64(1 << 11)
-            if small.any():
-                lead[small] = 63 - np.floor(np.log2(differ[small].astype(np.float64))).astype(np.int64)
-            out[open_[~same]] = done + lead // 8
-            open_ = open_[same]
-        done += 8
-    out[open_] = cap
-    return np.minimum(out, cap)
-
-
-class _Induction:
-    """The two scans over one text."""
-
-    def __init__(self, text: np.ndarray, small: np.ndarray, cap: int, budget: int, carry: bool):
-        self.text, self.small, self.cap, self.budget, self.carry = text, small, cap, budget, carry
-        self.since = np.zeros(256, np.uint8)
-
-    def _start(self) -> None:
-        """A new bucket: nothing pushed from it shares more than the first character."""
-        self.since[:] = 0
-
-    def _push(self, queue: BucketQueue, position: np.ndarray, shared: np.ndarray, keep: np.ndarray, chars: np.ndarray) -> None:
-        """Append ``position[keep] - 1``, with characters ``chars``, bucket by bucket.
-
-        ``shared[k]`` is what scanned suffixes k - 1 and k share; two pushed to one bucket
-        share one character more than the least of what lies between them.
-        """
-        which = np.flatnonzero(keep)
-        if self.carry and len(position):
-            everywhere = shared.min()
-        if len(which):
-            target = chars[which]
-            order = np.argsort(target, kind="stable")
-            which, target = which[order], target[order]
-            cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]).tolist() + [len(which)]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                d, ks = int(target[a]), which[a:z]
-                if self.carry:
-                    starts = np.empty(len(ks) + 1, np.int64)
-                    starts[0], starts[1:] = 0, ks + 1
-                    inner = starts < len(shared)
-                    least = np.full(len(ks) + 1, 255, np.uint8)
-                    least[inner] = np.minimum.reduceat(shared, starts[inner])
-                    first = min(int(least[0]), int(self.since[d]))
-                    gap = least[:-1].copy()
-                    gap[0] = first
-                    gap = np.minimum(gap.astype(np.int16) + 1, self.cap).astype(np.uint8)
-                    self.since[d] = least[-1]
-                else:
-                    gap = np.zeros(len(ks), np.uint8)
-                queue.push(d, position[ks] - 1, gap)
-        if self.carry and len(position):
-            hit = np.zeros(256, bool)
-            if len(which):
-                hit[np.unique(target)] = True
-            self.since[~hit] = np.minimum(self.since[~hit], everywhere)
-
-    def _scan(self, queue: BucketQueue, c: int, falling: bool, position: np.ndarray, shared: np.ndarray, more: BucketQueue) -> tuple[list, list]:
-        """Scan a bucket's own runs, with the ones that it induces in itself behind them."""
-        out_p, out_s = [], []
-        while len(position):
-            out_p.append(position)
-            out_s.append(shared)
-            before = np.maximum(position - 1, 0)
-            chars = self.text[before]
-            fit = (position > 0) & (self.small[before] == falling)
-            self._push(more, position, shared, fit, chars)
-            position, shared = more.take(c)
-        return out_p, out_s
-
-    def run(self, lms: np.ndarray, lms_shared: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By character: L suffixes and S suffixes in order, each with what it shares with the one before."""
-        chars = self.text[lms]
-        cut = np.searchsorted(chars, np.arange(257))
-        rising = BucketQueue(self.budget)
-        large: list[tuple[np.ndarray, np.ndarray]] = []
-        empty = (np.zeros(0, np.int32), np.zeros(0, np.uint8))
-        join = lambda p, s: (np.concatenate(p), np.concatenate(s)) if p else empty
-        for c in range(256):
-            self._start()
-            position, shared = rising.take(c)
-            own = join(*self._scan(rising, c, False, position, shared, rising))
-            large.append(own)
-            p, s = lms[cut[c] : cut[c + 1]], lms_shared[cut[c] : cut[c + 1]].copy()
-            if len(p):
-                s[0] = shared_prefix(self.text, own[0][-1:], p[:1], self.cap)[0] if self.carry and len(own[0]) else 0
-                before = np.maximum(p - 1, 0)
-                self._push(rising, p, s, (p > 0) & ~self.small[before], self.text[before])
-        rising.close()
-        falling = BucketQueue(self.budget)
-        out = []
-        for c in range(255, -1, -1):
-            self._start()
-            position, shared = falling.take(c)
-            # runs lie from the largest down; shared is with the next larger one
-            p, s = join(*self._scan(falling, c, True, position, shared, falling))
-            lp, ls = large[c]
-            if len(lp):
-                down = lp[::-1]
-                gap = np.empty(len(lp), np.uint8)
-                gap[1:] = ls[::-1][:-1]
-                gap[0] = shared_prefix(self.text, p[-1:], lp[-1:], self.cap)[0] if self.carry and len(p) else 0
-                before = np.maximum(down - 1, 0)
-                self._push(falling, down, gap, (down > 0) & self.small[before], self.text[before])
-            if c == int(self.text[-1]):  # the sentinel's suffix is induced by nothing
-                p, s = np.concatenate([p, [len(self.text) - 1]]).astype(np.int32), np.concatenate([s, [0]]).astype(np.uint8)
-            up = p[::-1]
-            gap = np.zeros(len(p), np.uint8)
-            gap[1:] = s[::-1][:-1]
-            out.append((lp, ls, up, gap))
-        falling.close()
-        return out[::-1]
-
-
-def _rank_lms(text: np.ndarray, small: np.ndarray, lms: np.ndarray, cap: int, budget: int) -> np.ndarray:
-    """LMS positions in the order of their suffixes, as far as ``cap`` characters tell."""
+            # whole bytes above the first bit that differs
+            lead = np.zeros(len(differ), np.int64)
+            for k in range(1, 8):
+                lead += differ < np.uint64(1 << (64 - 8 * k))
+            done[open_[~same]] += lead
+        else:
+            same = (text[x] == text[y]) & (a[open_] != b[open_])
+        open_ = open_[same]
+        done[open_] += width
+        open_ = open_[done[open_] < cap]
+    return np.minimum(done, cap)
+
+
+def _scan(text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], small: np.ndarray, falling: bool, cap: int, budget: int, files: Files | None, carry: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that ``seeds`` (positions, shared; in scanning order) induce, in scanning order.
+
+    Rising scans induce L suffixes and falling ones S suffixes.  In the bucket of a character
+    induced suffixes come before seeds, so their keys are even and those of seeds odd.
+    """
+    top, n = int(text.max()), len(text)
+    queue = TupleQueue(budget, files)
+    number = (lambda c: 2 * (top - c.astype(np.int32))) if falling else (lambda c: 2 * c.astype(np.int32))
+    queue.push(number(text[seeds[0]]) + np.int32(1), seeds[0].astype(np.int32), seeds[1].astype(np.uint8))
+    never = np.iinfo(np.int32).max
+    minima, last = (Minima(n + len(seeds[0])), np.full(2 * top + 2, -1, np.int64)) if carry else (None, None)
+    found, found_shared, scanned, before_key, before_at, size = [], [], 0, -2, 0, 1024
+    while True:
+        key, position, shared, which = queue.peek(size)
+        if not len(key):
+            break
+        ahead = np.maximum(position - 1, 0)
+        chars = text[ahead]
+        target = np.where((position > 0) & (small[ahead] == falling), number(chars), never)
+        # a batch ends before the first tuple that one of its own comes before
+        early = np.flatnonzero(np.minimum.accumulate(target)[:-1] < key[1:])
+        m = int(early[0]) + 1 if len(early) else len(key)
+        size = min(2 * size, BATCH[1]) if m == len(key) else max(2 * m, BATCH[0])
+        queue.drop(which[:m])
+        key, position, shared, target = key[:m], position[:m], shared[:m], target[:m]
+        seed = (key & 1) == 1
+        hits = np.flatnonzero(target != never)
+        if carry:
+            shared = shared.copy()
+            one, two = np.empty(m, np.int32), np.empty(m, np.int32)
+            one[0], one[1:], two[0], two[1:] = before_key, key[:-1], before_at, position[:-1]
+            joint = np.flatnonzero(seed & (one == key - 1))  # seeds next to induced suffixes
+            if len(joint):
+                shared[joint] = shared_prefix(text, two[joint], position[joint], cap)
+            shared[(one >> 1) != (key >> 1)] = 0  # another first character
+            before_key, before_at = int(key[-1]), int(position[-1])
+            minima.put(scanned, shared)
+            if len(hits):
+                order = np.argsort(target[hits], kind="stable")
+                t, at = target[hits][order], hits[order] + scanned
+                first, since = np.ones(len(t), bool), np.empty(len(t), np.int64)
+                np.not_equal(t[1:], t[:-1], out=first[1:])
+                since[1:] = at[:-1]
+                since[first] = last[t[first]]
+                last[t] = at  # of equal targets the last one stays
+                # one character more than the least in between; nothing is before a bucket's first
+                some = since >= 0
+                gap = np.zeros(len(t), np.uint8)
+                gap[some] = np.minimum(minima.least(since[some] + 1, at[some] + 1), cap - 1) + np.uint8(1)
+                queue.push(t, position[hits][order] - np.int32(1), gap)
+        else:
+            queue.push(target[hits], position[hits] - np.int32(1), np.zeros(len(hits), np.uint8))
+        scanned += m
+        found.append(position[~seed])
+        found_shared.append(shared[~seed])
+    return np.concatenate(found or [np.zeros(0, np.int32)]), np.concatenate(found_shared or [np.zeros(0, np.uint8)])
+
+
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, shared: np.ndarray, cap: int, budget: int, files: Files | None, carry: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """L and S suffixes in order from LMS ones in order, each with what it shares with the one before."""
+    large, large_shared = _scan(text, (lms, shared), small, False, cap, budget, files, carry)
+    down = np.r_[np.zeros(1, np.uint8), large_shared[::-1][:-1]][: len(large)]
+    last = np.array([len(text) - 1], np.int32)  # the last suffix is induced by nothing
+    # falling scans begin with the largest suffixes; the last one, of the least character, ends them
+    less, less_shared = _scan(text, (np.r_[large[::-1], last], np.r_[down, np.zeros(1, np.uint8)]), small, True, cap, budget, files, carry)
+    up = np.r_[np.zeros(1, np.uint8), np.zeros(1, np.uint8), less_shared[::-1][:-1]][: len(less) + 1]
+    return large, large_shared, np.r_[last, less[::-1]], up
+
+
+def _named(text: np.ndarray, lms: np.ndarray, in_order: np.ndarray, cap: int) -> np.ndarray:
+    """The rank of each LMS position's substring among all, equal ones alike, from one on."""
+    index = np.searchsorted(lms, in_order)
+    length = np.diff(np.r_[lms, len(text) - 1])[index]
+    a, b, n = in_order[:-1], in_order[1:], length[1:]
+    alike = np.flatnonzero((length[:-1] == n) | (np.minimum(length[:-1], n) >= cap))
+    new = np.ones(len(in_order), bool)
+    # substrings reach up to the next LMS position's character; beyond cap nothing is told apart
+    most = np.minimum(n[alike] + 1, cap)
+    for reach in (8, 64, cap):
+        some = np.flatnonzero(most <= reach) if reach < cap else np.arange(len(alike))
+        if len(some):
+            got = shared_prefix(text, a[alike[some]], b[alike[some]], min(reach, cap))
+            new[alike[some] + 1] = got < most[some]
+        most, alike = np.delete(most, some), np.delete(alike, some)
+    new[0] = True
+    out = np.empty(len(lms), np.int32)
+    out[index] = np.cumsum(new)
+    return out
+
+
+def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and what each shares with the one before; the last character is the least."""
+    n = len(text)
+    if n == 1:
+        return np.zeros(1, np.int32), np.zeros(1, np.uint8)
+    small = _types(text)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
     by_char = lms[np.argsort(text[lms], kind="stable")]
-    buckets = _Induction(text, small, cap, budget, carry=False).run(by_char, np.zeros(len(lms), np.uint8))
-    is_lms = np.zeros(len(text), bool)
+    *_, in_order, _ = _induce(text, small, by_char, np.zeros(len(lms), np.uint8), cap, budget, files, False)
+    is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    in_order = np.concatenate([s[is_lms[s]] for _, _, s, _ in buckets])
-    # equal neighbours: substrings from one LMS position to the next, compared by hash and length
-    index = np.searchsorted(lms, in_order)
-    length = np.diff(np.r_[lms, len(text) - 1])
-    weight = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    weight ^= weight >> np.uint64(29)
-    odd = 0xD1342543DE82EF95
-    up, down = np.full(len(text), odd, np.uint64), np.full(len(text), pow(odd, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(weight * np.cumprod(up))]
-    ends = np.minimum(lms + length + 1, len(text))
-    digest = (sums[ends] - sums[lms]) * np.cumprod(down)[lms]
-    d, n = digest[index], length[index]
-    name = np.r_[0, np.cumsum((d[1:] != d[:-1]) | (n[1:] != n[:-1]))]
-    rank = np.empty(len(lms) + 1, np.int64)
-    rank[index], rank[-1] = name + 1, 0
-    reach = 1  # substrings told apart so far; each is two characters long at least
-    while 2 * reach < cap + 2 and rank[:-1].max() < len(lms):
-        ahead = np.minimum(np.arange(len(lms)) + reach, len(lms))
-        key = rank[:-1] * (len(lms) + 2) + rank[ahead]
-        order = np.argsort(key)
-        sorted_ = key[order]
-        rank[order] = np.r_[0, np.cumsum(sorted_[1:] != sorted_[:-1])] + 1
-        reach *= 2
-    return lms[np.argsort(rank[:-1], kind="stable")]
-
-
-def suffix_order(text: np.ndarray, cap: int = 200, budget: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+    name = _named(text, lms, in_order[is_lms[in_order]], cap)
+    # a level down: its last character, the last suffix's name, is the least and occurs once
+    # and only names that repeat, and those next to them, need be looked at: a name that
+    # occurs once ends any comparison
+    once = np.bincount(name)[name] == 1
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    kept[-1] = True
+    kept = np.flatnonzero(kept)
+    rank, alike = np.zeros(len(lms), np.int32), np.zeros(len(lms), np.uint8)
+    if len(kept) > 1:
+        used = np.zeros(int(name.max()) + 1, np.int32)
+        used[name[kept]] = 1
+        below, names = _order(np.cumsum(used, dtype=np.int32)[name[kept]], cap // 2 + 2, budget, files)
+        rank[kept[below]], alike[kept[below]] = np.arange(len(kept), dtype=np.int32), names
+    ranked = np.lexsort((rank, name))
+    names = np.where(once[ranked], 0, alike[ranked]).astype(np.int64)
+    # equal names up to the end of the k-th substring
+    at = lms[ranked]
+    known = np.zeros(len(lms), np.int64)
+    known[1:] = lms[np.minimum(ranked[1:] + names[1:], len(lms) - 1)] - at[1:]
+    shared = np.zeros(len(lms), np.int64)
+    if len(lms) > 1:
+        shared[1:] = shared_prefix(text, at[:-1], at[1:], cap, known[1:])
+    large, large_shared, less, less_shared = _induce(text, small, at, shared, cap, budget, files, True)
+    key = np.concatenate([2 * text[large].astype(np.int64), 2 * text[less].astype(np.int64) + 1])
+    place = np.argsort(key, kind="stable")
+    key, order = key[place], np.concatenate([large, less])[place]
+    prefix = np.concatenate([large_shared, less_shared])[place]
+    joint = np.flatnonzero((key[1:] == key[:-1] + 1) & ((key[1:] & 1) == 1)) + 1  # the first S suffix behind L ones
+    prefix[joint] = shared_prefix(text, order[joint - 1], order[joint], cap)
+    prefix[np.r_[True, (key[1:] >> 1) != (key[:-1] >> 1)]] = 0
+    return order, prefix
+
+
+def suffix_order(text: np.ndarray, cap: int = 200, budget: int = 64 << 20, files: Files | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order, and what each shares with the one before it.
 
     ``text`` has values from 1 to 255; orders and lengths hold as far as ``cap`` (at most
     255) characters, so suffixes that share that many may lie in any order.
     """
     text = np.concatenate([text.astype(np.uint8), np.zeros(1, np.uint8)])
-    small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
-    ranked = _rank_lms(text, small, lms, cap, budget)
-    shared = np.zeros(len(ranked), np.uint8)
-    if len(ranked) > 1:
-        shared[1:] = shared_prefix(text, ranked[:-1], ranked[1:], cap)
-    buckets = _Induction(text, small, cap, budget, carry=True).run(ranked.astype(np.int32), shared)
-    order, prefix = [], []
-    for lp, ls, sp, ss in buckets:
-        if len(sp) and len(lp):
-            ss[0] = shared_prefix(text, lp[-1:], sp[:1], cap)[0]
-        for first in (ls, ss)[len(lp) == 0 :][:1]:
-            first[:1] = 0  # another first character
-        order += [lp, sp]
-        prefix += [ls, ss]
-    order, prefix = np.concatenate(order), np.concatenate(prefix)
+    order, prefix = _order(text, cap, budget, files)
     return order[1:], prefix[1:]  # without the sentinel's own

@@ -5,15 +5,16 @@ bytes has an anchor: of the short grams in it the one with the smallest hash, th
 of equals.  Equal windows have equal anchors at equal places, so windows are dealt to shards
 by their anchor's hash, and only anchors that occur again are followed.  What a shard gets
 is each anchor's region, the bytes of the windows that it owns; equal regions are counted
-before the shuffle and sorted once.  A shard sorts the suffixes of its regions by induction
-(:mod:`.induced`), whose common-prefix values show the windows that start elsewhere too.
+before the shuffle and sorted once.  A shard sorts the suffixes of its regions by recursive
+induction (:mod:`.induced`), whose common-prefix values show the windows that start elsewhere
+too.  Regions of an anchor that has more than a shard of them are dealt further, by the bytes
+left and right of its gram, first to other tasks and then to files of a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
 import uuid
 from itertools import islice
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_slices, mix, shared_path, utf8
-from .induced import suffix_order
+from .common import Scratch, byte_slices, mix, remove, shared_path, spread_join, utf8
+from .induced import Files, suffix_order
 
 #: Bytes of a gram, of text worked on at once, and of regions sorted together.
 GRAM, CHUNK, SHARD = 32, 1 << 20, 2 << 20
-#: Files on each side that an anchor of more than a shard is dealt to.
+#: Tasks, and then files of a task, on each side that an anchor of more than a shard is dealt to.
 FILES = 16
+#: Bytes of tuples that a queue of the induction holds before it writes runs to files.
+QUEUE = 8 << 20
 _BYTE = mix((np.arange(256).astype(np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = 0xA0761D6478BD642F
 _PLACE = (1 << 24) - 1
@@ -102,6 +105,7 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "sha").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: files stay, and so do the buckets in this plan
 
     def find(batches):
         for b in batches:
@@ -114,83 +118,120 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
                     yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(doc + i)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "sha", "begin", "n"])
 
     found = scratch.table(texts.select("sha", "text").mapInArrow(find, "anchor long, sha binary, begin int, n int"), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    followed = found.join(again.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "begin", "n")).alias("runs"))
+    times = found.groupBy("anchor").agg(F.count("*").alias("times"), F.sum(F.col("n").cast("long") + length - 1).alias("bytes")).where("times > 1")
+    times = scratch.table(times, "times")
+    again = times.select("anchor", (F.col("bytes") > SHARD).alias("large"))
+    followed = spread_join(found, again, ["anchor"], times, found.count(), "sha").groupBy("sha").agg(F.collect_list(F.struct("anchor", "begin", "n", "large")).alias("runs"))
 
     def cut(batches):
         for b in batches:
             data, off = utf8(b.column(1))
             flat = b.column(2).flatten()
-            anchor, begin, n = (np.asarray(c) for c in flat.flatten())
+            anchor, begin, n, large = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
             size = np.diff(np.asarray(b.column(2).offsets))
             owner = np.repeat(np.arange(b.num_rows), size)
             for a, z in byte_slices(np.r_[0, np.cumsum(n + length - 1)], CHUNK):
                 start = off[owner[a:z]] + begin[a:z]
                 regions = [data[s : s + k].tobytes() for s, k in zip(start.tolist(), (n[a:z] + length - 1).tolist(), strict=True)]
                 marks = [hashlib.blake2b(r, digest_size=16).digest() for r in regions]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(marks, pa.binary()), b.column(0).take(pa.array(owner[a:z])), pa.array(begin[a:z]), pa.array(n[a:z]), pa.array(regions, pa.binary())], ["anchor", "mark", "sha", "begin", "n", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(marks, pa.binary()), b.column(0).take(pa.array(owner[a:z])), pa.array(begin[a:z]), pa.array(n[a:z]), pa.array(large[a:z]), pa.array(regions, pa.binary())], ["anchor", "mark", "sha", "begin", "n", "large", "region"])
 
-    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, region binary")
+    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, large boolean, region binary")
     regions = scratch.table(regions, "regions")
-    scratch.drop("anchors")
-    distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("region").alias("region"))
-    # an anchor whose regions are all equal has nothing to sort
-    found_again = _sorted_shards(distinct, length)
-    hits = regions.select("anchor", "mark", "sha", "begin").join(found_again, ["anchor", "mark"]).select("sha", "begin", "windows")
+    scratch.drop("anchors", "times")
+    distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("large").alias("large"), F.first("region").alias("region"))
+    files = shared_path(spark, "spill")
+    found_again = scratch.table(_sorted_shards(distinct, length, files), "hits")
+    remove(spark, files)
+    # a dealt region comes back in parts
+    found_again = found_again.groupBy("anchor", "mark").agg(F.collect_list("windows").alias("windows"))
+    copies = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"))
+    hits = spread_join(regions.select("anchor", "mark", "sha", "begin"), found_again, ["anchor", "mark"], copies, regions.count(), "sha").select("sha", "begin", "windows")
     runs = hits.groupBy("sha").agg(F.collect_list(F.struct("begin", "windows")).alias("hits"))
 
     def union(batches):
         for b in batches:
             out = []
             for row in b.column(1):
-                at = np.unique(np.concatenate([np.frombuffer(h["windows"], np.int32) + h["begin"] for h in row.as_py()]))
+                at = np.unique(np.concatenate([np.frombuffer(w, np.int32) + h["begin"] for h in row.as_py() for w in h["windows"]]))
                 edge = np.flatnonzero(at[1:] > at[:-1] + length)
                 out.append([{"begin": int(x), "end": int(y) + length} for x, y in zip(at[np.r_[0, edge + 1]], at[np.r_[edge, len(at) - 1]], strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["sha", "runs"])
 
     out = scratch.table(runs.mapInArrow(union, "sha binary, runs array<struct<begin: long, end: long>>"), "runs")
-    scratch.drop("regions")
+    scratch.drop("regions", "hits")
     return texts, out
 
 
-def _sorted_shards(distinct: DataFrame, length: int) -> DataFrame:
-    """``(anchor, mark, windows)``: the windows of each region that start elsewhere too."""
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "mark")
+PIECE = "anchor long, part int, mark binary, times long, first int, place int, n int, region binary"
 
-    limit = SHARD
-    return dealt.mapInArrow(lambda batches: _shards(batches, length, limit), "anchor long, mark binary, windows binary")
 
+def _sorted_shards(distinct: DataFrame, length: int, folder: str) -> DataFrame:
+    """``(anchor, mark, windows)``: the windows of each region that start elsewhere too."""
+    limit, queue = SHARD, QUEUE
 
-def _shards(batches, length: int, limit: int):
-    """Sort runs of whole anchors; an anchor of more than ``limit`` bytes is dealt to files."""
+    def deal(batches):
+        for b in batches:
+            out = []
+            for anchor, mark, times, n, large, region in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if not large:
+                    out.append((anchor, -1, mark, times, 0, 0, n, region))
+                    continue
+                for side, key, first, place, cut, body in _sides(region, 0, _gram_place(region, n, length), n, 0, 0, length):
+                    out.append((anchor, side * FILES + _file(key, 0), mark, times, first, place, cut, body))
+                if len(out) > 4096:
+                    yield _pieces_batch(out)
+                    out = []
+            if out:
+                yield _pieces_batch(out)
+
+    pieces = distinct.select("anchor", "mark", "times", "n", "large", "region").mapInArrow(deal, PIECE)
+    dealt = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "mark")
+    return dealt.mapInArrow(lambda batches: _shards(batches, length, limit, Files(folder), queue), "anchor long, mark binary, windows binary")
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECE.split(", ")])
+
+
+def _shards(batches, length: int, limit: int, files: Files, queue: int):
+    """Sort runs of whole anchors, or parts of one; more than ``limit`` bytes of one are dealt to files."""
     held, size, own, last, hot = [], 0, 0, None, None
     for b in batches:
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+        for anchor, part, *row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            row = ((anchor, part), *row)
             if row[0] != last:
                 if hot is not None:
-                    yield from _found((last, *hit) for hit in _hot(hot, 0, 0, length, limit, 0))
+                    yield from _found((last[0], *hit) for hit in _hot(hot, last[1], length, limit, files, queue))
                     hot = None
                 if size >= limit:
-                    yield from _windows(held, length)
+                    yield from _windows(held, length, files, queue)
                     held, size = [], 0
                 last, own = row[0], 0
-            own += len(row[4])
+            own += len(row[6])
             if hot is None:
                 held.append(row)
-                size += len(row[4])
+                size += len(row[6])
                 if own > limit:
-                    yield from _windows([r for r in held if r[0] != last], length)
-                    hot = _Spool()
+                    yield from _windows([r for r in held if r[0] != last], length, files, queue)
+                    hot = _Spool(files)
                     for r in held:
                         if r[0] == last:
-                            hot.add(r[1], r[2], 0, _gram_place(r[4], r[3], length), r[3], r[4])
+                            hot.add(*_placed(r, length))
                     held, size = [], 0
             else:
-                hot.add(row[1], row[2], 0, _gram_place(row[4], row[3], length), row[3], row[4])
+                hot.add(*_placed(row, length))
     if hot is not None:
-        yield from _found((last, *hit) for hit in _hot(hot, 0, 0, length, limit, 0))
+        yield from _found((last[0], *hit) for hit in _hot(hot, last[1], length, limit, files, queue))
     if held:
-        yield from _windows(held, length)
+        yield from _windows(held, length, files, queue)
+
+
+def _placed(row: tuple, length: int) -> tuple:
+    """A piece as a spool holds it, with the place of its gram."""
+    (_, part), mark, times, first, place, n, body = row
+    return mark, times, first, _gram_place(body, n, length) if part < 0 else place, n, body
 
 
 def _gram_place(region: bytes, n: int, length: int) -> int:
@@ -204,78 +245,109 @@ class _Spool:
 
     HEAD = struct.Struct("<16sqiiii")
 
-    def __init__(self):
-        self.file, self.bytes, self.rows = tempfile.TemporaryFile(), 0, 0
+    def __init__(self, files: Files):
+        self.files, self.bytes, self.rows = files, 0, 0
+        self.path, self.stream = files.open()
 
     def add(self, mark: bytes, times: int, first: int, place: int, n: int, body: bytes) -> None:
-        self.file.write(self.HEAD.pack(mark, times, first, place, n, len(body)) + body)
+        self.stream.write(self.HEAD.pack(mark, times, first, place, n, len(body)) + body)
         self.bytes += len(body)
         self.rows += 1
 
     def __iter__(self):
-        self.file.seek(0)
-        while head := self.file.read(self.HEAD.size):
-            *rest, size = self.HEAD.unpack(head)
-            yield (*rest, self.file.read(size))
+        if not self.stream.closed:
+            self.stream.close()
+        with self.files.read(self.path) as stream:
+            while head := stream.read(self.HEAD.size):
+                *rest, size = self.HEAD.unpack(head)
+                yield (*rest, stream.read(size))
 
+    def remove(self) -> None:
+        if not self.stream.closed:
+            self.stream.close()
+        self.files.remove(self.path)
 
-def _hot(pieces: _Spool, left: int, right: int, length: int, limit: int, depth: int):
-    """``(mark, windows)`` of an anchor's regions, in files until each can be sorted.
 
-    All windows hold ``left`` bytes before the gram and ``right`` bytes after it.  Each holds
-    half of the other bytes before or after those, too, and is dealt by them; equal windows
-    are dealt alike.  Where nothing is left to deal by, a window is compared as a whole.
-    """
-    if depth == 0:
-        for mark, times, _, _, n, _ in pieces:
-            if times > 1:
-                yield mark, np.arange(n, dtype=np.int32)
+def _span(left: int, right: int, length: int) -> tuple[int, int, int]:
+    """Bytes of a window still unknown, and how many of them each side is dealt by."""
     span = length - GRAM - left - right
     half = (span + 1) // 2
-    more = length - GRAM - left - half + (span > 0)
-    sides = [[None] * FILES, [None] * FILES]
-    whole, same = None, 0
+    return span, half, length - GRAM - left - half + (span > 0)
+
+
+def _sides(body: bytes, first: int, place: int, n: int, left: int, right: int, length: int):
+    """``(side, key, first, place, n, bytes)``: a piece cut in windows dealt by what is left of the gram, and right of it.
 
-    def deal(side, key, *piece):
-        k = int.from_bytes(hashlib.blake2b(key, digest_size=8, salt=depth.to_bytes(4, "little")).digest(), "little") % FILES
-        if sides[side][k] is None:
-            sides[side][k] = _Spool()
-        sides[side][k].add(*piece)
+    All windows hold ``left`` bytes before the gram and ``right`` bytes after it.  Each holds
+    half of the other bytes before or after those, too; equal windows are dealt alike.
+    """
+    _, half, more = _span(left, right, length)
+    cut = min(max(place - left - half + 1, 0), n)
+    if cut:
+        yield 0, body[place - left - half : place + GRAM + right], first, place, cut, body[: cut + length - 1]
+    if cut < n:
+        yield 1, body[place - left : place + GRAM + more], first + cut, place - cut, n - cut, body[cut:]
+
+
+def _file(key: bytes, depth: int) -> int:
+    return int.from_bytes(hashlib.blake2b(key, digest_size=8, salt=depth.to_bytes(4, "little")).digest(), "little") % FILES
+
+
+def _hot(pieces: _Spool, part: int, length: int, limit: int, files: Files, queue: int):
+    """``(mark, windows)`` of an anchor's regions, or of one part of them dealt before."""
+    for mark, times, first, _, n, _ in pieces:
+        if times > 1:
+            yield mark, np.arange(first, first + n, dtype=np.int32)
+    if part < 0:
+        yield from _dealt(pieces, 0, 0, length, limit, 0, files, queue)
+    else:
+        _, half, more = _span(0, 0, length)
+        yield from _dealt(pieces, *((half, 0) if part < FILES else (0, more)), length, limit, 1, files, queue)
 
+
+def _dealt(pieces: _Spool, left: int, right: int, length: int, limit: int, depth: int, files: Files, queue: int):
+    """Windows of pieces that stand once each, dealt to files until each file can be sorted.
+
+    Where nothing is left to deal by, a window is compared as a whole.
+    """
+    span, half, more = _span(left, right, length)
+    sides = [[None] * FILES, [None] * FILES]
+    whole, same = None, 0
     for mark, times, first, place, n, body in pieces:
         if not span:
             whole = body if whole is None else whole
             if body == whole:
                 same += 1
                 continue
-        cut = min(max(place - left - half + 1, 0), n)
-        if cut:
-            deal(0, body[place - left - half : place + GRAM + right], mark, times, first, place, cut, body[: cut + length - 1])
-        if cut < n:
-            deal(1, body[place - left : place + GRAM + more], mark, times, first + cut, place - cut, n - cut, body[cut:])
+        for side, key, *piece in _sides(body, first, place, n, left, right, length):
+            k = _file(key, depth)
+            if sides[side][k] is None:
+                sides[side][k] = _Spool(files)
+            sides[side][k].add(mark, times, *piece)
     if same > 1:
         for mark, times, first, _, _, body in pieces:
             if times == 1 and body == whole:
                 yield mark, np.array([first], np.int32)
-    pieces.file.close()
+    pieces.remove()
     for side, (a, z) in zip(sides, ((left + half, right), (left, more)), strict=True):
         for part in side:
             if part is None:
                 continue
             if part.rows > 1 and part.bytes > limit:
-                yield from _hot(part, a, z, length, limit, depth + 1)
-            elif part.rows > 1:
+                yield from _dealt(part, a, z, length, limit, depth + 1, files, queue)
+                continue
+            if part.rows > 1:
                 rows = list(part)
-                flag, at = _repeats([r[5] for r in rows], length), 0
+                flag, at = _repeats([r[5] for r in rows], length, files, queue), 0
                 for mark, times, first, _, n, body in rows:
                     hit = np.flatnonzero(flag[at : at + n])
                     if times == 1 and len(hit):
                         yield mark, (hit + first).astype(np.int32)
                     at += len(body) + 1
-            part.file.close()
+            part.remove()
 
 
-def _repeats(regions: list[bytes], length: int) -> np.ndarray:
+def _repeats(regions: list[bytes], length: int, files: Files | None = None, queue: int = QUEUE) -> np.ndarray:
     """True where ``length`` bytes start that start elsewhere too; each region has one place more."""
     # 1 ends each region; bytes 0 and 1 become two that no region holds, so lengths stay
     body = np.frombuffer(b"\x00".join(regions) + b"\x00", np.uint8)
@@ -288,7 +360,7 @@ def _repeats(regions: list[bytes], length: int) -> np.ndarray:
             raise ValueError("texts that are not UTF-8")
         text[body == 0], text[body == 1] = free
     text[ends] = 1
-    order, shared = suffix_order(text, length)
+    order, shared = suffix_order(text, length, queue, files)
     near = shared >= length
     flag = np.zeros(len(text), bool)
     flag[order[near]] = True
@@ -296,20 +368,21 @@ def _repeats(regions: list[bytes], length: int) -> np.ndarray:
     return flag
 
 
-def _windows(rows: list[tuple], length: int):
+def _windows(rows: list[tuple], length: int, files: Files, queue: int):
     """Sort the regions of a shard and report windows shared with another place."""
-    alone: dict[int, int] = {}
-    for anchor, *_ in rows:
-        alone[anchor] = alone.get(anchor, 0) + 1
-    out = [(a, m, np.arange(n, dtype=np.int32)) for a, m, times, n, _ in rows if times > 1]
+    alone: dict[tuple, int] = {}
+    for group, *_ in rows:
+        alone[group] = alone.get(group, 0) + 1
+    out = [(group[0], mark, np.arange(first, first + n, dtype=np.int32)) for group, mark, times, first, _, n, _ in rows if times > 1]
+    # a group of one piece has nothing to sort
     sort = [r for r in rows if alone[r[0]] > 1]
     if sort:
-        flag, at = _repeats([r[4] for r in sort], length), 0
-        for anchor, mark, times, n, region in sort:
+        flag, at = _repeats([r[6] for r in sort], length, files, queue), 0
+        for group, mark, times, first, _, n, region in sort:
             if times == 1:
                 hit = np.flatnonzero(flag[at : at + n]).astype(np.int32)
                 if len(hit):
-                    out.append((anchor, mark, hit))
+                    out.append((group[0], mark, hit + np.int32(first)))
             at += len(region) + 1
     yield from _found(out)
 
