@@ -5,7 +5,11 @@ subsequence of them is kept, equal words next to anchors extend them, and the ga
 anchors are aligned the same way.  A template's coverage is the share of its words aligned
 within a stretch of text not much longer than the template.  Where a notice stands more than
 once, or not whole, anchors may be missing or lie across copies; such stretches are searched
-window by window for the longest common subsequence, which is exact.
+window by window for the longest common subsequence, which is exact; so are gaps that hold
+no word unique on both sides.
+
+Templates that have most words in common are variants of each other.  Where variants fit one
+stretch of text, only the one that fits it best is reported, and none if two fit it alike.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of common licenses, by SPDX identifier.
+#: Notices, headers and grants of common licenses, by SPDX identifier.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -31,12 +36,20 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 #: A word: letters and digits, also joined by dots or hyphens.
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 COVERAGE, STRETCH, SPARE = 0.8, 1.5, 4
-#: Alignments nested in each other at most; a gap further in counts as not aligned.
+#: Alignments nested in each other at most; a gap further in is aligned as one without anchors.
 DEPTH = 64
 
 
@@ -77,11 +90,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 >= a1 or b0 >= b1 or not depth:
+        if a0 >= a1 or b0 >= b1:
             continue
         times_a, times_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         once = {b[j]: j for j in range(b0, b1) if times_b[b[j]] == 1 and times_a.get(b[j]) == 1}
-        anchors = _increasing([(i, once[a[i]]) for i in range(a0, a1) if a[i] in once])
+        anchors = _increasing([(i, once[a[i]]) for i in range(a0, a1) if a[i] in once]) if depth else []
         i0, j0 = a0, b0
         for i, j in anchors:
             todo.append((i0, i, j0, j, depth - 1))
@@ -89,9 +102,35 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             i0, j0 = i + 1, j + 1
         if anchors:
             todo.append((i0, a1, j0, b1, depth - 1))
+        elif times_a.keys() & times_b.keys():
+            found += [(a0 + i, b0 + j) for i, j in subsequence(a[a0:a1], b[b0:b1])]
     return sorted(found)
 
 
+def subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; a row of bits for each word of ``a``."""
+    masks = _masks(b)
+    row = full = (1 << len(b)) - 1
+    rows = [row]
+    for w in a:
+        u = row & masks.get(w, 0)
+        row = ((row + u) | (row - u)) & full
+        rows.append(row)
+    # a bit is missing where the row's length grows; the last place that has it holds a pair
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+            continue
+        low = (1 << j) - 1
+        if (rows[i - 1] & low).bit_count() == (rows[i] & low).bit_count():
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def places(text: list[str], template: list[str], rare: set[str]) -> list[tuple[int, int]]:
     """Stretches of the text around each occurrence of one of the template's rare words."""
     reach = math.ceil(STRETCH * len(template)) + SPARE
@@ -179,6 +218,11 @@ class Templates:
             # with these left out, too few words remain for the coverage
             spare = len(w) - math.ceil(coverage * len(w)) + 1
             self.rare[k] = set(sorted(w, key=lambda x: (-len(x), x))[:spare])
+        self.variants: dict[str, list[str]] = {}
+        for k, w in self.words.items():
+            for other, v in self.words.items():
+                if k != other and len(subsequence(w, v)) >= math.ceil(coverage * max(len(w), len(v))):
+                    self.variants.setdefault(k, []).append(other)
         self.finder = ahocorasick.Automaton()
         by = defaultdict(list)
         for k, rare in self.rare.items():
@@ -197,23 +241,40 @@ class Templates:
             return []
         found = words(text)
         plain = [w for w, _, _ in found]
+        fits = {k: self._fits(plain, k) for k in sorted(maybe)}
         out = []
-        for k in sorted(maybe):
-            template = self.words[k]
-            least, times, best = max(1, math.ceil(self.coverage * len(template))), Counter(template), None
-            for begin, end in places(plain, template, self.rare[k]):
-                have = Counter(w for w in plain[begin:end] if w in times)
-                if (have & times).total() < least:
-                    continue
-                pairs = _densest(align(plain[begin:end], template), len(template))
-                if len(pairs) == len(template) and any(have[w] == n for w, n in times.items()):
-                    hit = (len(pairs), pairs[0][0], pairs[-1][0] + 1)  # whole, and no other copy
-                else:
-                    hit = best_window(plain[begin:end], template, least)
-                if hit and hit[0] >= least:
-                    best, least = (hit[0], begin + hit[1], begin + hit[2]), hit[0] + 1
-            if best:
-                out.append((k, best[0] / len(template), best[0], found[best[1]][1], found[best[2] - 1][2]))
+        for k, hits in fits.items():
+            own = len(self.words[k])
+            for other in self.variants.get(k, ()):
+                rivals, n = fits.get(other, []), len(self.words[other])
+                hits = [h for h in hits if not any(r[1] < h[2] and h[1] < r[2] and (r[0] / n, r[0]) >= (h[0] / own, h[0]) for r in rivals)]
+            if hits:
+                best = max(hits, key=lambda h: (h[0], -h[1]))
+                out.append((k, best[0] / own, best[0], found[best[1]][1], found[best[2] - 1][2]))
+        return out
+
+    def _fits(self, plain: list[str], k: str) -> list[tuple[int, int, int]]:
+        """``(n, begin, end)`` of stretches aligned well enough: the best one, or all if there are variants."""
+        template = self.words[k]
+        least, times, out = max(1, math.ceil(self.coverage * len(template))), Counter(template), []
+        todo = places(plain, template, self.rare[k])[::-1]
+        while todo:
+            begin, end = todo.pop()
+            have = Counter(w for w in plain[begin:end] if w in times)
+            if (have & times).total() < least:
+                continue
+            pairs = _densest(align(plain[begin:end], template), len(template))
+            if len(pairs) == len(template) == pairs[-1][0] + 1 - pairs[0][0]:
+                hit = (len(pairs), pairs[0][0], pairs[-1][0] + 1)  # word for word
+            else:
+                hit = best_window(plain[begin:end], template, least)
+            if not hit or hit[0] < least:
+                continue
+            out.append((hit[0], begin + hit[1], begin + hit[2]))
+            if k in self.variants:  # there may be others beside it that no variant fits better
+                todo += [(begin + hit[2], end), (begin, begin + hit[1])]
+            else:
+                least = hit[0] + 1
         return out
 
 

@@ -51,3 +51,32 @@ def test_windows_are_exact():
         n, begin, end = got
         assert n == most == _longest(text[begin:end], template) and end - begin <= size
         assert licenses.best_window(text, template, most + 1) is None
+
+
+def test_variants_and_gaps_without_anchors(spark):
+    by, nc = licenses.TEMPLATES["CC-BY-4.0"], licenses.TEMPLATES["CC-BY-NC-4.0"]
+    gpl, lesser, affero = (licenses.TEMPLATES[f"{k}-3.0-header"] for k in ("GPL", "LGPL", "AGPL"))
+    texts = [by, nc, f"foo {by} x y z {nc}", f"{nc} {by}", "Licensed under CC 4.0.", gpl, lesser, affero, gpl.replace("This program", "Foo"), gpl.replace("version 3", "version 2")]
+    want = [{"CC-BY-4.0"}, {"CC-BY-NC-4.0"}, {"CC-BY-4.0", "CC-BY-NC-4.0"}, {"CC-BY-4.0", "CC-BY-NC-4.0"}, set(), {"GPL-3.0-header"}, {"LGPL-3.0-header"}, {"AGPL-3.0-header"}, {"GPL-3.0-header"}, {"GPL-2.0-header"}]
+    rows = spark.createDataFrame([(k, "a b " * 30 + t + " c d" * 30, "x", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, license string, coverage double")
+    got = {}
+    for r in licenses.scan(rows).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [got.get(k, set()) for k in range(len(texts))] == want
+    assert len(licenses.align("x a b a b y".split(), "p a b a b q".split())) == 4
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = [rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(1, 12))]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        pairs = licenses.subsequence(a, b)
+        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(set(pairs))
+
+
+def test_very_long_text_and_ties(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(1, "word " * 200_000 + mit + " word" * 10), (2, mit + " and " * 40 + mit), (2, mit), (None, mit), (3, "Released under the MIT")]
+    got = sorted((str(r.doc_id), r.license, r.coverage, r.begin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", "MIT", 1.0, 1_000_000), ("2", "MIT", 1.0, 0), ("2", "MIT", 1.0, 0), ("3", "MIT", 0.8, 0), ("None", "MIT", 1.0, 0)]
