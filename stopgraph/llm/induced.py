@@ -3,7 +3,8 @@
 Suffixes are typed S or L as in induced sorting.  The substrings between LMS positions are
 sorted by an induction and named; where names repeat, the string of names is sorted by the
 same procedure, a level further down, and the order of the LMS suffixes found there seeds
-the induction of all others.  Values of what neighbours share go the same way: those of the
+the induction of all others.  A string of no more than ``BASE`` names ends the recursion and
+is sorted in memory.  Values of what neighbours share go the same way: those of the
 names are turned into characters, and each induced suffix shares one character more with
 the one before it in its bucket than the least of what lies between their inducers.
 
@@ -21,6 +22,8 @@ import uuid
 import numpy as np
 import pyarrow.fs
 
+#: Names that are sorted in memory, by doubling, where the recursion ends.
+BASE = 1 << 18
 #: Tuples that a run in a file is read by, and that a batch has at least and at most.
 BLOCK, BATCH = 1 << 14, (64, 1 << 15)
 _TUPLE = np.dtype([("key", "<i4"), ("position", "<i4"), ("shared", "u1")])
@@ -79,11 +82,10 @@ class TupleQueue:
         self.runs: list[_Run] = []
 
     def push(self, key: np.ndarray, position: np.ndarray, shared: np.ndarray) -> None:
-        """Add tuples; of equal keys those added first come first."""
+        """Add tuples in order of their keys; of equal keys those added first come first."""
         if not len(key):
             return
-        order = np.argsort(key, kind="stable")
-        self.runs.append(_Run(key[order], position[order], shared[order]))
+        self.runs.append(_Run(key, position, shared))
         # runs in memory grow from the last to the first, so they are few
         while len(self.runs) > 1 and self.runs[-2].path is None and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
             b, a = self.runs.pop(), self.runs.pop()
@@ -119,25 +121,29 @@ class TupleQueue:
 
     def peek(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The first tuples, some ``n`` of them, and the run that each is in."""
-        keys, bound, block = [], None, max(BATCH[0], n // max(1, len(self.runs)))
+        bound, block = None, max(BATCH[0], n // max(1, len(self.runs)))
         for k, run in enumerate(self.runs):
             self._fill(run, block)
-            head = run.key[run.at : run.at + block]
-            if len(run) > block and (bound is None or head[-1] < bound[0]):
-                bound = (int(head[-1]), k)
-            keys.append(head)
-        if not keys:
+            if len(run) > block and (bound is None or run.key[run.at + block - 1] < bound[0]):
+                bound = (run.key[run.at + block - 1], k)
+        key, position, shared, which = [], [], [], []
+        for k, run in enumerate(self.runs):
+            end = min(run.at + block, len(run.key))
+            if bound is not None:  # beyond that key some run may have more than was looked at
+                end = run.at + int(np.searchsorted(run.key[run.at : end], bound[0], "right" if k <= bound[1] else "left"))
+            if end > run.at:
+                key.append(run.key[run.at : end])
+                position.append(run.position[run.at : end])
+                shared.append(run.shared[run.at : end])
+                which.append(np.full(end - run.at, k, np.uint8))
+        if len(key) == 1:
+            return key[0], position[0], shared[0], which[0]
+        if not key:
             none = np.zeros(0, np.int32)
             return none, none, np.zeros(0, np.uint8), none
-        which = np.repeat(np.arange(len(keys)), [len(h) for h in keys])
-        key = np.concatenate(keys)
-        position = np.concatenate([r.position[r.at : r.at + block] for r in self.runs])
-        shared = np.concatenate([r.shared[r.at : r.at + block] for r in self.runs])
-        if bound is not None:  # beyond that key some run may have more than was looked at
-            known = (key < bound[0]) | ((key == bound[0]) & (which <= bound[1]))
-            key, position, shared, which = key[known], position[known], shared[known], which[known]
+        key = np.concatenate(key)
         order = np.argsort(key, kind="stable")
-        return key[order], position[order], shared[order], which[order]
+        return key[order], np.concatenate(position)[order], np.concatenate(shared)[order], np.concatenate(which)[order]
 
     def drop(self, which: np.ndarray) -> None:
         """Take out the first tuples; ``which`` tells their runs."""
@@ -151,38 +157,45 @@ class TupleQueue:
 
 
 class Minima:
-    """Least values of ranges of a sequence that grows at its end."""
-
-    def __init__(self, n: int):
-        self.level = [np.full(n + n % 2, 255, np.uint8)]
-        while len(self.level[-1]) > 2:
-            half = len(self.level[-1]) // 2
-            self.level.append(np.full(half + half % 2, 255, np.uint8))
-
-    def put(self, at: int, values: np.ndarray) -> None:
-        a, z = at, at + len(values)
-        self.level[0][a:z] = values
-        for below, here in zip(self.level, self.level[1:], strict=False):
-            a, z = a // 2, (z + 1) // 2
-            here[a:z] = np.minimum(below[2 * a : 2 * z : 2], below[2 * a + 1 : 2 * z : 2])
-
-    def least(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The least of each range from ``begin`` to before ``end``; none of them is empty."""
-        out, a, z = np.full(len(begin), 255, np.uint8), begin, end
-        open_ = np.arange(len(begin))
-        for level in self.level:
-            odd = (a & 1) == 1
-            out[open_[odd]] = np.minimum(out[open_[odd]], level[a[odd]])
-            odd = (z & 1) == 1
-            out[open_[odd]] = np.minimum(out[open_[odd]], level[z[odd] - 1])
-            a, z = (a + 1) >> 1, z >> 1
-            more = a < z
-            if not more.all():
-                open_, a, z = open_[more], a[more], z[more]
-            if not len(open_):
-                break
+    """Least values of ranges of a sequence that grows by batches, each ending in the last batch.
+
+    Of what came before a batch only the places are kept after which all values are larger:
+    no more than there are values.
+    """
+
+    def __init__(self):
+        self.place, self.value, self.n = np.zeros(0, np.int64), np.zeros(0, np.uint8), 0
+
+    def least(self, batch: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The least from ``begin``, anywhere, to ``end``, in the batch to be added; none is empty."""
+        end = end - self.n
+        out = np.minimum.accumulate(batch)[end]
+        early = np.flatnonzero(begin < self.n)
+        if len(early):
+            at = np.searchsorted(self.place, begin[early])
+            out[early] = np.minimum(out[early], self.value[at])
+        late = np.flatnonzero(begin > self.n)
+        if len(late):
+            a, z = begin[late] - self.n, end[late]
+            power = np.frexp(z - a + 1)[1] - 1  # the longest power of two within
+            got, row = np.empty(len(late), np.uint8), batch
+            for k in range(int(power.max()) + 1):
+                if k:
+                    row = np.minimum(row[: len(row) - (1 << k - 1)], row[1 << k - 1 :])
+                here = np.flatnonzero(power == k)
+                got[here] = np.minimum(row[a[here]], row[z[here] + 1 - (1 << k)])
+            out[late] = got
         return out
 
+    def add(self, batch: np.ndarray) -> None:
+        """Append the batch; the places kept have values that grow towards the end."""
+        back = np.minimum.accumulate(batch[::-1])
+        first = np.flatnonzero(np.r_[True, back[1:] < back[:-1]])[::-1]
+        kept = int(np.searchsorted(self.value, back[-1]))
+        self.place = np.concatenate([self.place[:kept], self.n + len(batch) - 1 - first])
+        self.value = np.concatenate([self.value[:kept], back[first]])
+        self.n += len(batch)
+
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last counts as smaller."""
@@ -231,20 +244,22 @@ def _scan(text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], small: np.ndar
     Rising scans induce L suffixes and falling ones S suffixes.  In the bucket of a character
     induced suffixes come before seeds, so their keys are even and those of seeds odd.
     """
-    top, n = int(text.max()), len(text)
+    top = int(text.max())
     queue = TupleQueue(budget, files)
     number = (lambda c: 2 * (top - c.astype(np.int32))) if falling else (lambda c: 2 * c.astype(np.int32))
     queue.push(number(text[seeds[0]]) + np.int32(1), seeds[0].astype(np.int32), seeds[1].astype(np.uint8))
     never = np.iinfo(np.int32).max
-    minima, last = (Minima(n + len(seeds[0])), np.full(2 * top + 2, -1, np.int64)) if carry else (None, None)
+    # the key of what each suffix induces
+    induces = np.full(len(text), never, np.int32)
+    some = np.flatnonzero(small[:-1] == falling)
+    induces[some + 1] = number(text[some])
+    minima, last = Minima(), np.full(2 * top + 2, -1, np.int64)
     found, found_shared, scanned, before_key, before_at, size = [], [], 0, -2, 0, 1024
     while True:
         key, position, shared, which = queue.peek(size)
         if not len(key):
             break
-        ahead = np.maximum(position - 1, 0)
-        chars = text[ahead]
-        target = np.where((position > 0) & (small[ahead] == falling), number(chars), never)
+        target = induces[position]
         # a batch ends before the first tuple that one of its own comes before
         early = np.flatnonzero(np.minimum.accumulate(target)[:-1] < key[1:])
         m = int(early[0]) + 1 if len(early) else len(key)
@@ -262,7 +277,6 @@ def _scan(text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], small: np.ndar
                 shared[joint] = shared_prefix(text, two[joint], position[joint], cap)
             shared[(one >> 1) != (key >> 1)] = 0  # another first character
             before_key, before_at = int(key[-1]), int(position[-1])
-            minima.put(scanned, shared)
             if len(hits):
                 order = np.argsort(target[hits], kind="stable")
                 t, at = target[hits][order], hits[order] + scanned
@@ -274,10 +288,12 @@ def _scan(text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], small: np.ndar
                 # one character more than the least in between; nothing is before a bucket's first
                 some = since >= 0
                 gap = np.zeros(len(t), np.uint8)
-                gap[some] = np.minimum(minima.least(since[some] + 1, at[some] + 1), cap - 1) + np.uint8(1)
+                gap[some] = np.minimum(minima.least(shared, since[some] + 1, at[some]), cap - 1) + np.uint8(1)
                 queue.push(t, position[hits][order] - np.int32(1), gap)
+            minima.add(shared)
         else:
-            queue.push(target[hits], position[hits] - np.int32(1), np.zeros(len(hits), np.uint8))
+            order = np.argsort(target[hits], kind="stable")
+            queue.push(target[hits][order], position[hits][order] - np.int32(1), np.zeros(len(hits), np.uint8))
         scanned += m
         found.append(position[~seed])
         found_shared.append(shared[~seed])
@@ -295,8 +311,8 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, shared: np.nda
     return large, large_shared, np.r_[last, less[::-1]], up
 
 
-def _named(text: np.ndarray, lms: np.ndarray, in_order: np.ndarray, cap: int) -> np.ndarray:
-    """The rank of each LMS position's substring among all, equal ones alike, from one on."""
+def _named(text: np.ndarray, lms: np.ndarray, in_order: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each LMS position's substring among all, equal ones alike, from one on; and places in that order."""
     index = np.searchsorted(lms, in_order)
     length = np.diff(np.r_[lms, len(text) - 1])[index]
     a, b, n = in_order[:-1], in_order[1:], length[1:]
@@ -313,7 +329,7 @@ def _named(text: np.ndarray, lms: np.ndarray, in_order: np.ndarray, cap: int) ->
     new[0] = True
     out = np.empty(len(lms), np.int32)
     out[index] = np.cumsum(new)
-    return out
+    return out, index
 
 
 def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +343,7 @@ def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tupl
     *_, in_order, _ = _induce(text, small, by_char, np.zeros(len(lms), np.uint8), cap, budget, files, False)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    name = _named(text, lms, in_order[is_lms[in_order]], cap)
+    name, ranked = _named(text, lms, in_order[is_lms[in_order]], cap)
     # a level down: its last character, the last suffix's name, is the least and occurs once
     # and only names that repeat, and those next to them, need be looked at: a name that
     # occurs once ends any comparison
@@ -336,13 +352,15 @@ def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tupl
     kept[1:] |= ~once[:-1]
     kept[-1] = True
     kept = np.flatnonzero(kept)
-    rank, alike = np.zeros(len(lms), np.int32), np.zeros(len(lms), np.uint8)
+    alike = np.zeros(len(lms), np.uint8)
     if len(kept) > 1:
         used = np.zeros(int(name.max()) + 1, np.int32)
         used[name[kept]] = 1
-        below, names = _order(np.cumsum(used, dtype=np.int32)[name[kept]], cap // 2 + 2, budget, files)
-        rank[kept[below]], alike[kept[below]] = np.arange(len(kept), dtype=np.int32), names
-    ranked = np.lexsort((rank, name))
+        string = np.cumsum(used, dtype=np.int32)[name[kept]]
+        below, names = _doubled(string, cap // 2 + 2) if len(string) <= BASE else _order(string, cap // 2 + 2, budget, files)
+        found = kept[below]
+        alike[found] = names
+        ranked[~once[ranked]] = found[~once[found]]  # both by name; there also by what follows
     names = np.where(once[ranked], 0, alike[ranked]).astype(np.int64)
     # equal names up to the end of the k-th substring
     at = lms[ranked]
@@ -352,7 +370,7 @@ def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tupl
     if len(lms) > 1:
         shared[1:] = shared_prefix(text, at[:-1], at[1:], cap, known[1:])
     large, large_shared, less, less_shared = _induce(text, small, at, shared, cap, budget, files, True)
-    key = np.concatenate([2 * text[large].astype(np.int64), 2 * text[less].astype(np.int64) + 1])
+    key = np.concatenate([2 * text[large].astype(np.int32), 2 * text[less].astype(np.int32) + np.int32(1)])
     place = np.argsort(key, kind="stable")
     key, order = key[place], np.concatenate([large, less])[place]
     prefix = np.concatenate([large_shared, less_shared])[place]
@@ -362,6 +380,25 @@ def _order(text: np.ndarray, cap: int, budget: int, files: Files | None) -> tupl
     return order, prefix
 
 
+def _doubled(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_order`, in memory, by doubling the length that ranks tell apart."""
+    n = len(text)
+    rank, reach = np.zeros(n + 1, np.int64), 1
+    rank[:-1] = text.astype(np.int64) + 1
+    order = np.argsort(rank[:-1], kind="stable")
+    while reach < cap:
+        key = rank[:-1] * (int(rank.max()) + 1) + rank[np.minimum(np.arange(n) + reach, n)]
+        order = np.argsort(key, kind="stable")
+        got = key[order]
+        rank[order] = np.cumsum(np.r_[True, got[1:] != got[:-1]])
+        reach *= 2
+        if rank.max() == n:
+            break
+    shared = np.zeros(n, np.uint8)
+    shared[1:] = shared_prefix(text, order[:-1], order[1:], cap)
+    return order.astype(np.int32), shared
+
+
 def suffix_order(text: np.ndarray, cap: int = 200, budget: int = 64 << 20, files: Files | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order, and what each shares with the one before it.
 

@@ -31,7 +31,9 @@ GRAM, CHUNK, SHARD = 32, 1 << 20, 2 << 20
 #: Tasks, and then files of a task, on each side that an anchor of more than a shard is dealt to.
 FILES = 16
 #: Bytes of tuples that a queue of the induction holds before it writes runs to files.
-QUEUE = 8 << 20
+QUEUE = 16 << 20
+#: Bytes of an anchor's regions, copies counted, from which on they are dealt to several tasks.
+LARGE = 32 * SHARD
 _BYTE = mix((np.arange(256).astype(np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = 0xA0761D6478BD642F
 _PLACE = (1 << 24) - 1
@@ -120,7 +122,7 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
     found = scratch.table(texts.select("sha", "text").mapInArrow(find, "anchor long, sha binary, begin int, n int"), "anchors")
     times = found.groupBy("anchor").agg(F.count("*").alias("times"), F.sum(F.col("n").cast("long") + length - 1).alias("bytes")).where("times > 1")
     times = scratch.table(times, "times")
-    again = times.select("anchor", (F.col("bytes") > SHARD).alias("large"))
+    again = times.select("anchor", (F.col("bytes") > LARGE).alias("large"))
     followed = spread_join(found, again, ["anchor"], times, found.count(), "sha").groupBy("sha").agg(F.collect_list(F.struct("anchor", "begin", "n", "large")).alias("runs"))
 
     def cut(batches):

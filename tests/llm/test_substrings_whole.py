@@ -91,6 +91,7 @@ def test_runs_of_nearly_the_length(spark):
 
 def test_many_documents_share_a_passage(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD", 30_000)
+    monkeypatch.setattr(substrings, "LARGE", 30_000)
     rng = random.Random(13)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, line = word(400), word(120)
