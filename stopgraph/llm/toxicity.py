@@ -1,15 +1,19 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 Voters look at a text and vote toxic, clean or nothing: word lists of several languages,
-words and word beginnings mined from the labelled rows, and patterns.  A generative model estimates
-how often each voter is right in either class and how voters are correlated given the class
-(by expectation maximisation, labelled rows keeping their label), and its posterior
-probabilities are what a logistic classifier over the words and votes is trained on.
+terms mined from the labelled rows (words and word beginnings, and beginnings that stand
+several times in one text), and patterns.  A generative model of the votes alone estimates
+how often each voter is right in either class and how voters hang together: given the class
+the votes form trees, each one's probability depending on the vote that it is correlated
+with most.  Class and tree are estimated by expectation maximisation, without the labels,
+and the model's posterior probabilities are what a logistic classifier over terms and votes
+is trained on.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
@@ -30,14 +34,19 @@ LEXICONS = {
 }
 #: Labelled rows that the models are fitted to at most, chosen by a hash of their id.
 FIT_ROWS = 20_000
-#: Candidates and chosen ones of the mined terms at most, voters that they are dealt to, and
+#: Candidates and chosen ones of the mined terms at most, those of them that vote, and
 #: labelled documents that a term needs.
-MINED, CHOSEN, GROUPS, SUPPORT = 4000, 400, 24, 3
+MINED, CHOSEN, VOTERS, SUPPORT = 4000, 400, 40, 3
 #: Share of the labelled documents with a mined term that are toxic, at least.
-PRECISION = 0.97
-#: Terms that should vouch for each toxic document, and lengths of word beginnings.
-NEED, BEGINNINGS = 5, (4, 5, 6)
-ROUNDS, STEPS, PENALTY = 25, 400, 1e-3
+PRECISION = 0.9
+#: Terms that should vouch for each toxic document, lengths of word beginnings, and times
+#: that a beginning stands in a text.
+NEED, BEGINNINGS, TIMES = 5, (4, 5, 6, 7), (2, 3)
+#: Rounds of the label model, and rounds after which its tree is chosen anew.
+ROUNDS, REGROW = 24, 6
+#: Mutual information (nats) given the class from which on two voters depend on each other.
+DEPENDS = 0.05
+STEPS, PENALTY = 400, 1e-3
 #: Steepness of the score about its border.
 SHARP = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,12 +66,13 @@ class Model:
 
 
 def _matcher(terms: list[str]):
-    """Finds terms: words, or beginnings of longer words where a term ends in '*'."""
+    """Finds terms: words, or beginnings of longer words ('*'), or those several times ('*2')."""
     if not terms:
         return None
-    ends: dict[str, list[tuple[int, bool]]] = {}
+    ends: dict[str, list[tuple[int, bool, int]]] = {}
     for k, t in enumerate(terms):
-        ends.setdefault(t.rstrip("*"), []).append((k, t.endswith("*")))
+        word, star, times = t.partition("*")
+        ends.setdefault(word, []).append((k, bool(star), int(times or 1)))
     found = ahocorasick.Automaton()
     for w, kinds in ends.items():
         found.add_word(w, (len(w), kinds))
@@ -71,32 +81,33 @@ def _matcher(terms: list[str]):
 
 
 def present(text: str, matcher) -> set[int]:
-    """Which of the matcher's terms stand in ``text``."""
+    """Which of the matcher's terms stand in ``text``, as often as they have to."""
     if matcher is None:
         return set()
-    low, out = text.lower(), set()
+    low, left = text.lower(), {}
     for end, (n, kinds) in matcher.iter(low):
         begin = end - n + 1
         if begin and low[begin - 1].isalpha():
             continue
         more = end + 1 < len(low) and low[end + 1].isalpha()
-        out.update(k for k, start in kinds if start == more)
-    return out
+        for k, start, times in kinds:
+            if start == more:
+                left[k] = left.get(k, times) - 1
+    return {k for k, n in left.items() if n <= 0}
 
 
 def _listed() -> list[str]:
     return [w for words in LEXICONS.values() for w in words.split()]
 
 
-def votes(attack: int, chars: int, listed: set[int], mined: set[int]) -> np.ndarray:
-    """One of -1 (clean), 0 and 1 (toxic) from each voter."""
+def votes(attack: int, chars: int, listed: set[int], mined: set[int], voters: int = VOTERS) -> np.ndarray:
+    """One of -1 (clean), 0 and 1 (toxic) from each voter; terms numbered below ``voters`` vote."""
     out, at = [], 0
     for words in LEXICONS.values():
         n = len(words.split())
         out.append(int(any(at <= k < at + n for k in listed)))
         at += n
-    groups = {k % GROUPS for k in mined}
-    out += [int(g in groups) for g in range(GROUPS)]
+    out += [int(k in mined) for k in range(voters)]
     out.append(1 if len(mined) + len(listed) > 2 else 0)  # several hits
     out.append(-1 if not mined and not listed else 0)  # none
     out.append(1 if attack and listed else 0)  # an insult and an address
@@ -111,8 +122,10 @@ def _mine(sample: DataFrame) -> list[str]:
         seen: dict[str, list[int]] = {}
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall((text or "").lower()) if 2 < len(w) < 40}
-                for w in words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}:
+                words = [w for w in _WORD.findall((text or "").lower()) if 2 < len(w) < 40]
+                begun = Counter(w[:n] for w in words for n in BEGINNINGS if len(w) > n)
+                terms = set(words) | {w + "*" for w in begun} | {f"{w}*{k}" for w, n in begun.items() for k in TIMES if n >= k}
+                for w in terms:
                     seen.setdefault(w, [0, 0])[label] += 1
             if len(seen) > 200_000:
                 yield _counts(seen)
@@ -155,7 +168,7 @@ def _choose(rows: list[list[int]], label: list[int], n: int) -> list[int]:
         chosen.append(k)
         need[having[k]] -= 1
         gain[k] = -np.inf
-    return sorted(chosen)
+    return chosen
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
@@ -163,33 +176,76 @@ def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w][0] for w in words], pa.int64()), pa.array([seen[w][1] for w in words], pa.int64())], ["word", "clean", "toxic"])
 
 
-def label_model(given: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tree(pairs: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the forest of most mutual information given the class; -1 for a root.
+
+    Pairs with less than ``DEPENDS`` of it count as independent.
+
+    ``pairs[c, j, v, k, w]`` is the probability of class c with votes v of j and w of k.
+    """
+    m = pairs.shape[1]
+    within = pairs / pairs[:, :, :, :1].sum((2, 4), keepdims=True)  # given the class
+    one, other = within.sum(4, keepdims=True), within.sum(2, keepdims=True)
+    share = pairs[:, 0, :, 0].sum((1, 2))
+    gain = np.einsum("c,cjvkw->jk", share, within * np.log(within / (one * other)))
+    parent, best = np.full(m, -1), gain[0].copy()
+    nearest, inside = np.zeros(m, int), np.zeros(m, bool)
+    inside[0] = True
+    for _ in range(m - 1):
+        k = int(np.where(inside, -np.inf, best).argmax())
+        parent[k], inside[k] = nearest[k] if best[k] >= DEPENDS else -1, True
+        closer = gain[k] > best
+        best[closer], nearest[closer] = gain[k][closer], k
+    return parent
+
+
+def label_model(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row, the voters' accuracies and their correlations.
 
-    ``accuracy[c, j, v]`` is the probability of vote v - 1 of voter j in class c.  Votes
-    correlated given the class count less: a voter's log odds are divided by one plus its
-    correlations with the others.  A row's label is one more voter, right nine times of ten.
+    ``accuracy[c, j, v]`` is the probability of vote v - 1 of voter j in class c.  Given the
+    class, votes are trees: a vote depends on its parent's, so what a voter only repeats
+    counts once.  Rows start from the balance of their votes; no label is looked at.
     """
     n, m = given.shape
-    trust = np.where(label == 1, np.log(9.0), -np.log(9.0))
-    post = np.where(label == 1, 0.9, 0.1)
-    onehot = np.stack([given == v for v in (-1, 0, 1)], 2).astype(float)
-    accuracy, corr = np.full((2, m, 3), 1 / 3), np.eye(m)
-    for _ in range(ROUNDS):
-        mass = np.stack([1 - post, post])
-        accuracy = (np.einsum("cn,nmv->cmv", mass, onehot) + 0.5) / (mass.sum(1)[:, None, None] + 1.5)
-        corr = np.zeros((m, m))
-        for c in (0, 1):
-            centred = given - (mass[c][:, None] * given).sum(0) / max(mass[c].sum(), 1e-9)
-            cov = (centred * mass[c][:, None]).T @ centred / max(mass[c].sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr += mass[c].sum() / n * np.where((sd[:, None] > 1e-5) & (sd[None] > 1e-5), cov / np.outer(sd, sd), 0)
-        shrink = 1 + np.maximum(np.abs(corr) - 0.1, 0).sum(1) - np.maximum(np.abs(np.diag(corr)) - 0.1, 0)
-        odds = np.log(accuracy[1]) - np.log(accuracy[0])
+    onehot = np.stack([given == v for v in (-1, 0, 1)], 2).astype(np.float32)
+    flat = onehot.reshape(n, 3 * m)
+    # voters that go together from the start share a vote
+    sd = given.std(0)
+    centred = (given - given.mean(0)) / np.where(sd > 0, sd, 1)
+    weight = 1 / np.maximum(((centred.T @ centred / n) ** 4).sum(1), 1)
+    balance = given @ weight
+    post = np.where(balance > 1.25, 0.9, np.where(balance > 0, 0.6, 0.05))
+    parent = np.full(m, -1)
+    for turn in range(ROUNDS):
+        mass = np.stack([1 - post, post]).astype(np.float32)
+        pairs = np.stack([(flat * w[:, None]).T @ flat for w in mass]).reshape(2, m, 3, m, 3).astype(float)
+        pairs = (pairs + 0.05) / (n + 0.9)
+        if turn % REGROW == 0:
+            parent = _tree(pairs)
         share = np.clip(mass.sum(1) / n, 1e-3, 1)
-        logit = np.log(share[1] / share[0]) + trust + np.einsum("nmv,mv->n", onehot, odds / shrink[:, None])
+        accuracy = pairs[:, :, :, 0].sum(3)
+        accuracy /= accuracy.sum(2, keepdims=True)
+        logit = np.full(n, np.log(share[1] / share[0]))
+        for j in range(m):
+            if parent[j] < 0:
+                odds = np.log(accuracy[1, j] / accuracy[0, j])
+                logit += onehot[:, j] @ odds
+            else:
+                both = pairs[:, j, :, parent[j]]
+                both = both / both.sum(1, keepdims=True)  # of the vote, given class and parent's vote
+                odds = np.log(both[1] / both[0])
+                logit += np.einsum("nv,vw,nw->n", onehot[:, j], odds, onehot[:, parent[j]])
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, accuracy, corr
+    corr = np.zeros((m, m))
+    for c in (0, 1):
+        centred = given - (mass[c][:, None] * given).sum(0) / max(mass[c].sum(), 1e-9)
+        cov = (centred * mass[c][:, None]).T @ centred / max(mass[c].sum(), 1e-9)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        corr += mass[c].sum() / n * np.where((sd[:, None] > 1e-5) & (sd[None] > 1e-5), cov / np.outer(sd, sd), 0)
+    held = np.eye(m, dtype=bool)
+    linked = np.flatnonzero(parent >= 0)
+    held[linked, parent[linked]] = held[parent[linked], linked] = True
+    return post, accuracy, np.where(held, corr, 0)  # the model's correlations are those of its trees
 
 
 def _features(word_rows: list[list[int]], given: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,14 +310,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     scratch.drop("labelled")
     seen.sort(key=lambda r: (r.terms, r.listed, r.attack, r.chars, r.toxic))
     chosen = _choose([r.terms for r in seen], [r.toxic for r in seen], len(candidates))
+    # in the order they were chosen: the first cover most, and vote
     words, rank = [candidates[k] for k in chosen], {k: j for j, k in enumerate(chosen)}
     mined = [sorted(rank[k] for k in r.terms if k in rank) for r in seen]
-    m = len(LEXICONS) + GROUPS + 4
-    prior = np.concatenate([np.full(len(LEXICONS), 4.0), np.full(GROUPS, 0.0), [0.5, 0.0, 1.0, 0.0]])
+    m = len(LEXICONS) + VOTERS + 4
+    prior = np.concatenate([np.full(len(LEXICONS), 4.0), np.full(VOTERS, 0.0), [0.5, 0.0, 1.0, 0.0]])
     if not any(r.toxic == 1 for r in seen) or not any(r.toxic == 0 for r in seen):
         return Model([], np.zeros(0), prior, -3.0, np.full((2, m, 3), 1 / 3), np.eye(m))
     given = np.array([votes(r.attack, r.chars, set(r.listed), set(w)) for r, w in zip(seen, mined, strict=True)])
-    post, accuracy, corr = label_model(given.astype(float), np.array([r.toxic for r in seen]))
+    post, accuracy, corr = label_model(given.astype(float))
     w, u, bias = _train(mined, given, post, len(words))
     # a list that no labelled row holds keeps a weight of its own
     unseen = (given[:, : len(LEXICONS)] == 0).all(0)

@@ -176,6 +176,20 @@ def test_top_k(spark):
     assert topk.top_k(spark, table.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEPS", (1, 3))
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 30)), [float(x) for x in rng.integers(-3, 4, 3)]) for _ in range(300)] + [(40, [1.0, 2.0, 3.0])] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            score = sorted((-sum(64 * x * 64 * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(rows) if b != a)[:20]
+            want += [(q, k + 1, i, int(-s)) for k, (s, i) in enumerate(score)]
+    got = [tuple(r) for r in topk.top_k(spark, table, F.col("id") % 20 == 0).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pq(spark):
     rows, table = _vectors(spark)
     got = {r.vec_id: tuple(r)[1:] for r in pq.near_duplicates(spark, table).collect() if r.vec_id is not None}
@@ -258,6 +272,42 @@ def test_licenses(spark, docs, empty):
         assert len(pairs) == table[20][20] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(set(pairs))
 
 
+def _held_out(spark, query, label):
+    """Precision, recall and the share of pairs in the right order on the fold never learnt from."""
+    from stopgraph.llm import registry
+
+    sf = "/root/testdata/sf0.1"
+    rows = registry.QUERIES[query](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", label).collect()
+    good = np.array([r.score for r in rows if r[label] == 1])
+    bad = np.array([r.score for r in rows if r[label] == 0])
+    order = ((good[:, None] > bad[None]).mean() + (good[:, None] >= bad[None]).mean()) / 2
+    hits, given = sum(r.predicted and r[label] for r in rows), sum(r.predicted for r in rows)
+    return hits / given, hits / len(good), order
+
+
+def test_toxicity_on_held_out_rows(spark):
+    precision, recall, order = _held_out(spark, "op7_toxicity", "toxic")
+    assert precision >= 0.95 and recall >= 0.85 and order >= 0.94
+
+
+def test_quality_on_held_out_rows(spark):
+    precision, recall, order = _held_out(spark, "op8_quality", "quality")
+    assert precision >= 0.98 and recall >= 0.98 and order >= 0.99
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    rng = np.random.default_rng(3)
+    y = rng.random(6000) < 0.2
+    said = lambda p, q: np.where(y, rng.random(6000) < p, rng.random(6000) < q)
+    one, two, three, four = said(0.9, 0.02), said(0.7, 0.05), said(0.6, 0.01), said(0.8, 0.1)
+    copy = np.where(rng.random(6000) < 0.95, four, said(0.8, 0.1))  # repeats the fourth voter
+    given = np.stack([one, two, three, four, copy], 1).astype(float)
+    post, accuracy, corr = toxicity.label_model(given)
+    assert ((post > 0.5) == y).mean() > 0.95
+    assert np.abs(accuracy[1, :4, 2] - [0.9, 0.7, 0.6, 0.8]).max() < 0.06 and np.abs(accuracy[0, :4, 2] - [0.02, 0.05, 0.01, 0.1]).max() < 0.03
+    assert corr[3, 4] > 0.6 and np.abs(corr[0, 1:3]).max() < 0.2
+
+
 def test_classifiers(spark, docs, empty):
     rng = random.Random(7)
     rows, toxic, good = [], [], []
