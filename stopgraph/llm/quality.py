@@ -21,8 +21,9 @@ from .words import word_hashes
 
 #: Hash buckets of terms, latent dimensions, labelled vectors at most, and neighbours that vote.
 TERMS, DIMS, FIT_ROWS, NEIGHBOURS = 1024, 48, 4000, 15
-#: Power of a similarity as a weight, rows of a block, bytes of text worked on at once.
-SHARPNESS, BLOCK, CHUNK = 8, 512, 1 << 20
+#: Power of two that a similarity is raised to as a weight (three squarings), rows of a block,
+#: bytes of text worked on at once, and steps of a unit vector's component.
+SQUARINGS, BLOCK, CHUNK, SCALE = 3, 512, 1 << 20, 4096.0
 
 # classes: 1 lower case or beyond ASCII, 2 upper case, 3 digit, 4 space, 5 newline, other symbols each their own
 _CLASS = np.arange(256) + 16
@@ -87,8 +88,9 @@ def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _latent(counts: np.ndarray, weight: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole steps of ``1 / SCALE``: their products are exact, whatever the block."""
     z = _weighted(counts, weight) @ directions
-    return (z / np.maximum(np.sqrt((z**2).sum(1)), 1e-12)[:, None]).astype(np.float32)
+    return np.rint(SCALE * z / np.maximum(np.sqrt((z**2).sum(1)), 1e-12)[:, None])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -130,7 +132,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     got = sample.mapInArrow(counted, "counts binary, quality int").collect()
     scratch.drop("labelled")
     if not got:
-        return Model(weight, np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return Model(weight, np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     got.sort(key=lambda r: (bytes(r.counts), r.quality))
     counts = np.frombuffer(b"".join(bytes(r.counts) for r in got), np.float32).reshape(-1, TERMS)
     label = np.array([r.quality for r in got], float)
@@ -148,19 +150,21 @@ def votes(z: np.ndarray, model: Model) -> np.ndarray:
     k = min(NEIGHBOURS, len(model.vectors))
     out = np.empty(len(z))
     for a in range(0, len(z), BLOCK):
-        cosine = z[a : a + BLOCK] @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cosine, near, 1).astype(float), 1e-3) ** SHARPNESS
-        out[a : a + BLOCK] = ((w * model.label[near]).sum(1) + 1e-9 * model.prior) / (w.sum(1) + 1e-9)
+        cosine = z[a : a + BLOCK] @ model.vectors.T / SCALE**2
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        w = np.where(cosine >= last, np.maximum(cosine, 1e-3), 0)  # with all as near as the last one
+        for _ in range(SQUARINGS):
+            w *= w
+        out[a : a + BLOCK] = (w @ model.label + 1e-9 * model.prior) / (w.sum(1) + 1e-9)
     return np.clip(out, 0, 1)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns and ``score``, the share of votes for good, of every whole text.
 
-    A null or empty text is compared by its only term, the lack of words.  Ties between
-    equally near vectors go either way but alike in every run; repeated rows score alike;
-    other columns are ignored; an empty table gives an empty result.
+    A null or empty text is compared by its only term, the lack of words.  Labelled vectors
+    as near as the last of the ``NEIGHBOURS`` all vote, so ties have no order; repeated rows
+    score alike; other columns are ignored; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
     rest = [f for f in docs.schema if f.name in keep and f.name != name]
