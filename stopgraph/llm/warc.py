@@ -1,9 +1,9 @@
 """WARC archives: a writer that dedups payloads by digest, and a splittable reader.
 
 Each record is one gzip member.  The reader's tasks take byte ranges of a file: a task
-looks for gzip magic in its range, accepts a candidate only if its first bytes inflate to
-a WARC version line, and owns every record whose member *starts* inside the range, reading
-past the range's end where the last one does.
+looks for gzip magic in its range, accepts a candidate only if what it inflates to begins
+with a WARC version line and headers that parse, and owns every record whose member *starts*
+inside the range, reading past the range's end where the last one does.
 """
 
 from __future__ import annotations
@@ -133,11 +133,16 @@ def _members(source, length: int, begin: int, end: int) -> Iterator[tuple[int, b
         at = base + found
         if at >= end:
             return
-        unpack = zlib.decompressobj(31)
+        unpack, head, pos = zlib.decompressobj(31), b"", at
         try:
-            fill(at + 4096)
-            head = unpack.decompress(window[at - base : at - base + 4096], 64)
-            valid = head.startswith(b"WARC/1.")
+            while b"\r\n\r\n" not in head and head.startswith(b"WARC/1."[: len(head)]) and not unpack.eof:
+                fill(pos + 4096)
+                piece = window[pos - base : pos - base + 4096]
+                if not piece:
+                    break
+                head += unpack.decompress(piece)
+                pos += len(piece)
+            valid = sound(head)
         except zlib.error:
             valid = False
         if not valid:
@@ -163,6 +168,21 @@ def _members(source, length: int, begin: int, end: int) -> Iterator[tuple[int, b
         window, base, at = window[pos - base :], pos, pos
 
 
+def sound(raw: bytes) -> bool:
+    """Whether ``raw`` begins with a whole header block of a record: version, fields, type, id and length."""
+    head, end, _ = raw.partition(b"\r\n\r\n")
+    version, *lines = head.split(b"\r\n")
+    if not end or not version.startswith(b"WARC/1."):
+        return False
+    names = {}
+    for line in lines:
+        name, colon, value = line.partition(b":")
+        if not colon or not name.strip() or not name.isascii():
+            return False
+        names[name.strip().lower()] = value.strip()
+    return names.get(b"content-length", b"").isdigit() and bool(names.get(b"warc-type")) and bool(names.get(b"warc-record-id"))
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and the body of Content-Length bytes."""
     head, _, rest = raw.partition(b"\r\n\r\n")
