@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_join
-from .common import Scratch, binary, small, vectors
+from .common import Scratch, binary, by_group, small, vectors
 from .components import connected_components
 
 #: Vectors that the codebooks are fitted to, rounds of fitting, and rows of a block.
@@ -88,13 +88,17 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
     sound = F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
     given = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, v).alias("v"))
     classes = scratch.table(given.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    dims = [r[0] for r in classes.select(F.size("v").alias("n")).distinct().orderBy("n").limit(65).collect()]
-    if len(dims) > 64:
-        raise ValueError("vectors of more than 64 lengths")
+    sizes = scratch.table(classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")), "sizes")
     counts, labels = None, None
-    for dim in dims:
+    # an index for each length of more than a block of vectors; others are compared as they are
+    for dim in [r.dim for r in sizes.where(F.col("n") > BLOCK).orderBy("dim").collect()]:
         found = scratch.table(_linked(scratch, classes.where(F.size("v") == dim), dim, cosine), f"linked-{dim}")
         counts = found if counts is None else counts.union(found)
+    few = sizes.where(F.col("n") <= BLOCK).select("dim")
+    if not few.isEmpty():
+        rest = classes.withColumn("dim", F.size("v")).join(few, "dim")
+        found = scratch.table(by_group(rest, ["dim"], lambda t: _compared(t, cosine), LINKED), "linked")
+        counts = found if counts is None else counts.union(found)
     if counts is not None:
         per = counts.groupBy("id").agg(F.sum("n").alias("n"))
         links = counts.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -107,6 +111,33 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+LINKED = "id long, n long, low long"
+
+
+def _compared(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
+    """As :func:`_linked`, for a block of vectors of one length."""
+    lists = rows.column("v").combine_chunks()
+    ids, copies = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
+    x = np.asarray(lists.flatten()).reshape(len(ids), -1)
+    scaled = x / np.abs(x).max(1)[:, None]
+    u = scaled / np.sqrt((scaled**2).sum(1))[:, None]
+    found = [np.nonzero(u[a : a + 256] @ u.T >= cosine - SLACK) for a in range(0, len(u), 256)]
+    i = np.concatenate([256 * k + f[0] for k, f in enumerate(found)])
+    j = np.concatenate([f[1] for f in found])
+    i, j = i[i != j], j[i != j]
+    keep = np.concatenate([(u[i[a : a + 65536]] * u[j[a : a + 65536]]).sum(1) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return None
+    order = np.argsort(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    label = ids[order][_local_links(place[i], place[j], len(ids))][place]
+    n = np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(label[some])], ["id", "n", "low"])
+
+
 def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     """``(id, n, low)``: links counted block by block, and a forest of them.
 
@@ -188,4 +219,4 @@ def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> Da
         out_n = np.concatenate([n[np.unique(i)], back[np.unique(j)]])
         return pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_n), pa.array(label[np.searchsorted(nodes, out_id)])], ["id", "n", "low"])
 
-    return block_join(index, index.mapInArrow(probe, kind), compare, "id long, n long, low long", BLOCK)
+    return block_join(index, index.mapInArrow(probe, kind), compare, LINKED, BLOCK)

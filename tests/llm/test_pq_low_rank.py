@@ -4,9 +4,9 @@ import pytest
 from stopgraph.llm import pq
 
 
-@pytest.mark.parametrize("rank", [3, 6])
+@pytest.mark.parametrize("rank", [2, 3, 8, 64])
 def test_links_of_low_rank_vectors(spark, monkeypatch, rank):
-    monkeypatch.setattr(pq, "OF_CELL", 300)
+    monkeypatch.setattr(pq, "OF_CELL", 300)  # and an index, whatever the size
     monkeypatch.setattr(pq, "BLOCK", 256)
     rng = np.random.default_rng(rank)
     # all vectors in a few of 64 dimensions: differences lie along few directions
@@ -24,3 +24,12 @@ def test_links_of_low_rank_vectors(spark, monkeypatch, rank):
         label = new
     assert [got[k].n_links for k in range(len(x))] == link.sum(1).tolist()
     assert [got[k].component_id for k in range(len(x))] == label.tolist()
+
+
+def test_vectors_of_a_hundred_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=1 + k % 100).tolist()) for k in range(300)]
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    want = [sum(i != k and len(u) == len(w) and u @ w >= 0.95 for i, w in enumerate(unit)) for k, u in enumerate(unit)]
+    assert [got[k] for k in range(300)] == want and sum(want)
