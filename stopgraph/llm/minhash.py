@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, by_group, byte_slices, mix, utf8
+from .common import Scratch, binary, by_group, byte_slices, mix, spread_join, utf8
 from .components import connected_components
 from .words import shingle_sets
 
@@ -74,11 +74,11 @@ def registers(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, text_hash long"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Each document's set size, a 128-bit fingerprint of its set, and its registers."""
+    """Each document's set size, a 128-bit fingerprint of its set, its registers and a hash of its text."""
 
     def run(batches):
         for b in batches:
@@ -92,9 +92,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     run_ = np.zeros(len(s) + 1, np.uint64)
                     np.cumsum(mix(s ^ np.uint64(seed)), out=run_[1:])
                     prints.append(mix(run_[ends[1:]] - run_[ends[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), binary(registers(s, sizes))], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), binary(registers(s, sizes)), b.column(2).slice(i, j - i)], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(run, SKETCH)
 
 
 def _least_agreeing(threshold: float) -> int:
@@ -240,15 +240,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
 
     Null and empty texts, and texts without words, have an empty set and stand alone; a
     text of one to four words is one shingle; texts of any length count whole; documents of
-    equal sets are one class and never paired; repeated rows each get their row; rows of
-    null doc_id get a null component unless their class has an id, and are not kept; other
+    equal sets are one class and never paired; repeated rows each get their row, and rows of
+    one doc_id with different texts each count, by its own text; rows of null doc_id get a null component unless their class has an id, and are not kept; other
     columns are ignored; an empty table gives an empty result.
     """
     threshold = percent / 100
     scratch = Scratch(spark)
     all_ = scratch.table(sketch(docs), "sketches")
-    classes = all_.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    sketches = scratch.table(all_.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    # a class is the documents of one set; one of them stands for it, under a number of its own,
+    # as one id may have several texts
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("rep")
+    classes = all_.where("n_shingles > 0").groupBy("set_a", "set_b").agg(least, F.count("*").alias("times"))
+    classes = classes.select("set_a", "set_b", "times", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("text_hash"))
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    known = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "text_hash", "set_a", "set_b", "node")
+    own = ["doc_id", "text_hash", "set_a", "set_b"]
+    sketches = all_.join(known, own).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n_shingles", "sketch")
+    sketches = scratch.table(sketches, "reps")
 
     width = 2 * ROWS
     bands = sketches.select("doc_id", F.posexplode(F.array(*[F.substring("sketch", k * width + 1, width) for k in range(BANDS)])).alias("band", "part"))
@@ -258,9 +266,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     buckets = scratch.table(buckets, "buckets")
     members = scratch.table(bands.join(buckets, "bucket").select("bucket", F.col("doc_id").alias("id"), "hub"), "members")
     in_buckets = members.select(F.col("id").alias("doc_id")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = known.join(in_buckets.select(F.col("doc_id").alias("node")), "node").select("doc_id", "text_hash", "node")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # the one shuffle of texts; the merge hint keeps it the same at every size
-    texts = scratch.table(text.join(in_buckets.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = text.join(named.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["node"])
+    texts = scratch.table(texts.select(F.col("node").alias("doc_id"), "text"), "texts")
 
     # each document with the smallest hub of its buckets: one pair a document
     pairs = members.groupBy("id").agg(F.min("hub").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
@@ -284,8 +294,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
         links = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
         placed = scratch.table(connected_components(links, scratch, f"round-{k}"), f"components-{k}")
 
-    by_class = classes.join(placed.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    # classes of one document need no shuffle of their rows by class: they are looked up by it
-    out = all_.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    labelled = known.join(placed.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    labelled = scratch.table(labelled, "labelled")
+    # the smallest id of each component; one component may hold many of the classes
+    sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
+    lows = spread_join(labelled.select("node", "component"), sizes.select("component", "low"), ["component"], sizes, labelled.count(), "node").select("node", "low")
+    by_class = classes.join(lows, "node", "left").select("set_a", "set_b", F.col("low").alias("component"))
+    # one class may hold many of the documents
+    rows = all_.select("doc_id", "n_shingles", "set_a", "set_b", "text_hash")
+    out = spread_join(rows.where("n_shingles > 0"), by_class, ["set_a", "set_b"], classes, rows.count(), "doc_id")
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = out.select("doc_id", "n_shingles", "component").union(none)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
