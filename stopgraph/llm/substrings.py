@@ -52,11 +52,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, hash, first window, windows)`` for each run of windows with one anchor."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, hash, first window, windows, place)`` for each run of windows with one anchor, ``place`` bytes behind its first."""
     n, width = len(data), length - GRAM + 1
     if n < length:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.int64),) * 5
     h = _gram_hashes(data)
     key = (h & ~np.uint64(_PLACE)) | np.arange(n).astype(np.uint64)
     low, reach = key[: n - GRAM + 1], 1
@@ -70,12 +70,12 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     valid = np.arange(len(owner)) + length <= off[1:][whole]
     at = np.flatnonzero(valid)
     if not len(at):
-        return (at,) * 4
+        return (at,) * 5
     first = np.r_[True, (owner[at[1:]] != owner[at[:-1]]) | (at[1:] != at[:-1] + 1)]
     begin = at[first]
     runs = np.diff(np.r_[np.flatnonzero(first), len(at)])
     doc = whole[begin]
-    return doc, h[owner[begin]].view(np.int64), begin - off[doc], runs
+    return doc, h[owner[begin]].view(np.int64), begin - off[doc], runs, owner[begin] - begin
 
 
 def _pieces(off: np.ndarray, length: int):
@@ -114,34 +114,34 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
             data, off = utf8(b.column(1))
             for i, j, a, z in _pieces(off, length):
                 inner = np.clip(off[i : j + 1], a, z) - a
-                doc, h, begin, n = anchors(data[a:z], inner, length)
+                doc, h, begin, n, place = anchors(data[a:z], inner, length)
                 if len(doc):
                     begin = begin + (a - off[i] if j == i + 1 else 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(doc + i)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "sha", "begin", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(doc + i)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "sha", "begin", "n", "place"])
 
-    found = scratch.table(texts.select("sha", "text").mapInArrow(find, "anchor long, sha binary, begin int, n int"), "anchors")
+    found = scratch.table(texts.select("sha", "text").mapInArrow(find, "anchor long, sha binary, begin int, n int, place int"), "anchors")
     times = found.groupBy("anchor").agg(F.count("*").alias("times"), F.sum(F.col("n").cast("long") + length - 1).alias("bytes")).where("times > 1")
     times = scratch.table(times, "times")
     again = times.select("anchor", (F.col("bytes") > LARGE).alias("large"))
-    followed = spread_join(found, again, ["anchor"], times, found.count(), "sha").groupBy("sha").agg(F.collect_list(F.struct("anchor", "begin", "n", "large")).alias("runs"))
+    followed = spread_join(found, again, ["anchor"], times, found.count(), "sha").groupBy("sha").agg(F.collect_list(F.struct("anchor", "begin", "n", "place", "large")).alias("runs"))
 
     def cut(batches):
         for b in batches:
             data, off = utf8(b.column(1))
             flat = b.column(2).flatten()
-            anchor, begin, n, large = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            anchor, begin, n, place, large = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
             size = np.diff(np.asarray(b.column(2).offsets))
             owner = np.repeat(np.arange(b.num_rows), size)
             for a, z in byte_slices(np.r_[0, np.cumsum(n + length - 1)], CHUNK):
                 start = off[owner[a:z]] + begin[a:z]
                 regions = [data[s : s + k].tobytes() for s, k in zip(start.tolist(), (n[a:z] + length - 1).tolist(), strict=True)]
                 marks = [hashlib.blake2b(r, digest_size=16).digest() for r in regions]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(marks, pa.binary()), b.column(0).take(pa.array(owner[a:z])), pa.array(begin[a:z]), pa.array(n[a:z]), pa.array(large[a:z]), pa.array(regions, pa.binary())], ["anchor", "mark", "sha", "begin", "n", "large", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(marks, pa.binary()), b.column(0).take(pa.array(owner[a:z])), pa.array(begin[a:z]), pa.array(n[a:z]), pa.array(place[a:z]), pa.array(large[a:z]), pa.array(regions, pa.binary())], ["anchor", "mark", "sha", "begin", "n", "place", "large", "region"])
 
-    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, large boolean, region binary")
+    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, place int, large boolean, region binary")
     regions = scratch.table(regions, "regions")
     scratch.drop("anchors", "times")
-    distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("large").alias("large"), F.first("region").alias("region"))
+    distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("place").alias("place"), F.first("large").alias("large"), F.first("region").alias("region"))
     files = shared_path(spark, "spill")
     found_again = scratch.table(_sorted_shards(distinct, length, files), "hits")
     remove(spark, files)
@@ -175,19 +175,19 @@ def _sorted_shards(distinct: DataFrame, length: int, folder: str) -> DataFrame:
     def deal(batches):
         for b in batches:
             out = []
-            for anchor, mark, times, n, large, region in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for anchor, mark, times, n, place, large, region in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if not large:
-                    out.append((anchor, -1, mark, times, 0, 0, n, region))
+                    out.append((anchor, -1, mark, times, 0, place, n, region))
                     continue
-                for side, key, first, place, cut, body in _sides(region, 0, _gram_place(region, n, length), n, 0, 0, length):
-                    out.append((anchor, side * FILES + _file(key, 0), mark, times, first, place, cut, body))
+                for side, key, first, at, cut, body in _sides(region, 0, place, n, 0, 0, length):
+                    out.append((anchor, side * FILES + _file(key, 0), mark, times, first, at, cut, body))
                 if len(out) > 4096:
                     yield _pieces_batch(out)
                     out = []
             if out:
                 yield _pieces_batch(out)
 
-    pieces = distinct.select("anchor", "mark", "times", "n", "large", "region").mapInArrow(deal, PIECE)
+    pieces = distinct.select("anchor", "mark", "times", "n", "place", "large", "region").mapInArrow(deal, PIECE)
     dealt = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "mark")
     return dealt.mapInArrow(lambda batches: _shards(batches, length, limit, Files(folder), queue), "anchor long, mark binary, windows binary")
 
@@ -220,28 +220,16 @@ def _shards(batches, length: int, limit: int, files: Files, queue: int):
                     hot = _Spool(files)
                     for r in held:
                         if r[0] == last:
-                            hot.add(*_placed(r, length))
+                            hot.add(*r[1:])
                     held, size = [], 0
             else:
-                hot.add(*_placed(row, length))
+                hot.add(*row[1:])
     if hot is not None:
         yield from _found((last[0], *hit) for hit in _hot(hot, last[1], length, limit, files, queue))
     if held:
         yield from _windows(held, length, files, queue)
 
 
-def _placed(row: tuple, length: int) -> tuple:
-    """A piece as a spool holds it, with the place of its gram."""
-    (_, part), mark, times, first, place, n, body = row
-    return mark, times, first, _gram_place(body, n, length) if part < 0 else place, n, body
-
-
-def _gram_place(region: bytes, n: int, length: int) -> int:
-    """Where the anchor of a region of ``n`` windows lies: the least gram that all of them hold."""
-    h = _gram_hashes(np.frombuffer(region, np.uint8))
-    return n - 1 + int((h[n - 1 : length - GRAM + 1] & ~np.uint64(_PLACE)).argmin())
-
-
 class _Spool:
     """Pieces of regions in a file: mark, times, first window, place of the gram, windows, bytes."""
 
@@ -291,6 +279,27 @@ def _sides(body: bytes, first: int, place: int, n: int, left: int, right: int, l
         yield 1, body[place - left : place + GRAM + more], first + cut, place - cut, n - cut, body[cut:]
 
 
+def _alike(rows: list[tuple], length: int) -> list[tuple]:
+    """The pieces that share with another one of their group the bytes that two rounds of dealing look at.
+
+    Equal windows are dealt alike, so a piece that is alone wherever it goes holds no window
+    of another one.
+    """
+    if not rows:
+        return rows
+    _, half, more = _span(0, 0, length)
+    goes, met = [], {}
+    for group, _, _, _, place, n, body in rows:
+        own = []
+        for side, key, _, at, cut, part in _sides(body, 0, place, n, 0, 0, length) if group[1] < 0 else [(None, None, 0, place, n, body)]:
+            left, right = ((half, 0) if side == 0 else (0, more)) if side is not None else ((half, 0) if group[1] < FILES else (0, more))
+            own += [hash((group, side, left, further, key2)) for further, key2, *_ in _sides(part, 0, at, cut, left, right, length)]
+        goes.append(own)
+        for k in set(own):
+            met[k] = met.get(k, 0) + 1
+    return [r for r, own in zip(rows, goes, strict=True) if any(met[k] > 1 for k in own)]
+
+
 def _file(key: bytes, depth: int) -> int:
     return int.from_bytes(hashlib.blake2b(key, digest_size=8, salt=depth.to_bytes(4, "little")).digest(), "little") % FILES
 
@@ -376,8 +385,8 @@ def _windows(rows: list[tuple], length: int, files: Files, queue: int):
     for group, *_ in rows:
         alone[group] = alone.get(group, 0) + 1
     out = [(group[0], mark, np.arange(first, first + n, dtype=np.int32)) for group, mark, times, first, _, n, _ in rows if times > 1]
-    # a group of one piece has nothing to sort
-    sort = [r for r in rows if alone[r[0]] > 1]
+    # a group of one piece has nothing to sort, nor has one that shares too little with the others
+    sort = _alike([r for r in rows if alone[r[0]] > 1], length)
     if sort:
         flag, at = _repeats([r[6] for r in sort], length, files, queue), 0
         for group, mark, times, first, _, n, region in sort:

@@ -50,13 +50,13 @@ def test_an_anchor_of_more_than_a_shard(monkeypatch, tmp_path):
     rows = {}
     for k, t in enumerate(texts):
         data = np.frombuffer(t, np.uint8)
-        for _, h, begin, n in zip(*substrings.anchors(data, np.array([0, len(t)]), 200), strict=True):
+        for _, h, begin, n, place in zip(*substrings.anchors(data, np.array([0, len(t)]), 200), strict=True):
             region = t[begin : begin + n + 199]
             mark = hashlib.blake2b(region, digest_size=16).digest()
-            rows.setdefault((int(h), mark), [int(n), region, []])[2].append((k, int(begin)))
-    whole_rows = [(h, -1, mark, len(at), 0, 0, n, region) for (h, mark), (n, region, at) in sorted(rows.items())]
+            rows.setdefault((int(h), mark), [int(n), int(place), region, []])[3].append((k, int(begin)))
+    whole_rows = [(h, -1, mark, len(at), 0, place, n, region) for (h, mark), (n, place, region, at) in sorted(rows.items())]
     # the same rows dealt to other tasks before
-    parts = [(h, side * substrings.FILES + substrings._file(key, 0), mark, times, first, place, cut, body) for h, _, mark, times, _, _, n, region in whole_rows for side, key, first, place, cut, body in substrings._sides(region, 0, substrings._gram_place(region, n, 200), n, 0, 0, 200)]
+    parts = [(h, side * substrings.FILES + substrings._file(key, 0), mark, times, first, place, cut, body) for h, _, mark, times, _, at, n, region in whole_rows for side, key, first, place, cut, body in substrings._sides(region, 0, at, n, 0, 0, 200)]
     sizes, sort = [], substrings.suffix_order
     monkeypatch.setattr(substrings, "suffix_order", lambda text, cap, *more: sizes.append(len(text)) or sort(text, cap, *more))
     monkeypatch.setattr(induced, "BLOCK", 64)
@@ -71,7 +71,7 @@ def test_an_anchor_of_more_than_a_shard(monkeypatch, tmp_path):
             # queues of far fewer bytes than a shard's tuples
             for b in substrings._shards(iter([substrings._pieces_batch(given)]), 200, limit, files, 2_000):
                 for a, m, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    got |= {(k, begin + x) for k, begin in rows[a, m][2] for x in np.frombuffer(w, np.int32).tolist()}
+                    got |= {(k, begin + x) for k, begin in rows[a, m][3] for x in np.frombuffer(w, np.int32).tolist()}
             assert got == want and max(sizes) < 2.1 * limit
             assert files.written > 10 * limit and not list((tmp_path / "spill").iterdir())
             sizes.clear()
