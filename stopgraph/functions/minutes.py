@@ -31,9 +31,10 @@ def attribution(agrees: Column, dropped: Column, diff: Column) -> Column:
     return F.when(agrees, "AGREE").when(F.abs(diff) <= 2, "NEAR").when(dropped, "S3").when(F.abs(diff) > 60, "S1").when(diff > 0, "S5a").otherwise("S5b")
 
 
-def overtaking_class(earlier: Column, later: Column) -> Column:
-    """The kind of an arrival inversion between a trip and the next one."""
-    return F.when(earlier.isNull() | later.isNull(), "nat").when(earlier - later > 720, "wraparound").when(earlier > later, "overtaking").otherwise("data_error")
+def overtaking_class(a_dep: Column, b_dep: Column, a_arr: Column, b_arr: Column) -> Column:
+    """The kind of an inversion at a position: trip a starts before trip b and arrives after it."""
+    missing = a_dep.isNull() | b_dep.isNull() | a_arr.isNull() | b_arr.isNull()
+    return F.when(missing, "nat").when(F.abs(a_dep - b_dep) > 720, "wraparound").when((a_dep <= b_dep) & (a_arr > b_arr), "overtaking").otherwise("data_error")
 
 
 def overnight_wrap(dep: Column, arr: Column) -> Column:
@@ -51,3 +52,15 @@ def node_parts(node: Column, n_stops: int, t_lo: int, t_hi: int) -> tuple[Column
     """Stop, minute and plane of a grid node's number."""
     width = t_hi - t_lo + 1
     return F.floor(node % (n_stops * width) / width).cast("int"), (node % width + t_lo).cast("int"), F.floor(node / (n_stops * width)).cast("int")
+
+
+def hour_weights() -> list[float]:
+    """The share of each hour of a day in its edits: night is quiet, rush hours are busy."""
+    weight = [0.3 if h < 5 else 3.0 if h in (7, 8, 9) else 3.5 if h in (17, 18, 19) else 1.0 for h in range(24)]
+    return [w / sum(weight) for w in weight]
+
+
+def stable_hash(*columns: Column | str) -> Column:
+    """SHA-256 of values joined by bars; a null stands as an empty text with a mark."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N")) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)

@@ -3,16 +3,40 @@
 A round boards every trip that a newly improved label can catch, rides it, and walks once
 from every stop reached, improved or not.  That is the exact answer: a walk is never followed
 by a walk, and a stop walked into early does not hide the walks from a later ride there.
+
+Connections are needed by stop and by trip in each round.  :func:`network` writes both once,
+in buckets, so that rounds shuffle their labels only, however large the timetable is; within
+a bucket rows lie in order of departure, and a round reads those from its first label on.
+Timetables that :mod:`.local` can hold are searched there (:func:`answer`).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import bucketed, written
+from . import local
+
+
+@dataclass
+class Network:
+    """Connections by the stop that they leave, and by trip."""
+
+    departures: DataFrame
+    rides: DataFrame
+
 
-MOST_ROUNDS = 64
+def _pieces(conn: DataFrame) -> Network:
+    return Network(conn.select(F.col("from_stop").alias("stop"), "trip", "seq", "dep"), conn.select("trip", "seq", "to_stop", "arr"))
+
+
+def network(conn: DataFrame) -> Network:
+    """Connections written in buckets of stops and of trips."""
+    both = _pieces(conn)
+    return Network(bucketed(both.departures, "departures", ["stop"], ["dep"]), bucketed(both.rides, "rides", ["trip"], ["seq"]))
 
 
 def source_labels(od: DataFrame, walks: DataFrame) -> DataFrame:
@@ -22,22 +46,24 @@ def source_labels(od: DataFrame, walks: DataFrame) -> DataFrame:
     return start.union(walked).groupBy("q_id", "stop").agg(F.min("t").alias("t"))
 
 
-def _round(front: DataFrame, conn: DataFrame, walks: DataFrame) -> DataFrame:
+def _round(front: DataFrame, net: Network, walks: DataFrame, since: int) -> DataFrame:
     """Labels reached by boarding once from ``front(q_id, stop, t)``, and a walk after it."""
-    on = front.join(conn.select(F.col("from_stop").alias("stop"), "trip", "seq", "dep"), "stop").where("dep >= t").groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
-    ride = on.join(conn.select("trip", "seq", "to_stop", "arr"), "trip").where("seq >= board").groupBy("q_id", F.col("to_stop").alias("stop")).agg(F.min("arr").alias("t"))
+    on = front.join(net.departures.where(F.col("dep") >= since), "stop").where("dep >= t").groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
+    ride = on.join(net.rides, "trip").where("seq >= board").groupBy("q_id", F.col("to_stop").alias("stop")).agg(F.min("arr").alias("t"))
     walked = ride.join(walks, ride.stop == walks.u).select("q_id", F.col("v").alias("stop"), (F.col("t") + F.col("w")).alias("t"))
     return ride.union(walked).groupBy("q_id", "stop").agg(F.min("t").alias("t"))
 
 
-def labels(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, prune: bool = True, bounds: DataFrame | None = None) -> DataFrame:
+def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, prune: bool = True, bounds: DataFrame | None = None) -> DataFrame:
     """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches.
 
     ``max_boardings`` bounds the trips boarded.  With ``prune``, labels that are no earlier
-    than the query's best arrival are not followed; ``bounds(stop, dst, lb)`` are lower
-    bounds of the time from a stop to a destination that sharpen this.  Without either,
-    labels of all stops are right (one to all).
+    than the query's best arrival are not followed; ``bounds(front)`` adds ``lb`` to
+    ``front(q_id, stop, t, dst)``, a lower bound of the time from the stop to the destination
+    that sharpens this.  Without either, labels of all stops are right (one to all).  Rounds
+    go on until no label changes.
     """
+    net = conn if isinstance(conn, Network) else _pieces(conn)
     best = written(source_labels(od, walks), "labels")
     front, k = best, 0
     while max_boardings is None or k < max_boardings:
@@ -45,16 +71,19 @@ def labels(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int
             goal = best.join(od.select("q_id", F.col("dst").alias("stop")), ["q_id", "stop"]).select("q_id", F.col("t").alias("goal"))
             front = front.join(goal, "q_id", "left")
             if bounds is not None:
-                front = front.join(od.select("q_id", "dst"), "q_id").join(bounds, ["stop", "dst"], "left")
+                front = bounds(front.join(od.select("q_id", "dst"), "q_id"))
                 front = front.where(F.col("goal").isNull() | (F.col("t") + F.coalesce("lb", F.lit(0)) < F.col("goal")))
             else:
                 front = front.where("goal is null or t < goal")
             front = front.select("q_id", "stop", "t")
-        new = _round(front, conn, walks)
+        since = front.agg(F.min("t")).first()[0]
+        if since is None:
+            break
+        new = _round(front, net, walks, since)
         old = best.withColumnRenamed("t", "old")
         front = written(new.join(old, ["q_id", "stop"], "left").where("old is null or t < old").select("q_id", "stop", "t"), "front")
         k += 1
-        if k > MOST_ROUNDS or front.isEmpty():
+        if front.isEmpty():
             break
         best = written(best.union(front).groupBy("q_id", "stop").agg(F.min("t").alias("t")), "labels")
     return best
@@ -65,20 +94,27 @@ def at_destination(od: DataFrame, reached: DataFrame) -> DataFrame:
     return od.join(reached.select("q_id", F.col("stop").alias("dst"), F.col("t").alias("ea")), ["q_id", "dst"], "left").select("q_id", "src", "dst", "t_dep", F.col("ea").cast("int").alias("ea"))
 
 
-def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
+def earliest(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, bounds=None) -> DataFrame:
     """Earliest arrivals of ``od(q_id, src, dst, t_dep)``, exact or within a number of trips."""
     return at_destination(od, labels(conn, walks, od, max_boardings, True, bounds))
 
 
-def latest(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
+def answer(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None) -> DataFrame:
+    """:func:`earliest` of written connections, on each task's own tables where they fit, by rounds beyond."""
+    if local.fits(conn, walks):
+        return local.earliest(conn, walks, od, max_boardings)
+    return earliest(network(conn), walks, od, max_boardings)
+
+
+def latest(conn: DataFrame, walks: DataFrame, od: DataFrame, switch: bool = False) -> DataFrame:
     """``(q_id, src, dst, deadline, ld)``: the latest departure that still meets the deadline.
 
     The mirror image of :func:`earliest`: rides are followed back from where they are left,
-    walks are taken against their direction.
+    walks are taken against their direction.  With ``switch``, as :func:`answer`.
     """
     back = conn.select("trip", (-F.col("seq")).alias("seq"), F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"))
     turned = od.select("q_id", F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("deadline")).alias("t_dep"))
-    got = earliest(back, walks.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"), turned)
+    got = (answer if switch else earliest)(back, walks.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"), turned)
     return od.join(got.select("q_id", (-F.col("ea")).alias("ld")), "q_id").select("q_id", "src", "dst", "deadline", F.col("ld").cast("int").alias("ld"))
 
 

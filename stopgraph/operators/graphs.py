@@ -17,8 +17,8 @@ def event_nodes(conn: DataFrame) -> DataFrame:
 
 
 def _node(trip: str, seq: str, kind: int):
-    """One number for an event: trip, place in the trip, kind."""
-    return F.col(trip).cast("long") * 4096 + F.col(seq) * 2 + kind
+    """One number for an event: trip, place in the trip (below 2 ** 19), kind."""
+    return F.col(trip).cast("long") * (1 << 20) + F.col(seq) * 2 + kind
 
 
 def event_edges(conn: DataFrame, walks: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def event_edges(conn: DataFrame, walks: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min("w").alias("w"), F.min_by("etype", F.struct("w", "etype")).alias("etype"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes that each query reaches: ``edges(src, dst)``, ``seeds(q_id, node)``.
+def reach(edges: DataFrame, seeds: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Nodes that each query reaches: ``edges(src, dst)``, ``seeds(q_id, node)``, all of them in ``within``.
 
     All weights are differences of the ends' minutes, so whether a node is reached says when.
     """
@@ -42,6 +42,8 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     front = seen
     while True:
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("q_id", F.col("dst").alias("node")).distinct()
+        if within is not None:
+            step = step.join(within, ["q_id", "node"], "left_semi")
         front = written(step.join(seen, ["q_id", "node"], "left_anti"), "front")
         if front.isEmpty():
             return seen
@@ -58,8 +60,8 @@ def earliest_on_events(conn: DataFrame, walks: DataFrame, od: DataFrame, edges:
     goals = R.target_attachment(od, conn, walks).select("q_id", _node("trip", "seq", 1).alias("node"), (F.col("arr") + F.col("tail")).alias("ea"))
     if both_ways:
         back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goals.select("q_id", "node"))
-        # nodes that a query reaches from the front and from the back
-        front = reach(edges, seeds.join(back, ["q_id", "node"], "left_semi"))
+        # the forward search keeps to nodes that lead to a target
+        front = reach(edges, seeds.join(back, ["q_id", "node"], "left_semi"), back)
     else:
         front = reach(edges, seeds)
     ridden = front.join(goals, ["q_id", "node"]).groupBy("q_id").agg(F.min("ea").alias("ridden"))
@@ -123,6 +125,22 @@ def lower_bounds(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return landmark_scores(labels, pairs).groupBy("q_id", "src", "dst").agg(F.max("score").alias("lb"))
 
 
+def front_bounds(labels: DataFrame):
+    """A function that adds ``lb``, the best landmark's bound, to ``front(q_id, stop, t, dst)``.
+
+    Bounds are joined for the front's own stops only; a stop that no landmark knows has none.
+    """
+    s = labels.select("lm", "stop", F.col("d_from").alias("sf"), F.col("d_to").alias("st"))
+    t = labels.select("lm", F.col("stop").alias("dst"), F.col("d_from").alias("tf"), F.col("d_to").alias("tt"))
+
+    def add(front: DataFrame) -> DataFrame:
+        both = front.join(s, "stop", "left").join(t, ["lm", "dst"], "left")
+        score = F.greatest(F.coalesce(F.col("st") - F.col("tt"), F.lit(0)), F.coalesce(F.col("tf") - F.col("sf"), F.lit(0)), F.lit(0))
+        return both.groupBy("q_id", "stop", "t", "goal", "dst").agg(F.max(score).alias("lb"))
+
+    return add
+
+
 def active_landmarks(labels: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The ``k`` landmarks with the best bounds for each query; of equal ones the smallest."""
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "lm")

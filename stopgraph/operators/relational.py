@@ -8,6 +8,25 @@ from pyspark.sql.window import Window
 
 from ..functions.minutes import overtaking_class
 
+#: Minutes of a slot: a stop's events are dealt by stop and slot, so a busy stop is many tasks' work.
+SLOT = 15
+
+
+def _slot(minute: str):
+    return F.floor(F.col(minute) / SLOT).cast("int").alias("slot")
+
+
+def _beyond(rows: DataFrame, value: str, forward: bool) -> DataFrame:
+    """``(stop, slot, beyond)``: the first value of the slots after each one, or the last of those before.
+
+    One row for each slot of a stop is left when slots are put in order.
+    """
+    best = (F.min if forward else F.max)(value).alias("own")
+    frame = Window.partitionBy("stop").orderBy("slot")
+    frame = frame.rowsBetween(1, Window.unboundedFollowing) if forward else frame.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (F.first if forward else F.last)("own", ignorenulls=True).over(frame)
+    return rows.groupBy("stop", "slot").agg(best).select("stop", "slot", carried.alias("beyond"))
+
 
 def collapse_same_stop(stop_times: DataFrame) -> DataFrame:
     """Merge consecutive rows of a trip at one stop: first arrival, last departure."""
@@ -58,15 +77,29 @@ def continue_edges(conn: DataFrame) -> DataFrame:
 
 def wait_edges(conn: DataFrame) -> DataFrame:
     """From each departure to the next one at its stop."""
-    w = Window.partitionBy("from_stop").orderBy("dep", "trip", "seq")
-    out = conn.select("trip", "seq", "dep", F.lead("trip").over(w).alias("ntrip"), F.lead("seq").over(w).alias("nseq"), F.lead("dep").over(w).alias("ndep"))
-    return out.where("ntrip is not null").select("trip", "seq", "ntrip", "nseq", (F.col("ndep") - F.col("dep")).alias("w"))
+    at = conn.select("trip", "seq", "dep", F.col("from_stop").alias("stop"), _slot("dep"), F.struct("dep", "trip", "seq").alias("event"))
+    w = Window.partitionBy("stop", "slot").orderBy("event")
+    out = at.withColumn("next", F.lead("event").over(w)).join(_beyond(at, "event", True), ["stop", "slot"])
+    out = out.withColumn("next", F.coalesce("next", "beyond")).where("next is not null")
+    return out.select("trip", "seq", F.col("next.trip").alias("ntrip"), F.col("next.seq").alias("nseq"), (F.col("next.dep") - F.col("dep")).alias("w"))
+
+
+def minute_wait_edges(stops: DataFrame, t_lo: int, t_hi: int) -> DataFrame:
+    """Waiting a minute at each of ``stops(stop)``, in both planes of the grid: ``(plane, stop, t, t2)``."""
+    planes = F.explode(F.array(F.lit(0), F.lit(1))).alias("plane")
+    at = stops.select("stop", planes).select("plane", "stop", F.explode(F.sequence(F.lit(t_lo), F.lit(t_hi - 1))).alias("t"))
+    return at.withColumn("t2", F.col("t") + 1)
 
 
 def stop_event_index(conn: DataFrame) -> DataFrame:
     """Departures of each stop, numbered in order."""
-    w = Window.partitionBy("from_stop").orderBy("dep", "trip", "seq")
-    return conn.select(F.col("from_stop").alias("stop"), (F.row_number().over(w) - 1).alias("pos"), "trip", "seq", "dep")
+    at = conn.select(F.col("from_stop").alias("stop"), _slot("dep"), "trip", "seq", "dep")
+    sizes = at.groupBy("stop", "slot").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("stop").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("stop", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    w = Window.partitionBy("stop", "slot").orderBy("dep", "trip", "seq")
+    pos = (F.col("start") + F.row_number().over(w) - 1).cast("int").alias("pos")
+    return at.join(sizes, ["stop", "slot"]).select("stop", pos, "trip", "seq", "dep")
 
 
 def trip_event_index(conn: DataFrame) -> DataFrame:
@@ -82,32 +115,49 @@ def stop_route_position(stop_times: DataFrame) -> DataFrame:
 
 
 def route_trips(stop_times: DataFrame) -> DataFrame:
-    """Starts of each route's trips, in order."""
+    """Starts of each route's trips: their number, the first and the last, and all in order."""
     starts = stop_times.groupBy("route_int", "trip").agg(F.min("dep").alias("start"))
-    return starts.groupBy("route_int").agg(F.count("*").cast("int").alias("n_trips"), F.min("start").alias("first"), F.max("start").alias("last"))
+    ordered = F.concat_ws(",", F.sort_array(F.collect_list("start"))).alias("starts")
+    return starts.groupBy("route_int").agg(F.count("*").cast("int").alias("n_trips"), F.min("start").alias("first"), F.max("start").alias("last"), ordered)
+
+
+def route_tables(conn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes as ``(route_int, pos, stop)`` and ``(route_int, trip, pos, arr, dep)``, from connections.
+
+    Derived from trip and place in the trip, so edited connections give edited routes.  The
+    first stop of a trip has no arrival and the last one no departure.
+    """
+    leave = conn.select("route_int", "trip", F.col("seq").alias("pos"), F.col("from_stop").alias("stop"), F.lit(None).cast("int").alias("arr"), "dep")
+    come = conn.select("route_int", "trip", (F.col("seq") + 1).alias("pos"), F.col("to_stop").alias("stop"), "arr", F.lit(None).cast("int").alias("dep"))
+    times = leave.union(come).groupBy("route_int", "trip", "pos", "stop").agg(F.max("arr").alias("arr"), F.max("dep").alias("dep"))
+    return times.select("route_int", "pos", "stop").distinct(), times.select("route_int", "trip", "pos", "stop", "arr", "dep")
 
 
 def fifo_adjacent(stop_times: DataFrame) -> DataFrame:
-    """Arrival inversions of a route's trips next to each other by first departure."""
-    first = stop_times.groupBy("trip").agg(F.min("dep").alias("start"))
-    w = Window.partitionBy("route_int", "seq").orderBy("start", "trip")
-    rows = stop_times.join(first, "trip").select("route_int", "seq", "trip", "arr", F.lag("arr").over(w).alias("before"), F.lag("trip").over(w).alias("earlier"))
-    return rows.where("before > arr").select("route_int", "seq", "earlier", "trip", overtaking_class(F.col("before"), F.col("arr")).alias("kind"))
+    """Arrival inversions of a route's trips next to each other by first departure, with their kind."""
+    first = stop_times.groupBy("trip").agg(F.min_by("dep", F.when(F.col("dep").isNotNull(), F.col("seq"))).alias("start"))
+    w = Window.partitionBy("route_int", "seq").orderBy(F.asc_nulls_last("start"), "trip")
+    before = [F.lag(c).over(w).alias(n) for c, n in (("trip", "earlier"), ("arr", "a_arr"), ("dep", "a_dep"))]
+    rows = stop_times.join(first, "trip").select("route_int", "seq", "trip", "arr", "dep", *before)
+    return rows.where("a_arr > arr").select("route_int", "seq", "earlier", "trip", overtaking_class(F.col("a_dep"), F.col("dep"), F.col("a_arr"), F.col("arr")).alias("kind"))
 
 
 def fifo_pairs(stop_times: DataFrame) -> DataFrame:
-    """Inversions at a later position of trips next to each other at an earlier one, counted."""
-    here = stop_times.select("route_int", "trip", F.col("seq").alias("x"), F.col("dep").alias("dep_x"))
-    later = stop_times.select("trip", F.col("seq").alias("y"), F.col("arr").alias("arr_y"))
+    """Inversions at a later position of trips next to each other at an earlier one, counted by kind."""
+    here = stop_times.where("dep is not null").select("route_int", "trip", F.col("seq").alias("x"), F.col("dep").alias("dep_x"))
+    later = stop_times.where("arr is not null").select("trip", F.col("seq").alias("y"), F.col("arr").alias("arr_y"))
     both = here.join(later, "trip").where("x < y")
     w = Window.partitionBy("route_int", "x", "y").orderBy("dep_x", "trip")
-    return both.withColumn("before", F.lag("arr_y").over(w)).where("before > arr_y").groupBy("route_int").agg(F.count("*").alias("n_inversions"))
+    pairs = both.select("route_int", "dep_x", "arr_y", F.lag("dep_x").over(w).alias("a_dep"), F.lag("arr_y").over(w).alias("a_arr")).where("a_arr > arr_y")
+    gap = F.col("dep_x") - F.col("a_dep")
+    kind = F.when(gap > 720, "wraparound").when(gap > 0, "overtaking").otherwise("data_error")
+    return pairs.groupBy("route_int", kind.alias("kind")).agg(F.count("*").alias("n_inversions"))
 
 
 def fifo_decision(violations: DataFrame) -> DataFrame:
     """Counts by kind, and whether to go on."""
     counts = violations.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("nat", "wraparound", "overtaking", "data_error")])
-    return counts.withColumn("decision", F.when(F.col("n_data_error") > 0, "block").when(F.col("n_overtaking") > 0, "proceed_with_note").otherwise("proceed"))
+    return counts.withColumn("decision", F.when((F.col("n_overtaking") > 0) | (F.col("n_data_error") > 0), "block_reopen_stage_2").when((F.col("n_nat") > 0) | (F.col("n_wraparound") > 0), "proceed_with_note").otherwise("proceed"))
 
 
 def busiest_stops(conn: DataFrame, n: int) -> DataFrame:
@@ -117,15 +167,18 @@ def busiest_stops(conn: DataFrame, n: int) -> DataFrame:
 def board_asof(events: DataFrame, conn: DataFrame, tag: list[str]) -> DataFrame:
     """For each of ``events(tag..., stop, t)`` the first departure at its stop from then on.
 
-    Events and departures of a stop are put in one order and the next departure is looked
-    up by a window, so a stop with many of both costs a sort, not their product.
+    Events and departures of a slot of a stop are put in one order and the next departure is
+    looked up by a window; where the slot has none, the first one of the slots after it is
+    taken.  So a stop with many of both costs a sort of each slot, not their product.
     """
     dep = conn.select(*[F.lit(None).cast(dict(events.dtypes)[c]).alias(c) for c in tag], F.col("from_stop").alias("stop"), F.col("dep").alias("t"), F.lit(1).alias("kind"), F.struct("dep", "trip", "seq").alias("next"))
     ask = events.select(*tag, "stop", "t", F.lit(0).alias("kind"), F.lit(None).cast(dict(dep.dtypes)["next"]).alias("next"))
+    both = ask.union(dep).withColumn("slot", _slot("t"))
     # equal departures in order of trip, the first one nearest to the events before them
-    w = Window.partitionBy("stop").orderBy("t", "kind", "next").rowsBetween(0, Window.unboundedFollowing)
-    found = ask.union(dep).withColumn("found", F.first("next", ignorenulls=True).over(w))
-    return found.where("kind = 0 and found is not null").select(*tag, "stop", "t", F.col("found.dep").alias("bdep"), F.col("found.trip").alias("btrip"), F.col("found.seq").alias("bseq"))
+    w = Window.partitionBy("stop", "slot").orderBy("t", "kind", "next").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("found", F.first("next", ignorenulls=True).over(w)).where("kind = 0")
+    found = found.join(_beyond(both, "next", True), ["stop", "slot"]).withColumn("found", F.coalesce("found", "beyond"))
+    return found.where("found is not null").select(*tag, "stop", "t", F.col("found.dep").alias("bdep"), F.col("found.trip").alias("btrip"), F.col("found.seq").alias("bseq"))
 
 
 def arrival_events(conn: DataFrame) -> DataFrame:
@@ -142,9 +195,11 @@ def board_in_asof(events: DataFrame, conn: DataFrame) -> DataFrame:
     """For each departure the latest arrival at its stop up to then."""
     arr = conn.select(F.lit(None).cast("int").alias("trip"), F.lit(None).cast("int").alias("seq"), F.col("to_stop").alias("stop"), F.col("arr").alias("t"), F.lit(0).alias("kind"), F.struct("arr", "trip", "seq").alias("last"))
     ask = events.select("trip", "seq", F.col("from_stop").alias("stop"), F.col("dep").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(dict(arr.dtypes)["last"]).alias("last"))
-    w = Window.partitionBy("stop").orderBy("t", "kind", "last").rowsBetween(Window.unboundedPreceding, 0)
-    found = ask.union(arr).withColumn("found", F.last("last", ignorenulls=True).over(w))
-    return found.where("kind = 1 and found is not null").select("trip", "seq", "stop", "t", F.col("found.arr").alias("barr"))
+    both = ask.union(arr).withColumn("slot", _slot("t"))
+    w = Window.partitionBy("stop", "slot").orderBy("t", "kind", "last").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("last", ignorenulls=True).over(w)).where("kind = 1")
+    found = found.join(_beyond(both, "last", False), ["stop", "slot"]).withColumn("found", F.coalesce("found", "beyond"))
+    return found.where("found is not null").select("trip", "seq", "stop", "t", F.col("found.arr").alias("barr"))
 
 
 def source_attachment(od: DataFrame, conn: DataFrame, walks: DataFrame) -> DataFrame:
@@ -174,6 +229,11 @@ def grid_ride_edges(conn: DataFrame) -> DataFrame:
     return conn.select("from_stop", "dep", planes, "to_stop", "arr").distinct()
 
 
+def grid_exit_edges(conn: DataFrame) -> DataFrame:
+    """From the arrival node of each connection to the ridden-in plane of its stop and minute."""
+    return conn.select("trip", "seq", F.col("to_stop").alias("stop"), F.col("arr").alias("t"), F.lit(0).alias("w"))
+
+
 def label_intersection(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Least sum of two labels at a common hub: ``forward(a, hub, d)``, ``backward(b, hub, d)``."""
     return forward.withColumnRenamed("d", "d1").join(backward.withColumnRenamed("d", "d2"), "hub").groupBy("a", "b").agg(F.min(F.col("d1") + F.col("d2")).alias("d"))

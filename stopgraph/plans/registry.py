@@ -11,6 +11,7 @@ from ..functions import minutes as M
 from ..operators import arrivals as A
 from ..operators import edits as E
 from ..operators import graphs as G
+from ..operators import local as L
 from ..operators import relational as R
 from ..operators import reports as P
 from ..operators.closure import shortest_paths, walk_closure
@@ -81,11 +82,18 @@ _of_conn("wait_edges", R.wait_edges, "select trip, seq, ntrip, nseq, ndep - dep
 _of_conn("stop_event_index", R.stop_event_index, "select from_stop as stop, cast(row_number() over (partition by from_stop order by dep, trip, seq) - 1 as integer) as pos, trip, seq, dep from conn")
 _of_conn("trip_event_index", R.trip_event_index, "select trip, seq, kind, t, cast(row_number() over (partition by trip order by seq, kind) - 1 as integer) as pos from (select trip, seq, 0 as kind, dep as t from conn union all select trip, seq, 1, arr from conn)")
 _query("stop_route_position", lambda spark, sf, t: R.stop_route_position(T.adapter_stop_times(spark, sf)), Q.ask("select stop, route_int, min(seq) as pos from st group by all"))
-_query("route_trips", lambda spark, sf, t: R.route_trips(T.adapter_stop_times(spark, sf)), Q.ask("select route_int, cast(count(*) as integer) as n_trips, min(s) as first, max(s) as last from (select route_int, trip, min(dep) as s from st group by all) group by all"))
-_FIFO = "fifo as (select route_int, seq, earlier, trip, case when before - arr > 720 then 'wraparound' else 'overtaking' end as kind from (select st.route_int, seq, st.trip, arr, lag(arr) over (w) as before, lag(st.trip) over (w) as earlier from st join (select trip, min(dep) as start from st group by trip) f on f.trip = st.trip window w as (partition by st.route_int, seq order by start, st.trip)) where before > arr)"
-_query("fifo_v1", lambda spark, sf, t: R.fifo_adjacent(T.adapter_stop_times(spark, sf)), Q.ask("select * from fifo", _FIFO))
-_query("fifo_report", lambda spark, sf, t: R.fifo_decision(R.fifo_adjacent(T.adapter_stop_times(spark, sf))), Q.ask("select count(*) filter (kind = 'nat') as n_nat, count(*) filter (kind = 'wraparound') as n_wraparound, count(*) filter (kind = 'overtaking') as n_overtaking, count(*) filter (kind = 'data_error') as n_data_error, case when count(*) filter (kind = 'data_error') > 0 then 'block' when count(*) filter (kind = 'overtaking') > 0 then 'proceed_with_note' else 'proceed' end as decision from fifo", _FIFO))
-_query("fifo_v2", lambda spark, sf, t: R.fifo_pairs(T.adapter_stop_times(spark, sf)), Q.ask("select route_int, count(*) as n_inversions from (select a.route_int, b.arr, lag(b.arr) over (partition by a.route_int, a.seq, b.seq order by a.dep, a.trip) as before from st a join st b on a.trip = b.trip and a.seq < b.seq) where before > arr group by all"))
+_query("route_trips", lambda spark, sf, t: R.route_trips(T.adapter_stop_times(spark, sf)), Q.ask("select route_int, cast(count(*) as integer) as n_trips, min(s) as first, max(s) as last, string_agg(cast(s as varchar), ',' order by s) as starts from (select route_int, trip, min(dep) as s from st group by all) group by all"))
+_query("route_stops", lambda spark, sf, t: R.route_tables(t.connections)[0], Q.ask("select distinct route_int, pos, stop from (select route_int, seq as pos, from_stop as stop from conn union all select route_int, seq + 1, to_stop from conn)"))
+_query("route_stop_times", lambda spark, sf, t: R.route_tables(t.connections)[1], Q.ask("select route_int, trip, pos, stop, max(arr) as arr, max(dep) as dep from (select route_int, trip, seq as pos, from_stop as stop, cast(null as integer) as arr, dep from conn union all select route_int, trip, seq + 1, to_stop, arr, null from conn) group by all"))
+# the rule in words: trips of a route go by their first departure; one that starts earlier and arrives
+# later at a place is an inversion, and its kind depends on the departures there
+_IRREGULAR = "irr as (select trip, seq, stop, arr, case when trip % 31 = 4 and seq % 3 = 1 then null when trip % 41 = 7 and seq = 1 then dep + 900 else dep end as dep, route_int, mode from st)"
+_FIFO = """fifo as (select route_int, seq, earlier, trip, case when a_dep is null or dep is null then 'nat' when abs(a_dep - dep) > 720 then 'wraparound' when a_dep <= dep then 'overtaking' else 'data_error' end as kind from
+  (select i.route_int, i.seq, i.trip, i.arr, i.dep, lag(i.arr) over (w) as a_arr, lag(i.dep) over (w) as a_dep, lag(i.trip) over (w) as earlier from irr i
+    left join (select trip, arg_min(dep, seq) as start from irr where dep is not null group by trip) f on f.trip = i.trip window w as (partition by i.route_int, i.seq order by f.start nulls last, i.trip)) where a_arr > arr)"""
+_query("fifo_v1", lambda spark, sf, t: R.fifo_adjacent(T.adapter_irregular(spark, sf)), Q.ask("select * from fifo", _IRREGULAR, _FIFO))
+_query("fifo_report", lambda spark, sf, t: R.fifo_decision(R.fifo_adjacent(T.adapter_irregular(spark, sf))), Q.ask("select count(*) filter (kind = 'nat') as n_nat, count(*) filter (kind = 'wraparound') as n_wraparound, count(*) filter (kind = 'overtaking') as n_overtaking, count(*) filter (kind = 'data_error') as n_data_error, case when count(*) filter (kind in ('overtaking', 'data_error')) > 0 then 'block_reopen_stage_2' when count(*) > 0 then 'proceed_with_note' else 'proceed' end as decision from fifo", _IRREGULAR, _FIFO))
+_query("fifo_v2", lambda spark, sf, t: R.fifo_pairs(T.adapter_irregular(spark, sf)), Q.ask("select route_int, case when dep - a_dep > 720 then 'wraparound' when dep > a_dep then 'overtaking' else 'data_error' end as kind, count(*) as n_inversions from (select a.route_int, a.dep, b.arr, lag(a.dep) over (w) as a_dep, lag(b.arr) over (w) as a_arr from irr a join irr b on a.trip = b.trip and a.seq < b.seq where a.dep is not null and b.arr is not null window w as (partition by a.route_int, a.seq, b.seq order by a.dep, a.trip)) where a_arr > arr group by all", _IRREGULAR))
 _of_conn("busiest_stops", lambda c: R.busiest_stops(c, 10), "select from_stop as stop, count(*) as departures from conn group by all order by departures desc, stop limit 10")
 
 # ---- joins ---------------------------------------------------------------------------------
@@ -105,6 +113,8 @@ _query("target_attach", lambda spark, sf, t: R.target_attachment(t.od, t.connect
 _query("pure_walk", lambda spark, sf, t: A.pure_walk(t.od, t.walks), Q.ask("select q_id, cast(case when src = dst then t_dep else t_dep + w end as integer) as ea from od left join walks on src = u and dst = v"))
 _query("grid_walk_edges", lambda spark, sf, t: R.grid_walk_edges(t.connections, t.walks, T.T_HI), Q.ask("select u, t, v, t + w as t2 from (select distinct to_stop, arr as t from conn) join walks on to_stop = u where t + w <= 780"))
 _of_conn("grid_ride_edges", R.grid_ride_edges, "select distinct from_stop, dep, plane, to_stop, arr from conn, (values (0), (1)) p(plane)")
+_of_conn("grid_exit_edges", R.grid_exit_edges, "select trip, seq, to_stop as stop, arr as t, 0 as w from conn")
+_of_conn("minute_wait_edges", lambda c: R.minute_wait_edges(c.select(F.col("from_stop").alias("stop")).distinct(), 0, T.T_HI), "select plane, stop, cast(t as integer) as t, cast(t + 1 as integer) as t2 from (select distinct from_stop as stop from conn), (values (0), (1)) p(plane), range(780) r(t)")
 _query("grid_node_ids", lambda spark, sf, t: t.connections.select(M.node_id(F.col("from_stop"), F.col("dep"), F.lit(1), 100000, 0, 780).alias("node")).distinct().select("node", *[c.alias(n) for n, c in zip(("stop", "minute", "plane"), M.node_parts(F.col("node"), 100000, 0, 780), strict=True)]), Q.ask("select distinct 78100000 + from_stop * 781 + dep as node, from_stop as stop, dep as minute, 1 as plane from conn"))
 _HUBS = "lab as (select u as a, v as hub, w as d from legs)"
 _query("label_intersection", lambda spark, sf, t: R.label_intersection(_legs(spark, sf).select(F.col("u").alias("a"), F.col("v").alias("hub"), F.col("w").alias("d")), _legs(spark, sf).select(F.col("u").alias("b"), F.col("v").alias("hub"), F.col("w").alias("d"))), Q.ask("select x.a, y.a as b, min(x.d + y.d) as d from lab x join lab y on x.hub = y.hub group by all", _HUBS))
@@ -136,11 +146,11 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
 _query("walk_closure_sweep", lambda spark, sf, t: _sweep(spark, sf), "with " + ",\n".join([Q.LEGS, *(Q.closure(c, f"w{c}") for c in (5, 10, 15, 30))]) + " " + " union all ".join(f"select {c} as cap, * from w{c}" for c in (5, 10, 15, 30)))
 _of_conn("event_graph_nodes", G.event_nodes, "select trip, seq, 0 as kind, from_stop as stop, dep as t from conn union all select trip, seq, 1, to_stop, arr from conn")
 _EDGES = """edges as materialized (select src, dst, min(w) as w, min_by(etype, (w, etype)) as etype from (
-  select trip::bigint * 4096 + seq * 2 as src, trip::bigint * 4096 + seq * 2 + 1 as dst, arr - dep as w, 'RIDE' as etype from conn
-  union all select trip::bigint * 4096 + seq * 2 + 1, trip::bigint * 4096 + nseq * 2, ndep - arr, 'STAY' from (select *, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nseq is not null
-  union all select trip::bigint * 4096 + seq * 2, ntrip::bigint * 4096 + nseq * 2, ndep - dep, 'WAIT' from (select *, lead(trip) over (w) as ntrip, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by from_stop order by dep, trip, seq)) where ntrip is not null
-  union all select e.trip::bigint * 4096 + e.seq * 2 + 1, d.trip::bigint * 4096 + d.seq * 2, d.dep - e.t, 'BOARD' from ev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t
-  union all select e.trip::bigint * 4096 + e.seq * 2 + 1, d.trip::bigint * 4096 + d.seq * 2, d.dep - c.arr, 'WALK_AND_BOARD' from wev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t join conn c on c.trip = e.trip and c.seq = e.seq
+  select trip::bigint * 1048576 + seq * 2 as src, trip::bigint * 1048576 + seq * 2 + 1 as dst, arr - dep as w, 'RIDE' as etype from conn
+  union all select trip::bigint * 1048576 + seq * 2 + 1, trip::bigint * 1048576 + nseq * 2, ndep - arr, 'STAY' from (select *, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by trip order by seq)) where nseq is not null
+  union all select trip::bigint * 1048576 + seq * 2, ntrip::bigint * 1048576 + nseq * 2, ndep - dep, 'WAIT' from (select *, lead(trip) over (w) as ntrip, lead(seq) over (w) as nseq, lead(dep) over (w) as ndep from conn window w as (partition by from_stop order by dep, trip, seq)) where ntrip is not null
+  union all select e.trip::bigint * 1048576 + e.seq * 2 + 1, d.trip::bigint * 1048576 + d.seq * 2, d.dep - e.t, 'BOARD' from ev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t
+  union all select e.trip::bigint * 1048576 + e.seq * 2 + 1, d.trip::bigint * 1048576 + d.seq * 2, d.dep - c.arr, 'WALK_AND_BOARD' from wev e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t join conn c on c.trip = e.trip and c.seq = e.seq
 ) group by src, dst)"""
 _EG = (_ARR, _DEP1, _WALKED, _EDGES)
 _query("event_graph_edges", lambda spark, sf, t: G.event_edges(t.connections, t.walks), Q.ask("select * from edges", *_EG))
@@ -172,16 +182,21 @@ _labels = lambda spark, sf, t: G.landmark_labels(written(G.lower_bound_graph(t.c
 _query("landmark_labels", _labels, Q.ask("select * from lm", *_LM))
 _query("alt_lower_bound", lambda spark, sf, t: G.lower_bounds(_labels(spark, sf, t), t.od), Q.ask("select q_id, src, dst, max(score) as lb from score group by all", *_LM, _SCORE))
 _query("active_landmarks", lambda spark, sf, t: G.active_landmarks(_labels(spark, sf, t), t.od, 2), Q.ask("select q_id, lm, cast(rank as integer) as rank, score from (select *, row_number() over (partition by q_id order by score desc, lm) as rank from score) where rank <= 2", *_LM, _SCORE))
-_of_conn("topo_levels", lambda c: G.topological_levels(G.event_nodes(c)), "select node, t, row_number() over (order by t, node) - 1 as level from (select trip::bigint * 4096 + seq * 2 as node, dep as t from conn union all select trip::bigint * 4096 + seq * 2 + 1, arr from conn)")
+_of_conn("topo_levels", lambda c: G.topological_levels(G.event_nodes(c)), "select node, t, row_number() over (order by t, node) - 1 as level from (select trip::bigint * 1048576 + seq * 2 as node, dep as t from conn union all select trip::bigint * 1048576 + seq * 2 + 1, arr from conn)")
 _query("landmark_selection", lambda spark, sf, t: spark.createDataFrame([(k, s) for k, s in enumerate(G.landmarks(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 4))], "pos int, stop int"))
 _query("hub_labels", lambda spark, sf, t: G.hub_labels(written(G.static_graph(t.connections, t.walks), "static"), 8, 10))
 
 # ---- arrivals ------------------------------------------------------------------------------
 
-_query("ea_exact", lambda spark, sf, t: A.earliest(written(t.connections, "conn"), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
+_query("ea_exact", lambda spark, sf, t: A.answer(written(t.connections, "conn"), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
+_query("ea_rounds", lambda spark, sf, t: A.earliest(A.network(t.connections), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
 for _k in (1, 2, 3):
-    _query(f"ea_k{_k}", lambda spark, sf, t, k=_k: A.earliest(written(t.connections, "conn"), t.walks, t.od, max_boardings=k), Q.ask(Q.arrivals(), Q.rounds(_k)))
-_query("ea_one_to_all", lambda spark, sf, t: A.labels(written(t.connections, "conn"), t.walks, t.od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t")), Q.ask("select q_id, stop, cast(t as integer) as t from l", Q.rounds(8)))
+    _query(f"ea_k{_k}", lambda spark, sf, t, k=_k: A.answer(written(t.connections, "conn"), t.walks, t.od, max_boardings=k), Q.ask(Q.arrivals(), Q.rounds(_k)))
+_query("ea_k2_rounds", lambda spark, sf, t: A.earliest(A.network(t.connections), t.walks, t.od, max_boardings=2), Q.ask(Q.arrivals(), Q.rounds(2)))
+_ALL = Q.ask("select q_id, stop, cast(t as integer) as t from l", Q.rounds(8))
+_query("ea_one_to_all", lambda spark, sf, t: L.one_to_all(written(t.connections, "conn"), t.walks, t.od), _ALL)
+_query("ea_one_to_all_rounds", lambda spark, sf, t: A.labels(A.network(t.connections), t.walks, t.od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t")), _ALL)
+_query("ea_single_pass", lambda spark, sf, t: L.earliest(written(t.connections, "conn"), t.walks, t.od, mode="single_pass"))
 
 
 def _on_events(spark: SparkSession, sf: str, t: T.Timetable, both_ways: bool) -> DataFrame:
@@ -196,9 +211,7 @@ _query("ea_bidirectional", lambda spark, sf, t: _on_events(spark, sf, t, True),
 def _alt(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn = written(t.connections, "conn")
     lm = _labels(spark, sf, T.Timetable(conn, t.walks, t.od))
-    pairs = lm.select("stop").distinct().join(F.broadcast(t.od.select("dst").distinct()), F.lit(True)).select(F.lit(0).alias("q_id"), F.col("stop").alias("src"), "dst")
-    bounds = written(G.lower_bounds(lm, pairs).select(F.col("src").alias("stop"), "dst", "lb"), "bounds")
-    return A.earliest(conn, t.walks, t.od, bounds=bounds)
+    return A.earliest(A.network(conn), t.walks, t.od, bounds=G.front_bounds(written(lm, "landmarks")))
 
 
 _query("ea_alt_pruned", _alt, Q.ask(Q.arrivals(), Q.rounds(8)))
@@ -209,26 +222,26 @@ def _gated(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn = written(t.connections, "conn")
     near = shortest_paths(written(G.lower_bound_graph(conn, t.walks), "lb"), t.od.select(F.col("src").alias("root")).distinct())
     open_ = t.od.join(near, (F.col("src") == F.col("root")) & (F.col("dst") == F.col("v")), "left_semi")
-    found = A.earliest(conn, t.walks, open_).select("q_id", "ea")
+    found = A.answer(conn, t.walks, open_).select("q_id", "ea")
     return t.od.join(found, "q_id", "left").select("q_id", "src", "dst", "t_dep", "ea")
 
 
 _query("ea_hub_gate", _gated, Q.ask(Q.arrivals(), Q.rounds(8)))
 _LD = """back as materialized (select trip, -seq as seq, to_stop as from_stop, from_stop as to_stop, -arr as dep, -dep as arr from conn),
 turned as (select q_id, dst as src, src as dst, -(t_dep + 120) as t_dep from od)"""
-_query("latest_departure", lambda spark, sf, t: A.latest(written(t.connections, "conn"), t.walks, t.od.select("q_id", "src", "dst", (F.col("t_dep") + 120).alias("deadline"))), Q.ask("select o.q_id, src, dst, t_dep + 120 as deadline, cast(-t as integer) as ld from od o left join l x on x.q_id = o.q_id and x.stop = src", _LD, Q.rounds(8, "back", "walks", "turned")))
+_query("latest_departure", lambda spark, sf, t: A.latest(written(t.connections, "conn"), t.walks, t.od.select("q_id", "src", "dst", (F.col("t_dep") + 120).alias("deadline")), switch=True), Q.ask("select o.q_id, src, dst, t_dep + 120 as deadline, cast(-t as integer) as ld from od o left join l x on x.q_id = o.q_id and x.stop = src", _LD, Q.rounds(8, "back", "walks", "turned")))
 _query("ea_static_wrong", lambda spark, sf, t: t.od.join(shortest_paths(written(G.static_graph(t.connections, t.walks), "static"), t.od.select(F.col("src").alias("root")).distinct()), (F.col("src") == F.col("root")) & (F.col("dst") == F.col("v")), "left").select("q_id", (F.col("t_dep") + F.col("d")).cast("int").alias("ea")), Q.ask("select q_id, cast(t_dep + d as integer) as ea from od left join p on root = src and v = dst", _STATIC, "srcs as (select distinct src as root from od)", _paths("static", "srcs", "p")))
 
 
 def _capped(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn, out = written(t.connections, "conn"), None
     for cap in (5, 10, 15):
-        one = A.earliest(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od).select(F.lit(cap).alias("cap"), "q_id", "ea")
+        one = A.answer(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od).select(F.lit(cap).alias("cap"), "q_id", "ea")
         out = one if out is None else out.union(one)
     return out
 
 
-_query("ea_walkcap_sweep", _capped, Q.ask(" union all ".join(f"select {c} as cap, o.q_id, cast(t as integer) as ea from od o left join l{c} x on x.q_id = o.q_id and x.stop = dst" for c in (5, 10, 15)), *(Q.closure(c, f"w{c}") for c in (5, 10, 15)), *(Q.rounds(2, walks=f"w{c}", tag=f"l{c}") for c in (5, 10, 15))))
+_query("ea_walkcap_sweep", _capped, Q.ask(" union all ".join(f"select {c} as cap, o.q_id, cast(t as integer) as ea from od o left join l{c} x on x.q_id = o.q_id and x.stop = dst" for c in (5, 10, 15)), *(Q.closure(c, f"w{c}") for c in (5, 10, 15)), *(Q.rounds(8, walks=f"w{c}", tag=f"l{c}") for c in (5, 10, 15))))
 
 # ---- edits ---------------------------------------------------------------------------------
 
@@ -264,19 +277,19 @@ def _compacted(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
 
 
 _query("compact", _compacted, Q.ask("select * from edited", _EDITED))
-_after = lambda spark, sf, t: A.earliest(written(E.apply_edits(t.connections, edit_set(t.connections)), "edited"), t.walks, t.od)
+_after = lambda spark, sf, t: A.answer(written(E.apply_edits(t.connections, edit_set(t.connections)), "edited"), t.walks, t.od)
 _query("ea_after_edits", _after, Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
 _CMP = f"""cmp as (select q_id, a.ea as a, b.ea as b,
   case when a.ea is null and b.ea is null then 'both_unreachable' when a.ea = b.ea then 'match' when a.ea is null or b.ea < a.ea then 'b_better' else 'a_better' end as verdict,
   cast(case when a.ea is null and b.ea is null then 0 when a.ea is null then -9999 when b.ea is null then 9999 else b.ea - a.ea end as integer) as delta
   from ({Q.arrivals('l')}) a join ({Q.arrivals('m')}) b using (q_id))"""
-_BOTH = (_EDITED, Q.rounds(1), Q.rounds(1, "edited", tag="m"), _CMP)
+_BOTH = (_EDITED, Q.rounds(8), Q.rounds(8, "edited", tag="m"), _CMP)
 
 
 def _compared(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     conn = written(t.connections, "conn")
-    one = A.earliest(conn, t.walks, t.od)
-    other = A.earliest(written(E.apply_edits(conn, edit_set(conn)), "edited"), t.walks, t.od)
+    one = A.answer(conn, t.walks, t.od)
+    other = A.answer(written(E.apply_edits(conn, edit_set(conn)), "edited"), t.walks, t.od)
     return P.compare(one, other)
 
 
@@ -287,7 +300,7 @@ _query("quality_delta", lambda spark, sf, t: P.quality_delta(_compared(spark, sf
   quantile_cont(case when a <> b then abs(b - a) end, 0.5) as median_abs_delta, max(case when a <> b then abs(b - a) end) as max_abs_delta from cmp""", *_BOTH))
 _query("residual_modes", lambda spark, sf, t: _compared(spark, sf, t).where("a is not null and b is not null").groupBy(M.residual_class(F.col("delta")).alias("residual")).agg(F.count("*").alias("n")), Q.ask("select case when abs(delta) <= 2 then '<=2' when abs(delta) <= 5 then '<=5' when abs(delta) <= 15 then '<=15' else '>15' end as residual, count(*) as n from cmp where a is not null and b is not null group by all", *_BOTH))
 _query("attribution", lambda spark, sf, t: _compared(spark, sf, t).groupBy(M.attribution(F.col("verdict") == "match", F.col("b").isNull(), F.col("delta")).alias("cause")).agg(F.count("*").alias("n")), Q.ask("select case when verdict = 'match' then 'AGREE' when abs(delta) <= 2 then 'NEAR' when b is null then 'S3' when abs(delta) > 60 then 'S1' when delta > 0 then 'S5a' else 'S5b' end as cause, count(*) as n from cmp group by all", *_BOTH))
-_query("canonical_results", lambda spark, sf, t: T.result_lines(A.earliest(written(t.connections, "conn"), t.walks, t.od)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(1)))
+_query("canonical_results", lambda spark, sf, t: T.result_lines(A.answer(written(t.connections, "conn"), t.walks, t.od)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(8)))
 
 _TRIPS = f"tr as (select trip, min(mode) as mode, {Q.draw(5, 'trip')} as draw from conn group by trip)"
 _PICK = "pick as (select tr.trip, tr.mode, tr.draw from (select *, row_number() over (partition by mode order by draw, trip) as k from tr) tr join (select mode, floor(40 * count(*) / (select count(*) from tr)) as quota from tr group by mode) m on m.mode = tr.mode order by k > quota, draw, trip limit 40)"

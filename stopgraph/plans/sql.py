@@ -5,7 +5,8 @@ from __future__ import annotations
 ST = """st0 as (select l_orderkey, l_suppkey, l_returnflag, l_linenumber % 3 as dwell, row_number() over (o) - 1 as seq,
   (l_orderkey * 37) % 600 + sum(3 + l_partkey % 8 + l_linenumber % 3) over (o) - l_linenumber % 3 as arr
   from lineitem window o as (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey)),
-st as (select cast(l_orderkey as integer) as trip, cast(seq as integer) as seq, cast(l_suppkey as integer) as stop, cast(arr as integer) as arr, cast(arr + dwell as integer) as dep,
+st as (select cast(l_orderkey as integer) as trip, cast(seq as integer) as seq, cast(l_suppkey as integer) as stop,
+  cast(case when l_orderkey % 23 = 5 and seq = 2 then null else arr end as integer) as arr, cast(case when l_orderkey % 23 = 5 and seq = 2 then null else arr + dwell end as integer) as dep,
   cast(l_orderkey % 50 as integer) as route_int, cast(case l_returnflag when 'A' then 1 when 'R' then 2 else 0 end as integer) as mode from st0)"""
 
 CONN = """conn as materialized (select trip, seq, stop as from_stop, to_stop, dep, narr as arr, route_int, mode from

@@ -24,3 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` in the shared folder in buckets of ``keys``: joins on them shuffle the other side only.
+
+    The table's name is dropped at once; its files, and the buckets in the plan returned, stay.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, *keys).write.option("path", f"{shared_dir(spark)}/{table}")
+    writer.bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return out

@@ -112,16 +112,24 @@ CAP, T_HI = 15, 780
 
 
 def adapter_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order is a trip, every line of it a stop at the line's supplier."""
+    """Every order is a trip, every line of it a stop at the line's supplier; some stops have no times."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
     run, dwell = 3 + F.col("l_partkey") % 8, F.col("l_linenumber") % 3
     mode = F.when(F.col("l_returnflag") == "A", "subway").when(F.col("l_returnflag") == "R", "Tram").otherwise("bus")
     arr = (F.col("l_orderkey") * 37) % 600 + F.sum(run + dwell).over(order) - dwell
     out = li.select(F.col("l_orderkey").alias("trip"), (F.row_number().over(order) - 1).alias("seq"), F.col("l_suppkey").alias("stop"), arr.alias("arr"), (arr + dwell).alias("dep"), (F.col("l_orderkey") % 50).alias("route_int"), mode_number(mode).alias("mode"))
+    missing = (F.col("trip") % 23 == 5) & (F.col("seq") == 2)
+    out = out.withColumns({c: F.when(~missing, F.col(c)) for c in ("arr", "dep")})
     return out.select(*[F.col(c).cast("int") for c in out.columns])
 
 
+def adapter_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's stop times with departures missing, and others a day part too late."""
+    dep = F.when((F.col("trip") % 31 == 4) & (F.col("seq") % 3 == 1), None).when((F.col("trip") % 41 == 7) & (F.col("seq") == 1), F.col("dep") + 900).otherwise(F.col("dep"))
+    return adapter_stop_times(spark, sf_dir).withColumn("dep", dep)
+
+
 def adapter(spark: SparkSession, sf_dir: str, cap: int = CAP) -> Timetable:
     stops = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("stop"))
     near = stops.select(F.col("stop").alias("u"), F.explode(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)])).alias("d"))
