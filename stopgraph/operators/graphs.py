@@ -34,14 +34,16 @@ def event_edges(conn: DataFrame, walks: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """Nodes that each query reaches: ``edges(src, dst)``, ``seeds(q_id, node)``, all of them in ``within``.
+    """Nodes that each query reaches, with their minutes: ``edges(src, dst, w)``, ``seeds(q_id, node, t, low, high)``.
 
     All weights are differences of the ends' minutes, so whether a node is reached says when.
+    Nodes before ``low`` or after ``high``, and those not in ``within``, are not entered.
     """
-    seen = written(seeds.distinct(), "seen")
+    seen = written(seeds.where("t between low and high").distinct(), "seen")
     front = seen
     while True:
-        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("q_id", F.col("dst").alias("node")).distinct()
+        step = front.join(edges.select(F.col("src").alias("node"), "dst", "w"), "node").select("q_id", F.col("dst").alias("node"), (F.col("t") + F.col("w")).alias("t"), "low", "high")
+        step = step.where("t between low and high").distinct()
         if within is not None:
             step = step.join(within, ["q_id", "node"], "left_semi")
         front = written(step.join(seen, ["q_id", "node"], "left_anti"), "front")
@@ -50,23 +52,42 @@ def reach(edges: DataFrame, seeds: DataFrame, within: DataFrame | None = None) -
         seen = written(seen.union(front), "seen")
 
 
+#: Minutes after its start that a query's search looks at first; twice as many each time it has found nothing.
+HORIZON = 64
+
+
 def earliest_on_events(conn: DataFrame, walks: DataFrame, od: DataFrame, edges: DataFrame, both_ways: bool = False) -> DataFrame:
     """Earliest arrivals by reachability on the event graph; with ``both_ways`` from both ends.
 
     From both ends, the nodes that lead to a target are found first and the forward search
-    keeps to them.
+    keeps to them.  No node after a query's horizon is entered: an arrival within it cannot
+    be bettered beyond it, and queries without one go on with a longer horizon.
     """
-    seeds = R.source_attachment(od, conn, walks).select("q_id", _node("trip", "seq", 0).alias("node"))
-    goals = R.target_attachment(od, conn, walks).select("q_id", _node("trip", "seq", 1).alias("node"), (F.col("arr") + F.col("tail")).alias("ea"))
-    if both_ways:
-        back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goals.select("q_id", "node"))
-        # the forward search keeps to nodes that lead to a target
-        front = reach(edges, seeds.join(back, ["q_id", "node"], "left_semi"), back)
-    else:
-        front = reach(edges, seeds)
-    ridden = front.join(goals, ["q_id", "node"]).groupBy("q_id").agg(F.min("ea").alias("ridden"))
+    seeds = written(R.source_attachment(od, conn, walks).select("q_id", _node("trip", "seq", 0).alias("node"), F.col("dep").alias("t")), "seeds")
+    goals = written(R.target_attachment(od, conn, walks).select("q_id", _node("trip", "seq", 1).alias("node"), F.col("arr").alias("t"), (F.col("arr") + F.col("tail")).alias("ea")), "goals")
+    back_edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("w")).alias("w"))
+    last = conn.agg(F.max("arr")).first()[0]
+    left, ridden, span = od.select("q_id", "t_dep"), None, HORIZON
+    while last is not None:
+        bounds = left.select("q_id", F.col("t_dep").alias("low"), (F.col("t_dep") + span).alias("high"))
+        start = seeds.join(bounds, "q_id")
+        ends = goals.join(bounds, "q_id").where("ea <= high")
+        back = None
+        if both_ways:
+            back = reach(back_edges, ends.select("q_id", "node", "t", "low", "high")).select("q_id", "node")
+            start = start.join(back, ["q_id", "node"], "left_semi")
+        front = reach(edges, start.select("q_id", "node", "t", "low", "high"), back)
+        found = front.join(ends.select("q_id", "node", "ea"), ["q_id", "node"]).groupBy("q_id").agg(F.min("ea").alias("ridden"))
+        found = written(found, "ridden")
+        ridden = found if ridden is None else ridden.union(found)
+        left = written(left.join(found, "q_id", "left_anti").where(F.col("t_dep") + span <= last), "left")
+        if left.isEmpty():
+            break
+        span *= 2
     walked = od.join(walks, (F.col("src") == F.col("u")) & (F.col("dst") == F.col("v")), "left").select("q_id", F.when(F.col("src") == F.col("dst"), F.col("t_dep")).otherwise(F.col("t_dep") + F.col("w")).alias("walked"))
-    return od.join(ridden, "q_id", "left").join(walked, "q_id", "left").select("q_id", "src", "dst", "t_dep", F.least("ridden", "walked").cast("int").alias("ea"))
+    out = od.join(walked, "q_id", "left")
+    out = out.join(ridden, "q_id", "left") if ridden is not None else out.withColumn("ridden", F.lit(None).cast("int"))
+    return out.select("q_id", "src", "dst", "t_dep", F.least("ridden", "walked").cast("int").alias("ea"))
 
 
 def static_graph(conn: DataFrame, walks: DataFrame) -> DataFrame:
