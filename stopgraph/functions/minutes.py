@@ -64,3 +64,9 @@ def stable_hash(*columns: Column | str) -> Column:
     """SHA-256 of values joined by bars; a null stands as an empty text with a mark."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N")) for c in columns]
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def float_or_null(text: Column) -> Column:
+    """A number read from text; anything else, and what is no number, is null."""
+    value = text.try_cast("double")
+    return F.when(~F.isnan(value), value)

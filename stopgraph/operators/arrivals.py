@@ -118,6 +118,29 @@ def latest(conn: DataFrame, walks: DataFrame, od: DataFrame, switch: bool = Fals
     return od.join(got.select("q_id", (-F.col("ea")).alias("ld")), "q_id").select("q_id", "src", "dst", "deadline", F.col("ld").cast("int").alias("ld"))
 
 
+def answer_worlds(conn: DataFrame, walks: DataFrame, od: DataFrame, world: str, worlds: int) -> DataFrame:
+    """:func:`answer` for queries of several worlds (edit sets, walk caps) at once.
+
+    All three tables have a column ``world`` with numbers from 0 to before ``worlds``; stops
+    and trips of each world get numbers of their own, so one search serves all of them.
+    """
+    own = lambda c: (F.col(c) * worlds + F.col(world)).alias(c)
+    c = written(conn.select(own("trip"), "seq", own("from_stop"), own("to_stop"), "dep", "arr"), "worlds")
+    w = written(walks.select(own("u"), own("v"), "w"), "walks")
+    q = od.select(own("q_id"), own("src"), own("dst"), "t_dep")
+    got = answer(c, w, q)
+    back = lambda c: F.floor(F.col(c) / worlds).cast("int").alias(c)
+    return got.select(F.pmod("q_id", F.lit(worlds)).cast("int").alias(world), back("q_id"), back("src"), back("dst"), "t_dep", "ea")
+
+
+def on_grid(conn: DataFrame, walks: DataFrame, od: DataFrame, t_lo: int, t_hi: int) -> DataFrame:
+    """:func:`answer` on a grid of minutes: queries that start, or end, outside it have no answer."""
+    inside = conn.where((F.col("dep") >= t_lo) & (F.col("arr") <= t_hi))
+    asked = od.where(F.col("t_dep").between(t_lo, t_hi))
+    got = answer(inside, walks, asked).select("q_id", F.when(F.col("ea") <= t_hi, F.col("ea")).alias("ea"))
+    return od.join(got, "q_id", "left").select("q_id", "src", "dst", "t_dep", "ea")
+
+
 def pure_walk(od: DataFrame, walks: DataFrame) -> DataFrame:
     """Arrival without riding: at once where source and destination are one, else by walk."""
     out = od.join(walks, (F.col("src") == F.col("u")) & (F.col("dst") == F.col("v")), "left")

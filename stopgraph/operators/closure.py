@@ -24,26 +24,30 @@ def _relax(edges: DataFrame, seeds: DataFrame, cap: int | None) -> DataFrame:
         best = written(best.union(front).groupBy("root", "v").agg(F.min("d").alias("d")), "best")
 
 
-def walk_closure(walks: DataFrame, cap: int = 15) -> DataFrame:
+def walk_closure(walks: DataFrame, cap: int = 15, least: int = 1) -> DataFrame:
     """All walks of at most ``cap`` minutes over chains of ``walks(u, v, w)``; u <> v.
 
-    Legs are whole minutes already, so a chain has at most ``cap`` of them; with the cap
-    twice the least leg or less one self-join is the closure, and no round is run.
+    Legs are whole minutes, of ``least`` at least, so a chain has at most ``cap / least`` of
+    them.  Up to four the closure is a plan of that many joins and nothing runs before it is
+    asked for; longer ones run in rounds.
     """
     legs = walks.where((F.col("w") > 0) & (F.col("w") <= cap) & (F.col("u") != F.col("v"))).groupBy("u", "v").agg(F.min("w").cast("int").alias("w"))
-    least = legs.agg(F.min("w")).first()[0]
-    if least is None:
-        return legs
     hops, out = cap // least, legs
     if hops > 4:
         closed = _relax(legs, legs.select(F.col("u").alias("root"), "v", F.col("w").alias("d")), cap)
         return closed.where("root <> v").select(F.col("root").alias("u"), "v", F.col("d").alias("w"))
     for _ in range(hops - 1):
-        further = out.select("u", F.col("v").alias("m"), F.col("w").alias("w1")).join(legs.select(F.col("u").alias("m"), "v", F.col("w").alias("w2")), "m").select("u", "v", (F.col("w1") + F.col("w2")).alias("w"))
+        further = out.select("u", F.col("v").alias("m"), F.col("w").alias("w1")).join(legs.where(F.col("w") >= least).select(F.col("u").alias("m"), "v", F.col("w").alias("w2")), "m").select("u", "v", (F.col("w1") + F.col("w2")).alias("w"))
         out = out.union(further.where((F.col("w") <= cap) & (F.col("u") != F.col("v")))).groupBy("u", "v").agg(F.min("w").alias("w"))
     return out
 
 
+def closures_by_cap(walks: DataFrame, caps: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """``(cap, u, v, w)`` for each of ``caps(cap)`` up to ``most``: one closure, cut at each cap."""
+    closed = walk_closure(walks, most, least)
+    return closed.join(F.broadcast(caps.where(F.col("cap") <= most)), F.col("w") <= F.col("cap")).select("cap", "u", "v", "w")  # a row a cap
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, cap: int | None = None) -> DataFrame:
     """``(root, v, d)`` from each of ``sources(root)`` over ``edges(u, v, w)``, itself at 0."""
     return _relax(edges, sources.select("root", F.col("root").alias("v"), F.lit(0).alias("d")), cap)

@@ -38,65 +38,135 @@ def cancellations(conn: DataFrame, n: int, seed: int) -> DataFrame:
     return sample_trips(conn, n, seed).select(F.col("trip").alias("trip_id"), F.lit("CANCELLATION").alias("edit_type"))
 
 
-def additions(conn: DataFrame, n: int, seed: int) -> DataFrame:
-    """Trips in free windows of a route: gaps of 15 minutes or more between starts.
+def additions(conn: DataFrame, n: int, seed: int, t_lo: int = 0, t_hi: int = 780) -> DataFrame:
+    """Trips in free windows of a route: between starts, and before and after them in the day.
 
-    A window is drawn with a probability in proportion to its width, by the smallest of the
-    draws' logarithms over the widths; the start lies within five minutes of neither end.
+    A window keeps five minutes from both its ends and is 15 minutes wide at least.  Of each
+    route one window is drawn with a probability in proportion to its width, by the smallest
+    of the draws' logarithms over the widths, and ``n`` routes are taken by that key.
     """
     starts = conn.groupBy("route_int", "trip").agg(F.min("dep").alias("start"))
     w = Window.partitionBy("route_int").orderBy("start", "trip")
-    gaps = starts.withColumn("next", F.lead("start").over(w)).where(F.col("next") - F.col("start") >= 15)
-    room = F.col("next") - F.col("start") - 10
-    pick = gaps.withColumn("key", -F.ln(draw("trip", F.lit("window"), seed=seed) + F.lit(1e-9)) / room)
-    pick = pick.withColumn("k", F.row_number().over(Window.partitionBy("route_int").orderBy("key", "trip"))).where("k = 1").orderBy("key", "route_int").limit(n)
-    return pick.select(F.col("trip").alias("template_trip_id"), F.lit("ADDITION").alias("edit_type"), (F.col("start") + 5 + F.floor(draw("trip", F.lit("start"), seed=seed) * room)).cast("int").alias("start_minute"))
+    edges = starts.withColumns({"next": F.lead("start").over(w), "first": F.lag("trip").over(w).isNull()})
+    low, high = F.lit(t_lo + 5), F.lit(t_hi - 5)
+    after = edges.select("route_int", "trip", F.lit("after").alias("side"), (F.col("start") + 5).alias("lo"), F.coalesce(F.col("next") - 5, high).alias("hi"))
+    before = edges.where("first").select("route_int", "trip", F.lit("before").alias("side"), low.alias("lo"), (F.col("start") - 5).alias("hi"))
+    gaps = after.union(before).where("hi - lo >= 15")
+    pick = gaps.withColumn("key", -F.ln(draw("trip", "side", seed=seed) + F.lit(1e-9)) / (F.col("hi") - F.col("lo")))
+    pick = pick.withColumn("k", F.row_number().over(Window.partitionBy("route_int").orderBy("key", "trip", "side"))).where("k = 1").orderBy("key", "route_int").limit(n)
+    start = F.col("lo") + F.floor(draw("trip", F.lit("start"), seed=seed) * (F.col("hi") - F.col("lo") + 1))
+    return pick.select(F.col("trip").alias("template_trip_id"), F.lit("ADDITION").alias("edit_type"), start.cast("int").alias("start_minute"))
+
+
+def build_edit_set(conn: DataFrame, scenario: str, n: int, seed: int, edit_set: int = 0) -> DataFrame:
+    """An edit set of ``n`` edits of one kind, in the columns of ``EDIT_SCHEMA``."""
+    makers = {"DELAY": delays, "CANCELLATION": cancellations, "ADDITION": additions}
+    if scenario not in makers:
+        raise ValueError(f"unknown scenario: {scenario}")
+    made = makers[scenario](conn, n, seed)
+    column = lambda c: F.col(c) if c in made.columns else F.lit(None).cast("int")
+    key = F.coalesce(column("trip_id"), column("template_trip_id"))
+    return made.select(F.lit(edit_set).alias("edit_set"), key.cast("int").alias("pos"), "edit_type", *[column(c).cast("int").alias(c) for c in ("trip_id", "delta_min", "template_trip_id", "start_minute")], F.lit(True).alias("active"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``rows`` with their place, from one on, among those of equal ``by`` in ``order`` (whole numbers).
+
+    Ranges of 4096 numbers are numbered apart and shifted by what is before them, so one task
+    orders a range only.
+    """
+    dealt = rows.withColumn("__range", F.floor(F.col(order) / 4096))
+    sizes = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*by, "__range").orderBy(order)
+    place = (F.col("__start") + F.row_number().over(within)).cast("int")
+    return dealt.join(sizes, [*by, "__range"]).withColumn(name, place).drop("__range", "__start")
 
 
 def fold(edits: DataFrame) -> DataFrame:
-    """One row a trip: whether it is cancelled in the end, and its whole delay.
+    """One row a trip of each edit set: whether it is cancelled in the end, and its whole delay.
 
     Edits follow ``pos``; a restoration undoes the trip's cancellations before it; inactive
-    edits count for nothing.
+    edits count for nothing; edits of one set leave the others alone.
     """
     live = edits.where(F.coalesce("active", F.lit(True)) & F.col("edit_type").isin("DELAY", "CANCELLATION", "RESTORE"))
     last = F.max_by("edit_type", F.when(F.col("edit_type") != "DELAY", F.col("pos")))
-    return live.groupBy(F.col("trip_id").alias("trip")).agg(F.coalesce(last == "CANCELLATION", F.lit(False)).alias("cancelled"), F.coalesce(F.sum(F.when(F.col("edit_type") == "DELAY", F.col("delta_min"))), F.lit(0)).cast("int").alias("delta"))
+    return live.groupBy("edit_set", F.col("trip_id").alias("trip")).agg(F.coalesce(last == "CANCELLATION", F.lit(False)).alias("cancelled"), F.coalesce(F.sum(F.when(F.col("edit_type") == "DELAY", F.col("delta_min"))), F.lit(0)).cast("int").alias("delta"))
 
 
 def _shift(conn: DataFrame, delta: Column) -> DataFrame:
     return conn.withColumns({"dep": clip_minutes(F.col("dep") + delta).cast("int"), "arr": clip_minutes(F.col("arr") + delta).cast("int")})
 
 
-def apply_edits(conn: DataFrame, edits: DataFrame, first_new_trip: int | None = None) -> DataFrame:
-    """The edited connections: cancelled trips gone, delayed ones shifted, added ones appended.
+def apply_edit_sets(conn: DataFrame, edits: DataFrame, sets: DataFrame | None = None, first_new_trip: int | None = None) -> DataFrame:
+    """The edited connections of each edit set, with its number as ``edit_set``.
 
-    Unknown trips and templates change nothing.  An added trip copies its template as given,
-    starts at ``start_minute``, or ``delta_min`` after the template where that is null, and
-    gets a number of its own after all others; one that would leave 16 bits is refused whole.
-    Links between events are views over the result, so they are right without any repair.
+    Cancelled trips are gone, delayed ones shifted, added ones appended.  ``sets(edit_set)``
+    may name sets without any edit.  Unknown trips and templates change nothing.  An added
+    trip copies its template as given, starts at ``start_minute``, or ``delta_min`` after the
+    template where that is null, and gets a number of its own after all others, in order of
+    ``pos``; one that would leave 16 bits is refused whole, and a CANCEL_ADDED edit of its
+    number takes it back.  Links between events are views over the result, so they are right
+    without any repair.
     """
-    folded = fold(edits)
-    kept = conn.join(folded, "trip", "left").where(~F.coalesce("cancelled", F.lit(False)))
-    kept = _shift(kept, F.coalesce("delta", F.lit(0))).select(*conn.columns)
-    new = edits.where(F.coalesce("active", F.lit(True)) & (F.col("edit_type") == "ADDITION"))
+    sets = edits.select("edit_set").distinct() if sets is None else sets
+    live = edits.where(F.coalesce("active", F.lit(True)))
+    base = conn.join(F.broadcast(sets), F.lit(True))  # a row a set: scenarios, not trips
+    kept = base.join(fold(edits), ["edit_set", "trip"], "left").where(~F.coalesce("cancelled", F.lit(False)))
+    kept = _shift(kept, F.coalesce("delta", F.lit(0))).select("edit_set", *conn.columns)
     top = F.lit(first_new_trip - 1) if first_new_trip is not None else F.col("top")
+    new = numbered(live.where(F.col("edit_type") == "ADDITION"), ["edit_set"], "pos", "place")
     if first_new_trip is None:
-        new = new.join(F.broadcast(conn.agg(F.max("trip").alias("top"))), F.lit(True))
-    # one row an addition, numbered in order
-    new = new.select((top + F.row_number().over(Window.orderBy("pos"))).cast("int").alias("new_trip"), F.col("template_trip_id").alias("trip"), "start_minute", "delta_min")
+        new = new.join(F.broadcast(conn.agg(F.max("trip").alias("top"))), F.lit(True))  # one row
+    new = new.select("edit_set", (top + F.col("place")).cast("int").alias("new_trip"), F.col("template_trip_id").alias("trip"), "start_minute", "delta_min")
+    gone = live.where(F.col("edit_type") == "CANCEL_ADDED").select("edit_set", F.col("trip_id").alias("new_trip"))
+    new = new.join(gone, ["edit_set", "new_trip"], "left_anti")
     begin = conn.groupBy("trip").agg(F.min("dep").alias("begin"), F.max("arr").alias("end"))
     new = new.join(begin, "trip").withColumn("by", F.coalesce(F.col("start_minute") - F.col("begin"), F.col("delta_min")))
     new = new.where("end + by between -32768 and 32767 and begin + by between -32768 and 32767")
-    added = conn.join(new.select("trip", "new_trip", "by"), "trip")
-    added = added.withColumns({"dep": (F.col("dep") + F.col("by")).cast("int"), "arr": (F.col("arr") + F.col("by")).cast("int"), "trip": F.col("new_trip")}).select(*conn.columns)
-    return kept.unionByName(added)
+    added = conn.join(new.select("edit_set", "trip", "new_trip", "by"), "trip")
+    added = added.withColumns({"dep": (F.col("dep") + F.col("by")).cast("int"), "arr": (F.col("arr") + F.col("by")).cast("int"), "trip": F.col("new_trip")})
+    return kept.unionByName(added.select("edit_set", *conn.columns))
+
+
+def apply_edits(conn: DataFrame, edits: DataFrame, first_new_trip: int | None = None) -> DataFrame:
+    """The edited connections of all ``edits`` taken as one set; see :func:`apply_edit_sets`."""
+    one = edits.withColumn("edit_set", F.lit(0))
+    sets = conn.sparkSession.range(1).select(F.lit(0).alias("edit_set"))
+    return apply_edit_sets(conn, one, sets, first_new_trip).drop("edit_set")
 
 
 def apply_phases(conn: DataFrame, edits: DataFrame) -> DataFrame:
     """Delays first, then cancellations, then additions, whatever their order in the set."""
     phase = F.when(F.col("edit_type") == "DELAY", 0).when(F.col("edit_type") == "CANCELLATION", 1).otherwise(2)
-    return apply_edits(conn, edits.withColumn("pos", (phase * 1_000_000 + F.col("pos")).cast("int")))
+    return apply_edits(conn, edits.withColumn("pos", phase.cast("long") * (1 << 40) + F.col("pos")))
+
+
+def refused(conn: DataFrame, edits: DataFrame, t_lo: int, t_hi: int) -> DataFrame:
+    """Edits that a strict application refuses, with why: ``(edit_set, pos, edit_type, trip_id, reason)``."""
+    trips = conn.groupBy("trip").agg(F.min("dep").alias("begin"), F.max("arr").alias("end"))
+    known = edits.withColumn("trip", F.coalesce("trip_id", "template_trip_id")).where("edit_type <> 'CANCEL_ADDED'").join(trips, "trip", "left")
+    by = F.when(F.col("edit_type") == "ADDITION", F.coalesce(F.col("start_minute") - F.col("begin"), F.col("delta_min"))).when(F.col("edit_type") == "DELAY", F.col("delta_min"))
+    outside = (F.col("begin") + by < t_lo) | (F.col("end") + by > t_hi)
+    reason = F.when(F.col("begin").isNull(), "unknown trip").when(outside, "out of range")
+    return known.withColumn("reason", reason).where("reason is not null").select("edit_set", "pos", "edit_type", F.col("trip").alias("trip_id"), "reason")
+
+
+def apply_strictly(conn: DataFrame, edits: DataFrame, t_lo: int, t_hi: int) -> DataFrame:
+    """:func:`apply_edits`, or an error where an edit names no trip or leaves the window."""
+    bad = refused(conn, edits, t_lo, t_hi).orderBy("edit_set", "pos").first()
+    if bad is not None:
+        raise ValueError(f"{bad.edit_type} of trip {bad.trip_id}: {bad.reason}")
+    return apply_edits(conn, edits)
+
+
+def batch_counts(conn: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of each set by kind, trips touched, and edits of trips that do not exist."""
+    trips = conn.select(F.col("trip").alias("known")).distinct()
+    both = edits.join(trips, F.coalesce("trip_id", "template_trip_id") == F.col("known"), "left")
+    kinds = [F.count_if(F.col("edit_type") == k).alias(f"n_{k.lower()}") for k in ("DELAY", "CANCELLATION", "ADDITION", "RESTORE", "CANCEL_ADDED")]
+    return both.groupBy("edit_set").agg(F.count("*").alias("n_edits"), *kinds, F.countDistinct("known").alias("n_trips"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
 
 
 def needs_compaction(conn: DataFrame, edits: DataFrame, share: float = 0.25) -> bool:

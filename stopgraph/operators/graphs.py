@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..sources.store import written
 from . import relational as R
 from .closure import shortest_paths
+from .edits import draw
 
 
 def event_nodes(conn: DataFrame) -> DataFrame:
@@ -168,6 +169,20 @@ def active_landmarks(labels: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return landmark_scores(labels, pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "lm", "rank", "score")
 
 
+def landmark_quality(graph: DataFrame, labels: DataFrame, sources: int, targets: int, seed: int) -> DataFrame:
+    """How much of the true distance the best landmark's bound reaches, on average.
+
+    Pairs are drawn by hash: some stops with edges, and for each some of the stops it reaches.
+    """
+    drawn = graph.select(F.col("u").alias("root")).distinct().orderBy(draw("root", seed=seed), "root").limit(sources)
+    true = shortest_paths(graph, drawn).where("d > 0")
+    w = Window.partitionBy("root").orderBy(draw("root", "v", seed=seed), "v")
+    pairs = true.withColumn("k", F.row_number().over(w)).where(F.col("k") <= targets)
+    pairs = written(pairs.select((F.col("root").cast("long") * 1_000_000_000 + F.col("v")).alias("q_id"), F.col("root").alias("src"), F.col("v").alias("dst"), "d"), "pairs")
+    ratio = pairs.join(lower_bounds(labels, pairs).select("q_id", "lb"), "q_id", "left").select((F.coalesce("lb", F.lit(0)) / F.col("d")).alias("ratio"))
+    return ratio.agg(F.count("*").alias("n_pairs"), F.avg("ratio").alias("quality"))
+
+
 def topological_levels(nodes: DataFrame) -> DataFrame:
     """Events numbered in order of minute and node: ranks within a minute, shifted by those before."""
     with_id = nodes.select(_node("trip", "seq", 0).alias("base"), "kind", "t").select((F.col("base") + F.col("kind")).alias("node"), "t")

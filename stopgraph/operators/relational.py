@@ -33,7 +33,7 @@ def collapse_same_stop(stop_times: DataFrame) -> DataFrame:
     order = Window.partitionBy("trip").orderBy("stop_sequence")
     new = (F.lag("stop").over(order).isNull() | (F.lag("stop").over(order) != F.col("stop"))).cast("int")
     runs = stop_times.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("trip", "run").agg(F.min("stop_sequence").alias("stop_sequence"), F.first("stop").alias("stop"), F.min("arrival_time").alias("arrival_time"), F.max("departure_time").alias("departure_time"), F.min_by("route_int", "stop_sequence").alias("route_int")).drop("run")
+    return runs.groupBy("trip", "run").agg(F.min("stop_sequence").alias("stop_sequence"), F.first("stop").alias("stop"), F.min("arrival_time").alias("arrival_time"), F.max("departure_time").alias("departure_time"), *[F.min_by(c, "stop_sequence").alias(c) for c in ("route_int", "mode") if c in stop_times.columns]).drop("run")
 
 
 def service_date(stop_times: DataFrame) -> DataFrame:

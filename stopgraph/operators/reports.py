@@ -4,30 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.minutes import overnight_wrap
 from .edits import draw
 
 
 def compare(one: DataFrame, other: DataFrame) -> DataFrame:
     """``(q_id, a, b, verdict, delta)`` of two results; a side not reached counts 9999 away."""
-    both = one.select("q_id", F.col("ea").alias("a")).join(other.select("q_id", F.col("ea").alias("b")), "q_id", "full_outer")
+    keys = [c for c in ("edit_set", "q_id") if c in one.columns and c in other.columns]
+    both = one.select(*keys, F.col("ea").alias("a")).join(other.select(*keys, F.col("ea").alias("b")), keys, "full_outer")
     verdict = F.when(F.col("a").isNull() & F.col("b").isNull(), "both_unreachable").when(F.col("a") == F.col("b"), "match").when(F.col("a").isNull() | (F.col("b") < F.col("a")), "b_better").otherwise("a_better")
     delta = F.when(F.col("a").isNull() & F.col("b").isNull(), 0).when(F.col("a").isNull(), -9999).when(F.col("b").isNull(), 9999).otherwise(F.col("b") - F.col("a"))
-    return both.select("q_id", "a", "b", verdict.alias("verdict"), delta.cast("int").alias("delta"))
+    return both.select(*keys, "a", "b", verdict.alias("verdict"), delta.cast("int").alias("delta"))
 
 
 def parity_counts(compared: DataFrame) -> DataFrame:
     return compared.agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("match", "both_unreachable", "a_better", "b_better")])
 
 
-def quality_delta(compared: DataFrame) -> DataFrame:
-    """How a batch of answers changed: better, worse, newly reached or not, and by how much."""
+def quality_delta(compared: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How a batch of answers changed: better, worse, newly reached or not, and by how much.
+
+    A query newly reached is better, one no longer reached is worse; sizes are those of
+    queries reached before and after, 0 where there is none.
+    """
     a, b = F.col("a"), F.col("b")
     size = F.when(a.isNotNull() & b.isNotNull() & (a != b), F.abs(b - a))
-    return compared.agg(
-        F.count_if(~a.eqNullSafe(b)).alias("n_changed"), F.count_if(b < a).alias("n_better"), F.count_if(b > a).alias("n_worse"),
-        F.count_if(a.isNull() & b.isNotNull()).alias("n_became_reachable"), F.count_if(a.isNotNull() & b.isNull()).alias("n_became_unreachable"),
-        F.percentile(size, F.lit(0.5)).alias("median_abs_delta"), F.max(size).cast("int").alias("max_abs_delta"),
+    gained, lost = a.isNull() & b.isNotNull(), a.isNotNull() & b.isNull()
+    return compared.groupBy(*(by or [])).agg(
+        F.count_if(~a.eqNullSafe(b)).alias("n_changed"), F.count_if(gained | F.coalesce(b < a, F.lit(False))).alias("n_better"), F.count_if(lost | F.coalesce(b > a, F.lit(False))).alias("n_worse"),
+        F.count_if(gained).alias("n_became_reachable"), F.count_if(lost).alias("n_became_unreachable"),
+        F.coalesce(F.percentile(size, F.lit(0.5)), F.lit(0.0)).alias("median_abs_delta"), F.coalesce(F.max(size), F.lit(0)).cast("int").alias("max_abs_delta"),
     )
 
 
@@ -36,22 +44,46 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def bootstrap(rows: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
-    """The 2.5 and 97.5 percentiles of the mean over resamples.
+def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """The median of ``rows(pos, value)`` and the 2.5 and 97.5 percentiles of its resamples' medians.
 
-    Each row stands in a resample as often as a Poisson draw by a hash of its id says, so a
-    resample needs no shuffle of rows: sums and counts of all resamples go in one pass.
+    ``pos`` numbers the rows from 0.  Each resample draws as many rows as there are, with
+    replacement, by a hash of the resample and the draw; a resample is a group, so they are
+    dealt over all tasks.
     """
-    u = draw("id", "r", seed=seed)
-    times = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    each = rows.select("id", value).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("times", times)
-    means = each.groupBy("r").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
+    draws = rows.select(F.col("pos").alias("i")).join(n, F.lit(True)).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    drawn = draws.select("r", F.floor(draw("r", "i", seed=seed) * F.col("n")).cast("long").alias("pos"))
+    medians = drawn.join(rows.select(F.col("pos").cast("long").alias("pos"), value), "pos").groupBy("r").agg(F.percentile(value, F.lit(0.5)).alias("m"))
+    out = medians.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return rows.agg(F.percentile(value, F.lit(0.5)).alias("median")).join(out, F.lit(True))  # a row each
 
 
 def validation(conn: DataFrame) -> DataFrame:
-    """Counts that tell whether connections are sound."""
-    return conn.agg(F.count("*").alias("n_rows"), F.countDistinct("trip").alias("n_trips"), F.min("dep").alias("min_dep"), F.max("arr").alias("max_arr"), F.count_if(F.col("arr") < F.col("dep")).alias("n_inversions"), F.count_if(F.col("from_stop") == F.col("to_stop")).alias("n_loops"), F.count_if(F.col("dep").isNull() | F.col("arr").isNull()).alias("n_null"))
+    """Counts that tell whether connections are sound; arrivals after midnight are not errors."""
+    wrap = overnight_wrap(F.col("dep"), F.col("arr"))
+    w = Window.partitionBy("trip").orderBy("seq")
+    back = F.coalesce(F.col("dep") < F.lag("arr").over(w), F.lit(False))
+    return conn.withColumn("back", back).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("trip").alias("n_trips"), F.min("dep").alias("min_dep"), F.max("arr").alias("max_arr"),
+        F.count_if(F.col("arr") < F.col("dep")).alias("n_inversions"), F.count_if(wrap).alias("n_overnight"), F.count_if((F.col("arr") < F.col("dep")) & ~wrap).alias("n_wrap_errors"),
+        F.count_if(F.col("back")).alias("n_backward"), F.count_if(F.col("from_stop") == F.col("to_stop")).alias("n_loops"), F.count_if(F.col("dep").isNull() | F.col("arr").isNull()).alias("n_null"),
+    )
+
+
+def require_sound(conn: DataFrame) -> None:
+    """Refuse connections with missing times, loops, or arrivals that no midnight explains."""
+    got = validation(conn).first()
+    bad = {k: got[k] for k in ("n_wrap_errors", "n_backward", "n_loops", "n_null") if got[k]}
+    if bad or not got.n_rows:
+        raise ValueError(f"connections are not sound: {bad or 'there are none'}")
+
+
+def graph_metrics(edges: DataFrame) -> DataFrame:
+    """Nodes and edges of a graph, and the most edges out of a node."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("out"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).agg(F.countDistinct("node").alias("n_nodes"))
+    return nodes.join(edges.agg(F.count("*").alias("n_edges")), F.lit(True)).join(degree.agg(F.max("out").alias("most_out")), F.lit(True))  # a row each
 
 
 def shadow_unique(edges: DataFrame) -> DataFrame:
@@ -60,9 +92,12 @@ def shadow_unique(edges: DataFrame) -> DataFrame:
     return per.agg(F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("n_shared"))
 
 
-def disruption(events: DataFrame) -> DataFrame:
-    """Share of disrupted reports of each line, and the commonest lines first."""
-    return events.groupBy("line").agg(F.count("*").alias("n"), (F.count_if(F.col("severity") < 10) / F.count("*")).alias("disrupted")).orderBy(F.desc("n"), "line").limit(30)
+def disruption(events: DataFrame, good: int = 10) -> DataFrame:
+    """Share of disrupted reports of each line and their severities, the commonest lines first."""
+    each = events.groupBy("line", "severity").agg(F.count("*").alias("k"))
+    listed = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("severity", "k"))), lambda s: F.concat_ws(":", s.severity, s.k)))
+    per = each.groupBy("line").agg(F.sum("k").alias("n"), (F.sum(F.when(F.col("severity") < good, F.col("k")).otherwise(0)) / F.sum("k")).alias("disrupted"), listed.alias("severities"))
+    return per.orderBy(F.desc("n"), "line").limit(30)
 
 
 def line_status(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,14 @@ from ..functions import minutes as M
 from ..operators import arrivals as A
 from ..operators import edits as E
 from ..operators import graphs as G
+from ..operators import hierarchies as H
 from ..operators import local as L
 from ..operators import relational as R
 from ..operators import reports as P
-from ..operators.closure import shortest_paths, walk_closure
+from ..operators.closure import closures_by_cap, shortest_paths, walk_closure
+from ..sources import cache
 from ..sources import timetable as T
-from ..sources.store import written
+from ..sources.store import shared_dir, written
 from ..streaming import edit_stream as S
 from . import sql as Q
 
@@ -136,11 +140,8 @@ _query("walk_closure", lambda spark, sf, t: t.walks, Q.ask("select * from walks"
 
 
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for cap in (5, 10, 15, 30):
-        one = walk_closure(_legs(spark, sf), cap).select(F.lit(cap).alias("cap"), "u", "v", F.col("w").cast("int").alias("w"))
-        out = one if out is None else out.union(one)
-    return out
+    caps = spark.createDataFrame([(c,) for c in (5, 10, 15, 30)], "cap int")
+    return closures_by_cap(_legs(spark, sf), caps, 30, 7).select("cap", "u", "v", F.col("w").cast("int").alias("w"))
 
 
 _query("walk_closure_sweep", lambda spark, sf, t: _sweep(spark, sf), "with " + ",\n".join([Q.LEGS, *(Q.closure(c, f"w{c}") for c in (5, 10, 15, 30))]) + " " + " union all ".join(f"select {c} as cap, * from w{c}" for c in (5, 10, 15, 30)))
@@ -154,6 +155,7 @@ _EDGES = """edges as materialized (select src, dst, min(w) as w, min_by(etype, (
 ) group by src, dst)"""
 _EG = (_ARR, _DEP1, _WALKED, _EDGES)
 _query("event_graph_edges", lambda spark, sf, t: G.event_edges(t.connections, t.walks), Q.ask("select * from edges", *_EG))
+_query("graph_metrics", lambda spark, sf, t: P.graph_metrics(G.event_edges(t.connections, t.walks)), Q.ask("select (select count(*) from (select src from edges union select dst from edges)) as n_nodes, (select count(*) from edges) as n_edges, (select max(n) from (select count(*) as n from edges group by src)) as most_out", *_EG))
 _query("event_graph_edges_by_type", lambda spark, sf, t: G.event_edges(t.connections, t.walks).groupBy("etype").agg(F.count("*").alias("n"), F.sum("w").alias("total_w")), Q.ask("select etype, count(*) as n, cast(sum(w) as bigint) as total_w from edges group by all", *_EG))
 _query("shadow_unique", lambda spark, sf, t: P.shadow_unique(G.event_edges(t.connections, t.walks)), Q.ask("select max(n) as most, count(*) filter (n > 1) as n_shared from (select dst, count(distinct src) as n from edges where etype = 'RIDE' group by all)", *_EG))
 _STATIC = "static as (select u, v, min(w) as w from (select from_stop as u, to_stop as v, arr - dep as w from conn union all select * from walks) group by all)"
@@ -175,7 +177,11 @@ def _paths(graph: str, roots: str, tag: str, forward: bool = True, hops: int = 1
 
 _ROOTS = "roots as (select cast(s_suppkey as integer) as root from supplier where s_suppkey in (0, 3, 7))"
 _roots = lambda spark, sf: _table(spark, sf, "supplier").where("s_suppkey in (0, 3, 7)").select(F.col("s_suppkey").cast("int").alias("root"))
-_query("apsp", lambda spark, sf, t: shortest_paths(G.static_graph(t.connections, t.walks), _roots(spark, sf)), Q.ask("select * from p", _STATIC, _ROOTS, _paths("static", "roots", "p")))
+_EVERY = "every as (select cast(s_suppkey as integer) as root from supplier)"
+_every = lambda spark, sf: _table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("root"))
+_query("apsp", lambda spark, sf, t: shortest_paths(written(G.static_graph(t.connections, t.walks), "static"), _every(spark, sf)), Q.ask("select * from p", _STATIC, _EVERY, _paths("static", "every", "p")))
+_pairs = lambda t: t.od.select("q_id", "src", "dst")
+_query("ch_distances", lambda spark, sf, t: H.distances(*H.contract(written(G.static_graph(t.connections, t.walks), "static")), _pairs(t)), Q.ask("select q_id, src, dst, cast(d as integer) as d from od left join p on root = src and v = dst", _STATIC, "srcs as (select distinct src as root from od)", _paths("static", "srcs", "p")))
 _LM = (_STATIC, _GAPS, _LB, _ROOTS, _paths("lbg", "roots", "f"), _paths("lbg", "roots", "b", False), "lm as materialized (select coalesce(f.root, b.root) as lm, coalesce(f.v, b.v) as stop, f.d as d_from, b.d as d_to from f full outer join b on f.root = b.root and f.v = b.v)")
 _SCORE = "score as materialized (select q_id, src, dst, s.lm, greatest(coalesce(s.d_to - t.d_to, 0), coalesce(t.d_from - s.d_from, 0), 0) as score from od join lm s on s.stop = src join lm t on t.stop = dst and t.lm = s.lm)"
 _labels = lambda spark, sf, t: G.landmark_labels(written(G.lower_bound_graph(t.connections, t.walks), "lb"), _roots(spark, sf))
@@ -183,8 +189,18 @@ _query("landmark_labels", _labels, Q.ask("select * from lm", *_LM))
 _query("alt_lower_bound", lambda spark, sf, t: G.lower_bounds(_labels(spark, sf, t), t.od), Q.ask("select q_id, src, dst, max(score) as lb from score group by all", *_LM, _SCORE))
 _query("active_landmarks", lambda spark, sf, t: G.active_landmarks(_labels(spark, sf, t), t.od, 2), Q.ask("select q_id, lm, cast(rank as integer) as rank, score from (select *, row_number() over (partition by q_id order by score desc, lm) as rank from score) where rank <= 2", *_LM, _SCORE))
 _of_conn("topo_levels", lambda c: G.topological_levels(G.event_nodes(c)), "select node, t, row_number() over (order by t, node) - 1 as level from (select trip::bigint * 1048576 + seq * 2 as node, dep as t from conn union all select trip::bigint * 1048576 + seq * 2 + 1, arr from conn)")
-_query("landmark_selection", lambda spark, sf, t: spark.createDataFrame([(k, s) for k, s in enumerate(G.landmarks(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 4))], "pos int, stop int"))
-_query("hub_labels", lambda spark, sf, t: G.hub_labels(written(G.static_graph(t.connections, t.walks), "static"), 8, 10))
+_PICKED = ["k1 as (select min(u) as root from lbg)", _paths("lbg", "k1", "d1"), "n1 as (select v, d from d1)"]
+for _k in (2, 3, 4):
+    _PICKED.append(f"k{_k} as (select v as root from n{_k - 1} where v not in (" + " union all ".join(f"select root from k{j}" for j in range(1, _k)) + ") order by d desc, v limit 1)")
+    if _k < 4:
+        _PICKED += [_paths("lbg", f"k{_k}", f"d{_k}"), f"n{_k} as (select v, min(d) as d from (select v, d from n{_k - 1} union all select v, d from d{_k}) group by v)"]
+_query("landmark_selection", lambda spark, sf, t: spark.createDataFrame([(k, s) for k, s in enumerate(G.landmarks(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 4))], "pos int, stop int"), Q.ask(" union all ".join(f"select {k - 1} as pos, root as stop from k{k}" for k in (1, 2, 3, 4)), _STATIC, _GAPS, _LB, *_PICKED))
+_HUB = "hubs as (select root, cast(row_number() over (order by degree desc, root) as integer) as rank from (select root, count(*) as degree from (select u as root from static union all select v from static) group by root) order by rank limit 8)"
+_query("hub_labels", lambda spark, sf, t: G.hub_labels(written(G.static_graph(t.connections, t.walks), "static"), 8, 10), Q.ask("select p.root as hub, rank, v, d from p join hubs h on h.root = p.root where d <= 10", _STATIC, _HUB, _paths("static", "(select root from hubs)", "p")))
+_QUALITY = (*_LM, f"drawn as (select root from (select distinct u as root from lbg) order by {Q.draw(7, 'root')}, root limit 6)", _paths("lbg", "drawn", "td"),
+    f"tp as (select root, v, d from (select *, row_number() over (partition by root order by {Q.draw(7, 'root', 'v')}, v) as k from td where d > 0) where k <= 10)",
+    "tb as (select tp.root, tp.v, max(greatest(coalesce(s.d_to - t.d_to, 0), coalesce(t.d_from - s.d_from, 0), 0)) as lb from tp join lm s on s.stop = tp.root join lm t on t.stop = tp.v and t.lm = s.lm group by all)")
+_query("landmark_quality", lambda spark, sf, t: G.landmark_quality(written(G.lower_bound_graph(t.connections, t.walks), "lb"), written(_labels(spark, sf, t), "labels"), 6, 10, 7), Q.ask("select count(*) as n_pairs, avg(coalesce(lb, 0) / d) as quality from tp left join tb using (root, v)", *_QUALITY))
 
 # ---- arrivals ------------------------------------------------------------------------------
 
@@ -204,6 +220,20 @@ def _on_events(spark: SparkSession, sf: str, t: T.Timetable, both_ways: bool) ->
     return G.earliest_on_events(conn, t.walks, t.od, written(G.event_edges(conn, t.walks), "edges"), both_ways)
 
 
+_OD2 = "od2 as (select q_id, src, dst, cast(t_dep + case when q_id % 5 = 0 then 800 when q_id % 5 = 1 then 420 else 0 end as integer) as t_dep from od)"
+_od2 = lambda t: t.od.withColumn("t_dep", F.col("t_dep") + F.when(F.col("q_id") % 5 == 0, 800).when(F.col("q_id") % 5 == 1, 420).otherwise(0))
+_query("ea_on_grid", lambda spark, sf, t: A.on_grid(written(t.connections, "conn"), t.walks, _od2(t), 0, T.T_HI), Q.ask("select o.q_id, src, dst, t_dep, cast(case when t_dep between 0 and 780 and t <= 780 then t end as integer) as ea from od2 o left join l x on x.q_id = o.q_id and x.stop = dst", _OD2, Q.rounds(8, od="od2")))
+
+
+def _reached(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Queries answered exactly and with one trip, and those that one trip does not answer."""
+    conn = written(t.connections, "conn")
+    exact, one = (A.answer(conn, t.walks, t.od, k).where("ea is not null").select("q_id", "ea") for k in (None, 1))
+    both = one.intersect(exact).select(F.lit("found").alias("part"), "q_id", "ea")
+    return both.unionByName(exact.subtract(one).select(F.lit("missing").alias("part"), "q_id", "ea"))
+
+
+_query("found_and_missing", _reached, Q.ask(f"select 'found' as part, * from (select q_id, ea from ({Q.arrivals('m')}) where ea is not null intersect select q_id, ea from ({Q.arrivals()}) where ea is not null) union all select 'missing', * from (select q_id, ea from ({Q.arrivals()}) where ea is not null except select q_id, ea from ({Q.arrivals('m')}) where ea is not null)", Q.rounds(8), Q.rounds(1, tag="m")))
 _query("ea_event_graph", lambda spark, sf, t: _on_events(spark, sf, t, False), Q.ask(Q.arrivals(), Q.rounds(8)))
 _query("ea_bidirectional", lambda spark, sf, t: _on_events(spark, sf, t, True), Q.ask(Q.arrivals(), Q.rounds(8)))
 
@@ -234,11 +264,12 @@ _query("ea_static_wrong", lambda spark, sf, t: t.od.join(shortest_paths(written(
 
 
 def _capped(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
-    conn, out = written(t.connections, "conn"), None
-    for cap in (5, 10, 15):
-        one = A.answer(conn, written(walk_closure(_legs(spark, sf), cap), "walks"), t.od).select(F.lit(cap).alias("cap"), "q_id", "ea")
-        out = one if out is None else out.union(one)
-    return out
+    """Three caps as three worlds of one search."""
+    caps = spark.createDataFrame([(k, 5 * (k + 1)) for k in range(3)], "world int, cap int")
+    walks = closures_by_cap(_legs(spark, sf), caps.select("cap"), 15, 7).join(F.broadcast(caps), "cap")
+    each = F.broadcast(caps.select("world"))
+    got = A.answer_worlds(t.connections.join(each, F.lit(True)), walks, t.od.join(each, F.lit(True)), "world", 3)
+    return got.select(((F.col("world") + 1) * 5).alias("cap"), "q_id", "ea")
 
 
 _query("ea_walkcap_sweep", _capped, Q.ask(" union all ".join(f"select {c} as cap, o.q_id, cast(t as integer) as ea from od o left join l{c} x on x.q_id = o.q_id and x.stop = dst" for c in (5, 10, 15)), *(Q.closure(c, f"w{c}") for c in (5, 10, 15)), *(Q.rounds(8, walks=f"w{c}", tag=f"l{c}") for c in (5, 10, 15))))
@@ -265,18 +296,71 @@ _EDITED = """edited as materialized (select trip, seq, from_stop, to_stop, cast(
     join (select trip, min(dep) as begin, row_number() over (order by trip) as rn, (select max(trip) from conn) as top from conn where trip % 200 = 13 group by trip) t on t.trip = c.trip)"""
 _query("apply_edits", lambda spark, sf, t: E.apply_edits(t.connections, edit_set(t.connections)), Q.ask("select * from edited", _EDITED))
 _query("lazy_phase_edits", lambda spark, sf, t: E.apply_phases(t.connections, edit_set(t.connections).where("edit_type <> 'RESTORE'")), Q.ask("select * from edited where not (trip % 100 = 11 and trip <= (select max(trip) from conn))", _EDITED))
-_query("restore_trip", lambda spark, sf, t: E.fold(edit_set(t.connections)), Q.ask("select distinct trip, trip % 50 = 11 and trip % 100 <> 11 as cancelled, cast(case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as integer) as delta from conn where trip % 50 in (7, 11)"))
+_query("restore_trip", lambda spark, sf, t: E.fold(edit_set(t.connections)), Q.ask("select distinct cast(0 as integer) as edit_set, trip, trip % 50 = 11 and trip % 100 <> 11 as cancelled, cast(case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as integer) as delta from conn where trip % 50 in (7, 11)"))
 
 
 def _compacted(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
-    from ..sources.store import shared_dir
-
-    import uuid
-
     return E.compact(t.connections, edit_set(t.connections), f"{shared_dir(spark)}/base-{uuid.uuid4().hex}")
 
 
 _query("compact", _compacted, Q.ask("select * from edited", _EDITED))
+_query("edited_route_times", lambda spark, sf, t: R.route_tables(E.apply_edits(t.connections, edit_set(t.connections)))[1], Q.ask("select route_int, trip, pos, stop, max(arr) as arr, max(dep) as dep from (select route_int, trip, seq as pos, from_stop as stop, cast(null as integer) as arr, dep from edited union all select route_int, trip, seq + 1, to_stop, arr, null from edited) group by all", _EDITED))
+
+
+def _taken_back(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """The first added trip is cancelled again."""
+    edits = edit_set(t.connections)
+    first = t.connections.agg((F.max("trip") + 1).cast("int").alias("trip_id"))
+    null = F.lit(None).cast("int")
+    back = first.select(F.lit(0).alias("edit_set"), F.lit(0).alias("pos"), F.lit("CANCEL_ADDED").alias("edit_type"), "trip_id", null.alias("delta_min"), null.alias("template_trip_id"), null.alias("start_minute"), F.lit(True).alias("active"))
+    return E.apply_edits(t.connections, edits.unionByName(back))
+
+
+_query("cancel_added", _taken_back, Q.ask("select * from edited where trip <> (select max(trip) + 1 from conn)", _EDITED))
+_ROWS = """rows as (select trip as id, trip * 4 as pos, 'DELAY' as edit_type, 1 + trip % 5 as shift, trip from tr where trip % 50 = 7 union all select trip, trip * 4 + 1, 'DELAY', 3, trip from tr where trip % 100 = 7
+  union all select trip, trip * 4, 'CANCELLATION', null, trip from tr where trip % 50 = 11 union all select trip, trip * 4 + 1, 'RESTORE', null, trip from tr where trip % 100 = 11
+  union all select trip, trip * 4, 'ADDITION', 30 + trip % 500 - b, trip from tr where trip % 200 = 13)"""
+_TR = "tr as (select trip, min(dep) as b, max(arr) as e from conn group by trip)"
+_query("refused_edits", lambda spark, sf, t: E.refused(t.connections, edit_set(t.connections), 0, 600), Q.ask("select cast(0 as integer) as edit_set, cast(pos as integer) as pos, edit_type, rows.trip as trip_id, 'out of range' as reason from rows join tr on tr.trip = rows.trip where b + shift < 0 or e + shift > 600", _TR, _ROWS))
+_query("edit_counts", lambda spark, sf, t: E.batch_counts(t.connections, edit_set(t.connections)), Q.ask("select cast(0 as integer) as edit_set, count(*) as n_edits, " + ", ".join(f"count(*) filter (edit_type = '{k}') as n_{k.lower()}" for k in ("DELAY", "CANCELLATION", "ADDITION", "RESTORE", "CANCEL_ADDED")) + ", count(distinct trip) as n_trips, 0 as n_unknown from rows", _TR, _ROWS))
+
+
+def _quality(spark: SparkSession, conn: DataFrame, walks: DataFrame, od: DataFrame, edits: DataFrame, sets: int) -> DataFrame:
+    """Answers of each edit set against those of the timetable as it was, all sets in one search."""
+    each = spark.range(sets).select(F.col("id").cast("int").alias("edit_set"))
+    edited = E.apply_edit_sets(conn, edits, each)
+    asked = od.join(F.broadcast(each), F.lit(True))
+    after = A.answer_worlds(edited, walks.join(F.broadcast(each), F.lit(True)), asked, "edit_set", sets)
+    before = A.answer(conn, walks, od).select("q_id", "ea").join(F.broadcast(each), F.lit(True))
+    return P.quality_delta(P.compare(before, after), ["edit_set"])
+
+
+def _two_sets(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    conn = written(t.connections, "conn")
+    edits = edit_set(conn).withColumn("edit_set", F.when(F.col("edit_type") == "DELAY", 0).otherwise(1))
+    return _quality(spark, conn, t.walks, t.od, written(edits, "edits"), 2)
+
+
+_DELAYED = "delayed as materialized (select trip, seq, from_stop, to_stop, cast(dep + d as integer) as dep, cast(arr + d as integer) as arr, route_int, mode from (select *, case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as d from conn))"
+_OTHERS = "others as materialized (select * from conn where not (trip % 50 = 11 and trip % 100 <> 11) union all select e.* from edited e where trip > (select max(trip) from conn))"
+_DELTA = """count(*) filter (a is distinct from b) as n_changed, count(*) filter (b < a or (a is null and b is not null)) as n_better, count(*) filter (b > a or (b is null and a is not null)) as n_worse,
+  count(*) filter (a is null and b is not null) as n_became_reachable, count(*) filter (a is not null and b is null) as n_became_unreachable,
+  coalesce(quantile_cont(case when a <> b then abs(b - a) end, 0.5), 0) as median_abs_delta, coalesce(max(case when a <> b then abs(b - a) end), 0) as max_abs_delta"""
+_query("edit_set_quality", _two_sets, Q.ask(f"select edit_set, {_DELTA} from (select cast(0 as integer) as edit_set, x.ea as a, y.ea as b from ({Q.arrivals()}) x join ({Q.arrivals('m')}) y using (q_id) union all select 1, x.ea, y.ea from ({Q.arrivals()}) x join ({Q.arrivals('z')}) y using (q_id)) group by all", _EDITED, _DELAYED, _OTHERS, Q.rounds(8), Q.rounds(8, "delayed", tag="m"), Q.rounds(8, "others", tag="z")))
+ARMS = [(kind, n) for kind in ("DELAY", "CANCELLATION", "ADDITION") for n in (1, 5, 25, 125)]
+
+
+def _arms(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Each kind of edit in four numbers, and what it does to the answers."""
+    conn, edits = written(t.connections, "conn"), None
+    for k, (kind, n) in enumerate(ARMS):
+        one = E.build_edit_set(conn, kind, n, 42, k)
+        edits = one if edits is None else edits.unionByName(one)
+    named = spark.createDataFrame([(k, kind, n) for k, (kind, n) in enumerate(ARMS)], "edit_set int, scenario string, intensity int")
+    return named.join(_quality(spark, conn, t.walks, t.od, written(edits, "edits"), len(ARMS)), "edit_set")
+
+
+_query("edit_arms", _arms)
 _after = lambda spark, sf, t: A.answer(written(E.apply_edits(t.connections, edit_set(t.connections)), "edited"), t.walks, t.od)
 _query("ea_after_edits", _after, Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
 _CMP = f"""cmp as (select q_id, a.ea as a, b.ea as b,
@@ -295,9 +379,7 @@ def _compared(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
 
 _query("rebuild_compare", _compared, Q.ask("select * from cmp", *_BOTH))
 _query("parity_counts", lambda spark, sf, t: P.parity_counts(_compared(spark, sf, t)), Q.ask("select " + ", ".join(f"count(*) filter (verdict = '{v}') as n_{v}" for v in ("match", "both_unreachable", "a_better", "b_better")) + " from cmp", *_BOTH))
-_query("quality_delta", lambda spark, sf, t: P.quality_delta(_compared(spark, sf, t)), Q.ask("""select count(*) filter (a is distinct from b) as n_changed, count(*) filter (b < a) as n_better, count(*) filter (b > a) as n_worse,
-  count(*) filter (a is null and b is not null) as n_became_reachable, count(*) filter (a is not null and b is null) as n_became_unreachable,
-  quantile_cont(case when a <> b then abs(b - a) end, 0.5) as median_abs_delta, max(case when a <> b then abs(b - a) end) as max_abs_delta from cmp""", *_BOTH))
+_query("quality_delta", lambda spark, sf, t: P.quality_delta(_compared(spark, sf, t)), Q.ask(f"select {_DELTA} from cmp", *_BOTH))
 _query("residual_modes", lambda spark, sf, t: _compared(spark, sf, t).where("a is not null and b is not null").groupBy(M.residual_class(F.col("delta")).alias("residual")).agg(F.count("*").alias("n")), Q.ask("select case when abs(delta) <= 2 then '<=2' when abs(delta) <= 5 then '<=5' when abs(delta) <= 15 then '<=15' else '>15' end as residual, count(*) as n from cmp where a is not null and b is not null group by all", *_BOTH))
 _query("attribution", lambda spark, sf, t: _compared(spark, sf, t).groupBy(M.attribution(F.col("verdict") == "match", F.col("b").isNull(), F.col("delta")).alias("cause")).agg(F.count("*").alias("n")), Q.ask("select case when verdict = 'match' then 'AGREE' when abs(delta) <= 2 then 'NEAR' when b is null then 'S3' when abs(delta) > 60 then 'S1' when delta > 0 then 'S5a' else 'S5b' end as cause, count(*) as n from cmp group by all", *_BOTH))
 _query("canonical_results", lambda spark, sf, t: T.result_lines(A.answer(written(t.connections, "conn"), t.walks, t.od)), Q.ask(f"select q_id, concat_ws(',', q_id, src, dst, t_dep, coalesce(cast(ea as varchar), 'None')) as line from ({Q.arrivals()})", Q.rounds(8)))
@@ -307,13 +389,21 @@ _PICK = "pick as (select tr.trip, tr.mode, tr.draw from (select *, row_number()
 _of_conn("sample_trips", lambda c: E.sample_trips(c, 40, 5), "select * from pick", _TRIPS, _PICK)
 _of_conn("edits_delay", lambda c: E.delays(c, 40, 5), "select trip as trip_id, 'DELAY' as edit_type, cast(1 + floor(" + Q.draw(5, "trip", "'delta'") + " * 5) as integer) as delta_min from pick", _TRIPS, _PICK)
 _of_conn("edits_cancel", lambda c: E.cancellations(c, 40, 5), "select trip as trip_id, 'CANCELLATION' as edit_type from pick", _TRIPS, _PICK)
-_query("edits_add", lambda spark, sf, t: E.additions(t.connections, 20, 5))
+_ADD = f"""s0 as (select route_int, trip, min(dep) as start from conn group by all),
+s1 as (select *, lead(start) over (w) as next, lag(trip) over (w) is null as is_first from s0 window w as (partition by route_int order by start, trip)),
+s2 as (select * from (select route_int, trip, 'after' as side, start + 5 as lo, coalesce(next - 5, 775) as hi from s1 union all select route_int, trip, 'before', 5, start - 5 from s1 where is_first) where hi - lo >= 15),
+s3 as (select *, -ln({Q.draw(5, 'trip', 'side')} + 1e-9) / (hi - lo) as key from s2),
+s4 as (select * from (select *, row_number() over (partition by route_int order by key, trip, side) as k from s3) where k = 1 order by key, route_int limit 20)"""
+_of_conn("edits_add", lambda c: E.additions(c, 20, 5), f"select trip as template_trip_id, 'ADDITION' as edit_type, cast(lo + floor({Q.draw(5, 'trip', chr(39) + 'start' + chr(39))} * (hi - lo + 1)) as integer) as start_minute from s4", _ADD)
 
 # ---- statistics ----------------------------------------------------------------------------
 
-_of_conn("validate_bundle", P.validation, "select count(*) as n_rows, count(distinct trip) as n_trips, min(dep) as min_dep, max(arr) as max_arr, count(*) filter (arr < dep) as n_inversions, count(*) filter (from_stop = to_stop) as n_loops, count(*) filter (dep is null or arr is null) as n_null from conn")
+_CHECKED = "v as (select *, coalesce(dep < lag(arr) over (partition by trip order by seq), false) as back from wrapped)"
+_WRAPPED = "wrapped as (select trip, seq, from_stop, to_stop, dep, case when trip % 71 = 9 and seq = 0 then arr - 1440 when trip % 71 = 10 and seq = 0 then arr - 3000 else arr end as arr from conn)"
+_wrapped = lambda c: c.withColumn("arr", F.when((F.col("trip") % 71 == 9) & (F.col("seq") == 0), F.col("arr") - 1440).when((F.col("trip") % 71 == 10) & (F.col("seq") == 0), F.col("arr") - 3000).otherwise(F.col("arr")))
+_of_conn("validate_bundle", lambda c: P.validation(_wrapped(c)), "select count(*) as n_rows, count(distinct trip) as n_trips, min(dep) as min_dep, max(arr) as max_arr, count(*) filter (arr < dep) as n_inversions, count(*) filter (arr < dep and arr + 1440 >= dep) as n_overnight, count(*) filter (arr + 1440 < dep) as n_wrap_errors, count(*) filter (back) as n_backward, count(*) filter (from_stop = to_stop) as n_loops, count(*) filter (dep is null or arr is null) as n_null from v", _WRAPPED, _CHECKED)
 _of_conn("ride_percentiles", lambda c: P.latency(c.withColumn("ride", F.col("arr") - F.col("dep")), "mode", "ride"), "select mode, quantile_cont(arr - dep, 0.5) as median, quantile_cont(arr - dep, 0.95) as p95, quantile_cont(arr - dep, 0.99) as p99, avg(arr - dep) as mean, count(*) as n from conn group by all")
-_query("disruption_rate", lambda spark, sf, t: P.disruption(_table(spark, sf, "events").select(F.col("event_type").alias("line"), (F.col("user_id") % 12).alias("severity"))), "select event_type as line, count(*) as n, count(*) filter (user_id % 12 < 10) / count(*) as disrupted from events group by all order by n desc, line limit 30")
+_query("disruption_rate", lambda spark, sf, t: P.disruption(_table(spark, sf, "events").select(F.col("event_type").alias("line"), (F.col("user_id") % 12).cast("int").alias("severity"))), "select line, cast(sum(k) as bigint) as n, cast(sum(case when severity < 10 then k else 0 end) as bigint) / cast(sum(k) as bigint) as disrupted, string_agg(severity || ':' || k, ',' order by severity) as severities from (select event_type as line, user_id % 12 as severity, count(*) as k from events group by all) group by line order by n desc, line limit 30")
 _query("delay_stats", lambda spark, sf, t: P.latency(_table(spark, sf, "events").select("event_type", (F.col("user_id") % 31).alias("delay")), "event_type", "delay"), "select event_type, quantile_cont(user_id % 31, 0.5) as median, quantile_cont(user_id % 31, 0.95) as p95, quantile_cont(user_id % 31, 0.99) as p99, avg(user_id % 31) as mean, count(*) as n from events group by all")
 
 
@@ -332,6 +422,63 @@ def _siri(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
 
 
 _query("siri_delays", _siri, "select cast(user_id % 4 as integer) as vehicles, cast(user_id % 31 as integer) as delay, count(*) as n from events group by all")
-_of_conn("canonical_hash", lambda c: c.groupBy("route_int").agg(F.sha2(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("dep", "trip", "seq", "from_stop", "to_stop", "arr"))), lambda s: F.concat_ws(",", s.dep, s.trip, s.seq, s.from_stop, s.to_stop, s.arr))), 256).alias("sha")), "select route_int, sha256(string_agg(concat_ws(',', dep, trip, seq, from_stop, to_stop, arr), ';' order by dep, trip, seq, from_stop, to_stop, arr)) as sha from conn group by all")
-_query("bootstrap_ci", lambda spark, sf, t: P.bootstrap(_table(spark, sf, "events").select(F.col("event_id").alias("id"), "value").where("value is not null"), "value", 200, 9))
-_query("edit_stream_replay", lambda spark, sf, t: S.replay(spark, R.dense_trips(t.connections), 2000, 3))
+# rows are hashed one by one; hashes of a slot of a route are hashed in order, and slots are again
+_HASHED = "hr as (select route_int, dep // 60 as slot, sha256(concat_ws('|', dep, trip, seq, from_stop, to_stop, arr)) as sha from conn), hs as (select route_int, slot, sha256(string_agg(sha, ';' order by sha)) as sha from hr group by all)"
+
+
+def _hashed(conn: DataFrame) -> DataFrame:
+    """One hash a route, the same in any order of rows; no task holds more than an hour of a route."""
+    rows = conn.select("route_int", F.floor(F.col("dep") / 60).alias("slot"), M.stable_hash("dep", "trip", "seq", "from_stop", "to_stop", "arr").alias("sha"))
+    joined = F.sha2(F.concat_ws(";", F.sort_array(F.collect_list("sha"))), 256).alias("sha")
+    return rows.groupBy("route_int", "slot").agg(joined).groupBy("route_int").agg(F.sha2(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("slot", "sha"))), lambda x: x.sha)), 256).alias("sha"))
+
+
+_of_conn("canonical_hash", _hashed, "select route_int, sha256(string_agg(sha, ';' order by slot)) as sha from hs group by route_int", _HASHED)
+_query("coerced_floats", lambda spark, sf, t: _table(spark, sf, "supplier").select("s_suppkey", M.float_or_null(F.when(F.col("s_suppkey") % 7 == 0, "n/a").when(F.col("s_suppkey") % 7 == 1, "NaN").otherwise(F.concat(F.col("s_suppkey").cast("string"), F.lit(".25")))).alias("lat")), "select s_suppkey, case when s_suppkey % 7 > 1 then try_cast(s_suppkey || '.25' as double) end as lat from supplier")
+
+
+def _sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of one kind of event, numbered from 0."""
+    rows = _table(spark, sf, "events").where("value is not null and event_id % 5 = 0").select(F.col("event_id").cast("long").alias("event_id"), "value")
+    return E.numbered(rows, [], "event_id", "place").select((F.col("place") - 1).cast("long").alias("pos"), "value")
+
+
+_query("bootstrap_ci", lambda spark, sf, t: P.bootstrap(_sample(spark, sf), "value", 1000, 9), f"""with b as (select row_number() over (order by event_id) - 1 as pos, value from events where value is not null and event_id % 5 = 0),
+d as (select r, cast(floor({Q.draw(9, 'r', 'i')} * n) as bigint) as pos from (select pos as i from b), (select count(*) as n from b), range(1, 1001) t(r)),
+m as (select r, quantile_cont(value, 0.5) as m from d join b using (pos) group by r)
+select (select quantile_cont(value, 0.5) from b) as median, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m""")
+_u = lambda tag: Q.draw(3, "edit_idx", f"'{tag}'")
+_below = [sum(M.hour_weights()[:k]) for k in range(24)]
+_HOUR = "case " + " ".join(f"when {_u('hour')} >= {_below[k]!r} then {k}" for k in range(23, 0, -1)) + " else 0 end"
+_REPLAY = f"""rp as (select edit_idx, cast({_HOUR} * 3600 + floor({_u('second')} * 3600) as integer) as t_offset_sec, case when {_u('kind')} < {1 - 0.10 - 0.05!r} then 'delay' when {_u('kind')} < {1 - 0.05!r} then 'cancel' else 'add' end as op_type,
+  floor(least(30.0, greatest(1.0, exp({math.log(4.0)!r}::double + 0.7::double * (sqrt(-2 * ln({_u('normal')} + 1e-12)) * cos({2 * math.pi!r}::double * {_u('angle')})))))) as late, floor({_u('add')} * 10) as later, cast(floor({_u('trip')} * (select count(*) from tn)) as integer) as trip_no from (select cast(i as integer) as edit_idx from range(2000) t(i)))"""
+_query("edit_stream_replay", lambda spark, sf, t: S.replay(R.dense_trips(t.connections), 2000, 3), Q.ask("select edit_idx, t_offset_sec, op_type, trip as trip_id, cast(case op_type when 'delay' then late when 'add' then later else 0 end as integer) as delay_min from rp join tn using (trip_no)", "tn as (select trip, cast(dense_rank() over (order by trip) - 1 as integer) as trip_no from (select distinct trip from conn))", _REPLAY))
+
+# ---- feeds and kept tables -----------------------------------------------------------------
+
+
+def _feed(spark: SparkSession, sf: str, t: T.Timetable) -> T.Timetable:
+    """The raw stop times as a feed with ids in words, and footpaths in seconds."""
+    raw = T.adapter_raw(spark, sf)
+    name = F.element_at(F.array(F.lit("bus"), F.lit("subway"), F.lit("Tram")), F.col("mode") + 1)
+    st = raw.select(F.format_string("T%07d", F.col("trip")).alias("trip_id"), "stop_sequence", F.col("stop").alias("stop_int"), "arrival_time", "departure_time", "route_int", name.alias("Mode"))
+    foot = _legs(spark, sf).select("u", "v", (F.col("w") * 60 - F.col("u") % 61 - 5).cast("int").alias("walk_seconds"))
+    return T.from_feed(st, foot, t.od, START)
+
+
+_FEED = f"""f1 as (select *, sum(new) over (partition by trip order by stop_sequence) as run from (select *, case when lag(stop) over (partition by trip order by stop_sequence) = stop then 0 else 1 end as new from raw)),
+f2 as (select trip, min(stop_sequence) as seq, min(stop) as stop, floor((min(arr_s) - {START}) / 60.0) as arr, floor((max(dep_s) - {START}) / 60.0) as dep, arg_min(route_int, stop_sequence) as route_int, arg_min(mode, stop_sequence) as mode from f1 group by trip, run),
+f3 as (select *, lead(stop) over (w) as to_stop, lead(arr) over (w) as narr from f2 window w as (partition by trip order by seq)),
+feed as (select cast(dense_rank() over (order by trip) - 1 as integer) as trip, cast(seq as integer) as seq, stop as from_stop, to_stop, cast(dep as integer) as dep, cast(narr as integer) as arr, route_int, mode from f3 where to_stop <> stop and dep >= 0 and dep < 780 and narr >= 0 and narr <= 780)"""
+_query("feed_connections", lambda spark, sf, t: _feed(spark, sf, t).connections, Q.ask("select * from feed", _RAW, _FEED))
+_FOOT = "fw as (select u, v, cast(ceil((w * 60 - u % 61 - 5) / 60.0) as integer) as w from legs), cw as (select u, v, min(w) as w from (select * from fw where w <= 15 union all select a.u, b.v, a.w + b.w from fw a join fw b on a.v = b.u where a.w + b.w <= 15 and a.u <> b.v) group by all)"
+_query("feed_walks", lambda spark, sf, t: _feed(spark, sf, t).walks, Q.ask("select * from cw", _FOOT))
+_query("walk_subset", lambda spark, sf, t: T.walk_subset(t.walks, _table(spark, sf, "supplier").where("s_suppkey % 3 <> 1").select(F.col("s_suppkey").cast("int").alias("stop"))), Q.ask("select * from walks where u % 3 <> 1 and v % 3 <> 1"))
+
+
+def _kept(spark: SparkSession, sf: str, t: T.Timetable, kind: str, build, sources: dict) -> DataFrame:
+    return cache.cached(build, spark, f"{shared_dir(spark)}/kept-{kind}-{uuid.uuid4().hex}", kind, sources, {"cap": T.CAP})
+
+
+_query("kept_walks", lambda spark, sf, t: _kept(spark, sf, t, "walks", lambda: t.walks, {"legs": _legs(spark, sf)}), Q.ask("select * from walks"))
+_query("kept_event_graph", lambda spark, sf, t: _kept(spark, sf, t, "event graph", lambda: G.event_edges(t.connections, t.walks), {"connections": t.connections, "walks": t.walks}).groupBy("etype").agg(F.count("*").alias("n")), Q.ask("select etype, count(*) as n from edges group by all", *_EG))

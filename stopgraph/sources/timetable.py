@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.minutes import walk_minutes
+from ..functions.minutes import minutes_since, walk_minutes
 from ..operators.closure import walk_closure
+from ..operators.relational import collapse_same_stop, service_date
 
 #: Numbers of the modes of transport.
 MODES = {"bus": 0, "subway": 1, "Tram": 2, "boat": 3, "walking": 4}
@@ -55,6 +56,11 @@ def stop_subset(conn: DataFrame, stops: DataFrame) -> DataFrame:
     return conn.join(stops.select(F.col("stop").alias("from_stop")), "from_stop", "left_semi").join(stops.select(F.col("stop").alias("to_stop")), "to_stop", "left_semi")
 
 
+def walk_subset(walks: DataFrame, stops: DataFrame) -> DataFrame:
+    """Walks with both ends in ``stops(stop)``."""
+    return walks.join(stops.select(F.col("stop").alias("u")), "u", "left_semi").join(stops.select(F.col("stop").alias("v")), "v", "left_semi")
+
+
 def raw_walks(footpaths: DataFrame) -> DataFrame:
     """Minutes of ``footpaths(u, v, walk_seconds)``, the least of each pair."""
     return footpaths.select("u", "v", walk_minutes(F.col("walk_seconds")).alias("w")).groupBy("u", "v").agg(F.min("w").alias("w"))
@@ -66,6 +72,44 @@ def expand_slices(offsets: DataFrame, targets: DataFrame) -> DataFrame:
     return at.join(targets, "pos").select("u", "v", "walk_seconds")
 
 
+def from_feed(stop_times: DataFrame, footpaths: DataFrame, od: DataFrame, service_start: int, t_lo: int = 0, t_hi: int = 780, cap: int = 15, stops: DataFrame | None = None) -> Timetable:
+    """A timetable from a raw feed: ``STOP_TIMES_SCHEMA`` and ``footpaths(u, v, walk_seconds)``.
+
+    Runs of one stop are one stop, times become minutes since ``service_start`` (seconds of
+    the epoch), trips are numbered in order of their ids, connections outside the window or
+    the ``stops(stop)`` asked for are left out, and walks are closed up to ``cap`` minutes.
+    """
+    merged = collapse_same_stop(stop_times.select(F.col("trip_id").alias("trip"), "stop_sequence", F.col("stop_int").alias("stop"), "arrival_time", "departure_time", "route_int", F.col("Mode").alias("mode")))
+    rows = merged.select("trip", F.col("stop_sequence").alias("seq"), "stop", minutes_since(F.col("arrival_time"), service_start).alias("arr"), minutes_since(F.col("departure_time"), service_start).alias("dep"), "route_int", mode_number(F.col("mode")).alias("mode"))
+    conn = connections(rows, t_lo, t_hi)
+    walks = raw_walks(footpaths)
+    if stops is not None:
+        conn, walks = stop_subset(conn, stops), walk_subset(walks, stops)
+    order = Window.partitionBy("head").orderBy("trip")
+    # ids that begin alike are numbered apart and shifted by those before
+    ids = conn.select("trip").distinct().withColumn("head", F.substring("trip", 1, 4))
+    sizes = ids.groupBy("head").agg(F.count("*").alias("n"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)  # a row for each head
+    sizes = sizes.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ids = ids.join(sizes, "head").select("trip", (F.col("start") + F.row_number().over(order) - 1).cast("int").alias("number"))
+    conn = conn.join(ids, "trip").select(F.col("number").alias("trip"), *[c for c in conn.columns if c != "trip"])
+    return Timetable(conn, walk_closure(walks, cap), od)
+
+
+def load_feed(spark: SparkSession, path: str, t_lo: int = 0, t_hi: int = 780, cap: int = 15, service_start: int | None = None, stops: DataFrame | None = None) -> Timetable:
+    """A timetable from the tables ``stop_times``, ``footpaths`` and ``od`` under ``path``.
+
+    Without ``service_start``, service begins at 07:00 of the commonest date of departures.
+    """
+    st, footpaths = read_stop_times(spark, f"{path}/stop_times"), spark.read.schema("u int, v int, walk_seconds int").parquet(f"{path}/footpaths")
+    if service_start is None:
+        day = service_date(st).select(F.unix_timestamp(F.col("service_date").cast("timestamp"))).first()
+        if day is None:
+            raise ValueError("the feed has no departures")
+        service_start = day[0] + 7 * 3600
+    return from_feed(st, footpaths, spark.read.schema(OD_SCHEMA).parquet(f"{path}/od"), service_start, t_lo, t_hi, cap, stops)
+
+
 # ---- sources and sinks -------------------------------------------------------------------
 
 
@@ -137,7 +181,7 @@ def adapter(spark: SparkSession, sf_dir: str, cap: int = CAP) -> Timetable:
     n = F.broadcast(stops.agg(F.count("*").cast("int").alias("n")))  # one row
     od = spark.range(20).select(F.col("id").cast("int").alias("q_id")).join(n, F.lit(True))
     od = od.select("q_id", ((F.col("q_id") * 13) % F.col("n")).alias("src"), ((F.col("q_id") * 29 + 7) % F.col("n")).alias("dst"), (60 + (F.col("q_id") * 17) % 300).alias("t_dep"))
-    return Timetable(connections(adapter_stop_times(spark, sf_dir), 0, T_HI), walk_closure(walks, cap), od)
+    return Timetable(connections(adapter_stop_times(spark, sf_dir), 0, T_HI), walk_closure(walks, cap, 7), od)
 
 
 def adapter_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
