@@ -231,12 +231,12 @@ def _block_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, perc
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row of ``docs(doc_id, text)``.
 
     Documents are linked where ``100 * intersection >= percent * union`` of their sets of
     distinct 5-word shingles; ``component_id`` is the smallest doc_id reachable by links,
     ``kept`` marks the rows whose own id that is.  Sets are compared whole, as 64-bit
-    shingle hashes.
+    shingle hashes.  ``text_hash``, ``xxhash64`` of the text, tells rows of one id apart.
 
     Null and empty texts, and texts without words, have an empty set and stand alone; a
     text of one to four words is one shingle; texts of any length count whole; documents of
@@ -303,6 +303,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     # one class may hold many of the documents
     rows = all_.select("doc_id", "n_shingles", "set_a", "set_b", "text_hash")
     out = spread_join(rows.where("n_shingles > 0"), by_class, ["set_a", "set_b"], classes, rows.count(), "doc_id")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    out = out.select("doc_id", "n_shingles", "component").union(none)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), "text_hash")
+    out = out.select("doc_id", "n_shingles", "component", "text_hash").union(none)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"), "text_hash")

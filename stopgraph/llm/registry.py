@@ -39,7 +39,7 @@ def op4_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75)
+    return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=75).drop("text_hash")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
