@@ -46,6 +46,8 @@ NEED, BEGINNINGS, TIMES = 5, (4, 5, 6, 7), (2, 3)
 ROUNDS, REGROW = 24, 6
 #: Mutual information (nats) given the class from which on two voters depend on each other.
 DEPENDS = 0.05
+#: Chance of a false alarm up to which a voter is hardly doubted, and that of the lists and patterns.
+DOUBTED, OF_LISTS = 0.02, 0.002
 STEPS, PENALTY = 400, 1e-3
 #: Steepness of the score about its border.
 SHARP = 2.0
@@ -199,12 +201,15 @@ def _tree(pairs: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(given: np.ndarray, doubt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row, the voters' accuracies and their correlations.
 
     ``accuracy[c, j, v]`` is the probability of vote v - 1 of voter j in class c.  Given the
     class, votes are trees: a vote depends on its parent's, so what a voter only repeats
     counts once.  Rows start from the balance of their votes; no label is looked at.
+    ``doubt`` is what is known beforehand of each voter, the chance that it calls a clean row
+    toxic: it counts like a quarter of the rows, and a row that a hardly doubted voter calls
+    toxic starts as such, so that the classes keep their meaning.
     """
     n, m = given.shape
     onehot = np.stack([given == v for v in (-1, 0, 1)], 2).astype(np.float32)
@@ -215,10 +220,18 @@ def label_model(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = 1 / np.maximum(((centred.T @ centred / n) ** 4).sum(1), 1)
     balance = given @ weight
     post = np.where(balance > 1.25, 0.9, np.where(balance > 0, 0.6, 0.05))
+    known = np.zeros((m, 3))
+    if doubt is not None:
+        post = np.where((given[:, doubt < DOUBTED] > 0).any(1), 0.9, post)
+        less = (given < 0).mean(0)
+        known = np.stack([less, np.maximum(1 - less - doubt, 0), doubt], 1) + 1e-4
+        known /= known.sum(1, keepdims=True)
     parent = np.full(m, -1)
     for turn in range(ROUNDS):
         mass = np.stack([1 - post, post]).astype(np.float32)
         pairs = np.stack([(flat * w[:, None]).T @ flat for w in mass]).reshape(2, m, 3, m, 3).astype(float)
+        if doubt is not None:
+            pairs[0] += n / 4 * np.einsum("jv,kw->jvkw", known, known)
         pairs = (pairs + 0.05) / (n + 0.9)
         if turn % REGROW == 0:
             parent = _tree(pairs)
@@ -318,7 +331,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     if not any(r.toxic == 1 for r in seen) or not any(r.toxic == 0 for r in seen):
         return Model([], np.zeros(0), prior, -3.0, np.full((2, m, 3), 1 / 3), np.eye(m))
     given = np.array([votes(r.attack, r.chars, set(r.listed), set(w)) for r, w in zip(seen, mined, strict=True)])
-    post, accuracy, corr = label_model(given.astype(float))
+    # what mining has seen of each term: the share of clean rows that hold it
+    clean = max(sum(r.toxic == 0 for r in seen), 1)
+    doubt = np.full(m, OF_LISTS)
+    for k in range(min(VOTERS, len(words))):
+        doubt[len(LEXICONS) + k] = (sum(k in w and r.toxic == 0 for r, w in zip(seen, map(set, mined), strict=True)) + 0.5) / (clean + 1)
+    post, accuracy, corr = label_model(given.astype(float), doubt)
     w, u, bias = _train(mined, given, post, len(words))
     # a list that no labelled row holds keeps a weight of its own
     unseen = (given[:, : len(LEXICONS)] == 0).all(0)
