@@ -154,11 +154,3 @@ def test_collapse_and_queries_file(spark, tmp_path):
     (tmp_path / "q.csv").write_text("q_id,src,dst\n1,2,3\n")
     with pytest.raises(ValueError):
         timetable.read_queries(spark, str(tmp_path / "q.csv"))
-
-
-def test_latest_departure_mirrors_earliest(spark):
-    conn, walks, od, want = _all(spark)
-    back = od.select("q_id", "src", "dst", F.lit(60).alias("deadline"))
-    for r in arrivals.latest(conn, walks, back).collect():
-        assert r.ld is None or r.ld <= 60
-        assert want[r.q_id] is None or want[r.q_id] > 60 or r.ld is not None
