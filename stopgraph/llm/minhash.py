@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, by_group, byte_slices, mix, spread_join, utf8
+from .common import Scratch, binary, by_group, byte_slices, mix, released, spread_join, utf8
 from .components import connected_components
 from .words import shingle_sets
 
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     prints.append(mix(run_[ends[1:]] - run_[ends[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), binary(registers(s, sizes)), b.column(2).slice(i, j - i)], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(released(run), SKETCH)
 
 
 def _least_agreeing(threshold: float) -> int:
@@ -122,7 +122,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
             near = pa.array((x == y).sum(1) >= least)
             yield b.select([0, 1]).filter(near)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 near = 100 * shared >= percent * (nx + ny - shared)
                 yield part.select([0, 1]).filter(pa.array(near & (nx > 0) & (ny > 0)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 np.cumsum(8 * sizes, out=ends[1:])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(s.tobytes())])], ["id", "set"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, set binary")
+    return texts.select("doc_id", "text").mapInArrow(released(run), "id long, set binary")
 
 
 def _shared(sets: np.ndarray, at: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_slices, mix, remove, shared_path, spread_join, utf8
+from .common import Scratch, byte_slices, mix, released, remove, shared_path, spread_join, utf8
 from .induced import Files, suffix_order
 
 #: Bytes of a gram, of text worked on at once, and of regions sorted together.
@@ -119,7 +119,7 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
                     begin = begin + (a - off[i] if j == i + 1 else 0)
                     yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(doc + i)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "sha", "begin", "n", "place"])
 
-    found = scratch.table(texts.select("sha", "text").mapInArrow(find, "anchor long, sha binary, begin int, n int, place int"), "anchors")
+    found = scratch.table(texts.select("sha", "text").mapInArrow(released(find), "anchor long, sha binary, begin int, n int, place int"), "anchors")
     times = found.groupBy("anchor").agg(F.count("*").alias("times"), F.sum(F.col("n").cast("long") + length - 1).alias("bytes")).where("times > 1")
     times = scratch.table(times, "times")
     again = times.select("anchor", (F.col("bytes") > LARGE).alias("large"))
@@ -138,7 +138,7 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
                 marks = [hashlib.blake2b(r, digest_size=16).digest() for r in regions]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[a:z]), pa.array(marks, pa.binary()), b.column(0).take(pa.array(owner[a:z])), pa.array(begin[a:z]), pa.array(n[a:z]), pa.array(place[a:z]), pa.array(large[a:z]), pa.array(regions, pa.binary())], ["anchor", "mark", "sha", "begin", "n", "place", "large", "region"])
 
-    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(cut, "anchor long, mark binary, sha binary, begin int, n int, place int, large boolean, region binary")
+    regions = texts.select("sha", "text").join(followed, "sha").mapInArrow(released(cut), "anchor long, mark binary, sha binary, begin int, n int, place int, large boolean, region binary")
     regions = scratch.table(regions, "regions")
     scratch.drop("anchors", "times")
     distinct = regions.groupBy("anchor", "mark").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("place").alias("place"), F.first("large").alias("large"), F.first("region").alias("region"))
@@ -187,9 +187,9 @@ def _sorted_shards(distinct: DataFrame, length: int, folder: str) -> DataFrame:
             if out:
                 yield _pieces_batch(out)
 
-    pieces = distinct.select("anchor", "mark", "times", "n", "place", "large", "region").mapInArrow(deal, PIECE)
+    pieces = distinct.select("anchor", "mark", "times", "n", "place", "large", "region").mapInArrow(released(deal), PIECE)
     dealt = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "mark")
-    return dealt.mapInArrow(lambda batches: _shards(batches, length, limit, Files(folder), queue), "anchor long, mark binary, windows binary")
+    return dealt.mapInArrow(released(lambda batches: _shards(batches, length, limit, Files(folder), queue)), "anchor long, mark binary, windows binary")
 
 
 def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
+from .common import Scratch, held_out, released
 
 #: Insults of four languages, by list.
 LEXICONS = {
@@ -129,13 +129,13 @@ def _mine(sample: DataFrame) -> list[str]:
                 terms = set(words) | {w + "*" for w in begun} | {f"{w}*{k}" for w, n in begun.items() for k in TIMES if n >= k}
                 for w in terms:
                     seen.setdefault(w, [0, 0])[label] += 1
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 yield _counts(seen)
                 seen = {}
         if seen:
             yield _counts(seen)
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.select("text", "toxic").mapInArrow(released(count), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     return [r.word for r in best.orderBy(F.desc("toxic"), "word").limit(MINED).collect()]
 
@@ -319,7 +319,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             pairs = [(sorted(present(t, a)), sorted(present(t, b)), int(bool(_ATTACK.search(t))), len(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32())), pa.array([p[2] for p in pairs], pa.int32()), pa.array([p[3] for p in pairs], pa.int64()), batch.column(1)], ["listed", "terms", "attack", "chars", "toxic"])
 
-    seen = sample.mapInArrow(look, "listed array<int>, terms array<int>, attack int, chars long, toxic int").collect()
+    seen = sample.mapInArrow(released(look), "listed array<int>, terms array<int>, attack int, chars long, toxic int").collect()
     scratch.drop("labelled")
     seen.sort(key=lambda r: (r.terms, r.listed, r.attack, r.chars, r.toxic))
     chosen = _choose([r.terms for r in seen], [r.toxic for r in seen], len(candidates))
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
                 out.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(out, pa.float64())], [f.name for f in rest] + [name])
 
-    return docs.select(F.col("text").alias("__text"), *[F.col(f.name) for f in rest]).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("__text"), *[F.col(f.name) for f in rest]).mapInArrow(released(run), schema)
 
 
 def toxic(threshold: float = 0.5, name: str = "score") -> Column:
