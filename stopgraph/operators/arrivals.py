@@ -21,6 +21,10 @@ from ..sources.store import bucketed, written
 from . import local
 
 
+#: Minutes of the first horizon; a minute that no label has.
+HORIZON, NEVER = 64, 1 << 30
+
+
 @dataclass
 class Network:
     """Connections by the stop that they leave, and by trip."""
@@ -48,19 +52,21 @@ def source_labels(od: DataFrame, walks: DataFrame) -> DataFrame:
 
 def _round(front: DataFrame, net: Network, walks: DataFrame, since: int) -> DataFrame:
     """Labels reached by boarding once from ``front(q_id, stop, t)``, and a walk after it."""
-    on = front.join(net.departures.where(F.col("dep") >= since), "stop").where("dep >= t").groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
+    until = "dep >= t and dep <= high" if "high" in front.columns else "dep >= t"
+    on = front.join(net.departures.where(F.col("dep") >= since), "stop").where(until).groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
     ride = on.join(net.rides, "trip").where("seq >= board").groupBy("q_id", F.col("to_stop").alias("stop")).agg(F.min("arr").alias("t"))
     walked = ride.join(walks, ride.stop == walks.u).select("q_id", F.col("v").alias("stop"), (F.col("t") + F.col("w")).alias("t"))
     return ride.union(walked).groupBy("q_id", "stop").agg(F.min("t").alias("t"))
 
 
-def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, prune: bool = True, bounds: DataFrame | None = None) -> DataFrame:
+def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, prune: bool = True, bounds=None, span: int | None = None) -> DataFrame:
     """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches.
 
     ``max_boardings`` bounds the trips boarded.  With ``prune``, labels that are no earlier
     than the query's best arrival are not followed; ``bounds(front)`` adds ``lb`` to
     ``front(q_id, stop, t, dst)``, a lower bound of the time from the stop to the destination
-    that sharpens this.  Without either, labels of all stops are right (one to all).  Rounds
+    that sharpens this.  With ``span``, departures later than that many minutes after a query's
+    start are not boarded.  Without these, labels of all stops are right (one to all).  Rounds
     go on until no label changes.
     """
     net = conn if isinstance(conn, Network) else _pieces(conn)
@@ -68,19 +74,22 @@ def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_board
     front, k = best, 0
     while max_boardings is None or k < max_boardings:
         if prune:
-            goal = best.join(od.select("q_id", F.col("dst").alias("stop")), ["q_id", "stop"]).select("q_id", F.col("t").alias("goal"))
-            front = front.join(goal, "q_id", "left")
+            limits = od.select("q_id", F.col("dst").alias("stop"), (F.col("t_dep") + span).alias("high") if span is not None else F.lit(None).cast("int").alias("high"))
+            limits = limits.join(best.withColumnRenamed("t", "goal"), ["q_id", "stop"], "left").select("q_id", F.col("stop").alias("dst"), "goal", "high")
+            front = front.join(limits, "q_id")
             if bounds is not None:
-                front = bounds(front.join(od.select("q_id", "dst"), "q_id"))
+                front = bounds(front)
                 front = front.where(F.col("goal").isNull() | (F.col("t") + F.coalesce("lb", F.lit(0)) < F.col("goal")))
             else:
                 front = front.where("goal is null or t < goal")
-            front = front.select("q_id", "stop", "t")
+            # the last departure that can matter
+            high = F.coalesce(F.least(F.col("goal") - 1, "high"), F.lit(NEVER))
+            front = front.select("q_id", "stop", "t", high.alias("high"))
         since = front.agg(F.min("t")).first()[0]
         if since is None:
             break
         new = _round(front, net, walks, since)
-        old = best.withColumnRenamed("t", "old")
+        old = best.withColumnRenamed("t", "old")  # labels so far
         front = written(new.join(old, ["q_id", "stop"], "left").where("old is null or t < old").select("q_id", "stop", "t"), "front")
         k += 1
         if front.isEmpty():
@@ -95,8 +104,24 @@ def at_destination(od: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def earliest(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, bounds=None) -> DataFrame:
-    """Earliest arrivals of ``od(q_id, src, dst, t_dep)``, exact or within a number of trips."""
-    return at_destination(od, labels(conn, walks, od, max_boardings, True, bounds))
+    """Earliest arrivals of ``od(q_id, src, dst, t_dep)``, exact or within a number of trips.
+
+    Departures up to a horizon are boarded first: as no connection arrives before it departs,
+    an arrival within the horizon cannot be bettered beyond it.  Queries without one go on
+    with a horizon four times as long, until it is past the last departure.
+    """
+    net = conn if isinstance(conn, Network) else _pieces(conn)
+    last = net.departures.agg(F.max("dep")).first()[0]
+    left, done, span = od, None, HORIZON
+    while True:
+        got = written(at_destination(left, labels(net, walks, left, max_boardings, True, bounds, span)), "answers")
+        past = F.lit(True) if last is None else F.col("t_dep") + span >= last
+        sure = F.coalesce(F.col("ea") <= F.col("t_dep") + span, F.lit(False)) | past
+        done = got.where(sure) if done is None else done.union(got.where(sure))
+        left = got.where(~sure).select("q_id", "src", "dst", "t_dep")
+        if left.isEmpty():
+            return done
+        span *= 4
 
 
 def answer(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None) -> DataFrame:

@@ -158,7 +158,7 @@ def front_bounds(labels: DataFrame):
     def add(front: DataFrame) -> DataFrame:
         both = front.join(s, "stop", "left").join(t, ["lm", "dst"], "left")
         score = F.greatest(F.coalesce(F.col("st") - F.col("tt"), F.lit(0)), F.coalesce(F.col("tf") - F.col("sf"), F.lit(0)), F.lit(0))
-        return both.groupBy("q_id", "stop", "t", "goal", "dst").agg(F.max(score).alias("lb"))
+        return both.groupBy("q_id", "stop", "t", "goal", "high", "dst").agg(F.max(score).alias("lb"))
 
     return add
 
