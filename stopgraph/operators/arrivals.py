@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import bucketed, written
+from ..sources.store import bucketed, discard, written
 from . import local
 
 
@@ -71,7 +71,7 @@ def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_board
     """
     net = conn if isinstance(conn, Network) else _pieces(conn)
     best = written(source_labels(od, walks), "labels")
-    front, k = best, 0
+    front, k, used = best, 0, []
     while max_boardings is None or k < max_boardings:
         if prune:
             limits = od.select("q_id", F.col("dst").alias("stop"), (F.col("t_dep") + span).alias("high") if span is not None else F.lit(None).cast("int").alias("high"))
@@ -92,8 +92,11 @@ def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_board
         old = best.withColumnRenamed("t", "old")  # labels so far
         front = written(new.join(old, ["q_id", "stop"], "left").where("old is null or t < old").select("q_id", "stop", "t"), "front")
         k += 1
+        discard(*used)
         if front.isEmpty():
+            discard(front)
             break
+        used = [best, front]  # read until the next round is written
         best = written(best.union(front).groupBy("q_id", "stop").agg(F.min("t").alias("t")), "labels")
     return best
 
@@ -114,7 +117,9 @@ def earliest(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boa
     last = net.departures.agg(F.max("dep")).first()[0]
     left, done, span = od, None, HORIZON
     while True:
-        got = written(at_destination(left, labels(net, walks, left, max_boardings, True, bounds, span)), "answers")
+        reached = labels(net, walks, left, max_boardings, True, bounds, span)
+        got = written(at_destination(left, reached), "answers")
+        discard(reached)
         past = F.lit(True) if last is None else F.col("t_dep") + span >= last
         sure = F.coalesce(F.col("ea") <= F.col("t_dep") + span, F.lit(False)) | past
         done = got.where(sure) if done is None else done.union(got.where(sure))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import discard, written
 
 
 def _relax(edges: DataFrame, seeds: DataFrame, cap: int | None) -> DataFrame:
     """Least ``d`` of (``root``, ``v``) over paths from ``seeds(root, v, d)``; semi-naive rounds."""
     best = written(seeds.groupBy("root", "v").agg(F.min("d").alias("d")), "best")
-    front = best
+    front, used = best, []
     while True:
         step = front.join(edges.select(F.col("u").alias("v"), F.col("v").alias("x"), "w"), "v").select("root", F.col("x").alias("v"), (F.col("d") + F.col("w")).alias("d"))
         if cap is not None:
@@ -19,8 +19,11 @@ def _relax(edges: DataFrame, seeds: DataFrame, cap: int | None) -> DataFrame:
         step = step.groupBy("root", "v").agg(F.min("d").alias("d"))
         old = best.select("root", "v", F.col("d").alias("old"))
         front = written(step.join(old, ["root", "v"], "left").where("old is null or d < old").select("root", "v", "d"), "front")
+        discard(*used)
         if front.isEmpty():
+            discard(front)
             return best
+        used = [best, front]  # read until the next round is written
         best = written(best.union(front).groupBy("root", "v").agg(F.min("d").alias("d")), "best")
 
 

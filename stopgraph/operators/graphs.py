@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.store import written
+from ..sources.store import discard, written
 from . import relational as R
 from .closure import shortest_paths
 from .edits import draw
@@ -41,15 +41,18 @@ def reach(edges: DataFrame, seeds: DataFrame, within: DataFrame | None = None) -
     Nodes before ``low`` or after ``high``, and those not in ``within``, are not entered.
     """
     seen = written(seeds.where("t between low and high").distinct(), "seen")
-    front = seen
+    front, used = seen, []
     while True:
         step = front.join(edges.select(F.col("src").alias("node"), "dst", "w"), "node").select("q_id", F.col("dst").alias("node"), (F.col("t") + F.col("w")).alias("t"), "low", "high")
         step = step.where("t between low and high").distinct()
         if within is not None:
             step = step.join(within, ["q_id", "node"], "left_semi")
         front = written(step.join(seen, ["q_id", "node"], "left_anti"), "front")
+        discard(*used)
         if front.isEmpty():
+            discard(front)
             return seen
+        used = [seen, front]  # read until the next step is written
         seen = written(seen.union(front), "seen")
 
 
