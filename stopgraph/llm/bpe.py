@@ -259,6 +259,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str, ids:
             rest = batch.slice(begin, end - begin)
             yield pa.RecordBatch.from_arrays([lists if k == at else rest.column(k) for k in range(rest.num_columns)], [ids if k == at else n for k, n in enumerate(rest.schema.names)])
             begin = end
+    bpe.cache.clear()  # words of this task; the worker lives on for other work
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

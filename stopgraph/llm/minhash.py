@@ -296,6 +296,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
 
     labelled = known.join(placed.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     labelled = scratch.table(labelled, "labelled")
+    scratch.drop(*[n for n in scratch.paths if n not in ("sketches", "classes", "labelled")])
     # the smallest id of each component; one component may hold many of the classes
     sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
     lows = spread_join(labelled.select("node", "component"), sizes.select("component", "low"), ["component"], sizes, labelled.count(), "node").select("node", "low")
