@@ -150,16 +150,20 @@ def lower_bounds(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return landmark_scores(labels, pairs).groupBy("q_id", "src", "dst").agg(F.max("score").alias("lb"))
 
 
-def front_bounds(labels: DataFrame):
+def front_bounds(labels: DataFrame, active: DataFrame | None = None):
     """A function that adds ``lb``, the best landmark's bound, to ``front(q_id, stop, t, dst)``.
 
-    Bounds are joined for the front's own stops only; a stop that no landmark knows has none.
+    Bounds are joined for the front's own stops only, and for each query's ``active(q_id, lm)``
+    landmarks where they are given; a stop that no landmark knows has none.
     """
     s = labels.select("lm", "stop", F.col("d_from").alias("sf"), F.col("d_to").alias("st"))
     t = labels.select("lm", F.col("stop").alias("dst"), F.col("d_from").alias("tf"), F.col("d_to").alias("tt"))
 
     def add(front: DataFrame) -> DataFrame:
-        both = front.join(s, "stop", "left").join(t, ["lm", "dst"], "left")
+        if active is None:
+            both = front.join(s, "stop", "left").join(t, ["lm", "dst"], "left")
+        else:
+            both = front.join(active.select("q_id", "lm"), "q_id", "left").join(s, ["lm", "stop"], "left").join(t, ["lm", "dst"], "left")
         score = F.greatest(F.coalesce(F.col("st") - F.col("tt"), F.lit(0)), F.coalesce(F.col("tf") - F.col("sf"), F.lit(0)), F.lit(0))
         return both.groupBy("q_id", "stop", "t", "goal", "high", "dst").agg(F.max(score).alias("lb"))
 

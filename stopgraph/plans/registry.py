@@ -238,13 +238,16 @@ _query("ea_event_graph", lambda spark, sf, t: _on_events(spark, sf, t, False), Q
 _query("ea_bidirectional", lambda spark, sf, t: _on_events(spark, sf, t, True), Q.ask(Q.arrivals(), Q.rounds(8)))
 
 
-def _alt(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+def _alt(spark: SparkSession, sf: str, t: T.Timetable, few: bool = False) -> DataFrame:
     conn = written(t.connections, "conn")
     lm = _labels(spark, sf, T.Timetable(conn, t.walks, t.od))
-    return A.earliest(A.network(conn), t.walks, t.od, bounds=G.front_bounds(written(lm, "landmarks")))
+    lm = written(lm, "landmarks")
+    active = written(G.active_landmarks(lm, t.od, 2), "active") if few else None
+    return A.earliest(A.network(conn), t.walks, t.od, bounds=G.front_bounds(lm, active))
 
 
 _query("ea_alt_pruned", _alt, Q.ask(Q.arrivals(), Q.rounds(8)))
+_query("ea_alt_active", lambda spark, sf, t: _alt(spark, sf, t, True), Q.ask(Q.arrivals(), Q.rounds(8)))
 
 
 def _gated(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:

@@ -130,8 +130,19 @@ def result_lines(result: DataFrame) -> DataFrame:
     return result.select("q_id", F.concat_ws(",", *[F.col(c).cast("string") for c in ("q_id", "src", "dst", "t_dep")], F.coalesce(F.col("ea").cast("string"), F.lit("None"))).alias("line"))
 
 
-def write_results(result: DataFrame, path: str) -> None:
-    result.orderBy("q_id").write.mode("overwrite").option("header", True).csv(path)
+def write_results(result: DataFrame, path: str, rows: int = 200) -> None:
+    """Results in order of their queries, in files of ``rows`` each: a file is written as soon as it is full."""
+    result.orderBy("q_id").write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows).csv(path)
+
+
+#: Parts of a folder's name, or its parent's, that tell a dataset, in order of precedence.
+TAGS = {"full": "full_london", "berlin": "berlin", "nyc": "nyc", "newyork": "nyc", "new_york": "nyc", "paris": "paris", "subset": "subset"}
+
+
+def dataset_tag(path: str) -> str:
+    """A short name for the dataset in a folder; a folder of another name stands for itself."""
+    parts = [x for x in path.lower().split("/") if x not in ("", ".")][-2:]
+    return next((tag for mark, tag in TAGS.items() if any(mark in x for x in parts)), parts[-1] if parts else "generic")
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -124,3 +124,10 @@ def test_kinds_of_overtaking(spark):
     assert relational.fifo_decision(found).first().decision == "block_reopen_stage_2"
     assert relational.fifo_decision(found.where("kind in ('nat', 'wraparound')")).first().decision == "proceed_with_note"
     assert relational.fifo_decision(found.where("false")).first().decision == "proceed"
+
+
+def test_compaction(spark, conn, tmp_path):
+    few, many = _edits(spark, (0, 1, "DELAY", 1, 2)), _edits(spark, (0, 1, "DELAY", 1, 2), (0, 2, "CANCELLATION", 2), (0, 3, "DELAY", 3, 1))
+    assert edits.needs_compaction(conn, few, 0.5) is False and edits.needs_compaction(conn, many, 0.5) is True
+    base = edits.compact(conn, many, str(tmp_path / "base"))
+    assert _times(base) == _times(edits.apply_edits(conn, many)) == [(1, 0, 2), (1, 1, 8), (3, 0, 21)]

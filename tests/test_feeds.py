@@ -1,5 +1,6 @@
 """Raw feeds, kept tables, fixtures as files, contraction hierarchies."""
 
+import hashlib
 import random
 
 import pytest
@@ -86,3 +87,17 @@ def test_too_large_a_graph_is_refused(spark, monkeypatch):
     monkeypatch.setattr(hierarchies, "MOST_STOPS", 1)
     with pytest.raises(ValueError):
         hierarchies.contract(spark.createDataFrame([(0, 1, 2)], "u int, v int, w int"))
+
+
+def test_results_manifests_and_tags(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 0, 1, 0, None if k % 3 else k) for k in range(450)], OD + ", ea int").coalesce(1)
+    timetable.write_results(rows, str(tmp_path / "out"))
+    files = sorted(tmp_path.glob("out/*.csv"))
+    assert len(files) >= 3 and all(len(f.read_text().splitlines()) <= 201 for f in files)
+    listed = timetable.file_manifest(spark, str(tmp_path / "out")).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in listed if r.path.endswith("csv")} == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in files}
+    lines = {r.q_id: r.line for r in timetable.result_lines(rows).collect()}
+    assert lines[3] == "3,0,1,0,3" and lines[4] == "4,0,1,0,None"
+    (tmp_path / "q.csv").write_text("q_id,src,dst,t_dep\n1,2,3,4\nx,2,3,4\n")
+    assert [tuple(r) for r in timetable.read_queries(spark, str(tmp_path / "q.csv")).collect()] == [(1, 2, 3, 4), (None, 2, 3, 4)]
+    assert [timetable.dataset_tag(p) for p in ("/x/Full_City/data", "/d/berlin", "/NYC/x", "/data/my_town")] == ["full_london", "berlin", "nyc", "my_town"]

@@ -24,6 +24,8 @@ def test_fixtures_on_every_path(spark):
     # landmarks on the first stops of some fixtures
     labels = graphs.landmark_labels(graphs.lower_bound_graph(conn, walks), spark.createDataFrame([(100 * k,) for k in range(0, 20, 3)], "root int"))
     assert _answers(arrivals.earliest(conn, walks, od, bounds=graphs.front_bounds(labels))) == want
+    few = graphs.active_landmarks(labels, od, 2)
+    assert _answers(arrivals.earliest(conn, walks, od, bounds=graphs.front_bounds(labels, few))) == want
     # one scan misses the walk after a ride of N1 only
     n1 = sum(len(q) for c, w, q in list(FIXTURES.values())[: list(FIXTURES).index("N1")])
     assert _answers(local.earliest(conn, walks, od, mode="single_pass")) == {**want, n1: None}
