@@ -74,7 +74,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written to the shared folder."""
-    scratch, docs = Scratch(spark), read_table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark), read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(*before)  # read for the last time
+        before = [f"stage-{name}"]
     return docs
