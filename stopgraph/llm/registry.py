@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, mixing, pq, quality, substrings, topk, toxicity, warc
+from . import bpe, centroids, licenses, minhash, mixing, pq, quality, resampling, rules, substrings, topk, toxicity, warc
 from .common import held_out, read_table
 
 
@@ -73,6 +73,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    drawn = resampling.resample(spark, docs, target, longest=1, buckets=10000, percent=10, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX)}
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark, read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assess(spark, read_table(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence")
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_pq": op4_pq, "op5_minhash": op5_minhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_warc": op9_warc, "op10_licenses": op10_licenses, "op11_resampling": op11_resampling, "op12_centroids": op12_centroids, "op13_rules": op13_rules}
+
+ORACLES: dict[str, str] = {"op2_mixing": mixing.document_sql(**MIX), "op12_centroids": centroids.sql(), "op13_rules": rules.sql()}
