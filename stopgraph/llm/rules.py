@@ -146,7 +146,8 @@ def assess(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> Data
     do not matter; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    known = Scratch(spark).table(references(own), "references")
+    scratch = Scratch(spark)
+    known = scratch.table(references(own), "references")
     known = known.where(F.col("ref_total") >= MIN_REFERENCE)
     known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
     rows = base(own.join(known, "lang", "left"))
@@ -168,7 +169,9 @@ def assess(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> Data
         "char_failed": F.coalesce(F.col("char_divergence") > CHAR_LIMIT + CHAR_SLACK / F.col("n_chars"), F.lit(False)),
     })
     kept = ~F.col("base_failed") & ~F.col("word_failed") & ~F.col("char_failed")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "char_failed", "word_failed", kept.alias("kept"))
+    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "char_failed", "word_failed", kept.alias("kept"))
+    # written, so that a filter of the result is not pushed into the figures and computes them over and over
+    return scratch.table(out, "assessed")
 
 
 def sql(table: str = "documents") -> str:
