@@ -32,6 +32,16 @@ class Network:
     departures: DataFrame
     rides: DataFrame
 
+    def last(self) -> int | None:
+        """The minute of the last departure."""
+        return self.departures.agg(F.max("dep")).first()[0]
+
+    def ride(self, front: DataFrame, since: int) -> DataFrame:
+        """``(q_id, stop, t)`` where trips boarded once from ``front(q_id, stop, t)`` get to."""
+        until = "dep >= t and dep <= high" if "high" in front.columns else "dep >= t"
+        on = front.join(self.departures.where(F.col("dep") >= since), "stop").where(until).groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
+        return on.join(self.rides, "trip").where("seq >= board").groupBy("q_id", F.col("to_stop").alias("stop")).agg(F.min("arr").alias("t"))
+
 
 def _pieces(conn: DataFrame) -> Network:
     return Network(conn.select(F.col("from_stop").alias("stop"), "trip", "seq", "dep"), conn.select("trip", "seq", "to_stop", "arr"))
@@ -52,9 +62,7 @@ def source_labels(od: DataFrame, walks: DataFrame) -> DataFrame:
 
 def _round(front: DataFrame, net: Network, walks: DataFrame, since: int) -> DataFrame:
     """Labels reached by boarding once from ``front(q_id, stop, t)``, and a walk after it."""
-    until = "dep >= t and dep <= high" if "high" in front.columns else "dep >= t"
-    on = front.join(net.departures.where(F.col("dep") >= since), "stop").where(until).groupBy("q_id", "trip").agg(F.min("seq").alias("board"))
-    ride = on.join(net.rides, "trip").where("seq >= board").groupBy("q_id", F.col("to_stop").alias("stop")).agg(F.min("arr").alias("t"))
+    ride = net.ride(front, since)
     walked = ride.join(walks, ride.stop == walks.u).select("q_id", F.col("v").alias("stop"), (F.col("t") + F.col("w")).alias("t"))
     return ride.union(walked).groupBy("q_id", "stop").agg(F.min("t").alias("t"))
 
@@ -69,7 +77,7 @@ def labels(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_board
     start are not boarded.  Without these, labels of all stops are right (one to all).  Rounds
     go on until no label changes.
     """
-    net = conn if isinstance(conn, Network) else _pieces(conn)
+    net = _pieces(conn) if isinstance(conn, DataFrame) else conn
     best = written(source_labels(od, walks), "labels")
     front, k, used = best, 0, []
     while max_boardings is None or k < max_boardings:
@@ -113,8 +121,8 @@ def earliest(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boa
     an arrival within the horizon cannot be bettered beyond it.  Queries without one go on
     with a horizon four times as long, until it is past the last departure.
     """
-    net = conn if isinstance(conn, Network) else _pieces(conn)
-    last = net.departures.agg(F.max("dep")).first()[0]
+    net = _pieces(conn) if isinstance(conn, DataFrame) else conn
+    last = net.last()
     left, done, span = od, None, HORIZON
     while True:
         reached = labels(net, walks, left, max_boardings, True, bounds, span)

@@ -17,6 +17,7 @@ from ..operators import hierarchies as H
 from ..operators import local as L
 from ..operators import relational as R
 from ..operators import reports as P
+from ..operators import routes as W
 from ..operators.closure import closures_by_cap, shortest_paths, walk_closure
 from ..sources import cache
 from ..sources import timetable as T
@@ -259,6 +260,18 @@ def _gated(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     return t.od.join(found, "q_id", "left").select("q_id", "src", "dst", "t_dep", "ea")
 
 
+_query("ea_route_scan", lambda spark, sf, t: A.earliest(W.routes(t.connections), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
+_query("ea_route_scan_k2", lambda spark, sf, t: A.earliest(W.routes(t.connections), t.walks, t.od, max_boardings=2), Q.ask(Q.arrivals(), Q.rounds(2)))
+
+
+def _lanes(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """All bounds of the number of trips, and none, of one search."""
+    bounds = spark.createDataFrame([(1,), (2,), (3,), (None,)], "max_trips int")
+    return W.within(W.journeys(W.routes(t.connections), t.walks, t.od), t.od, bounds)
+
+
+_query("ea_lanes", _lanes, Q.ask(" union all ".join(f"select cast({k} as integer) as max_trips, * from ({Q.arrivals(tag)})" for k, tag in ((1, "l1"), (2, "l2"), (3, "l3"), ("null", "l"))), *(Q.rounds(k, tag=f"l{k}") for k in (1, 2, 3)), Q.rounds(8)))
+_query("journeys_by_trips", lambda spark, sf, t: W.journeys(W.routes(t.connections), t.walks, t.od, 3), Q.ask("select q_id, cast(k as integer) as trips, cast(min(ea) as integer) as ea from (select *, lag(ea) over (partition by q_id order by k) as fewer from (" + " union all ".join(f"select {k} as k, q_id, ea from ({Q.arrivals(tag)})" for k, tag in ((0, "l0"), (1, "l1"), (2, "l2"), (3, "l3"))) + ")) where ea is not null and (fewer is null or ea < fewer) group by q_id, k", *(Q.rounds(k, tag=f"l{k}") for k in (0, 1, 2, 3))))
 _query("ea_hub_gate", _gated, Q.ask(Q.arrivals(), Q.rounds(8)))
 _LD = """back as materialized (select trip, -seq as seq, to_stop as from_stop, from_stop as to_stop, -arr as dep, -dep as arr from conn),
 turned as (select q_id, dst as src, src as dst, -(t_dep + 120) as t_dep from od)"""
