@@ -137,6 +137,26 @@ def apply_edits(conn: DataFrame, edits: DataFrame, first_new_trip: int | None =
     return apply_edit_sets(conn, one, sets, first_new_trip).drop("edit_set")
 
 
+def delta(conn: DataFrame, before: DataFrame | None, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connections that go and that come when the edits ``before`` become ``after``.
+
+    Only trips that either names are looked at, so the cost follows the edits.  ``before`` may
+    be None: the timetable as it was.  A connection that both leave as it is is in neither.
+    """
+    top = conn.agg(F.max("trip")).first()[0]
+    if top is None:
+        return conn, conn
+    logs = [e for e in (before, after) if e is not None]
+    named = None
+    for e in logs:
+        one = e.select(F.explode(F.array("trip_id", "template_trip_id")).alias("trip")).where("trip is not null")
+        named = one if named is None else named.union(one)
+    part = conn.join(named.distinct(), "trip", "left_semi")
+    old = part if before is None else apply_edits(part, before, top + 1)
+    new = apply_edits(part, after, top + 1)
+    return old.exceptAll(new), new.exceptAll(old)
+
+
 def apply_phases(conn: DataFrame, edits: DataFrame) -> DataFrame:
     """Delays first, then cancellations, then additions, whatever their order in the set."""
     phase = F.when(F.col("edit_type") == "DELAY", 0).when(F.col("edit_type") == "CANCELLATION", 1).otherwise(2)

@@ -23,6 +23,7 @@ from ..sources import cache
 from ..sources import timetable as T
 from ..sources.store import shared_dir, written
 from ..streaming import edit_stream as S
+from ..streaming import replan as N
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,6 +380,22 @@ def _arms(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
 _query("edit_arms", _arms)
 _after = lambda spark, sf, t: A.answer(written(E.apply_edits(t.connections, edit_set(t.connections)), "edited"), t.walks, t.od)
 _query("ea_after_edits", _after, Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
+
+
+def _streamed(spark: SparkSession, sf: str, t: T.Timetable) -> tuple[T.Timetable, str]:
+    """The edits as a stream of five files, the last one of edits that come late; the folder of the answers."""
+    conn, folder = written(t.connections, "conn"), f"{shared_dir(spark)}/replan-{uuid.uuid4().hex}"
+    late = (F.col("pos") % 7 == 0).cast("int")
+    edits = written(edit_set(conn).withColumn("part", F.when(late == 1, 4).otherwise(F.floor(F.col("pos") / 4) % 4)), "edits")
+    for k in range(5):  # a file at a time, so that they come in this order
+        one = edits.where(F.col("part") == k).select(F.col("pos").cast("long").alias("edit_id"), F.lit(None).cast("timestamp").alias("ts"), "pos", "edit_type", "trip_id", "delta_min", "template_trip_id", "start_minute")
+        one.coalesce(1).write.mode("append").parquet(f"{folder}/edits")
+    walks = written(t.walks, "walks")
+    N.replan(S.read(spark, f"{folder}/edits", 1), conn, walks, t.od, folder, f"{folder}/offsets").awaitTermination()
+    return T.Timetable(conn, walks, t.od), folder
+
+
+_query("stream_replan", lambda spark, sf, t: N.answers(spark, _streamed(spark, sf, t)[1]), Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
 _CMP = f"""cmp as (select q_id, a.ea as a, b.ea as b,
   case when a.ea is null and b.ea is null then 'both_unreachable' when a.ea = b.ea then 'match' when a.ea is null or b.ea < a.ea then 'b_better' else 'a_better' end as verdict,
   cast(case when a.ea is null and b.ea is null then 0 when a.ea is null then -9999 when b.ea is null then 9999 else b.ea - a.ea end as integer) as delta

@@ -14,13 +14,14 @@ from ..operators.edits import draw
 SCHEMA = "edit_id long, ts timestamp, pos int, edit_type string, trip_id int, delta_min int, template_trip_id int, start_minute int"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of edits.
+def read(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream of edits; of ``files`` files a batch where that is given.
 
     No edit is too late: order is that of ``pos``, and one that comes twice counts once in
     the log's view, so the stream needs neither state nor a watermark.
     """
-    return spark.readStream.schema(SCHEMA).parquet(path)
+    reader = spark.readStream.schema(SCHEMA)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def append_log(edits: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
@@ -40,9 +41,14 @@ def batches(spark: SparkSession, log: str) -> DataFrame:
 
 
 def log_edits(spark: SparkSession, log: str) -> DataFrame:
-    """The log as an edit set; of an edit logged in several batches the first counts."""
-    rows = spark.read.option("basePath", log).parquet(log)
-    return rows.groupBy("edit_id").agg(F.min_by(F.struct("pos", "edit_type", "trip_id", "delta_min", "template_trip_id", "start_minute"), "batch").alias("e")).select(F.lit(0).alias("edit_set"), "e.*", F.lit(True).alias("active"))
+    """The log as an edit set."""
+    return first_logged(spark.read.option("basePath", log).parquet(log))
+
+
+def first_logged(rows: DataFrame) -> DataFrame:
+    """Logged rows as an edit set; of an edit logged in several batches the first counts."""
+    one = F.min_by(F.struct("pos", "edit_type", "trip_id", "delta_min", "template_trip_id", "start_minute"), "batch").alias("e")
+    return rows.groupBy("edit_id").agg(one).select(F.lit(0).alias("edit_set"), "e.*", F.lit(True).alias("active"))
 
 
 def replay(trips: DataFrame, n: int, seed: int, mean_delay: float = 4.0, cancel_share: float = 0.10, add_share: float = 0.05) -> DataFrame:
