@@ -122,7 +122,8 @@ def apply_edit_sets(conn: DataFrame, edits: DataFrame, sets: DataFrame | None =
     new = new.select("edit_set", (top + F.col("place")).cast("int").alias("new_trip"), F.col("template_trip_id").alias("trip"), "start_minute", "delta_min")
     gone = live.where(F.col("edit_type") == "CANCEL_ADDED").select("edit_set", F.col("trip_id").alias("new_trip"))
     new = new.join(gone, ["edit_set", "new_trip"], "left_anti")
-    begin = conn.groupBy("trip").agg(F.min("dep").alias("begin"), F.max("arr").alias("end"))
+    # a template's own rows only
+    begin = conn.join(new.select("trip").distinct(), "trip", "left_semi").groupBy("trip").agg(F.min("dep").alias("begin"), F.max("arr").alias("end"))
     new = new.join(begin, "trip").withColumn("by", F.coalesce(F.col("start_minute") - F.col("begin"), F.col("delta_min")))
     new = new.where("end + by between -32768 and 32767 and begin + by between -32768 and 32767")
     added = conn.join(new.select("edit_set", "trip", "new_trip", "by"), "trip")

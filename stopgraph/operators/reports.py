@@ -41,7 +41,7 @@ def quality_delta(compared: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     p = lambda q: F.percentile(value, F.lit(q))
-    return rows.groupBy(by).agg(p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return rows.groupBy(by).agg(p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.count(value).alias("n"))
 
 
 def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import arrivals as A
 from ..operators import edits as E
 from ..operators import graphs as G
 from ..operators import hierarchies as H
+from ..operators import links as K
 from ..operators import local as L
 from ..operators import relational as R
 from ..operators import reports as P
@@ -112,7 +113,7 @@ _WALKED = "wev as (select trip, seq, v as stop, arr + w as t from conn join walk
 _query("board_asof", lambda spark, sf, t: R.board_asof(R.arrival_events(t.connections), t.connections, ["trip", "seq"]), Q.ask(_ASOF.format(ev="ev"), _ARR, _DEP1))
 _query("walk_board_asof", lambda spark, sf, t: R.board_asof(R.walked_events(t.connections, t.walks), t.connections, ["trip", "seq"]), Q.ask(_ASOF.format(ev="wev"), _WALKED, _DEP1))
 _query("board_in_asof", lambda spark, sf, t: R.board_in_asof(t.connections, t.connections), Q.ask("select e.trip, e.seq, e.from_stop as stop, e.dep as t, a.arr as barr from conn e asof join (select distinct to_stop, arr from conn) a on a.to_stop = e.from_stop and a.arr <= e.dep"))
-_SRC = "src_at as (select q_id, trip, seq, dep from od join conn on src = from_stop and dep >= t_dep union select q_id, d.trip, d.seq, d.dep from (select q_id, v as stop, t_dep + w as t from od join walks on src = u) e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t)"
+_SRC = "src_at as (select distinct q_id, d.trip, d.seq, d.dep from (select q_id, src as stop, t_dep as t from od union all select q_id, v, t_dep + w from od join walks on src = u) e asof join dep1 d on d.from_stop = e.stop and d.dep >= e.t)"
 _TGT = "tgt_at as (select q_id, trip, seq, arr, cast(min(tail) as integer) as tail from (select q_id, trip, seq, arr, 0 as tail from od join conn on dst = to_stop union all select q_id, trip, seq, arr, w from od join walks on dst = v join conn on u = to_stop) group by all)"
 _query("source_attach", lambda spark, sf, t: R.source_attachment(t.od, t.connections, t.walks), Q.ask("select * from src_at", _DEP1, _SRC))
 _query("target_attach", lambda spark, sf, t: R.target_attachment(t.od, t.connections, t.walks), Q.ask("select * from tgt_at", _TGT))
@@ -177,25 +178,31 @@ def _paths(graph: str, roots: str, tag: str, forward: bool = True, hops: int = 1
     return ",\n".join([*out, f"{tag} as (select * from {tag}_{hops})"])
 
 
-_ROOTS = "roots as (select cast(s_suppkey as integer) as root from supplier where s_suppkey in (0, 3, 7))"
-_roots = lambda spark, sf: _table(spark, sf, "supplier").where("s_suppkey in (0, 3, 7)").select(F.col("s_suppkey").cast("int").alias("root"))
+_PICKED = ["k1 as (select min(u) as root from lbg)", _paths("lbg", "k1", "d1"), "n1 as (select v, d from d1)"]
+for _k in (2, 3, 4):
+    _PICKED.append(f"k{_k} as (select v as root from n{_k - 1} where v not in (" + " union all ".join(f"select root from k{j}" for j in range(1, _k)) + ") order by d desc, v limit 1)")
+    if _k < 4:
+        _PICKED += [_paths("lbg", f"k{_k}", f"d{_k}"), f"n{_k} as (select v, min(d) as d from (select v, d from n{_k - 1} union all select v, d from d{_k}) group by v)"]
+_ROOTS = "roots as (select root from k1 union all select root from k2 union all select root from k3)"
 _EVERY = "every as (select cast(s_suppkey as integer) as root from supplier)"
 _every = lambda spark, sf: _table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("root"))
 _query("apsp", lambda spark, sf, t: shortest_paths(written(G.static_graph(t.connections, t.walks), "static"), _every(spark, sf)), Q.ask("select * from p", _STATIC, _EVERY, _paths("static", "every", "p")))
 _pairs = lambda t: t.od.select("q_id", "src", "dst")
 _query("ch_distances", lambda spark, sf, t: H.distances(*H.contract(written(G.static_graph(t.connections, t.walks), "static")), _pairs(t)), Q.ask("select q_id, src, dst, cast(d as integer) as d from od left join p on root = src and v = dst", _STATIC, "srcs as (select distinct src as root from od)", _paths("static", "srcs", "p")))
-_LM = (_STATIC, _GAPS, _LB, _ROOTS, _paths("lbg", "roots", "f"), _paths("lbg", "roots", "b", False), "lm as materialized (select coalesce(f.root, b.root) as lm, coalesce(f.v, b.v) as stop, f.d as d_from, b.d as d_to from f full outer join b on f.root = b.root and f.v = b.v)")
+_LM = (_STATIC, _GAPS, _LB, *_PICKED, _ROOTS, _paths("lbg", "roots", "f"), _paths("lbg", "roots", "b", False), "lm as materialized (select coalesce(f.root, b.root) as lm, coalesce(f.v, b.v) as stop, f.d as d_from, b.d as d_to from f full outer join b on f.root = b.root and f.v = b.v)")
 _SCORE = "score as materialized (select q_id, src, dst, s.lm, greatest(coalesce(s.d_to - t.d_to, 0), coalesce(t.d_from - s.d_from, 0), 0) as score from od join lm s on s.stop = src join lm t on t.stop = dst and t.lm = s.lm)"
-_labels = lambda spark, sf, t: G.landmark_labels(written(G.lower_bound_graph(t.connections, t.walks), "lb"), _roots(spark, sf))
+
+
+def _labels(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Labels of the three landmarks that the selection gives."""
+    graph = written(G.lower_bound_graph(t.connections, t.walks), "lb")
+    return G.landmark_labels(graph, spark.createDataFrame([(x,) for x in G.landmarks(graph, 3)], "root int"))
+
+
 _query("landmark_labels", _labels, Q.ask("select * from lm", *_LM))
 _query("alt_lower_bound", lambda spark, sf, t: G.lower_bounds(_labels(spark, sf, t), t.od), Q.ask("select q_id, src, dst, max(score) as lb from score group by all", *_LM, _SCORE))
 _query("active_landmarks", lambda spark, sf, t: G.active_landmarks(_labels(spark, sf, t), t.od, 2), Q.ask("select q_id, lm, cast(rank as integer) as rank, score from (select *, row_number() over (partition by q_id order by score desc, lm) as rank from score) where rank <= 2", *_LM, _SCORE))
 _of_conn("topo_levels", lambda c: G.topological_levels(G.event_nodes(c)), "select node, t, row_number() over (order by t, node) - 1 as level from (select trip::bigint * 1048576 + seq * 2 as node, dep as t from conn union all select trip::bigint * 1048576 + seq * 2 + 1, arr from conn)")
-_PICKED = ["k1 as (select min(u) as root from lbg)", _paths("lbg", "k1", "d1"), "n1 as (select v, d from d1)"]
-for _k in (2, 3, 4):
-    _PICKED.append(f"k{_k} as (select v as root from n{_k - 1} where v not in (" + " union all ".join(f"select root from k{j}" for j in range(1, _k)) + ") order by d desc, v limit 1)")
-    if _k < 4:
-        _PICKED += [_paths("lbg", f"k{_k}", f"d{_k}"), f"n{_k} as (select v, min(d) as d from (select v, d from n{_k - 1} union all select v, d from d{_k}) group by v)"]
 _query("landmark_selection", lambda spark, sf, t: spark.createDataFrame([(k, s) for k, s in enumerate(G.landmarks(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 4))], "pos int, stop int"), Q.ask(" union all ".join(f"select {k - 1} as pos, root as stop from k{k}" for k in (1, 2, 3, 4)), _STATIC, _GAPS, _LB, *_PICKED))
 _HUB = "hubs as (select root, cast(row_number() over (order by degree desc, root) as integer) as rank from (select root, count(*) as degree from (select u as root from static union all select v from static) group by root) order by rank limit 8)"
 _query("hub_labels", lambda spark, sf, t: G.hub_labels(written(G.static_graph(t.connections, t.walks), "static"), 8, 10), Q.ask("select p.root as hub, rank, v, d from p join hubs h on h.root = p.root where d <= 10", _STATIC, _HUB, _paths("static", "(select root from hubs)", "p")))
@@ -295,23 +302,31 @@ _query("ea_walkcap_sweep", _capped, Q.ask(" union all ".join(f"select {c} as cap
 
 
 def edit_set(conn: DataFrame) -> DataFrame:
-    """A fixed set of edits: delays, some of them twice, cancellations, restorations, additions."""
-    trips = conn.select("trip").distinct()
-    null = F.lit(None).cast("int")
-    rows = [(7, 50, 0, "DELAY", 1 + F.col("trip") % 5, null), (7, 100, 1, "DELAY", F.lit(3), null), (11, 50, 0, "CANCELLATION", null, null), (11, 100, 1, "RESTORE", null, null), (13, 200, 0, "ADDITION", null, 30 + F.col("trip") % 500)]
-    out = None
+    """A fixed set of edits: delays, some of them twice, cancellations, restorations, additions; one scan of the trips."""
+    trip, null = F.col("trip"), F.lit(None).cast("int")
+    rows = [(7, 50, 0, "DELAY", 1 + trip % 5, null), (7, 100, 1, "DELAY", F.lit(3), null), (11, 50, 0, "CANCELLATION", null, null), (11, 100, 1, "RESTORE", null, null), (13, 200, 0, "ADDITION", null, 30 + trip % 500)]
+    made = []
     for rest, mod, k, kind, delta, start in rows:
         add = kind == "ADDITION"
-        one = trips.where(F.col("trip") % mod == rest).select(F.lit(0).alias("edit_set"), (F.col("trip") * 4 + k).alias("pos"), F.lit(kind).alias("edit_type"), (null if add else F.col("trip")).alias("trip_id"), delta.cast("int").alias("delta_min"), (F.col("trip") if add else null).alias("template_trip_id"), start.cast("int").alias("start_minute"), F.lit(True).alias("active"))
-        out = one if out is None else out.union(one)
-    return out
+        one = F.struct((trip * 4 + k).alias("pos"), F.lit(kind).alias("edit_type"), (null if add else trip).alias("trip_id"), delta.cast("int").alias("delta_min"), (trip if add else null).alias("template_trip_id"), start.cast("int").alias("start_minute"))
+        made.append(F.when(trip % mod == rest, one))
+    trips = conn.select("trip").where("trip % 50 in (7, 11) or trip % 200 = 13").distinct()
+    return trips.select(F.explode(F.array_compact(F.array(*made))).alias("e")).select(F.lit(0).alias("edit_set"), "e.*", F.lit(True).alias("active"))
 
 
 _EDITED = """edited as materialized (select trip, seq, from_stop, to_stop, cast(dep + d as integer) as dep, cast(arr + d as integer) as arr, route_int, mode from
     (select *, case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as d from conn where not (trip % 50 = 11 and trip % 100 <> 11))
   union all select cast(top + rn as integer), seq, from_stop, to_stop, cast(dep - begin + 30 + c.trip % 500 as integer), cast(arr - begin + 30 + c.trip % 500 as integer), route_int, mode from conn c
     join (select trip, min(dep) as begin, row_number() over (order by trip) as rn, (select max(trip) from conn) as top from conn where trip % 200 = 13 group by trip) t on t.trip = c.trip)"""
-_query("apply_edits", lambda spark, sf, t: E.apply_edits(t.connections, edit_set(t.connections)), Q.ask("select * from edited", _EDITED))
+
+
+def _applied(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """The edited timetable; both are written once, as each is read more than once."""
+    conn = written(t.connections, "conn")
+    return E.apply_edits(conn, written(edit_set(conn), "edits"))
+
+
+_query("apply_edits", _applied, Q.ask("select * from edited", _EDITED))
 _query("lazy_phase_edits", lambda spark, sf, t: E.apply_phases(t.connections, edit_set(t.connections).where("edit_type <> 'RESTORE'")), Q.ask("select * from edited where not (trip % 100 = 11 and trip <= (select max(trip) from conn))", _EDITED))
 _query("restore_trip", lambda spark, sf, t: E.fold(edit_set(t.connections)), Q.ask("select distinct cast(0 as integer) as edit_set, trip, trip % 50 = 11 and trip % 100 <> 11 as cancelled, cast(case when trip % 50 = 7 then 1 + trip % 5 + case when trip % 100 = 7 then 3 else 0 end else 0 end as integer) as delta from conn where trip % 50 in (7, 11)"))
 
@@ -382,6 +397,19 @@ _after = lambda spark, sf, t: A.answer(written(E.apply_edits(t.connections, edit
 _query("ea_after_edits", _after, Q.ask(Q.arrivals(), _EDITED, Q.rounds(8, "edited")))
 
 
+def _repaired(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Links of the timetable as it was, kept, and repaired where the edits touch them."""
+    conn, walks, path = written(t.connections, "conn"), written(t.walks, "walks"), f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    K.build(conn, walks, path)
+    edits = written(edit_set(conn), "edits")
+    K.repair(path, *E.delta(conn, None, edits), walks)
+    return K.edges(written(E.apply_edits(conn, edits), "edited"), path)
+
+
+_ON_EDITED = [c.replace("from conn", "from edited").replace("join conn", "join edited") for c in _EG]
+_query("repaired_links", _repaired, Q.ask("select * from edges", _EDITED, *_ON_EDITED))
+
+
 def _streamed(spark: SparkSession, sf: str, t: T.Timetable) -> tuple[T.Timetable, str]:
     """The edits as a stream of five files, the last one of edits that come late; the folder of the answers."""
     conn, folder = written(t.connections, "conn"), f"{shared_dir(spark)}/replan-{uuid.uuid4().hex}"
@@ -435,9 +463,9 @@ _CHECKED = "v as (select *, coalesce(dep < lag(arr) over (partition by trip orde
 _WRAPPED = "wrapped as (select trip, seq, from_stop, to_stop, dep, case when trip % 71 = 9 and seq = 0 then arr - 1440 when trip % 71 = 10 and seq = 0 then arr - 3000 else arr end as arr from conn)"
 _wrapped = lambda c: c.withColumn("arr", F.when((F.col("trip") % 71 == 9) & (F.col("seq") == 0), F.col("arr") - 1440).when((F.col("trip") % 71 == 10) & (F.col("seq") == 0), F.col("arr") - 3000).otherwise(F.col("arr")))
 _of_conn("validate_bundle", lambda c: P.validation(_wrapped(c)), "select count(*) as n_rows, count(distinct trip) as n_trips, min(dep) as min_dep, max(arr) as max_arr, count(*) filter (arr < dep) as n_inversions, count(*) filter (arr < dep and arr + 1440 >= dep) as n_overnight, count(*) filter (arr + 1440 < dep) as n_wrap_errors, count(*) filter (back) as n_backward, count(*) filter (from_stop = to_stop) as n_loops, count(*) filter (dep is null or arr is null) as n_null from v", _WRAPPED, _CHECKED)
-_of_conn("ride_percentiles", lambda c: P.latency(c.withColumn("ride", F.col("arr") - F.col("dep")), "mode", "ride"), "select mode, quantile_cont(arr - dep, 0.5) as median, quantile_cont(arr - dep, 0.95) as p95, quantile_cont(arr - dep, 0.99) as p99, avg(arr - dep) as mean, count(*) as n from conn group by all")
+_of_conn("ride_percentiles", lambda c: P.latency(c.withColumn("ride", F.col("arr") - F.col("dep")), "mode", "ride"), "select mode, quantile_cont(arr - dep, 0.5) as median, quantile_cont(arr - dep, 0.95) as p95, quantile_cont(arr - dep, 0.99) as p99, avg(arr - dep) as mean, max(arr - dep) as most, count(*) as n from conn group by all")
 _query("disruption_rate", lambda spark, sf, t: P.disruption(_table(spark, sf, "events").select(F.col("event_type").alias("line"), (F.col("user_id") % 12).cast("int").alias("severity"))), "select line, cast(sum(k) as bigint) as n, cast(sum(case when severity < 10 then k else 0 end) as bigint) / cast(sum(k) as bigint) as disrupted, string_agg(severity || ':' || k, ',' order by severity) as severities from (select event_type as line, user_id % 12 as severity, count(*) as k from events group by all) group by line order by n desc, line limit 30")
-_query("delay_stats", lambda spark, sf, t: P.latency(_table(spark, sf, "events").select("event_type", (F.col("user_id") % 31).alias("delay")), "event_type", "delay"), "select event_type, quantile_cont(user_id % 31, 0.5) as median, quantile_cont(user_id % 31, 0.95) as p95, quantile_cont(user_id % 31, 0.99) as p99, avg(user_id % 31) as mean, count(*) as n from events group by all")
+_query("delay_stats", lambda spark, sf, t: P.latency(_table(spark, sf, "events").select("event_type", (F.col("user_id") % 31).alias("delay")), "event_type", "delay"), "select event_type, quantile_cont(user_id % 31, 0.5) as median, quantile_cont(user_id % 31, 0.95) as p95, quantile_cont(user_id % 31, 0.99) as p99, avg(user_id % 31) as mean, max(user_id % 31) as most, count(*) as n from events group by all")
 
 
 def _status(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:

@@ -47,13 +47,17 @@ def load(spark: SparkSession, path: str, kind: str, sources: dict[str, DataFrame
     return spark.read.parquet(f"{path}/table")
 
 
-def cached(build, spark: SparkSession, path: str, kind: str, sources: dict[str, DataFrame], params: dict) -> DataFrame:
-    """The table at ``path`` if it is there and not stale; else ``build()`` is written there first."""
+def cached(build, spark: SparkSession, path: str, kind: str, sources: dict[str, DataFrame], params: dict, refresh: bool = False) -> DataFrame:
+    """The table at ``path``; where there is none, ``build()`` is written there first.
+
+    A stale table raises :class:`Stale`, as :func:`load` does; with ``refresh`` it is built anew.
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/sidecar")
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         try:
             return load(spark, path, kind, sources, params)
         except Stale:
-            pass
+            if not refresh:
+                raise
     save(build(), path, kind, sources, params)
     return load(spark, path, kind, sources, params)
