@@ -10,6 +10,8 @@ no word unique on both sides.
 
 Templates that have most words in common are variants of each other.  Where variants fit one
 stretch of text, only the one that fits it best is reported, and none if two fit it alike.
+The words that name a license, its version and its restrictions must stand in the stretch as
+they are, so a notice of a license that is not in the set is not taken for a similar one.
 """
 
 from __future__ import annotations
@@ -46,6 +48,21 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Words in a row that name a template's license and must stand in the text aligned with it.
+IDENTIFYING = {
+    "MIT": ["mit"],
+    "Apache-2.0": ["apache", "2.0"],
+    "Apache-2.0-header": ["apache", "2.0"],
+    "GPL-3.0": ["gnu general public license", "version 3"],
+    "CC-BY-4.0": ["cc by 4.0"],
+    "CC-BY-NC-4.0": ["cc by-nc 4.0"],
+    "GPL-3.0-header": ["gnu general public license", "version 3"],
+    "GPL-2.0-header": ["gnu general public license", "version 2"],
+    "LGPL-3.0-header": ["gnu lesser general public license", "version 3"],
+    "AGPL-3.0-header": ["gnu affero general public license", "version 3"],
+    "MPL-2.0": ["mozilla public license", "v 2.0"],
+}
+
 #: A word: letters and digits, also joined by dots or hyphens.
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 COVERAGE, STRETCH, SPARE = 0.8, 1.5, 4
@@ -210,7 +227,9 @@ def best_window(text: list[str], template: list[str], least: int) -> tuple[int,
 class Templates:
     """Templates with the rare words that any sufficient match must hold one of."""
 
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, identifying: dict[str, list[str]] | None = None):
+        named = IDENTIFYING if identifying is None else identifying
+        self.named = {k: [p.split() for p in named.get(k, [])] for k in templates}
         self.words = {k: [w for w, _, _ in words(t)] for k, t in templates.items()}
         self.words = {k: w for k, w in self.words.items() if w}
         self.coverage, self.rare = coverage, {}
@@ -253,6 +272,10 @@ class Templates:
                 out.append((k, best[0] / own, best[0], found[best[1]][1], found[best[2] - 1][2]))
         return out
 
+    def _names(self, stretch: list[str], k: str) -> bool:
+        """Whether all words that name the template's license stand in the stretch, each phrase in a row."""
+        return all(any(stretch[i : i + len(p)] == p for i in range(len(stretch) - len(p) + 1)) for p in self.named[k])
+
     def _fits(self, plain: list[str], k: str) -> list[tuple[int, int, int]]:
         """``(n, begin, end)`` of stretches aligned well enough: the best one, or all if there are variants."""
         template = self.words[k]
@@ -270,6 +293,9 @@ class Templates:
                 hit = best_window(plain[begin:end], template, least)
             if not hit or hit[0] < least:
                 continue
+            if not self._names(plain[begin + hit[1] : begin + hit[2]], k):
+                todo += [(begin + hit[2], end), (begin, begin + hit[1])]  # another license's notice; one of this may stand beside it
+                continue
             out.append((hit[0], begin + hit[1], begin + hit[2]))
             if k in self.variants:  # there may be others beside it that no variant fits better
                 todo += [(begin + hit[2], end), (begin, begin + hit[1])]
@@ -281,9 +307,10 @@ class Templates:
 SCHEMA = "license string, coverage double, n_words long, begin long, end long"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, keep: list[str] | None = None, identifying: dict[str, list[str]] | None = None) -> DataFrame:
     """A row for each document and template aligned well enough: the best stretch of it.
 
+    ``identifying`` has the phrases, in lower case, that each template's stretch must hold.
     ``begin`` and ``end`` are character places in the whole text.  Null and empty texts,
     and those without words, have no rows; repeated rows each get theirs; of equally good
     stretches the first counts; other columns are ignored; an empty table gives no rows.
@@ -295,7 +322,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     names = [f.name for f in rest] + [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
-        known = Templates(given, coverage)
+        known = Templates(given, coverage, identifying)
         for b in batches:
             rows, of = [], []
             for k, value in enumerate(b.column(0)):
