@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, remove
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "links", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """``(id, component)`` for every id in ``edges(a, b)``; the component is its smallest id.
 
     Each round is two joins against per-vertex minima (aggregated map-side), so no task
     gathers a vertex's neighbours and a hub with many links is only a skewed join key,
-    which adaptive execution splits.  Rounds are written to the shared folder.  Null ids
+    which adaptive execution splits.  Rounds go on until no link changes.  Rounds are written to the shared folder.  Null ids
     and self links are ignored; an empty table gives an empty one.
     """
     spark = scratch.spark
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "links"
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen, k = digest(star), 0
-    while seen[0] and k < max_rounds:
+    while seen[0]:
         # large star: every larger neighbour of u links to the smallest of u and its neighbours
         both = star.union(star.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
