@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -107,6 +107,12 @@ def line_status(raw: DataFrame) -> DataFrame:
     return lines.select("l.id", F.get("l.lineStatuses", F.lit(0)).alias("s")).select("id", F.col("s.statusSeverity").alias("severity"), F.col("s.statusSeverityDescription").alias("description"))
 
 
+def siri_columns() -> tuple[Column, Column]:
+    """Vehicles reported in a SIRI text ``body``, and minutes of delay."""
+    return F.regexp_count("body", F.lit("<VehicleActivity>")), F.expr("transform(regexp_extract_all(body, '<Delay>PT([0-9]+)M', 1), x -> cast(x as int))")
+
+
 def siri_delays(raw: DataFrame) -> DataFrame:
     """Vehicles reported and minutes of delay in SIRI texts."""
-    return raw.select(F.regexp_count("body", F.lit("<VehicleActivity>")).alias("vehicles"), F.expr("transform(regexp_extract_all(body, '<Delay>PT([0-9]+)M', 1), x -> cast(x as int))").alias("delays"))
+    vehicles, delays = siri_columns()
+    return raw.select(vehicles.alias("vehicles"), delays.alias("delays"))

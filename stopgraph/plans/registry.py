@@ -23,6 +23,7 @@ from ..operators.closure import closures_by_cap, shortest_paths, walk_closure
 from ..sources import cache
 from ..sources import timetable as T
 from ..sources.store import shared_dir, written
+from ..streaming import captures as V
 from ..streaming import edit_stream as S
 from ..streaming import replan as N
 from . import sql as Q
@@ -483,6 +484,37 @@ def _siri(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
 
 
 _query("siri_delays", _siri, "select cast(user_id % 4 as integer) as vehicles, cast(user_id % 31 as integer) as delay, count(*) as n from events group by all")
+
+
+def _captured(spark: SparkSession, sf: str) -> str:
+    """The events as captures of two feeds in six files, in order of time; every ninth one is delivered twice."""
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    status = F.format_string('[{"id":"%s","name":"x","lineStatuses":[{"statusSeverity":%d}]}]', F.col("event_type"), F.col("user_id") % 12)
+    siri = F.concat(F.repeat(F.lit("<VehicleActivity></VehicleActivity>"), (F.col("user_id") % 4).cast("int")), F.format_string("<Delay>PT%dM</Delay>", F.col("user_id") % 31))
+    twice = F.explode(F.when(F.col("event_id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("capture_id"), F.col("ts").cast("timestamp").alias("captured_at"), F.when(F.col("event_id") % 2 == 0, V.STATUS).otherwise(V.VEHICLES).alias("kind"), F.when(F.col("event_id") % 2 == 0, status).otherwise(siri).alias("body"), twice.alias("copy"))
+    part = F.least(F.lit(5), F.floor((F.unix_timestamp("captured_at") - 1704067200) / (5 * 86400)))
+    rows = written(rows.withColumn("part", part), "captured")
+    for k in range(6):
+        rows.where(F.col("part") == k).drop("part", "copy").coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    return folder
+
+
+def _windows(spark: SparkSession, sf: str, of) -> DataFrame:
+    folder = _captured(spark, sf)
+    rows = of(V.read(spark, f"{folder}/files", 1))
+    V.collect(rows, f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+# windows that no capture can come to any more: they end before the latest one less half an hour
+_HOURS = "h as (select *, date_trunc('hour', ts) as began from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 30 minute from events))"
+_query("feed_status_windows", lambda spark, sf, t: _windows(spark, sf, V.status_windows).withColumn("began", F.unix_timestamp("began")), f"with {_HOURS} select cast(epoch(began) as bigint) as began, event_type as line, count(*) as polls, count(*) filter (user_id % 12 < 10) as disrupted, cast(min(user_id % 12) as integer) as worst from h where event_id % 2 = 0 group by all")
+_query("feed_delay_windows", lambda spark, sf, t: _windows(spark, sf, V.delay_windows).withColumn("began", F.unix_timestamp("began")), f"with {_HOURS} select cast(epoch(began) as bigint) as began, count(*) as captures, cast(sum(user_id % 4) as bigint) as vehicles, count(*) as delays, cast(sum(user_id % 31) as bigint) as minutes, cast(max(user_id % 31) as integer) as most from h where event_id % 2 = 1 group by all")
+# spells that another severity has ended; a line that is silent for a day ends its spell, which does not occur here
+_query("feed_episodes", lambda spark, sf, t: _windows(spark, sf, V.episodes).withColumns({"began": F.unix_micros("began"), "ended": F.unix_micros("ended")}), """with r as (select event_type as line, cast(user_id % 12 as integer) as severity, epoch_us(ts) as us from events where event_id % 2 = 0),
+  s as (select *, sum(new) over (partition by line order by us, severity) as spell from (select *, case when lag(severity) over (partition by line order by us, severity) = severity then 0 else 1 end as new from r))
+  select line, severity, began, ended, polls from (select line, severity, min(us) as began, lead(min(us)) over (partition by line order by min(us), spell) as ended, count(*) as polls, spell from s group by line, severity, spell) where ended is not null""")
 # rows are hashed one by one; hashes of a slot of a route are hashed in order, and slots are again
 _HASHED = "hr as (select route_int, dep // 60 as slot, sha256(concat_ws('|', dep, trip, seq, from_stop, to_stop, arr)) as sha from conn), hs as (select route_int, slot, sha256(string_agg(sha, ';' order by sha)) as sha from hr group by all)"
 
