@@ -1,119 +1,95 @@
-"""Contraction hierarchies of stop graphs: contracted on the driver, searched as relations.
-
-Contraction is a sequence of small changes to one graph, so it is done for graphs of a bounded
-size only; the upward edges are tables again, and searches over them are joins.
+"""Contraction hierarchies of stop graphs, by rounds of relations.
+
+A round contracts, all at once, stops of few edge pairs none of which are neighbours: of two
+neighbours the cheaper one goes first, of equally cheap ones that of the smaller hash.  A pair
+of edges through a contracted stop becomes a shortcut unless a path of one or two edges among
+the stops that stay is as short; a longer witness is not looked for, which costs shortcuts and
+never a distance.  Rounds end when every stop left has more pairs of edges than are worth it;
+those stops are the core and share the top level.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import discard, written
 from .closure import shortest_paths
 
-#: Stops and edges of a graph that is contracted at most.
-MOST_STOPS, MOST_EDGES = 10_000, 1_000_000
-#: Stops that the search for a witness path settles at most.
-SETTLED = 40
-
-
-class _Graph:
-    """Least edges in both directions, without the stops contracted so far."""
-
-    def __init__(self, edges: list[tuple[int, int, int]]):
-        self.out: dict[int, dict[int, int]] = {}
-        self.into: dict[int, dict[int, int]] = {}
-        for u, v, w in edges:
-            if u != v:
-                self.add(u, v, w)
-
-    def add(self, u: int, v: int, w: int) -> bool:
-        """Whether the edge is new or shorter than the one that was there."""
-        if self.out.setdefault(u, {}).get(v, w + 1) <= w:
-            return False
-        self.out[u][v] = w
-        self.into.setdefault(v, {})[u] = w
-        return True
-
-    def remove(self, v: int) -> None:
-        for u in self.into.pop(v, {}):
-            del self.out[u][v]
-        for x in self.out.pop(v, {}):
-            del self.into[x][v]
-
-    def needed(self, v: int) -> list[tuple[int, int, int]]:
-        """Edges that keep distances right once ``v`` is gone."""
-        made = []
-        for u, w in self.into.get(v, {}).items():
-            ends = {x: w + y for x, y in self.out.get(v, {}).items() if x != u}
-            if not ends:
-                continue
-            known = self._around(u, v, max(ends.values()), set(ends))
-            made += [(u, x, d) for x, d in ends.items() if known.get(x, d + 1) > d]
-        return made
-
-    def _around(self, start: int, without: int, limit: int, goals: set[int]) -> dict[int, int]:
-        """Distances from ``start`` that avoid a stop, as far as ``SETTLED`` stops."""
-        best, done, queue = {start: 0}, set(), [(0, start)]
-        while queue and len(done) < SETTLED and not goals <= done:
-            d, u = heapq.heappop(queue)
-            if u in done or d > limit:
-                continue
-            done.add(u)
-            for x, w in self.out.get(u, {}).items():
-                if x != without and d + w < best.get(x, limit + 1):
-                    best[x] = d + w
-                    heapq.heappush(queue, (d + w, x))
-        return best
-
-    def cost(self, v: int) -> int:
-        """Pairs of edges through a stop: what contracting it may add at most."""
-        return len(self.out.get(v, ())) * len(self.into.get(v, ()))
-
-
-def contract(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(stop, level)`` and ``(u, v, w)`` of a stop graph and its shortcuts.
-
-    The stop of least cost is contracted next, of equal ones the smallest.  Larger graphs
-    than the bounds are refused.
+#: Pairs of edges through a stop that is contracted at most; edges out of a stop that a witness
+#: of two edges may pass at most.
+PAIRS, FAN = 64, 32
+
+
+def _candidates(left: DataFrame, pairs: int) -> DataFrame:
+    """``(stop, key)`` of stops with at most so many pairs of edges through them; keys order them."""
+    ends = left.select(F.col("u").alias("stop"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("v", F.lit(0), F.lit(1)))
+    cost = ends.groupBy("stop").agg((F.sum("o") * F.sum("i")).alias("cost"))
+    return cost.where(F.col("cost") <= pairs).select("stop", F.struct("cost", F.xxhash64("stop").alias("h"), "stop").alias("key"))
+
+
+def _independent(left: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(stop)``: candidates that come before all their neighbours that are candidates too."""
+    beside = left.select(F.col("u").alias("stop"), F.col("v").alias("other")).union(left.select("v", "u"))
+    least = beside.join(candidates.select(F.col("stop").alias("other"), F.col("key").alias("theirs")), "other").groupBy("stop").agg(F.min("theirs").alias("theirs"))
+    return candidates.join(least, "stop", "left").where("theirs is null or key < theirs").select("stop")
+
+
+def _needed(via: DataFrame, rest: DataFrame) -> DataFrame:
+    """Shortcuts ``via(u, v, w)`` that no path of one or two edges of ``rest`` makes needless."""
+    direct = rest.select("u", "v", F.col("w").alias("known"))
+    left = via.join(direct, ["u", "v"], "left").where("known is null or w < known").select("u", "v", "w")
+    narrow = rest.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") <= FAN).select("u")
+    near = rest.join(narrow, "u", "left_semi")
+    first = near.select("u", F.col("v").alias("y"), F.col("w").alias("w1"))
+    second = near.select(F.col("u").alias("y"), "v", F.col("w").alias("w2"))
+    seen = left.join(first, "u").where("w1 < w").join(second, ["y", "v"]).where("w1 + w2 <= w").select("u", "v").distinct()
+    return left.join(seen, ["u", "v"], "left_anti")
+
+
+def contract(graph: DataFrame, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """``(stop, level)`` and ``(u, v, w)`` of a stop graph and its shortcuts, for graphs of any size.
+
+    Levels are rounds; stops of the core have the highest.  Loops are left out, and of edges
+    between the same two stops the shortest counts.
     """
-    n_edges, n_stops = graph.count(), graph.select("u").union(graph.select("v")).distinct().count()
-    if n_edges > MOST_EDGES or n_stops > MOST_STOPS:
-        raise ValueError(f"a graph of {n_stops} stops and {n_edges} edges is too large to contract")
-    rows = [(r.u, r.v, r.w) for r in graph.groupBy("u", "v").agg(F.min("w").alias("w")).collect()]
-    left, made, level = _Graph(rows), {(u, v): w for u, v, w in rows if u != v}, {}
-    stops = sorted({s for u, v, _ in rows for s in (u, v)})
-    queue = [(left.cost(s), s) for s in stops]
-    heapq.heapify(queue)
-    while queue:
-        _, v = heapq.heappop(queue)
-        now = left.cost(v)
-        if queue and (now, v) > queue[0]:
-            heapq.heappush(queue, (now, v))
-            continue
-        shortcuts = left.needed(v)
-        left.remove(v)
-        for u, x, w in shortcuts:
-            if left.add(u, x, w):
-                made[u, x] = min(w, made.get((u, x), w))
-        level[v] = len(level)
-    spark = graph.sparkSession
-    levels = spark.createDataFrame(sorted(level.items()), "stop int, level int")
-    edges = spark.createDataFrame([(u, v, w) for (u, v), w in sorted(made.items())], "u int, v int, w int")
-    return levels, edges
+    least = lambda e: e.groupBy("u", "v").agg(F.min("w").cast("int").alias("w"))
+    left = written(least(graph.where("u <> v").select("u", "v", "w")), "left")
+    stops = written(graph.select(F.col("u").alias("stop")).union(graph.select("v")).distinct(), "stops")
+    levels, edges, k = None, None, 0
+    while True:
+        chosen = written(_independent(left, _candidates(left, pairs)), "chosen")
+        if chosen.isEmpty():
+            discard(chosen)
+            break
+        out = left.join(chosen.withColumnRenamed("stop", "u"), "u", "left_semi").select("u", "v", "w")
+        into = left.join(chosen.withColumnRenamed("stop", "v"), "v", "left_semi").select("u", "v", "w")
+        gone = written(out.union(into), "upward")
+        rest = left.join(chosen.withColumnRenamed("stop", "u"), "u", "left_anti").join(chosen.withColumnRenamed("stop", "v"), "v", "left_anti").select("u", "v", "w")
+        via = into.select("u", F.col("v").alias("m"), F.col("w").alias("w1")).join(out.select(F.col("u").alias("m"), "v", F.col("w").alias("w2")), "m").where("u <> v")
+        via = written(least(via.select("u", "v", (F.col("w1") + F.col("w2")).alias("w"))), "via")
+        now = written(least(rest.union(_needed(via, rest))), "left")
+        discard(left, via)
+        left = now
+        own = chosen.withColumn("level", F.lit(k))
+        levels, edges, k = own if levels is None else levels.union(own), gone if edges is None else edges.union(gone), k + 1
+    if levels is None:
+        return stops.withColumn("level", F.lit(0)), left
+    core = stops.join(levels, "stop", "left_anti").withColumn("level", F.lit(k))
+    return levels.union(core), edges.union(left)
 
 
 def upward(levels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges to higher stops, and those from higher stops turned round."""
+    """The edges to higher stops and within the core, and those from higher stops turned round."""
     both = edges.join(levels.select(F.col("stop").alias("u"), F.col("level").alias("lu")), "u").join(levels.select(F.col("stop").alias("v"), F.col("level").alias("lv")), "v")
-    return both.where("lu < lv").select("u", "v", "w"), both.where("lu > lv").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")
+    return both.where("lu <= lv").select("u", "v", "w"), both.where("lu > lv").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")
 
 
 def distances(levels: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(q_id, src, dst, d)`` for ``pairs(q_id, src, dst)``: upward from both ends, least sum where they meet."""
+    """``(q_id, src, dst, d)`` for ``pairs(q_id, src, dst)``: upward from both ends, least sum where they meet.
+
+    The core is crossed from the source's side only.
+    """
     up, down = (written(e, "upward") for e in upward(levels, edges))
     ahead = shortest_paths(up, pairs.select(F.col("src").alias("root")).distinct()).select(F.col("root").alias("src"), F.col("v").alias("hub"), F.col("d").alias("d1"))
     back = shortest_paths(down, pairs.select(F.col("dst").alias("root")).distinct()).select(F.col("root").alias("dst"), F.col("v").alias("hub"), F.col("d").alias("d2"))

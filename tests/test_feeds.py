@@ -1,4 +1,4 @@
-"""Raw feeds, kept tables, fixtures as files, contraction hierarchies."""
+"""Raw feeds, kept tables, fixtures as files."""
 
 import hashlib
 import random
@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_timetable import CONN, FIXTURES, OD
 
-from stopgraph.operators import hierarchies, local
-from stopgraph.operators.closure import shortest_paths
+from stopgraph.operators import local
 from stopgraph.sources import cache, fixtures, timetable
 
 
@@ -73,24 +72,6 @@ def test_fixtures_as_files(spark, tmp_path):
         assert conn.count() == len(r.connections)
 
 
-def test_hierarchies(spark):
-    rng = random.Random(4)
-    rows = [(u, v, rng.randint(1, 20)) for u in range(30) for v in rng.sample(range(30), 3) if u != v] + [(40, 41, 3)]
-    graph = spark.createDataFrame(rows, "u int, v int, w int")
-    levels, edges = hierarchies.contract(graph)
-    assert sorted(r.level for r in levels.collect()) == list(range(32)) and edges.count() > graph.select("u", "v").distinct().count()
-    pairs = spark.createDataFrame([(k, rng.randint(0, 29), rng.randint(0, 29)) for k in range(60)] + [(60, 0, 41), (61, 40, 41)], "q_id int, src int, dst int")
-    true = {(r.root, r.v): r.d for r in shortest_paths(graph, pairs.selectExpr("src as root").distinct()).collect()}
-    got = hierarchies.distances(levels, edges, pairs).collect()
-    assert len(got) == 62 and all(r.d == true.get((r.src, r.dst)) for r in got)
-
-
-def test_too_large_a_graph_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(hierarchies, "MOST_STOPS", 1)
-    with pytest.raises(ValueError):
-        hierarchies.contract(spark.createDataFrame([(0, 1, 2)], "u int, v int, w int"))
-
-
 def test_results_manifests_and_tags(spark, tmp_path):
     rows = spark.createDataFrame([(k, 0, 1, 0, None if k % 3 else k) for k in range(450)], OD + ", ea int").coalesce(1)
     timetable.write_results(rows, str(tmp_path / "out"))
