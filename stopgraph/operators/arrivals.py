@@ -144,6 +144,13 @@ def answer(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int
     return earliest(network(conn), walks, od, max_boardings)
 
 
+def reach_all(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
+    """``(q_id, stop, t)`` for all stops reached: on each task's own tables where they fit, by rounds beyond."""
+    if local.fits(conn, walks):
+        return local.one_to_all(conn, walks, od)
+    return labels(network(conn), walks, od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t"))
+
+
 def latest(conn: DataFrame, walks: DataFrame, od: DataFrame, switch: bool = False) -> DataFrame:
     """``(q_id, src, dst, deadline, ld)``: the latest departure that still meets the deadline.
 

@@ -126,14 +126,14 @@ _of_conn("minute_wait_edges", lambda c: R.minute_wait_edges(c.select(F.col("from
 _query("grid_node_ids", lambda spark, sf, t: t.connections.select(M.node_id(F.col("from_stop"), F.col("dep"), F.lit(1), 100000, 0, 780).alias("node")).distinct().select("node", *[c.alias(n) for n, c in zip(("stop", "minute", "plane"), M.node_parts(F.col("node"), 100000, 0, 780), strict=True)]), Q.ask("select distinct 78100000 + from_stop * 781 + dep as node, from_stop as stop, dep as minute, 1 as plane from conn"))
 _HUBS = "lab as (select u as a, v as hub, w as d from legs)"
 _query("label_intersection", lambda spark, sf, t: R.label_intersection(_legs(spark, sf).select(F.col("u").alias("a"), F.col("v").alias("hub"), F.col("w").alias("d")), _legs(spark, sf).select(F.col("u").alias("b"), F.col("v").alias("hub"), F.col("w").alias("d"))), Q.ask("select x.a, y.a as b, min(x.d + y.d) as d from lab x join lab y on x.hub = y.hub group by all", _HUBS))
-_query("footpath_slices", lambda spark, sf, t: _slices(spark, sf), Q.ask("select u, v, w * 60 as walk_seconds from legs where u % 2 = 0"))
+_query("footpath_slices", lambda spark, sf, t: _slices(spark, sf), Q.ask("select u, v, w * 60 as walk_seconds from legs"))
 
 
 def _slices(spark: SparkSession, sf: str) -> DataFrame:
     """The legs as offsets and targets, then as rows again."""
     from pyspark.sql.window import Window
 
-    legs = _legs(spark, sf).where("u % 2 = 0").withColumn("pos", F.col("u") * 8 + F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1)
+    legs = _legs(spark, sf).withColumn("pos", F.col("u") * 8 + F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1)
     offsets = legs.groupBy("u").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
     return T.expand_slices(offsets, legs.select("pos", "v", (F.col("w") * 60).alias("walk_seconds")))
 
@@ -220,7 +220,7 @@ for _k in (1, 2, 3):
     _query(f"ea_k{_k}", lambda spark, sf, t, k=_k: A.answer(written(t.connections, "conn"), t.walks, t.od, max_boardings=k), Q.ask(Q.arrivals(), Q.rounds(_k)))
 _query("ea_k2_rounds", lambda spark, sf, t: A.earliest(A.network(t.connections), t.walks, t.od, max_boardings=2), Q.ask(Q.arrivals(), Q.rounds(2)))
 _ALL = Q.ask("select q_id, stop, cast(t as integer) as t from l", Q.rounds(8))
-_query("ea_one_to_all", lambda spark, sf, t: L.one_to_all(written(t.connections, "conn"), t.walks, t.od), _ALL)
+_query("ea_one_to_all", lambda spark, sf, t: A.reach_all(written(t.connections, "conn"), t.walks, t.od), _ALL)
 _query("ea_one_to_all_rounds", lambda spark, sf, t: A.labels(A.network(t.connections), t.walks, t.od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t")), _ALL)
 _query("ea_single_pass", lambda spark, sf, t: L.earliest(written(t.connections, "conn"), t.walks, t.od, mode="single_pass"))
 
@@ -532,11 +532,11 @@ _query("coerced_floats", lambda spark, sf, t: _table(spark, sf, "supplier").sele
 
 def _sample(spark: SparkSession, sf: str) -> DataFrame:
     """Values of one kind of event, numbered from 0."""
-    rows = _table(spark, sf, "events").where("value is not null and event_id % 5 = 0").select(F.col("event_id").cast("long").alias("event_id"), "value")
+    rows = _table(spark, sf, "events").where("value is not null").select(F.col("event_id").cast("long").alias("event_id"), "value")
     return E.numbered(rows, [], "event_id", "place").select((F.col("place") - 1).cast("long").alias("pos"), "value")
 
 
-_query("bootstrap_ci", lambda spark, sf, t: P.bootstrap(_sample(spark, sf), "value", 1000, 9), f"""with b as (select row_number() over (order by event_id) - 1 as pos, value from events where value is not null and event_id % 5 = 0),
+_query("bootstrap_ci", lambda spark, sf, t: P.bootstrap(_sample(spark, sf), "value", 1000, 9), f"""with b as (select row_number() over (order by event_id) - 1 as pos, value from events where value is not null),
 d as (select r, cast(floor({Q.draw(9, 'r', 'i')} * n) as bigint) as pos from (select pos as i from b), (select count(*) as n from b), range(1, 1001) t(r)),
 m as (select r, quantile_cont(value, 0.5) as m from d join b using (pos) group by r)
 select (select quantile_cont(value, 0.5) from b) as median, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m""")

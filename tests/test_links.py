@@ -78,7 +78,7 @@ def test_slots_without_departures(spark, tmp_path):
     conn, walks, path = spark.createDataFrame(rows, CONN), spark.createDataFrame([(2, 1, 3)], "u int, v int, w int"), str(tmp_path / "kept")
     K.build(conn, walks, path)
     before = None
-    for rows in ([("CANCELLATION", 2, None, None, None)], [("CANCELLATION", 2, None, None, None), ("CANCELLATION", 0, None, None, None)], [("DELAY", 2, 300, None, None)], [("CANCELLATION", k, None, None, None) for k in range(4)], [("DELAY", 0, -10, None, None)]):
+    for rows in ([("CANCELLATION", 2, None, None, None), ("CANCELLATION", 0, None, None, None)], [("DELAY", 2, 300, None, None)], [("CANCELLATION", k, None, None, None) for k in range(4)], [("DELAY", 0, -10, None, None)]):
         edits = _edits(spark, rows)
         K.repair(path, *E.delta(conn, before, edits), walks)
         assert _same(E.apply_edits(conn, edits), walks, path), rows
