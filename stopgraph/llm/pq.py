@@ -6,23 +6,26 @@ beyond the bisecting plane of the two centroids, so a vector probes every list w
 within the radius: no link is lost, whatever the vectors' spread.  Lists near each other form
 a cell, and a vector is copied to a cell once, however many of its lists it probes.  A pair is
 looked at from one side only, the one of the smaller cell or id, and counts for both ends.
-There the distance to each coded vector comes from the product of query and decoded vector;
-the code's own error, which is stored, bounds how far that can be off, so the codes lose no
-neighbour; what is left is ranked by exact cosine in doubles.
+There the distance from a vector to each coded one is a sum of looked-up products: one table
+for the lists and one for each subspace hold the query's products with centroids and
+codewords.  The code's own error, which is stored, bounds how far that sum can be off, so the
+codes lose no neighbour; what is left is ranked by exact cosine in doubles.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_join
-from .common import Scratch, binary, by_group, small, vectors
+from .common import Scratch, binary, small, vectors
 from .components import connected_components
 
-#: Vectors that the codebooks are fitted to, rounds of fitting, and rows of a block.
+#: Vectors of a length that its codebooks are fitted to, about, rounds of fitting, and rows of a block.
 SAMPLE, ROUNDS, BLOCK = 8192, 8, 4096
 SUBSPACES, CODES = 8, 64
 #: Vectors of a coarse list, about, and the number of lists at least and at most.
@@ -30,6 +33,8 @@ OF_LIST, LISTS = 100, (8, 4096)
 #: Vectors of a cell of lists, about.
 OF_CELL = 4096
 SLACK = 1e-9
+#: Numbers in the samples, and lengths, whose indexes are made at once.
+NUMBERS, LENGTHS = 1 << 24, 500
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -50,9 +55,69 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
 
 
-def _close(q: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where ``q @ y`` is within the bound; ``y`` is taken times minus two."""
-    return np.nonzero(q @ y.T <= bound[None])
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, with neither overflow nor underflow of the norm."""
+    scaled = x / np.abs(x).max(1)[:, None]
+    return scaled / np.sqrt((scaled**2).sum(1))[:, None]
+
+
+@dataclass
+class Index:
+    """Lists, cells and codebooks of the vectors of one length."""
+
+    coarse: np.ndarray
+    gaps: np.ndarray
+    cell_of: np.ndarray
+    cuts: np.ndarray
+    books: list[np.ndarray]
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, total: int, cells: int) -> Index:
+        """The index for ``total`` vectors from a sample of them; its cells are numbered from ``cells``."""
+        unit, dim = _unit(sample), sample.shape[1]
+        coarse = _kmeans(unit, int(np.clip(total / OF_LIST, *LISTS)))
+        residual = unit - coarse[_squared(unit, coarse).argmin(1)]
+        cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
+        books = [_kmeans(residual[:, a:z], CODES) for a, z in zip(cuts, cuts[1:], strict=False)]
+        # lists near each other form a cell
+        middle = _kmeans(coarse, -(-total // OF_CELL))
+        return cls(coarse, np.sqrt(_squared(coarse, coarse)), (cells + _squared(coarse, middle).argmin(1)).astype(np.int32), cuts, books)
+
+    def coded(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, the code's error, and the squared length of the decoded vector."""
+        own = _squared(u, self.coarse).argmin(1)
+        known, codes = self.coarse[own], np.zeros((len(u), SUBSPACES), np.uint8)
+        rest = u - known
+        for k, book in enumerate(self.books):
+            part = slice(self.cuts[k], self.cuts[k + 1])
+            codes[:, k] = _squared(rest[:, part], book).argmin(1)
+            known[:, part] += book[codes[:, k]]
+        return own, codes, np.sqrt(((u - known) ** 2).sum(1)), (known**2).sum(1)
+
+    def probed(self, u: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, cell)``: the cells, from the own one on, with a list that may hold a neighbour."""
+        d = _squared(u, self.coarse)
+        # distance to the plane between the own list's centroid and each other one
+        plane = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * self.gaps[own], 1e-12)
+        row, other = np.nonzero((plane <= radius + SLACK) & (self.cell_of[None] >= self.cell_of[own][:, None]))
+        row, cell = np.unique(np.stack([row, self.cell_of[other]]), axis=1)
+        return row, cell
+
+    def candidates(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, coded vector) whose looked-up distance, less what is the same for all queries, is within the bound.
+
+        The tables hold a row a list or codeword and a column a query, so a vector's sum adds whole rows of them.
+        """
+        used, place = np.unique(lists, return_inverse=True)
+        found = []
+        for a in range(0, len(q), 256):
+            part = q[a : a + 256]
+            total = (-2 * self.coarse[used] @ part.T).astype(np.float32)[place]
+            for k, book in enumerate(self.books):
+                total += (-2 * book @ part[:, self.cuts[k] : self.cuts[k + 1]].T).astype(np.float32)[codes[:, k]]
+            j, i = np.nonzero(total <= bound[:, None])
+            found.append((a + i, j))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _local_links(q: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -87,17 +152,12 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
     sound &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
     given = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, v).alias("v"))
-    classes = scratch.table(given.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    sizes = scratch.table(classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")), "sizes")
+    classes = given.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = scratch.table(classes.withColumn("dim", F.size("v")), "classes")
+    sizes = scratch.table(classes.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     counts, labels = None, None
-    # an index for each length of more than a block of vectors; others are compared as they are
-    for dim in [r.dim for r in sizes.where(F.col("n") > BLOCK).orderBy("dim").collect()]:
-        found = scratch.table(_linked(scratch, classes.where(F.size("v") == dim), dim, cosine), f"linked-{dim}")
-        counts = found if counts is None else counts.union(found)
-    few = sizes.where(F.col("n") <= BLOCK).select("dim")
-    if not few.isEmpty():
-        rest = classes.withColumn("dim", F.size("v")).join(few, "dim")
-        found = scratch.table(by_group(rest, ["dim"], lambda t: _compared(t, cosine), LINKED), "linked")
+    for k, some in enumerate(_lengths(sizes)):
+        found = scratch.table(_linked(scratch, classes, some, cosine, f"index-{k}"), f"linked-{k}")
         counts = found if counts is None else counts.union(found)
     if counts is not None:
         per = counts.groupBy("id").agg(F.sum("n").alias("n"))
@@ -114,95 +174,81 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = 0.95,
 LINKED = "id long, n long, low long"
 
 
-def _compared(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
-    """As :func:`_linked`, for a block of vectors of one length."""
-    lists = rows.column("v").combine_chunks()
-    ids, copies = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
-    x = np.asarray(lists.flatten()).reshape(len(ids), -1)
-    scaled = x / np.abs(x).max(1)[:, None]
-    u = scaled / np.sqrt((scaled**2).sum(1))[:, None]
-    found = [np.nonzero(u[a : a + 256] @ u.T >= cosine - SLACK) for a in range(0, len(u), 256)]
-    i = np.concatenate([256 * k + f[0] for k, f in enumerate(found)])
-    j = np.concatenate([f[1] for f in found])
-    i, j = i[i != j], j[i != j]
-    keep = np.concatenate([(u[i[a : a + 65536]] * u[j[a : a + 65536]]).sum(1) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return None
-    order = np.argsort(ids)
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    label = ids[order][_local_links(place[i], place[j], len(ids))][place]
-    n = np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
-    some = np.flatnonzero(n)
-    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(label[some])], ["id", "n", "low"])
-
-
-def _linked(scratch: Scratch, classes: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """``(id, n, low)``: links counted block by block, and a forest of them.
+def _lengths(sizes: DataFrame):
+    """Lengths with their numbers of vectors, in parts whose samples the driver can hold; all in one part as a rule."""
+    part, held = {}, 0
+    for r in sizes.orderBy("dim").toLocalIterator():
+        numbers = min(r.n, SAMPLE) * r.dim
+        if part and (held + numbers > NUMBERS or len(part) == LENGTHS):
+            yield part
+            part, held = {}, 0
+        part[r.dim] = r.n
+        held += numbers
+    if part:
+        yield part
+
+
+def _by_length(lists: pa.Array):
+    """``(rows, vectors)`` for each length among a batch's lists."""
+    off = np.asarray(lists.offsets)
+    values, size = np.asarray(lists.values), np.diff(off)
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        yield rows, values[off[rows][:, None] + np.arange(dim)]
+
+
+def _linked(scratch: Scratch, classes: DataFrame, sizes: dict[int, int], cosine: float, name: str) -> DataFrame:
+    """``(id, n, low)``: links of vectors of the given lengths, counted block by block, and a forest of them.
 
     ``n`` is the number of rows linked in one block, ``low`` the smallest id that the
     block's links reach from ``id``; each pair is found in one block and counts for both ends.
     """
-    total = classes.count()
     radius = float(np.sqrt(max(2 - 2 * cosine, 0))) + SLACK
-    sample = np.array([r.v for r in classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()])
-    sample /= np.abs(sample).max(1)[:, None]
-    unit = sample / np.sqrt((sample**2).sum(1))[:, None]
-    coarse = _kmeans(unit, int(np.clip(total / OF_LIST, *LISTS)))
-    own = _squared(unit, coarse).argmin(1)
-    residual = unit - coarse[own]
-    cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
-    books = [_kmeans(residual[:, a:z], CODES) for a, z in zip(cuts, cuts[1:], strict=False)]
-    gaps = np.sqrt(_squared(coarse, coarse))
-    # lists near each other form a cell
-    middle = _kmeans(coarse, -(-total // OF_CELL))
-    cell_of = _squared(coarse, middle).argmin(1).astype(np.int32)
+    share = F.create_map(*[F.lit(x) for dim, n in sizes.items() for x in (dim, min(SAMPLE / n, 1.0))])
+    of = classes.where(F.col("dim").isin(list(sizes)))
+    # a hash draws the sample, so nothing is sorted for it
+    drawn = of.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share[F.col("dim")] * (1 << 30)).select("dim", "id", "v").toArrow()
+    of_dim, ids = drawn.column("dim").to_numpy(), drawn.column("id").to_numpy()
+    by_dim, cells = {}, 0
+    for dim, n in sizes.items():
+        rows = np.flatnonzero(of_dim == dim)
+        rows = rows[np.argsort(ids[rows], kind="stable")]
+        picked = drawn.column("v").take(pa.array(rows)).combine_chunks()
+        by_dim[dim] = Index.fitted(np.asarray(picked.flatten()).reshape(-1, dim), n, cells)
+        cells = int(by_dim[dim].cell_of.max()) + 1
 
     def code(batches):
         for b in batches:
-            lists = b.column(1)
-            x = np.asarray(lists.values)[np.asarray(lists.offsets)[0] : np.asarray(lists.offsets)[-1]].reshape(-1, dim)
-            scaled = x / np.abs(x).max(1)[:, None]  # neither overflow nor underflow of the norm
-            u = scaled / np.sqrt((scaled**2).sum(1))[:, None]
-            d = _squared(u, coarse)
-            own = d.argmin(1)
-            rest = u - coarse[own]
-            codes, off = np.empty((len(u), len(books)), np.uint8), np.zeros(len(u))
-            for k, book in enumerate(books):
-                e = _squared(rest[:, cuts[k] : cuts[k + 1]], book)
-                codes[:, k] = e.argmin(1)
-                off += e.min(1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of[own]), pa.array(own.astype(np.int32)), b.column(0), binary(u), binary(codes), pa.array(np.sqrt(off)), b.column(2)], ["cell", "list", "id", "u", "codes", "off", "copies"])
-
-    kind = "cell int, list int, id long, u binary, codes binary, off double, copies long"
-    index = scratch.table(classes.select("id", "v", "copies").mapInArrow(code, kind), f"index-{dim}")
+            for rows, x in _by_length(b.column(1)):
+                index, u = by_dim[x.shape[1]], _unit(x)
+                own, codes, off, size = index.coded(u)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(index.cell_of[own]), pa.array(np.full(len(u), x.shape[1], np.int32)), pa.array(own.astype(np.int32)), b.column(0).take(take), binary(u), binary(codes), pa.array(off), pa.array(size), b.column(2).take(take)],
+                    ["cell", "dim", "list", "id", "u", "codes", "off", "size", "copies"],
+                )
+
+    kind = "cell int, dim int, list int, id long, u binary, codes binary, off double, size double, copies long"
+    index = scratch.table(of.select("id", "v", "copies").mapInArrow(code, kind), name)
 
     def probe(batches):
         for b in small(batches):
-            u, own = vectors(b.column(3), dim), b.column(1).to_numpy()
-            d = _squared(u, coarse)
-            # distance to the plane between the own list's centroid and each other one
-            plane = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * gaps[own], 1e-12)
-            row, other = np.nonzero((plane <= radius + SLACK) & (cell_of[None] >= cell_of[own][:, None]))
-            row, cell = np.unique(np.stack([row, cell_of[other]]), axis=1)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(b.column(k).take(take) for k in range(1, 7))], b.schema.names)
+            dims = b.column(1).to_numpy()
+            for dim in np.unique(dims):
+                part = b.take(pa.array(np.flatnonzero(dims == dim)))
+                row, cell = by_dim[int(dim)].probed(vectors(part.column(4), int(dim)), part.column(2).to_numpy(), radius)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(part.column(k).take(take) for k in range(1, 9))], b.schema.names)
 
     def compare(data: pa.Table, queries: pa.Table):
+        dim = data.column("dim")[0].as_py()
+        held = by_dim[dim]
         ids, qid = data.column("id").to_numpy(), queries.column("id").to_numpy()
         u, q = vectors(data.column("u"), dim), vectors(queries.column("u"), dim)
-        codes = vectors(data.column("codes"), len(books), np.uint8)
-        known = coarse[data.column("list").to_numpy()]
-        for k, book in enumerate(books):
-            known[:, cuts[k] : cuts[k + 1]] += book[codes[:, k]]
-        home = cell_of[queries.column("list").to_numpy()] == data.column("cell")[0].as_py()
-        # above the rounding of single-precision products
-        bound = ((radius + data.column("off").to_numpy() + 1e-4) ** 2 + 1e-5 - (known**2).sum(1) - 1).astype(np.float32)
-        known, single = (-2 * known).astype(np.float32), q.astype(np.float32)
-        found = [_close(single[a : a + 256], known, bound) for a in range(0, len(q), 256)]
-        i = np.concatenate([256 * k + f[0] for k, f in enumerate(found)])
-        j = np.concatenate([f[1] for f in found])
+        home = held.cell_of[queries.column("list").to_numpy()] == data.column("cell")[0].as_py()
+        # above the rounding of single-precision sums
+        bound = ((radius + data.column("off").to_numpy() + 1e-4) ** 2 + 2e-5 - data.column("size").to_numpy() - 1).astype(np.float32)
+        i, j = held.candidates(q, data.column("list").to_numpy(), vectors(data.column("codes"), SUBSPACES, np.uint8), bound)
         # pairs of the query's own cell come in both orders, others in one
         once = (ids[j] != qid[i]) & (~home[i] | (qid[i] < ids[j]))
         i, j = i[once], j[once]
