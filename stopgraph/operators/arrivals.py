@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,17 +138,22 @@ def earliest(conn: DataFrame | Network, walks: DataFrame, od: DataFrame, max_boa
         span *= 4
 
 
-def answer(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None) -> DataFrame:
-    """:func:`earliest` of written connections, on each task's own tables where they fit, by rounds beyond."""
-    if local.fits(conn, walks):
-        return local.earliest(conn, walks, od, max_boardings)
+def answer(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, held: Broadcast | None = None) -> DataFrame:
+    """:func:`earliest` of written connections, on each task's own tables where they fit, by rounds beyond.
+
+    Callers that ask more than once of one timetable give what ``local.hold`` gave for it.
+    """
+    held = held or local.hold(conn, walks)
+    if held is not None:
+        return local.earliest(conn, walks, od, max_boardings, held=held)
     return earliest(network(conn), walks, od, max_boardings)
 
 
 def reach_all(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
     """``(q_id, stop, t)`` for all stops reached: on each task's own tables where they fit, by rounds beyond."""
-    if local.fits(conn, walks):
-        return local.one_to_all(conn, walks, od)
+    held = local.hold(conn, walks)
+    if held is not None:
+        return local.one_to_all(conn, walks, od, held)
     return labels(network(conn), walks, od, prune=False).select("q_id", "stop", F.col("t").cast("int").alias("t"))
 
 

@@ -130,6 +130,56 @@ def landmarks(graph: DataFrame, k: int) -> list[int]:
     return chosen
 
 
+def landmark_worlds(graph: DataFrame, starts: DataFrame, k: int) -> DataFrame:
+    """``(world, pos, stop)``: the selection of :func:`landmarks` from each of ``starts(world, stop)``.
+
+    All worlds advance in one search: a step looks for paths from the stops that any of them
+    chose last, and each takes its furthest stop by one aggregate.  A world that reaches
+    fewer stops than ``k`` has as many landmarks as it reaches.
+    """
+    chosen = last = written(starts.select("world", F.lit(0).alias("pos"), "stop"), "chosen")
+    near = None
+    for pos in range(1, k):
+        paths = shortest_paths(graph, last.select(F.col("stop").alias("root")).distinct())
+        new = last.select("world", F.col("stop").alias("root")).join(paths, "root").select("world", "v", "d")
+        grown = written(new if near is None else near.union(new).groupBy("world", "v").agg(F.min("d").alias("d")), "near")
+        discard(paths, *([] if near is None else [near]))
+        near = grown
+        rest = near.join(chosen.select("world", F.col("stop").alias("v")), ["world", "v"], "left_anti")
+        far = rest.groupBy("world").agg(F.max(F.struct("d", (-F.col("v")).alias("stop"))).alias("far"))
+        last = written(far.select("world", F.lit(pos).alias("pos"), (-F.col("far.stop")).alias("stop")), "last")
+        if last.isEmpty():
+            break
+        chosen = chosen.union(last)
+    if near is not None:
+        discard(near)
+    return chosen
+
+
+def landmark_restarts(graph: DataFrame, k: int, restarts: int, sources: int, targets: int, seed: int) -> DataFrame:
+    """``(world, pos, stop, n_pairs, quality, best)``: selections from several first stops, judged on the same pairs.
+
+    First stops are drawn by hash among those with edges; pairs as in :func:`landmark_quality`.
+    ``quality`` is the mean share of the true distance that a selection's bounds reach, each
+    share cut to millionths, so that it is the same in whatever order it is summed; the best
+    selection is the first of the highest quality.  Without pairs the quality is 0.
+    """
+    stops = graph.select(F.col("u").alias("stop")).distinct().orderBy(draw("stop", seed=seed + 1), "stop").limit(restarts)
+    starts = stops.select((F.row_number().over(Window.orderBy(draw("stop", seed=seed + 1), "stop")) - 1).alias("world"), "stop")  # a row a restart
+    chosen = written(landmark_worlds(graph, starts, k), "worlds")
+    labels = landmark_labels(graph, chosen.select(F.col("stop").alias("root")).distinct())
+    pairs = true_distances(graph, sources, targets, seed)
+    scores = chosen.select("world", F.col("stop").alias("lm")).join(landmark_scores(labels, pairs), "lm")
+    bounds = scores.groupBy("world", "q_id").agg(F.max("score").alias("lb"))
+    share = bounds.join(pairs.select("q_id", "d"), "q_id").groupBy("world").agg(F.sum(F.expr("cast(lb as bigint) * 1000000 div d")).alias("parts"))
+    n = pairs.agg(F.count("*").alias("n_pairs"))
+    judged = chosen.join(share, "world", "left").join(F.broadcast(n), F.lit(True))  # n is one row
+    quality = F.when(F.col("n_pairs") > 0, F.coalesce("parts", F.lit(0)) / (F.col("n_pairs") * 1000000)).otherwise(0.0)
+    judged = written(judged.select("world", "pos", "stop", "n_pairs", quality.alias("quality")), "judged")
+    top = judged.groupBy().agg(F.max(F.struct("quality", (-F.col("world")).alias("world"))).alias("top")).select((-F.col("top.world")).alias("top"))
+    return judged.join(F.broadcast(top), F.lit(True)).select("world", "pos", "stop", "n_pairs", "quality", (F.col("world") == F.col("top")).alias("best"))  # top is one row
+
+
 def landmark_labels(graph: DataFrame, roots: DataFrame) -> DataFrame:
     """``(lm, stop, d_from, d_to)``: minutes from and to each landmark."""
     out = shortest_paths(graph, roots).select(F.col("root").alias("lm"), F.col("v").alias("stop"), F.col("d").alias("d_from"))
@@ -176,16 +226,18 @@ def active_landmarks(labels: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return landmark_scores(labels, pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "lm", "rank", "score")
 
 
-def landmark_quality(graph: DataFrame, labels: DataFrame, sources: int, targets: int, seed: int) -> DataFrame:
-    """How much of the true distance the best landmark's bound reaches, on average.
-
-    Pairs are drawn by hash: some stops with edges, and for each some of the stops it reaches.
-    """
+def true_distances(graph: DataFrame, sources: int, targets: int, seed: int) -> DataFrame:
+    """``(q_id, src, dst, d)`` of pairs drawn by hash: some stops with edges, and for each some of the stops it reaches."""
     drawn = graph.select(F.col("u").alias("root")).distinct().orderBy(draw("root", seed=seed), "root").limit(sources)
     true = shortest_paths(graph, drawn).where("d > 0")
     w = Window.partitionBy("root").orderBy(draw("root", "v", seed=seed), "v")
     pairs = true.withColumn("k", F.row_number().over(w)).where(F.col("k") <= targets)
-    pairs = written(pairs.select((F.col("root").cast("long") * 1_000_000_000 + F.col("v")).alias("q_id"), F.col("root").alias("src"), F.col("v").alias("dst"), "d"), "pairs")
+    return written(pairs.select((F.col("root").cast("long") * 1_000_000_000 + F.col("v")).alias("q_id"), F.col("root").alias("src"), F.col("v").alias("dst"), "d"), "pairs")
+
+
+def landmark_quality(graph: DataFrame, labels: DataFrame, sources: int, targets: int, seed: int) -> DataFrame:
+    """How much of the true distance the best landmark's bound reaches, on average over :func:`true_distances`."""
+    pairs = true_distances(graph, sources, targets, seed)
     ratio = pairs.join(lower_bounds(labels, pairs).select("q_id", "lb"), "q_id", "left").select((F.coalesce("lb", F.lit(0)) / F.col("d")).alias("ratio"))
     return ratio.agg(F.count("*").alias("n_pairs"), F.avg("ratio").alias("quality"))
 

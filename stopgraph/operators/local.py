@@ -2,8 +2,9 @@
 
 A timetable of up to ``MOST`` connections and as many walks (a large city's day has some two
 million) is sent to the executors once, as arrays in order of departure, and queries are dealt
-over the tasks.  :func:`fits` is the switch: larger timetables go the way of
-:mod:`.arrivals`, where nothing is broadcast.
+over the tasks.  :func:`hold` is the switch: larger timetables it refuses, and they go the way of
+:mod:`.arrivals`, where nothing is broadcast.  What it gives serves any number of searches and
+can be destroyed after the last of them has run.
 
 ``multi_pass`` is exact: rounds of boarding, riding and walking over arrays, until nothing
 changes or as many trips are boarded as allowed.  Only departures up to a horizon are looked
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,12 +137,27 @@ def single_pass(t: Tables, src: int, dst: int, minute: int) -> np.ndarray:
     return label
 
 
-def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, mode: str = "multi_pass") -> DataFrame:
-    """``(q_id, src, dst, t_dep, ea)`` as :func:`.arrivals.earliest`; a stop unknown to the timetable is reached from itself only."""
+def hold(conn: DataFrame, walks: DataFrame) -> Broadcast | None:
+    """The timetable's arrays on the executors, or None if it is larger than ``MOST``."""
+    return conn.sparkSession.sparkContext.broadcast(tables(conn, walks)) if fits(conn, walks) else None
+
+
+def _held(conn: DataFrame, walks: DataFrame) -> Broadcast:
+    held = hold(conn, walks)
+    if held is None:
+        raise ValueError(f"more than {MOST} connections or walks cannot be held by each task; arrivals.earliest and arrivals.labels search by rounds")
+    return held
+
+
+def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, mode: str = "multi_pass", held: Broadcast | None = None) -> DataFrame:
+    """``(q_id, src, dst, t_dep, ea)`` as :func:`.arrivals.earliest`; a stop unknown to the timetable is reached from itself only.
+
+    ``held`` is what :func:`hold` gave for the timetable; without it, a timetable that is too large raises.
+    """
     if mode not in ("multi_pass", "single_pass"):
         raise ValueError(f"no such mode: {mode}")
     spark = conn.sparkSession
-    held = spark.sparkContext.broadcast(tables(conn, walks))
+    held = held or _held(conn, walks)
     schema = "q_id int, src int, dst int, t_dep int, ea int"
 
     def run(batches):
@@ -162,10 +179,10 @@ def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: in
     return asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
 
-def one_to_all(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
-    """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches."""
+def one_to_all(conn: DataFrame, walks: DataFrame, od: DataFrame, held: Broadcast | None = None) -> DataFrame:
+    """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches; ``held`` as in :func:`earliest`."""
     spark = conn.sparkSession
-    held = spark.sparkContext.broadcast(tables(conn, walks))
+    held = held or _held(conn, walks)
 
     def run(batches):
         t = held.value

@@ -212,6 +212,26 @@ _QUALITY = (*_LM, f"drawn as (select root from (select distinct u as root from l
     "tb as (select tp.root, tp.v, max(greatest(coalesce(s.d_to - t.d_to, 0), coalesce(t.d_from - s.d_from, 0), 0)) as lb from tp join lm s on s.stop = tp.root join lm t on t.stop = tp.v and t.lm = s.lm group by all)")
 _query("landmark_quality", lambda spark, sf, t: G.landmark_quality(written(G.lower_bound_graph(t.connections, t.walks), "lb"), written(_labels(spark, sf, t), "labels"), 6, 10, 7), Q.ask("select count(*) as n_pairs, avg(coalesce(lb, 0) / d) as quality from tp left join tb using (root, v)", *_QUALITY))
 
+_STOPS = "lbs as (select distinct u as root from lbg)"
+_WORLDS = [_STATIC, _GAPS, _LB, _STOPS, _paths("lbg", "lbs", "far"),
+    f"c1 as (select cast(row_number() over (order by {Q.draw(8, 'root')}, root) - 1 as integer) as world, 0 as pos, root as stop from lbs order by world limit 3)",
+    "s1 as (select * from c1)", "m1 as (select world, v, d from c1 join far on root = stop)"]
+for _k in (2, 3):
+    _WORLDS.append(f"c{_k} as (select world, {_k - 1} as pos, v as stop from (select *, row_number() over (partition by world order by d desc, v) as k from m{_k - 1} m where not exists (select 1 from s{_k - 1} s where s.world = m.world and s.stop = m.v)) where k = 1)")
+    _WORLDS += [f"s{_k} as (select * from s{_k - 1} union all select * from c{_k})", f"m{_k} as (select world, v, min(d) as d from (select * from m{_k - 1} union all select world, v, d from c{_k} join far on root = stop) group by all)"]
+_WORLDS += [f"drawn as (select root from lbs order by {Q.draw(7, 'root')}, root limit 6)",
+    f"tp as (select root, v, d from (select *, row_number() over (partition by root order by {Q.draw(7, 'root', 'v')}, v) as k from far where d > 0 and root in (select root from drawn)) where k <= 10)",
+    "tb as (select world, tp.root, tp.v, tp.d, max(greatest(coalesce(st.d - tt.d, 0), coalesce(tf.d - sf.d, 0), 0)) as lb from s3 cross join tp left join far st on st.root = tp.root and st.v = stop left join far tt on tt.root = tp.v and tt.v = stop left join far sf on sf.root = stop and sf.v = tp.root left join far tf on tf.root = stop and tf.v = tp.v group by all)",
+    "judged as (select world, count(*) as n_pairs, cast(sum(cast(lb as bigint) * 1000000 // d) as bigint) / (count(*) * 1000000) as quality from tb group by world)"]
+
+
+def _restarted(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Three selections of three landmarks, judged on 60 pairs."""
+    return G.landmark_restarts(written(G.lower_bound_graph(t.connections, t.walks), "lb"), 3, 3, 6, 10, 7)
+
+
+_query("landmark_restarts", _restarted, Q.ask("select world, pos, stop, n_pairs, quality, world = (select world from judged order by quality desc, world limit 1) as best from s3 join judged using (world)", *_WORLDS))
+
 # ---- arrivals ------------------------------------------------------------------------------
 
 _query("ea_exact", lambda spark, sf, t: A.answer(written(t.connections, "conn"), t.walks, t.od), Q.ask(Q.arrivals(), Q.rounds(8)))
@@ -238,7 +258,8 @@ _query("ea_on_grid", lambda spark, sf, t: A.on_grid(written(t.connections, "conn
 def _reached(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
     """Queries answered exactly and with one trip, and those that one trip does not answer."""
     conn = written(t.connections, "conn")
-    exact, one = (A.answer(conn, t.walks, t.od, k).where("ea is not null").select("q_id", "ea") for k in (None, 1))
+    held = L.hold(conn, t.walks)
+    exact, one = (A.answer(conn, t.walks, t.od, k, held).where("ea is not null").select("q_id", "ea") for k in (None, 1))
     both = one.intersect(exact).select(F.lit("found").alias("part"), "q_id", "ea")
     return both.unionByName(exact.subtract(one).select(F.lit("missing").alias("part"), "q_id", "ea"))
 
@@ -256,6 +277,15 @@ def _alt(spark: SparkSession, sf: str, t: T.Timetable, few: bool = False) -> Dat
     return A.earliest(A.network(conn), t.walks, t.od, bounds=G.front_bounds(lm, active))
 
 
+def _alt_best(spark: SparkSession, sf: str, t: T.Timetable) -> DataFrame:
+    """Bounds of the best of several selections."""
+    conn = written(t.connections, "conn")
+    graph = written(G.lower_bound_graph(conn, t.walks), "lb")
+    best = G.landmark_restarts(graph, 3, 3, 6, 10, 7).where("best").select(F.col("stop").alias("root"))
+    return A.earliest(A.network(conn), t.walks, t.od, bounds=G.front_bounds(written(G.landmark_labels(graph, best), "landmarks")))
+
+
+_query("ea_alt_best", _alt_best, Q.ask(Q.arrivals(), Q.rounds(8)))
 _query("ea_alt_pruned", _alt, Q.ask(Q.arrivals(), Q.rounds(8)))
 _query("ea_alt_active", lambda spark, sf, t: _alt(spark, sf, t, True), Q.ask(Q.arrivals(), Q.rounds(8)))
 
