@@ -224,6 +224,26 @@ def best_window(text: list[str], template: list[str], least: int) -> tuple[int,
     return best
 
 
+def aligned(text: list[str], template: list[str], least: int) -> tuple[int, int, int] | None:
+    """``(n, begin, end)``: the alignment's densest stretch, cut to the words that hold its pairs.
+
+    Copies in a row share words, which leaves the alignment few anchors; so a window takes its
+    place where it holds more pairs, or as many and ends earlier.  What windows can hold is
+    bounded by the words that they have in common with the template, so where the alignment
+    is as good as that, none is looked at.
+    """
+    pairs = _densest(align(text, template), len(template))
+    n, hit = len(pairs), None
+    if n >= least:
+        masks, back = _masks(template), _masks(template[::-1])
+        begin, end = pairs[0][0], pairs[-1][0] + 1
+        end = begin + bisect_left(_common(text[begin:end], masks), n) + 1
+        begin = end - bisect_left(_common(text[begin:end][::-1], back), n) - 1
+        hit = best_window(text[: end - 1], template, n) or (n, begin, end)
+    more = max(least, n + 1)
+    return (best_window(text, template, more) if more <= len(template) else None) or hit
+
+
 class Templates:
     """Templates with the rare words that any sufficient match must hold one of."""
 
@@ -286,11 +306,7 @@ class Templates:
             have = Counter(w for w in plain[begin:end] if w in times)
             if (have & times).total() < least:
                 continue
-            pairs = _densest(align(plain[begin:end], template), len(template))
-            if len(pairs) == len(template) == pairs[-1][0] + 1 - pairs[0][0]:
-                hit = (len(pairs), pairs[0][0], pairs[-1][0] + 1)  # word for word
-            else:
-                hit = best_window(plain[begin:end], template, least)
+            hit = aligned(plain[begin:end], template, least)
             if not hit or hit[0] < least:
                 continue
             if not self._names(plain[begin + hit[1] : begin + hit[2]], k):
