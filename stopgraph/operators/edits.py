@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.minutes import clip_minutes
+from .relational import with_previous
 
 EDIT_SCHEMA = "edit_set int, pos int, edit_type string, trip_id int, delta_min int, template_trip_id int, start_minute int, active boolean"
 
@@ -46,14 +47,16 @@ def additions(conn: DataFrame, n: int, seed: int, t_lo: int = 0, t_hi: int = 780
     of the draws' logarithms over the widths, and ``n`` routes are taken by that key.
     """
     starts = conn.groupBy("route_int", "trip").agg(F.min("dep").alias("start"))
-    w = Window.partitionBy("route_int").orderBy("start", "trip")
-    edges = starts.withColumns({"next": F.lead("start").over(w), "first": F.lag("trip").over(w).isNull()})
+    edges = with_previous(starts, ["route_int"], "start", "trip", ["trip", "start"])
     low, high = F.lit(t_lo + 5), F.lit(t_hi - 5)
-    after = edges.select("route_int", "trip", F.lit("after").alias("side"), (F.col("start") + 5).alias("lo"), F.coalesce(F.col("next") - 5, high).alias("hi"))
-    before = edges.where("first").select("route_int", "trip", F.lit("before").alias("side"), low.alias("lo"), (F.col("start") - 5).alias("hi"))
-    gaps = after.union(before).where("hi - lo >= 15")
-    pick = gaps.withColumn("key", -F.ln(draw("trip", "side", seed=seed) + F.lit(1e-9)) / (F.col("hi") - F.col("lo")))
-    pick = pick.withColumn("k", F.row_number().over(Window.partitionBy("route_int").orderBy("key", "trip", "side"))).where("k = 1").orderBy("key", "route_int").limit(n)
+    between = edges.where("near is not null").select("route_int", "near.trip", F.lit("after").alias("side"), (F.col("near.start") + 5).alias("lo"), (F.col("start") - 5).alias("hi"))
+    before = edges.where("near is null").select("route_int", "trip", F.lit("before").alias("side"), low.alias("lo"), (F.col("start") - 5).alias("hi"))
+    last = starts.groupBy("route_int").agg(F.max(F.struct("start", "trip")).alias("last"))
+    after = last.select("route_int", "last.trip", F.lit("after").alias("side"), (F.col("last.start") + 5).alias("lo"), high.alias("hi"))
+    gaps = between.union(before).union(after).where("hi - lo >= 15")
+    key = -F.ln(draw("trip", "side", seed=seed) + F.lit(1e-9)) / (F.col("hi") - F.col("lo"))
+    pick = gaps.groupBy("route_int").agg(F.min(F.struct(key.alias("key"), "trip", "side", "lo", "hi")).alias("one"))
+    pick = pick.select("route_int", "one.*").orderBy("key", "route_int").limit(n)
     start = F.col("lo") + F.floor(draw("trip", F.lit("start"), seed=seed) * (F.col("hi") - F.col("lo") + 1))
     return pick.select(F.col("trip").alias("template_trip_id"), F.lit("ADDITION").alias("edit_type"), start.cast("int").alias("start_minute"))
 
@@ -69,8 +72,8 @@ def build_edit_set(conn: DataFrame, scenario: str, n: int, seed: int, edit_set:
     return made.select(F.lit(edit_set).alias("edit_set"), key.cast("int").alias("pos"), "edit_type", *[column(c).cast("int").alias(c) for c in ("trip_id", "delta_min", "template_trip_id", "start_minute")], F.lit(True).alias("active"))
 
 
-def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """``rows`` with their place, from one on, among those of equal ``by`` in ``order`` (whole numbers).
+def numbered(rows: DataFrame, by: list[str], order: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their place, from one on, among those of equal ``by`` in ``order`` (whole numbers), then ``ties``.
 
     Ranges of 4096 numbers are numbered apart and shifted by what is before them, so one task
     orders a range only.
@@ -79,7 +82,7 @@ def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame
     sizes = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*by, "__range").orderBy(order)
+    within = Window.partitionBy(*by, "__range").orderBy(order, *ties)
     place = (F.col("__start") + F.row_number().over(within)).cast("int")
     return dealt.join(sizes, [*by, "__range"]).withColumn(name, place).drop("__range", "__start")
 
@@ -116,7 +119,7 @@ def apply_edit_sets(conn: DataFrame, edits: DataFrame, sets: DataFrame | None =
     kept = base.join(fold(edits), ["edit_set", "trip"], "left").where(~F.coalesce("cancelled", F.lit(False)))
     kept = _shift(kept, F.coalesce("delta", F.lit(0))).select("edit_set", *conn.columns)
     top = F.lit(first_new_trip - 1) if first_new_trip is not None else F.col("top")
-    new = numbered(live.where(F.col("edit_type") == "ADDITION"), ["edit_set"], "pos", "place")
+    new = numbered(live.where(F.col("edit_type") == "ADDITION"), ["edit_set"], "pos", "place", ("template_trip_id", "start_minute", "delta_min"))
     if first_new_trip is None:
         new = new.join(F.broadcast(conn.agg(F.max("trip").alias("top"))), F.lit(True))  # one row
     new = new.select("edit_set", (top + F.col("place")).cast("int").alias("new_trip"), F.col("template_trip_id").alias("trip"), "start_minute", "delta_min")

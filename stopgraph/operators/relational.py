@@ -109,6 +109,24 @@ def trip_event_index(conn: DataFrame) -> DataFrame:
     return both.select("trip", "seq", "kind", "t", (F.row_number().over(w) - 1).alias("pos"))
 
 
+def with_previous(rows: DataFrame, by: list[str], order: str, tie: str, value: list[str]) -> DataFrame:
+    """``rows`` with ``near``: the columns ``value`` of the row before, of equal ``by``, in order of minute and ``tie``.
+
+    Rows without a minute come last; the first row has null.  A group is dealt by slots of
+    minutes (of 4096 ties where there is no minute), and one row a slot carries the last of
+    the slots before, so a group of many rows is many tasks' work.
+    """
+    slot = F.when(F.col(order).isNotNull(), F.floor(F.col(order) / SLOT)).otherwise(F.lit(1 << 40) + F.floor(F.col(tie) / 4096))
+    dealt = rows.withColumns({"__slot": slot, "__own": F.struct(*value)})
+    place = F.struct(F.col(order).isNull(), F.col(order), F.col(tie))
+    ends = dealt.groupBy(*by, "__slot").agg(F.max_by("__own", place).alias("__last"))
+    ends = ends.withColumn("__beyond", F.lag("__last").over(Window.partitionBy(*by).orderBy("__slot")))
+    w = Window.partitionBy(*by, "__slot").orderBy(F.asc_nulls_last(order), tie)
+    here = dealt.withColumn("__near", F.lag("__own").over(w)).alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "__slot")]
+    return here.join(ends.alias("b"), same).select(*[F.col(f"a.{c}") for c in rows.columns], F.coalesce("__near", "__beyond").alias("near"))
+
+
 def stop_route_position(stop_times: DataFrame) -> DataFrame:
     """First position of each stop on each route."""
     return stop_times.groupBy("stop", F.col("route_int")).agg(F.min("seq").alias("pos"))
@@ -136,10 +154,10 @@ def route_tables(conn: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fifo_adjacent(stop_times: DataFrame) -> DataFrame:
     """Arrival inversions of a route's trips next to each other by first departure, with their kind."""
     first = stop_times.groupBy("trip").agg(F.min_by("dep", F.when(F.col("dep").isNotNull(), F.col("seq"))).alias("start"))
-    w = Window.partitionBy("route_int", "seq").orderBy(F.asc_nulls_last("start"), "trip")
-    before = [F.lag(c).over(w).alias(n) for c, n in (("trip", "earlier"), ("arr", "a_arr"), ("dep", "a_dep"))]
-    rows = stop_times.join(first, "trip").select("route_int", "seq", "trip", "arr", "dep", *before)
-    return rows.where("a_arr > arr").select("route_int", "seq", "earlier", "trip", overtaking_class(F.col("a_dep"), F.col("dep"), F.col("a_arr"), F.col("arr")).alias("kind"))
+    times = stop_times.join(first, "trip").select("route_int", "seq", "trip", "arr", "dep", "start")
+    rows = with_previous(times, ["route_int", "seq"], "start", "trip", ["trip", "arr", "dep"]).where("near.arr > arr")
+    kind = overtaking_class(F.col("near.dep"), F.col("dep"), F.col("near.arr"), F.col("arr"))
+    return rows.select("route_int", "seq", F.col("near.trip").alias("earlier"), "trip", kind.alias("kind"))
 
 
 def fifo_pairs(stop_times: DataFrame) -> DataFrame:
@@ -147,9 +165,8 @@ def fifo_pairs(stop_times: DataFrame) -> DataFrame:
     here = stop_times.where("dep is not null").select("route_int", "trip", F.col("seq").alias("x"), F.col("dep").alias("dep_x"))
     later = stop_times.where("arr is not null").select("trip", F.col("seq").alias("y"), F.col("arr").alias("arr_y"))
     both = here.join(later, "trip").where("x < y")
-    w = Window.partitionBy("route_int", "x", "y").orderBy("dep_x", "trip")
-    pairs = both.select("route_int", "dep_x", "arr_y", F.lag("dep_x").over(w).alias("a_dep"), F.lag("arr_y").over(w).alias("a_arr")).where("a_arr > arr_y")
-    gap = F.col("dep_x") - F.col("a_dep")
+    pairs = with_previous(both, ["route_int", "x", "y"], "dep_x", "trip", ["dep_x", "arr_y"]).where("near.arr_y > arr_y")
+    gap = F.col("dep_x") - F.col("near.dep_x")
     kind = F.when(gap > 720, "wraparound").when(gap > 0, "overtaking").otherwise("data_error")
     return pairs.groupBy("route_int", kind.alias("kind")).agg(F.count("*").alias("n_inversions"))
 
