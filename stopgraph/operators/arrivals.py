@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import bucketed, discard, written
 from . import local
+from .edits import apply_edit_sets, overlay
 
 
 #: Minutes of the first horizon; a minute that no label has.
@@ -184,6 +185,24 @@ def answer_worlds(conn: DataFrame, walks: DataFrame, od: DataFrame, world: str,
     return got.select(F.pmod("q_id", F.lit(worlds)).cast("int").alias(world), back("q_id"), back("src"), back("dst"), "t_dep", "ea")
 
 
+def answer_edit_sets(conn: DataFrame, walks: DataFrame, od: DataFrame, edits: DataFrame, sets: int, held: Broadcast | None = None) -> DataFrame:
+    """``(edit_set, q_id, src, dst, t_dep, ea)`` of all queries in each of the edit sets from 0 to before ``sets``.
+
+    A timetable that fits is held once and each set is laid over it; beyond that, sets are
+    worlds of one search over edited copies.
+    """
+    each = conn.sparkSession.range(sets).select(F.col("id").cast("int").alias("edit_set"))
+    asked = od.join(F.broadcast(each), F.lit(True))  # a row a set
+    held = held or local.hold(conn, walks)
+    if held is not None:
+        gone, new = overlay(conn, edits)
+        found = local.earliest_overlaid(held, asked, written(gone, "gone"), written(new, "new"))
+        if found is not None:
+            return found
+    got = answer_worlds(apply_edit_sets(conn, edits, each), walks.join(F.broadcast(each), F.lit(True)), asked, "edit_set", sets)
+    return got.select("edit_set", "q_id", "src", "dst", "t_dep", "ea")
+
+
 def on_grid(conn: DataFrame, walks: DataFrame, od: DataFrame, t_lo: int, t_hi: int) -> DataFrame:
     """:func:`answer` on a grid of minutes: queries that start, or end, outside it have no answer."""
     inside = conn.where((F.col("dep") >= t_lo) & (F.col("arr") <= t_hi))

@@ -134,6 +134,19 @@ def apply_edit_sets(conn: DataFrame, edits: DataFrame, sets: DataFrame | None =
     return kept.unionByName(added.select("edit_set", *conn.columns))
 
 
+def overlay(conn: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(edit_set, trip)`` that go and the connections that come: each set as its difference from ``conn``.
+
+    Only rows of trips that an edit names are read; see :func:`apply_edit_sets` for what edits do.
+    """
+    named = edits.select(F.explode(F.array("trip_id", "template_trip_id")).alias("trip")).where("trip is not null").distinct()
+    part, top = conn.join(named, "trip", "left_semi"), conn.agg(F.max("trip")).first()[0]
+    gone = fold(edits).where("cancelled or delta <> 0").select("edit_set", "trip")
+    edited = apply_edit_sets(part, edits, None, 1 if top is None else top + 1)
+    come = edited.join(gone, ["edit_set", "trip"], "left_semi")
+    return gone, come if top is None else come.union(edited.where(F.col("trip") > top).select(come.columns))
+
+
 def apply_edits(conn: DataFrame, edits: DataFrame, first_new_trip: int | None = None) -> DataFrame:
     """The edited connections of all ``edits`` taken as one set; see :func:`apply_edit_sets`."""
     one = edits.withColumn("edit_set", F.lit(0))

@@ -41,7 +41,7 @@ class Tables:
     seq: np.ndarray
     dep: np.ndarray
     arr: np.ndarray
-    n_trips: int
+    trips: np.ndarray
     walk_at: np.ndarray
     walk_to: np.ndarray
     walk_w: np.ndarray
@@ -59,17 +59,28 @@ def tables(conn: DataFrame, walks: DataFrame) -> Tables:
     w = walks.select(*[F.col(x).cast("int").alias(x) for x in ("u", "v", "w")]).toArrow()
     c = {k: c.column(k).to_numpy() for k in c.column_names}
     u, v, m = (w.column(k).to_numpy() for k in "uvw")
+    stops = np.unique(np.concatenate([c["from_stop"], c["to_stop"], u, v]))
+    by = np.argsort(u, kind="stable")
+    at = np.searchsorted(np.searchsorted(stops, u)[by], np.arange(len(stops) + 1))
+    return _arranged(c, stops, at, np.searchsorted(stops, v).astype(np.int32)[by], m[by])
+
+
+def _arranged(c: dict[str, np.ndarray], stops: np.ndarray, walk_at: np.ndarray, walk_to: np.ndarray, walk_w: np.ndarray) -> Tables:
     order = np.lexsort((c["seq"], c["trip"], c["arr"], c["dep"]))
     c = {k: x[order] for k, x in c.items()}
-    stops = np.unique(np.concatenate([c["from_stop"], c["to_stop"], u, v]))
-    number = lambda x: np.searchsorted(stops, x).astype(np.int32)
+    start, end = (np.searchsorted(stops, c[k]).astype(np.int32) for k in ("from_stop", "to_stop"))
     trips, trip = np.unique(c["trip"], return_inverse=True)
-    by = np.argsort(u, kind="stable")
     along = np.lexsort((c["seq"], trip))
     same = trip[along][1:] == trip[along][:-1]
     in_order = bool((c["arr"] >= c["dep"]).all() and (c["dep"][along][1:] >= c["dep"][along][:-1])[same].all())
-    at = np.searchsorted(number(u)[by], np.arange(len(stops) + 1))
-    return Tables(stops, number(c["from_stop"]), number(c["to_stop"]), trip.astype(np.int32), c["seq"], c["dep"], c["arr"], len(trips), at, number(v)[by], m[by], in_order)
+    return Tables(stops, start, end, trip.astype(np.int32), c["seq"], c["dep"], c["arr"], trips, walk_at, walk_to, walk_w, in_order)
+
+
+def overlaid(t: Tables, gone: np.ndarray, new: dict[str, np.ndarray]) -> Tables:
+    """The tables without the trips ``gone`` and with the connections ``new``, at stops that ``t`` knows."""
+    stays = ~np.isin(t.trips, gone)[t.trip]
+    old = {"from_stop": t.stops[t.start], "to_stop": t.stops[t.end], "trip": t.trips[t.trip], "seq": t.seq, "dep": t.dep, "arr": t.arr}
+    return _arranged({k: np.concatenate([x[stays], new[k]]).astype(x.dtype) for k, x in old.items()}, t.stops, t.walk_at, t.walk_to, t.walk_w)
 
 
 def _walked(t: Tables, label: np.ndarray) -> np.ndarray:
@@ -149,6 +160,20 @@ def _held(conn: DataFrame, walks: DataFrame) -> Broadcast:
     return held
 
 
+def _answers(t: Tables, asked: list[tuple], max_boardings: int | None, mode: str) -> list[int | None]:
+    board = np.full(len(t.trips), NEVER)
+    place = {int(s): k for k, s in enumerate(t.stops)}
+    out = []
+    for src, dst, minute in asked:
+        a, z = place.get(src), place.get(dst)
+        if a is None or z is None or minute is None:
+            out.append(minute if src == dst and src is not None else None)
+            continue
+        label = multi_pass(t, a, z, minute, max_boardings, board) if mode == "multi_pass" else single_pass(t, a, z, minute)
+        out.append(int(label[z]) if label[z] < NEVER else None)
+    return out
+
+
 def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: int | None = None, mode: str = "multi_pass", held: Broadcast | None = None) -> DataFrame:
     """``(q_id, src, dst, t_dep, ea)`` as :func:`.arrivals.earliest`; a stop unknown to the timetable is reached from itself only.
 
@@ -161,24 +186,53 @@ def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, max_boardings: in
     schema = "q_id int, src int, dst int, t_dep int, ea int"
 
     def run(batches):
-        t = held.value
-        board = np.full(t.n_trips, NEVER)
-        place = {int(s): k for k, s in enumerate(t.stops)}
         for b in batches:
-            out = []
-            for src, dst, minute in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                a, z = place.get(src), place.get(dst)
-                if a is None or z is None or minute is None:
-                    out.append(minute if src == dst and src is not None else None)
-                    continue
-                label = multi_pass(t, a, z, minute, max_boardings, board) if mode == "multi_pass" else single_pass(t, a, z, minute)
-                out.append(int(label[z]) if label[z] < NEVER else None)
+            out = _answers(held.value, list(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)), max_boardings, mode)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(out, pa.int32())], ["q_id", "src", "dst", "t_dep", "ea"])
 
     asked = od.select(*[F.col(c).cast("int").alias(c) for c in ("q_id", "src", "dst", "t_dep")])
     return asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
 
+def earliest_overlaid(held: Broadcast, od: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame | None:
+    """``(edit_set, q_id, src, dst, t_dep, ea)`` for ``od(edit_set, ...)``: the timetable is held once, whatever the number of sets.
+
+    A set is what its trips ``gone(edit_set, trip)`` and its connections ``new(edit_set, ...)``
+    make of the timetable; a task puts together one set's tables at a time.  None if the sets'
+    rows are more than ``MOST``.
+    """
+    spark = od.sparkSession
+    if gone.count() > MOST or new.count() > MOST:
+        return None
+    columns = ("edit_set", "trip", "seq", "from_stop", "to_stop", "dep", "arr")
+    rows = new.select(*[F.col(c).cast("int").alias(c) for c in columns]).toArrow()
+    rows = {c: rows.column(c).to_numpy() for c in columns}
+    away = gone.select("edit_set", "trip").toArrow()
+    away = {c: away.column(c).to_numpy() for c in away.column_names}
+    sets = spark.sparkContext.broadcast((away, rows))
+
+    def run(batches):
+        last, t = None, None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            number = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(number, prepend=number[:1] - 1)).tolist()
+            for begin, end in zip(cuts, [*cuts[1:], len(number)], strict=True):
+                if t is None or number[begin] != last:
+                    last, (out, put) = number[begin], sets.value
+                    own = put["edit_set"] == last
+                    t = overlaid(held.value, out["trip"][out["edit_set"] == last], {c: x[own] for c, x in put.items()})
+                part = b.slice(begin, end - begin)
+                ea = _answers(t, list(zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)), None, "multi_pass")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ea, pa.int32())], ["edit_set", "q_id", "src", "dst", "t_dep", "ea"])
+
+    asked = od.select(*[F.col(c).cast("int").alias(c) for c in ("edit_set", "q_id", "src", "dst", "t_dep")])
+    # ranges of sets and queries: a task has a few sets, and a set of many queries many tasks
+    asked = asked.repartitionByRange(spark.sparkContext.defaultParallelism, "edit_set", "q_id").sortWithinPartitions("edit_set", "q_id")
+    return asked.mapInArrow(run, "edit_set int, q_id int, src int, dst int, t_dep int, ea int")
+
+
 def one_to_all(conn: DataFrame, walks: DataFrame, od: DataFrame, held: Broadcast | None = None) -> DataFrame:
     """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches; ``held`` as in :func:`earliest`."""
     spark = conn.sparkSession
@@ -186,7 +240,7 @@ def one_to_all(conn: DataFrame, walks: DataFrame, od: DataFrame, held: Broadcast
 
     def run(batches):
         t = held.value
-        board = np.full(t.n_trips, NEVER)
+        board = np.full(len(t.trips), NEVER)
         place = {int(s): k for k, s in enumerate(t.stops)}
         for b in batches:
             for q, src, minute in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):

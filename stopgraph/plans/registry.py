@@ -390,11 +390,10 @@ _query("edit_counts", lambda spark, sf, t: E.batch_counts(t.connections, edit_se
 
 def _quality(spark: SparkSession, conn: DataFrame, walks: DataFrame, od: DataFrame, edits: DataFrame, sets: int) -> DataFrame:
     """Answers of each edit set against those of the timetable as it was, all sets in one search."""
+    held = L.hold(conn, walks)
+    after = A.answer_edit_sets(conn, walks, od, edits, sets, held)
     each = spark.range(sets).select(F.col("id").cast("int").alias("edit_set"))
-    edited = E.apply_edit_sets(conn, edits, each)
-    asked = od.join(F.broadcast(each), F.lit(True))
-    after = A.answer_worlds(edited, walks.join(F.broadcast(each), F.lit(True)), asked, "edit_set", sets)
-    before = A.answer(conn, walks, od).select("q_id", "ea").join(F.broadcast(each), F.lit(True))
+    before = A.answer(conn, walks, od, held=held).select("q_id", "ea").join(F.broadcast(each), F.lit(True))
     return P.quality_delta(P.compare(before, after), ["edit_set"])
 
 
