@@ -234,9 +234,12 @@ def earliest_overlaid(held: Broadcast, od: DataFrame, gone: DataFrame, new: Data
 
 
 def one_to_all(conn: DataFrame, walks: DataFrame, od: DataFrame, held: Broadcast | None = None) -> DataFrame:
-    """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches; ``held`` as in :func:`earliest`."""
+    """``(q_id, stop, t)``: the earliest minute at each stop that a query reaches.
+
+    Without ``held`` the size is not looked at: ``arrivals.reach_all`` is the switch.
+    """
     spark = conn.sparkSession
-    held = held or _held(conn, walks)
+    held = held or spark.sparkContext.broadcast(tables(conn, walks))
 
     def run(batches):
         t = held.value
