@@ -55,11 +55,11 @@ def answers(spark: SparkSession, folder: str, below: int | None = None) -> DataF
     return rows.groupBy("q_id").agg(last).select("q_id", "a.*")
 
 
-def start(conn: DataFrame, walks: DataFrame, od: DataFrame, folder: str) -> None:
+def start(conn: DataFrame, walks: DataFrame, od: DataFrame, folder: str, held=None) -> None:
     """Write the answers of the timetable as it is, unless they are there."""
     if _there(conn.sparkSession, f"{folder}/changes/batch={FIRST}/_SUCCESS"):
         return
-    first = A.answer(conn, walks, od).select("q_id", "src", "dst", "t_dep", F.lit(None).cast("int").alias("old_ea"), "ea")
+    first = A.answer(conn, walks, od, held=held).select("q_id", "src", "dst", "t_dep", F.lit(None).cast("int").alias("old_ea"), "ea")
     first.write.mode("overwrite").parquet(f"{folder}/changes/batch={FIRST}")
 
 
@@ -79,8 +79,11 @@ def touched(standing: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     return standing.join(following, "t_dep").where("ea is null or next < ea").select("q_id", "src", "dst", "t_dep", "ea")
 
 
-def answer_batch(conn: DataFrame, walks: DataFrame, folder: str, number: int) -> None:
-    """Write the answers that batch ``number`` of the log changes."""
+def answer_batch(conn: DataFrame, walks: DataFrame, folder: str, number: int, held=None) -> None:
+    """Write the answers that batch ``number`` of the log changes.
+
+    Edits are laid over the timetable, which ``held``, of ``arrivals.ready``, serves to all batches.
+    """
     spark = conn.sparkSession
     before, after = _log(spark, folder, number), _log(spark, folder, number + 1)
     target = f"{folder}/changes/batch={number}"
@@ -90,11 +93,10 @@ def answer_batch(conn: DataFrame, walks: DataFrame, folder: str, number: int) ->
         return
     gone, come = E.delta(conn, before, after)
     again = written(touched(standing, gone, come), "again")
-    edited = written(E.apply_edits(conn, after), "edited")
-    new = A.answer(edited, walks, again.select("q_id", "src", "dst", "t_dep"))
+    new = A.answer_edit_sets(conn, walks, again.select("q_id", "src", "dst", "t_dep"), after, 1, held)
     both = new.join(again.select("q_id", F.col("ea").alias("old_ea")), "q_id").where("not (ea <=> old_ea)")
     both.select("q_id", "src", "dst", "t_dep", "old_ea", "ea").write.mode("overwrite").parquet(target)
-    discard(again, edited)
+    discard(again)
 
 
 def replan(edits: DataFrame, conn: DataFrame, walks: DataFrame, od: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -102,10 +104,11 @@ def replan(edits: DataFrame, conn: DataFrame, walks: DataFrame, od: DataFrame, f
 
     ``conn`` and ``walks`` are written tables; ``folder`` lies where all executors see it.
     """
-    start(conn, walks, od, folder)
+    held = A.ready(conn, walks)
+    start(conn, walks, od, folder, held)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-        answer_batch(conn, walks, folder, number)
+        answer_batch(conn, walks, folder, number, held)
 
     return edits.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
