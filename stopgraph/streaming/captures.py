@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ SCHEMA = "capture_id long, captured_at timestamp, kind string, body string"
 STATUS, VEHICLES = "status", "siri"
 #: Severities from this one on are a good service.
 GOOD = 10
+#: Spells of a frame at most.
+SPELLS = 10_000
 EPISODES = "line string, severity int, began timestamp, ended timestamp, polls long"
 
 
@@ -66,22 +69,30 @@ def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         yield _episode(key[0], held)
         return
-    reports = pd.concat(list(rows)).sort_values(["captured_at", "severity"], kind="stable")
-    ended = []
-    for at, severity in zip(reports["captured_at"], reports["severity"], strict=True):
-        at, severity = int(at.value // 1000), int(severity)
-        if held is not None and at < held[2]:
-            held[3] += severity == held[0]  # older than the last report: it cannot begin another episode
-        elif held is not None and severity == held[0]:
-            held[2], held[3] = at, held[3] + 1
-        else:
-            if held is not None:
-                ended.append(_episode(key[0], [*held[:2], at, held[3]]))
-            held = [severity, at, at, 1]
+    # numbers only: a report is 12 bytes, and a spell that ends a place in four arrays
+    parts = [(b["captured_at"].to_numpy("datetime64[us]").astype("int64"), b["severity"].to_numpy("int32")) for b in rows]
+    at, severity = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((severity, at))
+    at, severity = at[order], severity[order]
+    old = 0 if held is None else int(np.searchsorted(at, held[2]))
+    if old:
+        held[3] += int((severity[:old] == held[0]).sum())  # older than the last report: they cannot begin another episode
+        at, severity = at[old:], severity[old:]
+    if len(at):
+        first = np.flatnonzero(np.diff(severity, prepend=severity[0] - 1))  # where runs of one severity begin
+        began, of, polls = at[first], severity[first], np.diff(first, append=len(at))
+        if held is not None and held[0] == of[0]:
+            began[0], polls[0] = held[1], polls[0] + held[3]
+        elif held is not None:
+            began, of, polls = np.append(held[1], began), np.append(np.int32(held[0]), of), np.append(held[3], polls)
+        held = [int(of[-1]), int(began[-1]), int(at[-1]), int(polls[-1])]
     state.update(tuple(held))
     state.setTimeoutTimestamp(max(held[2] // 1000, state.getCurrentWatermarkMs()) + 24 * 3_600_000)
-    if ended:
-        yield pd.concat(ended)
+    if len(at):
+        for k in range(0, len(of) - 1, SPELLS):
+            end = min(k + SPELLS, len(of) - 1)
+            when = began[k : end + 1].astype("datetime64[us]")  # a spell ends where the next one begins
+            yield pd.DataFrame({"line": key[0], "severity": of[k:end], "began": when[:-1], "ended": when[1:], "polls": polls[k:end]})
 
 
 def _episode(line: str, held: list) -> pd.DataFrame:
