@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..sources.store import discard, written
 from . import relational as R
-from .graphs import _node
+from .graphs import TYPES, _node, least_edges
 
 #: Groups of stops that a slot's partitions are told apart by.
 AREAS = 16
@@ -86,12 +86,13 @@ def read_firsts(spark: SparkSession, path: str) -> DataFrame:
 
 def edges(conn: DataFrame, path: str) -> DataFrame:
     """The event graph's edges from the kept links; rides and stays come from the trips of ``conn``."""
-    ride = conn.select(_node("trip", "seq", 0).alias("src"), _node("trip", "seq", 1).alias("dst"), (F.col("arr") - F.col("dep")).alias("w"), F.lit("RIDE").alias("etype"))
-    stay = R.stay_edges(conn).select(_node("trip", "seq", 1), _node("trip", "nseq", 0), "w", F.lit("STAY"))
-    kind = F.when(F.col("kind") == "D", "WAIT").when(F.col("kind") == "A", "BOARD").otherwise("WALK_AND_BOARD")
+    of = lambda name: F.lit(TYPES.index(name)).alias("type")
+    ride = conn.select(_node("trip", "seq", 0).alias("src"), _node("trip", "seq", 1).alias("dst"), (F.col("arr") - F.col("dep")).alias("w"), of("RIDE"))
+    stay = R.stay_edges(conn).select(_node("trip", "seq", 1), _node("trip", "nseq", 0), "w", of("STAY"))
+    kind = F.when(F.col("kind") == "D", of("WAIT")).when(F.col("kind") == "A", of("BOARD")).otherwise(of("WALK_AND_BOARD"))
     src = _node("trip", "seq", 0) + (F.col("kind") != "D").cast("int")
     kept = read(conn.sparkSession, path).where("ndep is not null").select(src, _node("ntrip", "nseq", 0), F.col("ndep") - F.col("since"), kind)
-    return ride.union(stay).union(kept).groupBy("src", "dst").agg(F.min("w").alias("w"), F.min_by("etype", F.struct("w", "etype")).alias("etype"))
+    return least_edges(ride.union(stay).union(kept))
 
 
 def repair(path: str, gone: DataFrame, come: DataFrame, walks: DataFrame) -> list:
