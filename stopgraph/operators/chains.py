@@ -15,10 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import bucketed, discard, written
+from . import local
 from .arrivals import HORIZON, _between, _kept, source_labels
 
 
@@ -130,3 +132,64 @@ def earliest(conn: DataFrame, walks: DataFrame, od: DataFrame, both_ways: bool =
         return waits.join(left.select("q_id", F.col("dst").alias("stop")), ["q_id", "stop"])
 
     return _by_horizons(od, conn.agg(F.max("arr")).first()[0], answer)
+
+
+def _scan(batches):
+    """One scan of each query's connections in order; a walk only follows a strict improvement by a ride."""
+    query, goal, label, on, over = None, None, {}, set(), False
+    out = lambda q, t: pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([t], pa.int32())], ["q_id", "t"])
+    for b in batches:
+        for q, dst, _, dep, arr, trip, _, start, stop, to, far in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if q != query:
+                if query is not None:
+                    yield out(query, label.get(goal))
+                query, goal, label, on, over = q, dst, {}, set(), False
+            if dep is None:  # where the query can be without a ride
+                label[stop] = min(arr, label.get(stop, arr))
+                continue
+            if over or dep >= label.get(goal, local.NEVER):
+                over = True
+                continue
+            if trip not in on and dep < label.get(start, local.NEVER):
+                continue
+            on.add(trip)
+            if arr < label.get(stop, local.NEVER):
+                label[stop] = arr
+                for v, w in zip(to or (), far or (), strict=True):
+                    label[v] = min(arr + w, label.get(v, local.NEVER))
+    if query is not None:
+        yield out(query, label.get(goal))
+
+
+def single_pass(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
+    """``local.single_pass`` of written connections that no task can hold; trips are in order of time.
+
+    A scan boards nothing that the exact search does not, so a query's scan is of the events that
+    it reaches within its horizon: they are found by chains, put in order of departure and
+    streamed, each with the walks from where it ends.
+    """
+    chains, walks = event_chains(conn), _kept(walks)
+    near = walks.groupBy(F.col("u").alias("to_stop")).agg(F.collect_list(F.struct("v", "w")).alias("near"))  # walks of a stop: bounded by the cap
+    near = written(near.select("to_stop", F.col("near.v").alias("to"), F.col("near.w").alias("far")), "near")
+
+    def answer(left: DataFrame, span: int) -> DataFrame:
+        seeds = written(_seeds(left, walks, F.col("t_dep") + span), "seeds").where("t is not null")
+        waits, rides = reach(chains, walks, seeds)
+        rides = rides.select("q_id", "trip", F.col("seq").alias("board"), "high")
+        rows = rides.join(_between(chains.events, "trip", rides), "trip").where("seq >= board and dep <= high").join(near, "to_stop", "left")
+        rows = rows.select("q_id", F.lit(1).alias("kind"), "dep", "arr", "trip", "seq", "from_stop", "to_stop", "to", "far")
+        none = lambda c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
+        begin = seeds.select("q_id", F.lit(0).alias("kind"), none("dep"), F.col("t").alias("arr"), none("trip"), none("seq"), none("from_stop"), F.col("stop").alias("to_stop"), none("to"), none("far"))
+        rows = begin.union(rows).join(left.select("q_id", "dst"), "q_id").select("q_id", "dst", "kind", *rows.columns[2:])
+        dealt = rows.repartition(conn.sparkSession.sparkContext.defaultParallelism, "q_id").sortWithinPartitions("q_id", "kind", "dep", "arr", "trip", "seq")
+        got = written(dealt.mapInArrow(_scan, "q_id int, t int"), "scans")
+        discard(waits, rides)
+        return got
+
+    return _by_horizons(od, conn.agg(F.max("dep")).first()[0], answer)
+
+
+def one_scan(conn: DataFrame, walks: DataFrame, od: DataFrame) -> DataFrame:
+    """The one-scan search of written connections: on each task's own tables where they fit, by chains beyond."""
+    held = local.hold(conn, walks)
+    return single_pass(conn, walks, od) if held is None else local.earliest(conn, walks, od, mode="single_pass", held=held)

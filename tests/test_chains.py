@@ -4,7 +4,7 @@ import random
 
 from test_timetable import CONN, OD, _all
 
-from stopgraph.operators import chains
+from stopgraph.operators import arrivals, chains, local
 
 
 def _answers(df):
@@ -33,6 +33,16 @@ def test_fixtures(spark):
         assert _answers(chains.earliest(conn, walks, od, both_ways)) == want
 
 
+def test_chains_and_scan_equal_the_search_on_arrays(spark, tmp_path, monkeypatch):
+    """Before, the event graph's edges were all written, and one scan refused a timetable beyond the bound."""
+    conn, walks, od = _city(spark, tmp_path)
+    exact, scan = _answers(local.earliest(conn, walks, od)), _answers(local.earliest(conn, walks, od, mode="single_pass"))
+    assert _answers(chains.earliest(conn, walks, od, True)) == exact
+    monkeypatch.setattr(local, "MOST", 10)
+    monkeypatch.setattr(chains, "HORIZON", 8)
+    assert _answers(chains.one_scan(conn, walks, od)) == scan and arrivals.ready(conn, walks).kept
+
+
 def test_a_chain_is_entered_once(spark):
     """Departures that a stop's chain was entered before are not entered again."""
     conn = spark.createDataFrame([(k, 0, 0, 1, 10 + k, 15 + k, 0, 0) for k in range(30)] + [(99, 0, 2, 0, 1, 5, 0, 0)], CONN)
