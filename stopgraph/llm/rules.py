@@ -32,6 +32,8 @@ WORD_LIMIT, WORD_SLACK, CHAR_LIMIT, CHAR_SLACK = 0.048, 1.4, 0.04, 25.0
 WINDOW, MOST_REPEATED, LEAST_WORDS = 8, 30, 20
 #: Languages up to which their references are broadcast; one takes some 2 KB.
 MOST_BROADCAST = 2000
+#: Languages up to which their common words are listed in one set.
+MOST_LISTED = 100
 #: Character classes, told apart in this order; what is left is the last class.
 CLASSES = ["[a-z]+", "[A-Z]+", "[ \\t-\\r]+", "[#*$%&|<>]+", "[0-9]+", "[^\\x00-\\x7F]+", "[!-/:-@\\[-`{-~]+"]
 
@@ -77,9 +79,10 @@ def _repeated(hashes: Column) -> Column:
         ordered = F.array_sort(F.transform(windows, lambda h, at: F.struct(h.alias("h"), at.cast("int").alias("at"))))
         return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(_let(ordered, places), covered)).otherwise(none)
 
-    starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(hashes) <= WINDOW, none).otherwise(_let(windows, of))
+    # a slice of an array in memory is cheap, one of an array in a row reads it whole: the hashes are bound, not a column
+    starts = lambda known: F.sequence(F.lit(1), F.size(known) - (WINDOW - 1))
+    windows = lambda known: F.transform(starts(known), lambda i: F.xxhash64(F.slice(known, i, WINDOW)))
+    return _let(hashes, lambda known: F.when(F.size(known) <= WINDOW, none).otherwise(_let(windows(known), of)))
 
 
 def base(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -89,16 +92,16 @@ def base(rows: DataFrame, text: str = "text") -> DataFrame:
     """
     out = _classes(rows.withColumn("__words", words(text)), text)
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    out = out.withColumns({"__hashes": F.transform("__words", lambda w: F.xxhash64(w)), "__lines": lines})
+    out = out.withColumn("__lines", lines)
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.col("chars")[3],
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": _repeated(F.col("__hashes")),
+        "n_repeat_words": _repeated(F.transform("__words", lambda w: F.xxhash64(w))),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__hashes", "__lines")
+    return out.withColumn("base_failed", failed).drop("__lines")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -149,11 +152,15 @@ def assess(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> Data
     scratch = Scratch(spark)
     known = scratch.table(references(own), "references")
     known = known.where(F.col("ref_total") >= MIN_REFERENCE)
-    known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
+    languages = known.count()
+    common = sorted({w for r in known.select("ref_words").collect() for w in r.ref_words or ()}) if languages <= MOST_LISTED else []
+    known = F.broadcast(known) if languages <= MOST_BROADCAST else known
     rows = base(own.join(known, "lang", "left"))
     long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("ref_words").isNotNull()
-    hits = F.filter(F.transform("__words", lambda w: F.array_position(F.col("ref_words"), w)), lambda k: k > 0)
-    counts = _let(hits, lambda found: F.transform("ref_words", lambda w, j: F.size(F.filter(found, lambda k: k == j + 1)).cast("long")))
+    # words that are common in no language are told by one look into a set; the others are looked for in their language's
+    near = F.filter("__words", lambda w: w.isin(common)) if common else F.col("__words")
+    hits = F.filter(F.transform(near, lambda w: F.array_position(F.col("ref_words"), w)), lambda k: k > 0)
+    counts = _let(hits, lambda found: F.transform("ref_words", lambda w, j: (F.size(found) - F.size(F.array_remove(found, (j + 1).cast("long")))).cast("long")))
     rows = rows.withColumns({"__counts": F.when(long_enough, counts), "n_chars": F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)})
     words_far = divergence(with_rest(F.col("__counts"), F.col("n_words")), F.col("n_words"), with_rest(F.col("ref_counts"), F.col("ref_total")), F.col("ref_total"))
     ref_chars = F.aggregate("ref_chars", F.lit(0).cast("long"), lambda a, x: a + x)
