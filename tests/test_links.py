@@ -83,3 +83,20 @@ def test_slots_without_departures(spark, tmp_path):
         K.repair(path, *E.delta(conn, before, edits), walks)
         assert _same(E.apply_edits(conn, edits), walks, path), rows
         before = edits
+
+
+def test_a_row_a_stop_of_a_slot_at_the_ends_of_numbers(spark, tmp_path, monkeypatch):
+    """Links lie and are shuffled as a row a stop of a slot; great stops and trips, minutes before 0 and walks of hours stay."""
+    monkeypatch.setattr(K, "AREAS", 16)
+    far, late = 2**31 - 1, 2**31 - 2
+    rows = [(0, 0, far, 0, -32768, -32760, 0, 0), (late, 3, 0, far, -7, 32767, 0, 0), (late, 4, far, 0, 32767, 32767, 0, 0), *[(k, 0, 0, far, k % 15, 40 + k % 7, 0, 0) for k in range(1, 60)]]
+    conn, walks, path = spark.createDataFrame(rows, CONN), spark.createDataFrame([(far, 0, 300), (0, far, 0)], "u int, v int, w int"), str(tmp_path / "kept")
+    K.build(conn, walks, path)
+    assert _same(conn, walks, path)
+    kept = K.read(spark, path)
+    assert kept.count() == kept.select("slot", "area", "stop").distinct().count()
+    edits = _edits(spark, [("DELAY", 5, 9, None, None), ("CANCELLATION", late, None, None, None), ("ADDITION", None, None, 7, 300)])
+    some = conn.where(f"trip <> {late}")  # an added trip needs a number after all others
+    assert sorted(E.apply_edits_to_named(some, edits).collect()) == sorted(E.apply_edits(some, edits).collect())
+    K.repair(path, conn.where(f"trip = {late}"), conn.limit(0), walks)
+    assert _same(some, walks, path)
