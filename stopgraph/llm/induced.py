@@ -385,17 +385,24 @@ def _doubled(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     rank, reach = np.zeros(n + 1, np.int64), 1
     rank[:-1] = text.astype(np.int64) + 1
-    order = np.argsort(rank[:-1], kind="stable")
+    order = np.argsort(rank[:-1])
+    levels = [(1, rank.astype(np.int32))]
     while reach < cap:
         key = rank[:-1] * (int(rank.max()) + 1) + rank[np.minimum(np.arange(n) + reach, n)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         got = key[order]
         rank[order] = np.cumsum(np.r_[True, got[1:] != got[:-1]])
         reach *= 2
         if rank.max() == n:
             break
-    shared = np.zeros(n, np.uint8)
-    shared[1:] = shared_prefix(text, order[:-1], order[1:], cap)
+        levels.append((reach, rank.astype(np.int32)))
+    # ranks of a level are equal where that many names are
+    shared, a, b = np.zeros(n, np.uint8), order[:-1].copy(), order[1:].copy()
+    done = np.zeros(len(a), np.int64)
+    for reach, rank in reversed(levels):
+        same = np.flatnonzero(rank[np.minimum(a + done, n)] == rank[np.minimum(b + done, n)])
+        done[same] += reach
+    shared[1:] = np.minimum(done, cap)
     return order.astype(np.int32), shared
 
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_slices, mix, released, remove, shared_path, spread_join, utf8
 from .induced import Files, suffix_order
 
-#: Bytes of a gram, of text worked on at once, and of regions sorted together.
-GRAM, CHUNK, SHARD = 32, 1 << 20, 2 << 20
+#: Bytes of a gram, of text worked on at once (arrays over it fit a core's cache), and of regions sorted together.
+GRAM, CHUNK, SHARD = 32, 1 << 18, 2 << 20
 #: Tasks, and then files of a task, on each side that an anchor of more than a shard is dealt to.
 FILES = 16
 #: Bytes of tuples that a queue of the induction holds before it writes runs to files.
@@ -153,18 +153,38 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 200) -> tuple[D
 
     def union(batches):
         for b in batches:
-            out = []
-            for row in b.column(1):
-                at = np.unique(np.concatenate([np.frombuffer(w, np.int32) + h["begin"] for h in row.as_py() for w in h["windows"]]))
-                edge = np.flatnonzero(at[1:] > at[:-1] + length)
-                out.append([{"begin": int(x), "end": int(y) + length} for x, y in zip(at[np.r_[0, edge + 1]], at[np.r_[edge, len(at) - 1]], strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["sha", "runs"])
+            for rows in _joined(b.column(1), length):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows[0], len(rows[1])), rows[1]], ["sha", "runs"])
 
     out = scratch.table(runs.mapInArrow(union, "sha binary, runs array<struct<begin: long, end: long>>"), "runs")
     scratch.drop("regions", "hits")
     return texts, out
 
 
+def _joined(column: pa.Array, length: int):
+    """``(first row, runs of the rows from it on)``: the maximal runs that each row's windows cover."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    hits = column.flatten()
+    begin, windows = hits.field("begin").to_numpy(), hits.field("windows")
+    parts = np.asarray(windows.offsets).astype(np.int64)
+    data, at = utf8(windows.flatten())
+    off, parts = off - off[0], parts - parts[0]
+    for i, j in byte_slices(at[parts[off]], CHUNK):
+        a, z = parts[off[i]], parts[off[j]]
+        size = np.diff(at[a : z + 1]) >> 2
+        hit = np.repeat(np.arange(off[i], off[j]), np.diff(parts[off[i] : off[j] + 1]))
+        row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))[hit - off[i]]
+        start = (row << 32) + begin[hit]
+        place = np.sort(np.frombuffer(data[at[a] : at[z]].tobytes(), np.int32) + np.repeat(start, size))
+        # another row is more than any length away
+        edge = np.flatnonzero(place[1:] > place[:-1] + length)
+        first, last = place[np.r_[0, edge + 1]], place[np.r_[edge, len(place) - 1]]
+        cuts = np.searchsorted(first, np.arange(j - i + 1) << 32).astype(np.int32)
+        low = np.int64((1 << 32) - 1)
+        runs = pa.StructArray.from_arrays([pa.array(first & low), pa.array((last & low) + length)], ["begin", "end"])
+        yield i, pa.ListArray.from_arrays(pa.array(cuts), runs)
+
+
 PIECE = "anchor long, part int, mark binary, times long, first int, place int, n int, region binary"
 
 
